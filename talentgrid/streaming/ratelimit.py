@@ -1,0 +1,96 @@
+"""Token buckets over a stream of requests, with state kept across batches."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Mapping
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from talentgrid.functions.requests import retry_after_seconds
+from talentgrid.operators.ratelimit import eligible_requests
+from talentgrid.settings import DEFAULT_BUCKETS, Bucket
+
+_OUT = "request_id string, policy string, principal string, micros long, allowed boolean, state long, token long, rate long"
+
+
+class TokenBuckets(StatefulProcessor):
+    """One bucket per (policy, principal): its level and the time it was last touched.
+
+    An idle bucket is full again after capacity / refill periods; its state then tells nothing and is
+    dropped by a timer.
+    """
+
+    def __init__(self, buckets: Mapping[str, Bucket]):
+        self.buckets = dict(buckets)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bucket = handle.getValueState("bucket", "level long, last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        spec = self.buckets[key[0]]
+        pdf = pd.concat(list(rows)).sort_values(["micros", "request_id"])
+        level, last = self.bucket.get() if self.bucket.exists() else (spec.full, int(pdf["micros"].iat[0]))
+        allowed, levels = [], []
+        for now in pdf["micros"].tolist():
+            # An event older than the bucket refills nothing and does not turn its clock back.
+            level = min(spec.full, level + max(0, now - last) * spec.refill_tokens)
+            last = max(last, now)
+            allowed.append(level >= spec.token)
+            level -= spec.token if level >= spec.token else 0
+            levels.append(level)
+        self.bucket.update((level, last))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        idle = -(-spec.full // spec.refill_tokens)
+        self.handle.registerTimer((last + idle) // 1000 + 1)
+        yield pd.DataFrame(
+            {
+                "request_id": pdf["request_id"].astype(str),
+                "policy": key[0],
+                "principal": key[1],
+                "micros": pdf["micros"],
+                "allowed": allowed,
+                "state": levels,
+                "token": spec.token,
+                "rate": spec.refill_tokens,
+            }
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.bucket.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_rate_limit(
+    requests: DataFrame, buckets: Mapping[str, Bucket] = DEFAULT_BUCKETS, delay: str = "10 minutes"
+) -> DataFrame:
+    """Decisions for a stream of requests; events later than ``delay`` are dropped by the watermark.
+
+    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    """
+    timed = eligible_requests(requests.withWatermark("ts", delay)).select(
+        "request_id", "policy", "principal", "ts", F.unix_micros("ts").alias("micros")
+    )
+    decided = timed.groupBy("policy", "principal").transformWithStateInPandas(
+        statefulProcessor=TokenBuckets(buckets),
+        outputStructType=_OUT,
+        outputMode="append",
+        timeMode="EventTime",
+    )
+    wait = F.ceil((F.col("token") - F.col("state")) / F.col("rate")).cast("long")
+    return decided.select(
+        "request_id",
+        "policy",
+        "principal",
+        F.timestamp_micros("micros").alias("ts"),
+        "allowed",
+        F.floor(F.col("state") / F.col("token")).cast("long").alias("remaining"),
+        F.when(~F.col("allowed"), retry_after_seconds(wait)).alias("retry_after"),
+    )
