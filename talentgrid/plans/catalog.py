@@ -30,11 +30,13 @@ def _definition(name: str) -> str | None:
 def with_steps(sql: str) -> str:
     """Put the subqueries that ``sql`` reads, directly or through others, in a WITH clause."""
     order: list[str] = []
+    open_names: set[str] = set()
 
     def visit(text: str) -> None:
         for name in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN)\s+([a-z_0-9]+)\b", text)):
             body = _definition(name)
-            if body is not None and name not in order:
+            if body is not None and name not in order and name not in open_names:
+                open_names.add(name)
                 visit(body)
                 order.append(name)
 
@@ -42,7 +44,7 @@ def with_steps(sql: str) -> str:
     if not order:
         return sql
     steps = ",\n".join(f"{n} AS ({_definition(n).strip()})" for n in order)
-    recursive = "RECURSIVE " if "replay_step" in order else ""
+    recursive = "RECURSIVE " if any(n.endswith("replay_step") for n in order) else ""
     return f"WITH {recursive}{steps}\n{sql.strip()}"
 
 

@@ -5,7 +5,13 @@ from __future__ import annotations
 from talentgrid.operators.candidates import extract_candidates
 from talentgrid.operators.ingest import candidate_id
 from talentgrid.operators.search import Criteria, search_candidates
-from talentgrid.plans import archive_queries, extraction_queries  # noqa: F401
+from talentgrid.plans import (  # noqa: F401
+    archive_queries,
+    extraction_queries,
+    ingest_queries,
+    operations_queries,
+    search_queries,
+)
 from talentgrid.plans.catalog import QUERIES, oracles
 from talentgrid.plans.fixtures import Inputs
 
