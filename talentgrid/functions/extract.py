@@ -99,8 +99,8 @@ def job_type_by_line(text: Column, low: Column | None = None) -> Column:
 
 
 def map_job_type(value: Column) -> Column:
-    key = F.translate(F.lower(value), "- ", "")
-    return F.when(key.isin("remote", "hybrid", "onsite"), F.upper(key)).otherwise("UNKNOWN")
+    kinds = F.create_map(*[F.lit(x) for k in ("REMOTE", "HYBRID", "ONSITE") for x in (k.lower(), k)])
+    return F.coalesce(kinds[F.translate(F.lower(value), "- ", "")], F.lit("UNKNOWN"))
 
 
 def preferred_job_type(text: Column, low: Column | None = None) -> Column:
@@ -108,12 +108,21 @@ def preferred_job_type(text: Column, low: Column | None = None) -> Column:
 
 
 def contains_skill(text: Column, skill: str, low: Column | None = None) -> Column:
-    """``skill`` stands in the text as a whole term: no letter or digit touches it."""
-    quoted = "\\Q" + skill.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    pattern = r"(?iu)(?<![\p{L}\p{N}])" + quoted + r"(?![\p{L}\p{N}])"
-    if not skill.isascii():
-        return text.rlike(pattern)
-    return _mentions(text, low, [skill.lower()]) & text.rlike(pattern)
+    """``skill`` stands in the text as a whole term: no letter or digit touches it.
+
+    Plain terms are searched in the folded text. The pattern starts with the term itself and looks
+    back past it, which lets the regex engine skip ahead to the term's next occurrence.
+    """
+    if skill.isascii():
+        low = folded(text) if low is None else low
+        term = _quoted(skill.lower())
+        pattern = term + r"(?![\p{L}\p{N}])(?<![\p{L}\p{N}]" + term + ")"
+        return F.contains(low, F.lit(skill.lower())) & low.rlike(pattern)
+    return text.rlike(r"(?iu)(?<![\p{L}\p{N}])" + _quoted(skill) + r"(?![\p{L}\p{N}])")
+
+
+def _quoted(term: str) -> str:
+    return "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
 def detect_skills(

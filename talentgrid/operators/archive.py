@@ -28,6 +28,19 @@ TOO_LARGE_TOTAL = "ZIP expands beyond the maximum allowed size"
 NO_FILES = "ZIP does not contain any supported CV files"
 CORRUPT = "Uploaded file is not a valid ZIP archive"
 CANNOT_EXTRACT = "Failed to extract ZIP archive"
+ENTRY_REASONS = (
+    TOO_MANY,
+    INVALID_NAME,
+    INVALID_PATH,
+    UNSAFE_PATH,
+    BAD_EXTENSION,
+    DUPLICATE,
+    CANNOT_EXTRACT,
+    TOO_LARGE_FILE,
+    TOO_LARGE_TOTAL,
+)
+
+ENTRY = ("upload_id", "entry_no", "entry_name", "is_directory", "size_bytes")
 
 
 def upload_request_error(filename: Column, size_bytes: Column) -> Column:
@@ -74,32 +87,28 @@ def with_path_owners(manifest: DataFrame) -> DataFrame:
     folders. ``blocked_no`` is the first file that stands where the entry needs a folder.
     """
     named = zip_safe_path(manifest)
-    safe = named.filter(F.col("error").isNull())
-    kinds = F.concat(
-        F.array(F.struct(F.col("norm_path").alias("path"), F.col("is_directory").alias("folder"))),
-        F.transform(
-            parents(F.col("norm_path")), lambda p: F.struct(p.alias("path"), F.lit(True).alias("folder"))
-        ),
+    entry = [F.col(c) for c in named.columns if c != "content"]
+    own = F.struct(F.col("norm_path").alias("path"), F.col("is_directory").alias("folder"))
+    above = F.transform(
+        parents(F.col("norm_path")), lambda p: F.struct(p.alias("path"), F.lit(True).alias("folder"))
     )
-    claims = safe.select(
-        "upload_id", "entry_no", "norm_path", "is_directory", F.explode(kinds).alias("claim")
-    ).select("*", "claim.path", "claim.folder")
-    claims = claims.filter(F.col("path") != "")
-    same = Window.partitionBy("upload_id", "path")
+    claimed = F.when(F.col("error").isNull() & (F.col("norm_path") != ""), F.concat(F.array(own), above))
+    claims = named.select(*entry, F.explode_outer(claimed).alias("claim"))
+    same = Window.partitionBy("upload_id", "claim.path")
+    folder = F.col("claim.folder")
     owned = claims.select(
-        "upload_id",
-        "entry_no",
-        (F.col("path") == F.col("norm_path")).alias("own"),
-        "folder",
-        F.min(F.when(~F.col("folder"), F.col("entry_no"))).over(same).alias("file_no"),
-        F.min(F.when(F.col("folder"), F.col("entry_no"))).over(same).alias("folder_no"),
+        *entry,
+        (F.col("claim.path") == F.col("norm_path")).alias("_own"),
+        folder.alias("_folder"),
+        F.min(F.when(~folder, F.col("entry_no"))).over(same).alias("_file_no"),
+        F.min(F.when(folder, F.col("entry_no"))).over(same).alias("_folder_no"),
     )
-    seen = owned.groupBy("upload_id", "entry_no").agg(
-        F.min(F.when(F.col("own"), F.col("file_no"))).alias("first_file_no"),
-        F.min(F.when(F.col("own"), F.col("folder_no"))).alias("first_folder_no"),
-        F.min(F.when(F.col("folder"), F.col("file_no"))).alias("blocked_no"),
+    # The entry's columns are grouping keys, so nothing has to be joined back.
+    return owned.groupBy(*entry).agg(
+        F.min(F.when(F.col("_own"), F.col("_file_no"))).alias("first_file_no"),
+        F.min(F.when(F.col("_own"), F.col("_folder_no"))).alias("first_folder_no"),
+        F.min(F.when(F.col("_folder"), F.col("_file_no"))).alias("blocked_no"),
     )
-    return named.join(seen, ["upload_id", "entry_no"], "left")
 
 
 def _is_duplicate() -> Column:
@@ -108,7 +117,7 @@ def _is_duplicate() -> Column:
 
 
 def zip_duplicate_path(manifest: DataFrame, limits: ArchiveLimits) -> DataFrame:
-    owned = with_path_owners(examined(manifest, limits))
+    owned = with_path_owners(examined(manifest, limits).repartition("upload_id"))
     return owned.filter(_is_duplicate()).select("upload_id", "entry_no", "entry_name", "norm_path")
 
 
@@ -157,15 +166,21 @@ def entry_error(limits: ArchiveLimits) -> Column:
 
 def zip_verdict(archives: DataFrame, manifest: DataFrame, limits: ArchiveLimits) -> DataFrame:
     """(upload_id, accepted, reason, file_count, total_bytes) for every archive."""
-    # Bounded groups, so one shuffle on upload_id serves the windows, the join and the aggregates.
-    entries = examined(manifest, limits).repartition("upload_id")
+    # Bounded groups, so the one shuffle on upload_id for the byte window serves everything after it.
+    entries = examined(manifest, limits).select(*ENTRY)
     checked = with_path_owners(with_bytes_before(entries)).withColumn("reason", entry_error(limits))
     is_file = ~F.col("is_directory")
+    # Entry and reason in one number, so that the minimum is a plain hash aggregate.
+    reasons = F.array(*[F.lit(r) for r in ENTRY_REASONS])
+    place = F.col("entry_no").cast("long") * 16 + F.array_position(reasons, F.col("reason"))
     per_archive = checked.groupBy("upload_id").agg(
-        F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("entry_no"))).alias("reason"),
+        F.min(place).alias("place"),
         F.count_if(is_file).alias("files"),
         F.sum(F.when(is_file, F.col("size_bytes"))).alias("bytes"),
     )
+    # element_at over literals does not give null for a null index, hence the test.
+    first = F.when(F.col("place").isNotNull(), F.element_at(reasons, (F.col("place") % 16).cast("int")))
+    per_archive = per_archive.withColumn("reason", first).drop("place")
     if "archive_error" in manifest.columns:
         broken = manifest.groupBy("upload_id").agg(F.max("archive_error").alias("archive_error"))
         per_archive = per_archive.join(broken, "upload_id", "full_outer")

@@ -261,7 +261,8 @@ def ingest_uploads(
 ) -> Ingested:
     """Accepted archives to candidate rows, failure rows and final upload rows, many at once."""
     verdicts = zip_verdict(uploads, manifest, archive)
-    accepted = verdicts.filter("accepted").select("upload_id")
+    # Written once: the file numbering and the extraction both start from it.
+    accepted = fixed(verdicts.filter("accepted").select("upload_id"))
     wanted = documents.join(accepted, "upload_id", "left_semi")
     flagged = flag_inserts(ingest_results(wanted, parsing, batch), stored)
     candidates = flagged.filter("inserted").select(

@@ -136,7 +136,8 @@ def _finish(rows: DataFrame) -> DataFrame:
 
 # A state function is a list of pieces (low, high, slope, shift): a bucket that holds low <= s <= high
 # before holds slope * s + shift after, with slope 0 or 1. One more token at the start admits at most
-# one more request, so about ``capacity`` pieces remain once equal neighbours are joined.
+# one more request, so once equal neighbours are joined the list stays at a few pieces per token of
+# capacity, however many requests a slice has.
 
 
 def _cut(piece: tuple, at: int, below: tuple, above: tuple) -> list:
