@@ -24,12 +24,12 @@ _MARKS = {_WORD + "t": None, _WORD + "tab": "\t", _WORD + "br": "\n", _WORD + "c
 
 def media_type(content: Column) -> Column:
     """Type by content, not by name: a PDF mark, or a ZIP that holds a Word document."""
-    head = F.substring(content, 1, 4).cast("binary")
-    names_word = F.instr(F.decode(content, F.lit("ISO-8859-1")), "word/document.xml") > 0
+    zipped = F.substring(content, 1, 4) == F.lit(bytearray(b"PK\x03\x04"))
+    word = F.contains(content, F.lit(bytearray(b"word/document.xml")))
     return (
-        F.when(F.substring(content, 1, 5).cast("string") == "%PDF-", PDF_TYPE)
-        .when((head == F.lit(bytearray(b"PK\x03\x04"))) & names_word, DOCX_TYPE)
-        .when(head == F.lit(bytearray(b"PK\x03\x04")), "application/zip")
+        F.when(F.substring(content, 1, 5) == F.lit(bytearray(b"%PDF-")), PDF_TYPE)
+        .when(zipped & word, DOCX_TYPE)
+        .when(zipped, "application/zip")
         .when(F.length(content) == 0, "application/octet-stream")
         .otherwise("text/plain")
     )
