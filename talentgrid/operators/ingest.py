@@ -24,6 +24,9 @@ NO_CV_FILES = "No CV files found for upload: "
 NULL_DRAFT = "CandidateDraft must not be null"
 BLANK_FILENAME = "Candidate sourceFilename must not be blank"
 
+# Default of spark.sql.optimizer.windowGroupLimitThreshold.
+PRUNED_RANKS = 1000
+
 
 def discover_cv_files(uploads: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """CV files of each upload numbered by path, and the uploads that have none."""
@@ -112,11 +115,14 @@ def stop_points(results: DataFrame, limits: BatchLimits) -> DataFrame:
     """(upload_id, stop_chunk): the chunk where an upload exceeds its skip limit.
 
     Only failure number skip_limit + 1 of an upload matters, so the rank filter bounds what each map
-    task sends to the window.
+    task sends to the window. Spark applies it up to PRUNED_RANKS; larger limits number in slices.
     """
-    order = Window.partitionBy("upload_id").orderBy("file_no")
     failures = results.filter(F.col("error_code").isNotNull()).select("upload_id", "file_no")
-    ranked = failures.withColumn("nth", F.row_number().over(order))
+    if limits.skip_limit < PRUNED_RANKS:
+        order = Window.partitionBy("upload_id").orderBy("file_no")
+        ranked = failures.withColumn("nth", F.row_number().over(order))
+    else:
+        ranked = running(failures, ["upload_id"], ["file_no"], number="nth")
     last = ranked.filter(F.col("nth") == limits.skip_limit + 1)
     return assign_chunks(last, limits).select("upload_id", F.col("chunk_no").alias("stop_chunk"))
 

@@ -263,19 +263,32 @@ def with_retry_after(replayed: DataFrame) -> DataFrame:
     return replayed.withColumn("retry_after", wait)
 
 
-def backend_unavailable(requests: DataFrame, outages: DataFrame, fail_open: bool = False) -> DataFrame:
-    """Requests inside an outage [start_ts, end_ts): allowed only when failing open, none remaining.
+def with_outage(requests: DataFrame, outages: DataFrame) -> DataFrame:
+    """Add ``down``: the request falls in an outage [start_ts, end_ts).
 
-    The range join meets on the days an outage touches; both bounds are then checked.
+    Outage starts and ends join the requests as rows worth +1 and -1; in time order their running sum
+    tells how many outages are open. So no request is paired with any outage, however many overlap.
     """
-    day = F.explode(
-        F.sequence(F.to_date("start_ts"), F.to_date("end_ts"), F.expr("interval 1 day"))
+    edges = F.explode(
+        F.array(
+            F.struct(F.col("start_ts").alias("ts"), F.lit(1).alias("step")),
+            F.struct(F.col("end_ts").alias("ts"), F.lit(-1).alias("step")),
+        )
     )
-    daily = outages.select("start_ts", "end_ts", day.alias("day"))
-    inside = (F.col("ts") >= F.col("start_ts")) & (F.col("ts") < F.col("end_ts"))
-    dated = requests.withColumn("day", F.to_date("ts"))
-    hit = dated.join(daily, (dated["day"] == daily["day"]) & inside, "left_semi").drop("day")
-    return hit.withColumns(
+    steps = outages.filter("start_ts < end_ts").select(edges.alias("e")).groupBy("e.ts")
+    steps = steps.agg(F.sum("e.step").alias("_step")).withColumn("_kind", F.lit(0))
+    rows = requests.withColumns({"_kind": F.lit(1), "_step": F.lit(0).cast("long")})
+    timeline = rows.unionByName(steps, allowMissingColumns=True)
+    order = ["ts", "_kind", "request_id"]
+    opened = running(timeline, [], order, sums={"_open": F.col("_step")})
+    marked = opened.filter("_kind = 1").withColumn("down", F.col("_open") > 0)
+    return marked.drop("_kind", "_step", "_open")
+
+
+def backend_unavailable(requests: DataFrame, outages: DataFrame, fail_open: bool = False) -> DataFrame:
+    """Requests inside an outage: allowed only when failing open, with no tokens remaining."""
+    down = with_outage(requests, outages).filter("down").drop("down")
+    return down.withColumns(
         {
             "allowed": F.lit(fail_open),
             "backend_available": F.lit(False),
@@ -296,29 +309,17 @@ def rate_limit_outcome(
     status is 429 or 503 when the request is refused and null when it passes. Requests that meet an
     unavailable backend take no token.
     """
-    eligible = eligible_requests(requests).select("request_id", "ts", *_KEY)
-    down = backend_unavailable(eligible, outages, fail_open)
-    up = eligible.join(down.select("request_id"), "request_id", "left_anti")
-    nothing = F.lit(None)
-    passed_by = requests.join(eligible.select("request_id"), "request_id", "left_anti")
+    policed = with_policy(requests)
+    counts = F.col("policy").isNotNull() & F.coalesce(is_known_principal(F.col("principal")), F.lit(False))
+    marked = with_outage(policed.filter(counts).select("request_id", "ts", *_KEY), outages)
+    replayed = with_retry_after(token_bucket_replay(marked.filter("NOT down"), buckets))
+
+    def rows(df: DataFrame, status: Column, *columns: Column) -> DataFrame:
+        return df.select("request_id", status.cast("int").alias("status"), *columns)
+
     parts = [
-        passed_by.select(
-            "request_id",
-            nothing.cast("int").alias("status"),
-            nothing.cast("long").alias("remaining"),
-            nothing.cast("long").alias("retry_after"),
-        ),
-        down.select(
-            "request_id",
-            F.when(~F.col("allowed"), 503).alias("status"),
-            nothing.cast("long").alias("remaining"),
-            nothing.cast("long").alias("retry_after"),
-        ),
-        with_retry_after(token_bucket_replay(up, buckets)).select(
-            "request_id",
-            F.when(~F.col("allowed"), 429).alias("status"),
-            "remaining",
-            "retry_after",
-        ),
+        rows(policed.filter(~counts), F.lit(None)),
+        rows(marked.filter("down"), F.lit(None if fail_open else 503)),
+        rows(replayed, F.when(~F.col("allowed"), 429), F.col("remaining"), F.col("retry_after")),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -11,6 +11,7 @@ from talentgrid.plans import (  # noqa: F401
     ingest_queries,
     operations_queries,
     search_queries,
+    source_queries,
 )
 from talentgrid.plans.catalog import QUERIES, oracles
 from talentgrid.plans.fixtures import Inputs

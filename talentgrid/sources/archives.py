@@ -14,7 +14,13 @@ from talentgrid.operators.archive import CORRUPT
 from talentgrid.schemas import MANIFEST
 from talentgrid.settings import ArchiveLimits
 
-_COLUMNS = MANIFEST.names
+BATCH_BYTES = 32 << 20
+BATCH_ROWS = 1000
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=MANIFEST.names)
+    return frame.astype({"entry_no": "Int32", "size_bytes": "Int64"})
 
 
 def _entries(upload_id: str, blob: bytes, limits: ArchiveLimits) -> Iterator[tuple]:
@@ -51,17 +57,21 @@ def _entries(upload_id: str, blob: bytes, limits: ArchiveLimits) -> Iterator[tup
 def expand_archives(archives: DataFrame, limits: ArchiveLimits = ArchiveLimits()) -> DataFrame:
     """(upload_id, content) to manifest rows; an unreadable archive becomes a row with archive_error.
 
-    Entries leave one at a time, so a task holds one archive and one entry.
+    Entries leave in batches of bounded bytes, so a task holds one input batch and one output batch.
     """
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for batch in batches:
             for upload_id, blob in zip(batch["upload_id"], batch["content"]):
                 for row in _entries(upload_id, blob, limits):
-                    frame = pd.DataFrame([row], columns=_COLUMNS)
-                    frame["entry_no"] = frame["entry_no"].astype("Int32")
-                    frame["size_bytes"] = frame["size_bytes"].astype("Int64")
-                    yield frame
+                    rows.append(row)
+                    size += len(row[5] or b"")
+                    if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                        yield _frame(rows)
+                        rows, size = [], 0
+        if rows:
+            yield _frame(rows)
 
     return archives.select("upload_id", "content").mapInPandas(expand, MANIFEST)
 

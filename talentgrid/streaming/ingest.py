@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from talentgrid.operators.ingest import (
     build_failures,
@@ -19,11 +21,26 @@ _CANDIDATE_COLUMNS = CANDIDATE.names
 _FAILURE_COLUMNS = PROCESSING_FAILURE.names
 
 
-def _stored(spark, folder: str, schema) -> DataFrame:
+MAX_LISTED_UPLOADS = 1000
+
+
+def _stored(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
     """The table so far; a table nobody wrote yet is empty."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _of_uploads(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """Stored rows of the batch's uploads. A batch usually has few of them; their ids then become a
+    scan filter, and as every file is sorted by upload most row groups are skipped."""
+    ids = batch.select("upload_id").distinct().limit(MAX_LISTED_UPLOADS + 1).collect()
+    if len(ids) > MAX_LISTED_UPLOADS:
+        return stored
+    return stored.filter(F.col("upload_id").isin([r.upload_id for r in ids]))
 
 
 def merge_batch(
@@ -41,13 +58,13 @@ def merge_batch(
     try:
         drafts = results.filter(F.col("error_code").isNull())
         drafts = drafts.withColumn("file_no", F.col("rel_path"))
-        stored = _stored(spark, candidate_folder, CANDIDATE)
+        stored = _of_uploads(_stored(spark, candidate_folder, CANDIDATE), results)
         fresh = insert_new_candidates(drafts, stored).withColumn("created_at", now)
         append_candidates(fresh.select(*_CANDIDATE_COLUMNS), candidate_folder)
 
         failures = build_failures(results, now).dropDuplicates(["id"])
-        known = _stored(spark, failure_folder, PROCESSING_FAILURE).select("id")
-        lost = failures.join(known, "id", "left_anti").select(*_FAILURE_COLUMNS)
+        known = _of_uploads(_stored(spark, failure_folder, PROCESSING_FAILURE), results)
+        lost = failures.join(known.select("id"), "id", "left_anti").select(*_FAILURE_COLUMNS)
         append_failures(lost, failure_folder)
     finally:
         results.unpersist()
