@@ -32,11 +32,12 @@ def running(
     order: Sequence[str | Column],
     number: str | None = None,
     sums: Mapping[str, Column] | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Add ``number`` (1, 2, …) and running ``sums`` per group; ``order`` must be a total order."""
     by, sums = list(by), dict(sums or {})
     order = [F.col(o) if isinstance(o, str) else o for o in order]
+    max_group_rows = max_group_rows or MAX_GROUP_ROWS
     largest, total = group_sizes(df, by)
     if largest <= max_group_rows:
         return _local(df, by, order, number, sums)

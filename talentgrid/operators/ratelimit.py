@@ -60,10 +60,12 @@ def _with_micros(requests: DataFrame) -> DataFrame:
 def token_bucket_replay(
     requests: DataFrame,
     buckets: Mapping[str, Bucket] = DEFAULT_BUCKETS,
-    native_rows: int = NATIVE_ROWS,
-    slice_rows: int = SLICE_ROWS,
+    native_rows: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Add allowed, remaining (whole tokens) and wait_micros (0 when allowed) to eligible requests."""
+    native_rows = NATIVE_ROWS if native_rows is None else native_rows
+    slice_rows = SLICE_ROWS if slice_rows is None else slice_rows
     timed = _with_micros(requests)
     largest, _ = group_sizes(timed, _KEY)
     if largest <= native_rows:

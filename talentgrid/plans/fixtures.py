@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from talentgrid.functions.patterns import KNOWN_SKILLS
 from talentgrid.operators.ordered import running
+from talentgrid.session import spread_small_scan
 from talentgrid.settings import DOCX_TYPE, PDF_TYPE
 
 TABLES = (
@@ -247,7 +248,8 @@ class Inputs:
 
     def _make(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread_small_scan(table) if name == "documents" else table
         if name == "zip_manifest":
             return self.manifest
         if name == "candidate_skill":

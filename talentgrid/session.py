@@ -39,3 +39,14 @@ def fixed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder, so later stages all see the same rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_small_scan(df: DataFrame, task_bytes: int = 2 << 20, split_bytes: int = 128 << 20) -> DataFrame:
+    """Give CPU-bound work on a small scan all cores, though its few row groups would use one or two.
+
+    Only a scan too small to fill the cores by itself is moved; a large one is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = min(cores, size // task_bytes)
+    return df.repartition(tasks) if tasks > 1 and size < cores * split_bytes else df
