@@ -57,7 +57,14 @@ def full_name(text: Column, low: Column | None = None) -> Column:
     return F.coalesce(name_by_label(text, low), name_by_line(text))
 
 
+def _ascii_bounds(pattern: str) -> str:
+    """Spell out the two word bounds of a pattern for ASCII words, as Java reads them from release 19."""
+    head, body, tail = pattern.split(r"\b")
+    return f"{head}(?<![0-9A-Za-z_]){body}(?![0-9A-Za-z_]){tail}"
+
+
 def _highest(text: Column, pattern: str, low: Column | None) -> Column:
+    pattern = _ascii_bounds(pattern)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).cast("array<int>")
     return F.when(_mentions(text, low, ["experience"]), F.array_max(found))
 

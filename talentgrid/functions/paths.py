@@ -10,6 +10,17 @@ UNSAFE = ".."
 
 def normalize_path(name: Column) -> Column:
     """Resolve ``.``, ``..`` and empty parts. A path that leaves its root comes back as ``..``."""
+    plain = ~name.rlike(r"(?:^|/)\.{0,2}(?:/|$)")
+    resolved = _resolve(name, F.array(F.lit(UNSAFE)))
+    return F.when(plain, name).when(name.startswith("/"), F.lit(UNSAFE)).otherwise(resolved)
+
+
+def normalize_absolute(path: Column) -> Column:
+    """Resolve an absolute path, without its leading slash; ``..`` at the root stays at the root."""
+    return _resolve(path, F.array().cast("array<string>"))
+
+
+def _resolve(name: Column, above_root: Column) -> Column:
     parts = F.split(name, "/", -1)
 
     def step(done: Column, part: Column) -> Column:
@@ -17,14 +28,11 @@ def normalize_path(name: Column) -> Column:
             F.when(part.isin("", "."), done)
             .when(F.get(done, F.lit(0)) == UNSAFE, done)
             .when(part != "..", F.array_append(done, part))
-            .when(F.size(done) == 0, F.array(F.lit(UNSAFE)))
+            .when(F.size(done) == 0, above_root)
             .otherwise(F.slice(done, F.lit(1), F.size(done) - 1))
         )
 
-    resolved = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
-    escaped = name.startswith("/") | resolved.startswith(UNSAFE + "/") | (resolved == UNSAFE)
-    plain = ~name.rlike(r"(?:^|/)\.{0,2}(?:/|$)")
-    return F.when(plain, name).when(escaped, F.lit(UNSAFE)).otherwise(resolved)
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
 def parents(path: Column) -> Column:

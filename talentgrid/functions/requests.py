@@ -12,7 +12,7 @@ from talentgrid.functions.text import is_blank
 UPLOADS = "/api/v1/uploads"
 CANDIDATES = "/api/v1/candidates"
 EXPORTS = ("/api/v1/candidates/export.csv", "/api/v1/candidates/export.xlsx")
-ONE_UPLOAD = r"^/api/v1/uploads/[^/]+(?:/failures)?$"
+ONE_UPLOAD = r"^/api/v1/uploads/[^/]+(?:/failures)?\z"
 HEALTH_PATHS = ("/livez", "/readyz", "/actuator/health")
 HEALTH_PREFIX = "/actuator/health/"
 ACCESS_LINE = (

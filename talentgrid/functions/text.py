@@ -16,6 +16,13 @@ def trimmed(value: Column) -> Column:
     return F.btrim(value, F.lit(CONTROL_AND_SPACE))
 
 
+def trim_argument(text: str | None) -> str | None:
+    """The same trimming for a plain argument; None when nothing but whitespace is there."""
+    text = text or ""
+    visible = any(not c.isspace() or c in "\x85\u00a0\u2007\u202f" for c in text)
+    return text.strip(CONTROL_AND_SPACE) if visible else None
+
+
 def is_blank(value: Column) -> Column:
     """True when no character is left that counts as text; null stays null."""
     return ~value.rlike(NOT_BLANK)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentgrid.functions.paths import UNSAFE, normalize_path
+from talentgrid.functions.paths import normalize_absolute
 from talentgrid.operators.ordered import running
 from talentgrid.settings import Retention
 
@@ -58,8 +58,7 @@ def guard_storage_path(paths: DataFrame, root: str) -> DataFrame:
     """Add ``refused``: the path is the root, its staging folder, or outside the root."""
     base = root.strip("/")
     absolute = F.col("path").startswith("/")
-    inside = normalize_path(F.regexp_replace("path", "^/+", ""))
-    norm = F.when(absolute, inside).otherwise(F.lit(UNSAFE))
+    norm = F.when(absolute, normalize_absolute(F.col("path"))).otherwise("")
     refused = (norm == base) | (norm == f"{base}/staging") | ~norm.startswith(base + "/")
     return paths.withColumn("refused", refused)
 

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talentgrid.functions.text import CONTROL_AND_SPACE, trim_argument
 from talentgrid.operators.ordered import running
 from talentgrid.settings import JOB_TYPES, MAX_PAGE_SIZE, SORT_FIELDS, InvalidQuery, UploadNotFound
 
@@ -39,8 +40,7 @@ class Criteria:
 
     def __post_init__(self):
         for name in ("skill", "location"):
-            text = (getattr(self, name) or "").strip()
-            object.__setattr__(self, name, text or None)
+            object.__setattr__(self, name, trim_argument(getattr(self, name)))
         if self.job_type is not None and self.job_type not in JOB_TYPES:
             raise InvalidQuery(f"unknown job type: {self.job_type}")
         low, high = self.min_experience, self.max_experience
@@ -64,7 +64,7 @@ class Criteria:
 
 
 def has_skill(skills: Column, skill: str) -> Column:
-    wanted = skill.strip().lower()
+    wanted = skill.strip(CONTROL_AND_SPACE).lower()
     return F.coalesce(F.exists(skills, lambda s: F.lower(s) == wanted), F.lit(False))
 
 
@@ -74,7 +74,7 @@ def filter_criteria(candidates: DataFrame, criteria: Criteria) -> DataFrame:
 
 def filter_skill_bridge(candidates: DataFrame, bridge: DataFrame, skill: str) -> DataFrame:
     """Skill filter when the skills are rows of a bridge table; each candidate comes once."""
-    wanted = bridge.filter(F.lower("skill") == skill.strip().lower()).select("candidate_id")
+    wanted = bridge.filter(F.lower("skill") == skill.strip(CONTROL_AND_SPACE).lower()).select("candidate_id")
     return candidates.join(wanted, F.col("id") == F.col("candidate_id"), "left_semi")
 
 
@@ -84,8 +84,8 @@ def sort_order(sort_by: str | None = None, direction: str | None = None, strict:
     Searches trim the arguments and have defaults; exports (``strict``) take them as they are.
     """
     if not strict:
-        sort_by = (sort_by or "").strip() or "fullName"
-        direction = (direction or "").strip() or "asc"
+        sort_by = trim_argument(sort_by) or "fullName"
+        direction = trim_argument(direction) or "asc"
     if sort_by not in SORT_FIELDS:
         raise InvalidQuery(f"unsupported sort field: {sort_by}")
     if direction is None or direction.lower() not in ("asc", "desc"):
@@ -164,18 +164,19 @@ def total_pages(total: int, size: int) -> int:
 
 
 def hydrate_candidates(
-    page_ids: DataFrame, candidates: DataFrame, uploads: DataFrame, bridge: DataFrame
+    ids: DataFrame, candidates: DataFrame, uploads: DataFrame, bridge: DataFrame, one_page: bool = False
 ) -> DataFrame:
-    """Full rows for a page of ids: upload by inner join, skills by left join.
+    """Full rows for a list of ids: upload by inner join, skills by left join.
 
-    ``page_ids`` holds at most one page (MAX_PAGE_SIZE rows), which the limit enforces and makes it
-    safe to broadcast.
+    ``one_page`` says that ``ids`` comes from ``page_rows``, whose limit keeps it to MAX_PAGE_SIZE rows;
+    only then is it broadcast. Otherwise Spark chooses the joins by size.
     """
-    ids = F.broadcast(page_ids.select("id").limit(MAX_PAGE_SIZE))
-    rows = candidates.drop("skills").join(ids, "id")
+    small = F.broadcast if one_page else (lambda df: df)
+    wanted = ids.select("id").distinct()
+    rows = candidates.drop("skills").join(small(wanted), "id")
     owners = uploads.select(F.col("id").alias("upload_id"), "original_filename")
-    with_upload = owners.join(F.broadcast(rows), "upload_id")
-    skills = bridge.join(F.broadcast(ids.withColumnRenamed("id", "candidate_id")), "candidate_id")
+    with_upload = owners.join(small(rows), "upload_id")
+    skills = bridge.join(small(wanted.withColumnRenamed("id", "candidate_id")), "candidate_id")
     lists = skills.groupBy("candidate_id").agg(F.collect_set("skill").alias("skills"))
     joined = with_upload.join(lists, F.col("id") == F.col("candidate_id"), "left").drop("candidate_id")
     return joined.withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))

@@ -163,7 +163,8 @@ def _(t):
     ),
 )
 def _(t):
-    found = t["resume_files"].select(X.detect_skills(F.col("text"), None, _TERMS).alias("skills"))
+    texts = t["resume_files"].withColumn("low", folded(F.col("text")))
+    found = texts.select(X.detect_skills(F.col("text"), F.col("low"), _TERMS).alias("skills"))
     return found.select(F.explode("skills").alias("skill")).groupBy("skill").agg(
         F.count(F.lit(1)).alias("documents")
     )

@@ -11,6 +11,7 @@ from talentgrid.plans.archive_queries import LIMITS
 from talentgrid.plans.catalog import oracle_step, query
 from talentgrid.plans.extraction_queries import PARSING
 from talentgrid.settings import BatchLimits
+from talentgrid.sources.tables import new_failures
 
 BATCH = BatchLimits(chunk_size=4, skip_limit=3)
 
@@ -240,6 +241,17 @@ def _(t):
     return I.build_failures(_results(t).filter("kept"), _now())
 
 
+@query(
+    "append_failures",
+    "SELECT id, error_code FROM processing_failure WHERE error_code <> 'PARSE_FAILED'",
+)
+def _(t):
+    failures = t["processing_failure"]
+    delivered_twice = failures.unionAll(failures)
+    stored = failures.filter("error_code = 'PARSE_FAILED'")
+    return new_failures(stored, delivered_twice).select("id", "error_code")
+
+
 @query(
     "upload_progress",
     """

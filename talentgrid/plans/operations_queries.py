@@ -262,13 +262,12 @@ def _(t):
 @query(
     "guard_storage_path",
     r"""
-    SELECT path, norm = '!' OR norm IN ('data/uploads', 'data/uploads/staging')
+    SELECT path, norm IN ('data/uploads', 'data/uploads/staging')
         OR norm NOT LIKE 'data/uploads/%' AS refused
     FROM (
         SELECT path, list_reduce(string_split(path, '/'),
-            lambda a, p: CASE WHEN a = '!' THEN '!' WHEN p IN ('', '.') THEN a
-                WHEN p = '..' THEN CASE WHEN a = '' THEN '!' WHEN position('/' IN a) = 0 THEN ''
-                    ELSE regexp_replace(a, '/[^/]*$', '') END
+            lambda a, p: CASE WHEN p IN ('', '.') THEN a
+                WHEN p = '..' THEN CASE WHEN position('/' IN a) = 0 THEN '' ELSE regexp_replace(a, '/[^/]*$', '') END
                 WHEN a = '' THEN p ELSE a || '/' || p END, '') AS norm
         FROM storage_paths
     ) AS p""",

@@ -49,15 +49,19 @@ def packed_files(documents: DataFrame) -> DataFrame:
     return named.mapInPandas(pack, "upload_id string, rel_path string, content binary")
 
 
-def packed_archives(documents: DataFrame) -> DataFrame:
-    """(upload_id, content): one archive per document with a folder, its text and its lines."""
+def packed_archives(documents: DataFrame, torn: str | None = None) -> DataFrame:
+    """(upload_id, content): one archive per document with a folder, its text and its lines.
+
+    Archives of documents in language ``torn`` lose their second half.
+    """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             content = []
             for lang, text in zip(batch["lang"], batch["text"]):
                 parts = [(f"{lang}/p{i}.docx", p.encode()) for i, p in enumerate(text.split("\n"))]
-                content.append(_zip([(lang + "/", b""), (f"{lang}/all.pdf", text.encode()), *parts]))
+                whole = _zip([(lang + "/", b""), (f"{lang}/all.pdf", text.encode()), *parts])
+                content.append(whole[: len(whole) // 2] if lang == torn else whole)
             yield batch[["upload_id"]].assign(content=content)
 
     named = documents.select(F.concat(F.lit("d"), "doc_id").alias("upload_id"), "lang", "text")

@@ -8,6 +8,7 @@ from talentgrid.functions.csvcells import csv_quote, join_skills, protect_formul
 from talentgrid.operators import export as X
 from talentgrid.operators import search as S
 from talentgrid.plans.catalog import oracle_step, query
+from talentgrid.sources.tables import csv_document
 
 _ID = "SELECT id FROM candidate WHERE "
 
@@ -101,7 +102,7 @@ _CELLS = "id, upload_id, full_name, years_of_experience, preferred_location, pre
 )
 def _(t):
     page = S.page_candidates(t["candidate"], page=2, size=20)
-    full = S.hydrate_candidates(page, t["candidate"], t["cv_upload"], t["candidate_skill"])
+    full = S.hydrate_candidates(page, t["candidate"], t["cv_upload"], t["candidate_skill"], True)
     skills = F.array_join(F.array_sort("skills"), "|").alias("skills")
     return full.select("id", "upload_id", "original_filename", "full_name", skills)
 
@@ -248,6 +249,18 @@ def _(t):
     return X.csv_header(t["candidate"])
 
 
+@query(
+    "write_candidates_csv",
+    f"""
+    SELECT chr(65279) || '"candidateId","uploadId","fullName","yearsOfExperience","preferredLocation",'
+        || '"preferredJobType","skills","sourceFilename"' AS line
+    FROM (SELECT count(*) FROM candidate) AS c
+    UNION ALL SELECT {_LINE} FROM export WHERE years_of_experience >= 1""",
+)
+def _(t):
+    return csv_document(_exported(t))
+
+
 @query(
     "write_candidates_typed",
     """

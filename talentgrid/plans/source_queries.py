@@ -55,6 +55,19 @@ def _(t):
     return zip_verdict(names, expand_archives(archives, LIMITS), LIMITS).select("upload_id", "reason")
 
 
+@query(
+    "zip_corrupt",
+    f"""
+    SELECT {_DOC} AS upload_id, lang <> 'es' AS accepted,
+        CASE lang WHEN 'es' THEN 'Uploaded file is not a valid ZIP archive' END AS reason
+    FROM documents""",
+)
+def _(t):
+    names = t["documents"].select(F.concat(F.lit("d"), "doc_id").alias("upload_id"))
+    manifest = expand_archives(packed_archives(t["documents"], torn="es"))
+    return zip_verdict(names, manifest, ArchiveLimits()).select("upload_id", "accepted", "reason")
+
+
 @query(
     "detect_media_type",
     f"""

@@ -98,6 +98,18 @@ def files_of_manifest(manifest: DataFrame, accepted: DataFrame) -> DataFrame:
     return kept.select("upload_id", normalize_path(F.col("entry_name")).alias("rel_path"), "content")
 
 
+def documents_of_archives(
+    manifest: DataFrame, verdicts: DataFrame, decoders: Mapping[str, Decoder] = DECODERS
+) -> DataFrame:
+    """Documents of accepted archives, as the ingest operators take them.
+
+    The verdict and this both read the manifest with its bytes; write it to a table first, so that the
+    archives are unpacked once.
+    """
+    texts = extract_document_text(files_of_manifest(manifest, verdicts), decoders)
+    return texts.withColumn("file_exists", F.lit(True))
+
+
 def list_cv_files(spark: SparkSession, folder: str) -> DataFrame:
     """CV files under ``folder/<upload_id>/…`` with their bytes.
 

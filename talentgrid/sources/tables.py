@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.functions.csvcells import BYTE_ORDER_MARK, header_line
-from talentgrid.operators.export import csv_rows, typed_rows
+from talentgrid.functions.csvcells import BYTE_ORDER_MARK
+from talentgrid.operators.export import csv_header, csv_rows, typed_rows
 from talentgrid.operators.retention import new_cleanup_records
 from talentgrid.schemas import TABLES
 
@@ -33,26 +33,34 @@ def load_tables_jdbc(
     }
 
 
+def csv_document(exported: DataFrame) -> DataFrame:
+    """The lines of a CSV export: byte order mark and header first, also when nothing matches."""
+    mark = F.lit(BYTE_ORDER_MARK)
+    head = csv_header(exported).select(F.concat(mark, "line").alias("line"))
+    return head.union(csv_rows(exported))
+
+
 def write_candidates_csv(exported: DataFrame, folder: str, single_file: bool = False) -> None:
-    """Byte order mark, header and quoted rows.
+    """Write the CSV lines as text.
 
-    ``exported`` is sorted, so the part files in name order are the export in order. The header is in
-    the first part. ``single_file`` puts all rows through one task; ask for it only for small exports.
+    ``exported`` is sorted, so the part files in name order are the export in order; the header is the
+    first part. ``single_file`` puts all rows through one task; ask for it only for small exports.
     """
-    head = F.lit(BYTE_ORDER_MARK + header_line())
-    lines = csv_rows(exported)
-    spark = exported.sparkSession
-    top = spark.range(1).select(head.alias("line")).coalesce(1)
-    out = top.union(lines)
-    (out.coalesce(1) if single_file else out).write.mode("overwrite").text(folder)
+    lines = csv_document(exported)
+    (lines.coalesce(1) if single_file else lines).write.mode("overwrite").text(folder)
 
 
 def write_candidates_typed(exported: DataFrame, folder: str) -> None:
     typed_rows(exported).write.mode("overwrite").parquet(folder)
 
 
+def new_failures(stored: DataFrame, failures: DataFrame) -> DataFrame:
+    """Failures to append: each id once, and only those not stored yet."""
+    return failures.dropDuplicates(["id"]).join(stored.select("id"), "id", "left_anti")
+
+
 def append_failures(failures: DataFrame, folder: str) -> None:
-    """Append failure rows, clustered by upload inside each file so that lookups skip row groups."""
+    """Append failure rows, sorted by upload inside each file so that lookups skip row groups."""
     ordered = failures.sortWithinPartitions("upload_id", "filename")
     ordered.write.mode("append").parquet(folder)
 

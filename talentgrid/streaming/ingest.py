@@ -15,7 +15,7 @@ from talentgrid.operators.ingest import (
 )
 from talentgrid.schemas import CANDIDATE, PROCESSING_FAILURE
 from talentgrid.settings import ParsingLimits
-from talentgrid.sources.tables import append_candidates, append_failures
+from talentgrid.sources.tables import append_candidates, append_failures, new_failures
 
 _CANDIDATE_COLUMNS = CANDIDATE.names
 _FAILURE_COLUMNS = PROCESSING_FAILURE.names
@@ -62,10 +62,9 @@ def merge_batch(
         fresh = insert_new_candidates(drafts, stored).withColumn("created_at", now)
         append_candidates(fresh.select(*_CANDIDATE_COLUMNS), candidate_folder)
 
-        failures = build_failures(results, now).dropDuplicates(["id"])
         known = _of_uploads(_stored(spark, failure_folder, PROCESSING_FAILURE), results)
-        lost = failures.join(known.select("id"), "id", "left_anti").select(*_FAILURE_COLUMNS)
-        append_failures(lost, failure_folder)
+        lost = new_failures(known, build_failures(results, now))
+        append_failures(lost.select(*_FAILURE_COLUMNS), failure_folder)
     finally:
         results.unpersist()
 

@@ -32,7 +32,7 @@ NAMES = [
     ("WWW.example com\nO'Neil St. Clair", "O'Neil St. Clair", None),
     ("'Neil Sousa\nMaria, Sousa", None, None),
     ("technical skills\nWork  Experience", None, None),
-    ("Ədil Məmmədov\nx", "Ədil Məmmədov", None),
+    ("Gülnarə Əliyeva\nx", "Gülnarə Əliyeva", None),
     ("", None, None),
     (None, None, None),
 ]
@@ -62,6 +62,9 @@ def test_name_label_eats_following_word_lines(spark):
         ("0 years of professional experience", 0, None, 0),
         ("5 years experienced", None, None, None),
         ("five years experience", None, None, None),
+        ("é5 years experience", 5, None, 5),
+        ("x5 years experience", None, None, None),
+        ("5 years experienceé", 5, None, 5),
         (None, None, None, None),
     ],
 )

@@ -82,6 +82,8 @@ def test_storage_guard(spark):
         "/data/upper/x": True,
         "data/up/u1": True,
         "/": True,
+        "/../data/./up//u1": False,
+        "": True,
     }
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     assert {r.path: r.refused for r in C.guard_storage_path(df, "/data/up").collect()} == paths

@@ -76,6 +76,7 @@ def test_policies(spark):
         ("GET", "/api/v1/candidates/export.xlsx", "EXPORT"),
         ("DELETE", "/api/v1/candidates", None),
         ("GET", "/", None),
+        ("GET", "/api/v1/uploads/7/failures\n", None),
     ]
     df = spark.createDataFrame(cases, "method string, path string, want string")
     got = df.select("want", resolve_policy(F.col("method"), F.col("path")).alias("got")).collect()

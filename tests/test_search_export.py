@@ -42,7 +42,7 @@ def test_filters(people):
     assert found(min_experience=5) == ["1", "3", "4"]
     assert found(max_experience=5) == ["1", "4", "5"]
     assert found(skill="java", min_experience=1, location="porto") == ["1"]
-    assert found(skill="  ") == ["1", "2", "3", "4", "5"]
+    assert found(skill="\u2003\t") == ["1", "2", "3", "4", "5"]
     assert found(skill="jav") == []
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from talentgrid.operators import archive as A
 from talentgrid.operators import export as X
+from talentgrid.operators.ingest import ingest_uploads
 from talentgrid.schemas import CANDIDATE, TABLES
 from talentgrid.settings import DOCX_TYPE, PDF_TYPE, ArchiveLimits
 from talentgrid.sources import archives, documents, logs, tables
@@ -77,6 +78,34 @@ def test_archives_to_verdicts_and_texts(spark, folder):
     assert {r.rel_path: r.text for r in pdf.collect()}["b.pdf"] == "pdf text"
 
 
+def test_archives_to_candidates(spark, folder):
+    cv = docx(["Ann Lee", "Backend Developer", "Location: Porto", "7 years of experience", "Java &amp; Kafka"])
+    store(
+        folder,
+        {
+            "in/u1.zip": packed([("ann.docx", cv), ("b.pdf", b"%PDF-1.4"), ("c.docx", b"text"), ("d.docx", docx([""]))]),
+            "in/u2.zip": packed([("ann.docx", cv), ("run.exe", b"x")]),
+            "in/u3.zip": b"PK",
+        },
+    )
+    archives.archive_manifest(spark, folder + "/in").write.parquet(folder + "/manifest")
+    manifest = spark.read.parquet(folder + "/manifest")
+    now = F.lit(dt.datetime(2024, 1, 1))
+    uploads = spark.createDataFrame([(u, u + ".zip") for u in ("u1", "u2", "u3")], "upload_id string, original_filename string")
+    docs = documents.documents_of_archives(manifest, A.zip_verdict(uploads, manifest, ArchiveLimits()))
+    stored = spark.createDataFrame([], CANDIDATE)
+    done = ingest_uploads(uploads, manifest, docs, stored, now)
+    (ann,) = done.candidates.collect()
+    assert (ann.upload_id, ann.full_name, ann.years_of_experience, ann.preferred_location) == ("u1", "Ann Lee", 7, "Porto")
+    assert sorted(ann.skills) == ["Java", "Kafka"]
+    assert {r.filename: r.error_code for r in done.failures.collect()} == {
+        "b.pdf": "PARSE_FAILED",
+        "c.docx": "UNSUPPORTED_MEDIA_TYPE",
+        "d.docx": "EMPTY_DOCUMENT",
+    }
+    assert [(r.upload_id, r.status) for r in done.uploads.collect()] == [("u1", "COMPLETED_WITH_ERRORS")]
+
+
 def test_types_come_from_content(spark, folder):
     store(
         folder,
