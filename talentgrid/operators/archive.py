@@ -167,11 +167,11 @@ def entry_error(limits: ArchiveLimits) -> Column:
 def zip_verdict(archives: DataFrame, manifest: DataFrame, limits: ArchiveLimits) -> DataFrame:
     """(upload_id, accepted, reason, file_count, total_bytes) for every archive."""
     # Bounded groups, so the one shuffle on upload_id for the byte window serves everything after it.
-    # An unreadable archive has a row without entry_no, which takes part only through archive_error.
-    if "archive_error" not in manifest.columns:
-        manifest = manifest.withColumn("archive_error", F.lit(None).cast("string"))
+    # An unreadable archive has a row with archive_error and no entry_no, which only marks it corrupt.
+    told = "archive_error" in manifest.columns
+    corrupt = F.col("archive_error").isNotNull() if told else F.lit(False)
     wanted = F.col("entry_no").isNull() | (F.col("entry_no") <= limits.max_entries + 1)
-    entries = manifest.filter(wanted).select(*ENTRY, "archive_error")
+    entries = manifest.filter(wanted).select(*ENTRY, corrupt.alias("corrupt"))
     checked = with_path_owners(with_bytes_before(entries)).withColumn("reason", entry_error(limits))
     is_file = ~F.col("is_directory")
     # Entry and reason in one number, so that the minimum is a plain hash aggregate.
@@ -179,7 +179,7 @@ def zip_verdict(archives: DataFrame, manifest: DataFrame, limits: ArchiveLimits)
     place = F.col("entry_no").cast("long") * 16 + F.array_position(reasons, F.col("reason"))
     per_archive = checked.groupBy("upload_id").agg(
         F.min(place).alias("place"),
-        F.max("archive_error").alias("archive_error"),
+        F.max("corrupt").alias("corrupt"),
         F.count_if(is_file).alias("files"),
         F.sum(F.when(is_file, F.col("size_bytes"))).alias("bytes"),
     )
@@ -188,7 +188,9 @@ def zip_verdict(archives: DataFrame, manifest: DataFrame, limits: ArchiveLimits)
     per_archive = per_archive.withColumn("reason", first)
     joined = archives.select("upload_id").join(per_archive, "upload_id", "left")
     reason = F.coalesce(
-        "reason", "archive_error", F.when(F.coalesce("files", F.lit(0)) == 0, F.lit(NO_FILES))
+        "reason",
+        F.when(F.col("corrupt"), CORRUPT),
+        F.when(F.coalesce("files", F.lit(0)) == 0, NO_FILES),
     )
     judged = joined.withColumn("reason", reason)
     accepted = F.col("reason").isNull()

@@ -76,18 +76,22 @@ def expand_archives(archives: DataFrame, limits: ArchiveLimits = ArchiveLimits()
     return archives.select("upload_id", "content").mapInPandas(expand, MANIFEST)
 
 
-def default_upload_id(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+)\.[zZ][iI][pP]$", 1)
+def default_upload_id(path: Column, folder: str) -> Column:
+    """Path below ``folder`` without the extension, so archives of one name stay apart."""
+    root = folder.rstrip("/").removeprefix("file:")
+    return F.regexp_replace(F.substring_index(path, root + "/", -1), r"\.[zZ][iI][pP]$", "")
 
 
 def archive_manifest(
     spark: SparkSession, folder: str, limits: ArchiveLimits = ArchiveLimits()
 ) -> DataFrame:
-    """Manifest of every ``*.zip`` under ``folder``; the upload id is the file's name."""
+    """Manifest of every ``*.zip`` under ``folder``. It holds the files' bytes; write it to a table when
+    more than one step reads it."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.[zZ][iI][pP]")
         .load(folder)
     )
-    return expand_archives(files.select(default_upload_id(F.col("path")).alias("upload_id"), "content"), limits)
+    named = files.select(default_upload_id(F.col("path"), folder).alias("upload_id"), "content")
+    return expand_archives(named, limits)

@@ -59,12 +59,12 @@ def test_archives_to_verdicts_and_texts(spark, folder):
     assert rows[("good", 1)].is_directory and rows[("bomb", 1)].size_bytes == 5000
     assert rows[("bomb", 1)].content is None
     uploads = spark.createDataFrame(
-        [(u,) for u in ("good", "slip", "none", "torn", "text", "bomb")], "upload_id string"
+        [(u,) for u in ("good", "sub/slip", "none", "torn", "text", "bomb")], "upload_id string"
     )
     verdicts = A.zip_verdict(uploads, manifest, limits).cache()
     assert {r.upload_id: r.reason for r in verdicts.collect()} == {
         "good": None,
-        "slip": A.UNSAFE_PATH,
+        "sub/slip": A.UNSAFE_PATH,
         "none": A.NO_FILES,
         "torn": A.CORRUPT,
         "text": A.CORRUPT,
