@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -186,50 +187,64 @@ def after_request(pieces: list, token: int) -> list:
     return _joined(out)
 
 
-def evaluate(pieces: list, state: int) -> int:
-    for low, high, slope, shift in pieces:
-        if low <= state <= high:
-            return slope * state + shift
-    raise ValueError(f"state {state} is outside the bucket")
+def slice_function(times: list, low: int, high: int, bucket: Bucket) -> list:
+    """What a run of requests does to a bucket that holds between ``low`` and ``high`` before it.
+
+    The result is a list of stages, each a list of pieces, to be applied in order. A busy bucket soon
+    reaches a narrow range of states from any start; a new stage then begins on that range alone, so
+    that the many pieces of the first requests are not carried along.
+    """
+    stages, pieces, last = [], [(low, high, 1, 0)], times[0]
+    for n, now in enumerate(times, 1):
+        waited = after_wait(pieces, (now - last) * bucket.refill_tokens, bucket.full)
+        pieces, last = after_request(waited, bucket.token), now
+        if n % 64 == 0 and len(pieces) > 1:
+            lowest = min(slope * lo + shift for lo, _, slope, shift in pieces)
+            highest = max(slope * hi + shift for _, hi, slope, shift in pieces)
+            if 2 * (highest - lowest) < pieces[-1][1] - pieces[0][0]:
+                stages.append(pieces)
+                pieces = [(lowest, highest, 1, 0)]
+    return [*stages, pieces]
+
+
+def evaluate(stages: list, state: int) -> int:
+    for pieces in stages:
+        low, high, slope, shift = next(p for p in pieces if p[0] <= state <= p[1])
+        state = slope * state + shift
+    return state
 
 
 def _replay_slices(timed: DataFrame, buckets: Mapping[str, Bucket], slice_rows: int) -> DataFrame:
-    specs = {p: (b.token, b.full, b.refill_tokens) for p, b in buckets.items()}
     numbered = running(timed, _KEY, ["micros", "request_id"], number="n")
     sliced = numbered.withColumn("slice", F.floor((F.col("n") - 1) / slice_rows).cast("long")).drop("n")
     keys = [*_KEY, "slice"]
 
     def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["micros", "request_id"])
-        token, full, rate = specs[pdf["policy"].iat[0]]
-        times = pdf["micros"].tolist()
-        pieces, last = [(0, full, 1, 0)], times[0]
-        for now in times:
-            pieces = after_request(after_wait(pieces, (now - last) * rate, full), token)
-            last = now
-        row = pdf[keys].iloc[:1].assign(first=times[0], last=last)
-        return row.assign(
-            lows=[[p[0] for p in pieces]],
-            highs=[[p[1] for p in pieces]],
-            slopes=[[p[2] for p in pieces]],
-            shifts=[[p[3] for p in pieces]],
-        )
+        times = sorted(pdf["micros"].tolist())
+        bucket = buckets[pdf["policy"].iat[0]]
+        # A bucket starts full, so its first slice has one possible start.
+        low = bucket.full if pdf["slice"].iat[0] == 0 else 0
+        stages = slice_function(times, low, bucket.full, bucket)
+        flat = [[stage, *piece] for stage, pieces in enumerate(stages) for piece in pieces]
+        return pdf[keys].iloc[:1].assign(first=times[0], last=times[-1], pieces=[flat])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("slice")
-        _, full, rate = specs[pdf["policy"].iat[0]]
-        state, last, starts = full, None, []
+        bucket = buckets[pdf["policy"].iat[0]]
+        state, last, starts = bucket.full, None, []
         for row in pdf.itertuples():
             if last is not None:
-                state = min(full, state + (row.first - last) * rate)
+                state = min(bucket.full, state + (row.first - last) * bucket.refill_tokens)
             starts.append(state)
-            pieces = [tuple(map(int, p)) for p in zip(row.lows, row.highs, row.slopes, row.shifts)]
-            state, last = evaluate(pieces, state), row.last
+            pieces = [tuple(map(int, piece)) for piece in row.pieces]
+            stages = [[p[1:] for p in group] for _, group in groupby(pieces, key=lambda p: p[0])]
+            state, last = evaluate(stages, state), row.last
         return pdf[keys].assign(start=starts)
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["micros", "request_id"])
-        token, full, rate = specs[pdf["policy"].iat[0]]
+        bucket = buckets[pdf["policy"].iat[0]]
+        token, full, rate = bucket.token, bucket.full, bucket.refill_tokens
         state, last = int(pdf["start"].iat[0]), int(pdf["micros"].iat[0])
         allowed, states = [], []
         for now in pdf["micros"].tolist():
@@ -243,10 +258,8 @@ def _replay_slices(timed: DataFrame, buckets: Mapping[str, Bucket], slice_rows:
         )
 
     key_types = "policy string, principal string, slice long"
-    summaries = sliced.select(*keys, "micros", "request_id").groupBy(*keys).applyInPandas(
-        summarize,
-        f"{key_types}, first long, last long, lows array<long>, highs array<long>,"
-        " slopes array<long>, shifts array<long>",
+    summaries = sliced.select(*keys, "micros").groupBy(*keys).applyInPandas(
+        summarize, f"{key_types}, first long, last long, pieces array<array<long>>"
     )
     starts = summaries.groupBy(*_KEY).applyInPandas(chain, f"{key_types}, start long")
     id_type = timed.schema["request_id"].dataType.simpleString()

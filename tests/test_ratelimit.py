@@ -47,21 +47,21 @@ def test_native_and_sliced_replays_agree_with_brute_force(spark):
         assert got == want
 
 
-def test_state_functions_are_exact_and_stay_short():
+def test_slice_functions_are_exact_and_stay_short():
     rnd = random.Random(3)
     for bucket in (Bucket(4, 3, 1), Bucket(1, 1, 2), Bucket(60, 60, 60)):
         token, full, rate = bucket.token, bucket.full, bucket.refill_tokens
         starts = [0, full, token - 1, token] + [rnd.randrange(full + 1) for _ in range(40)]
-        levels, pieces, longest = list(starts), [(0, full, 1, 0)], 0
-        for _ in range(500):
-            gap = rnd.choice([0, 1, rnd.randrange(token), rnd.randrange(token) // rate])
-            pieces = L.after_request(L.after_wait(pieces, gap * rate, full), token)
-            longest = max(longest, len(pieces))
-            for i, level in enumerate(levels):
-                level = min(full, level + gap * rate)
-                levels[i] = level - token if level >= token else level
-        assert [L.evaluate(pieces, s) for s in starts] == levels
-        assert longest <= 3 * bucket.capacity + 3
+        for busy in (1, 3, 10):
+            gaps = [rnd.choice([0, 1, rnd.randrange(token) // busy, rnd.randrange(token) // rate]) for _ in range(700)]
+            times = [sum(gaps[: i + 1]) for i in range(len(gaps))]
+            levels = list(starts)
+            for last, now in zip([times[0], *times], times):
+                levels = [min(full, level + (now - last) * rate) for level in levels]
+                levels = [level - token if level >= token else level for level in levels]
+            stages = L.slice_function(times, 0, full, bucket)
+            assert [L.evaluate(stages, s) for s in starts] == levels
+            assert max(map(len, stages)) <= 3 * bucket.capacity + 3 and len(stages) < 40
 
 
 def test_policies(spark):
