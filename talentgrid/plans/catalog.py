@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentgrid.plans.fixtures import ORACLE_ONLY, SQL, oracle_fixture
+from talentgrid.plans.fixtures import ORACLE_ONLY, SQL, Inputs, oracle_fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,8 +50,6 @@ def with_steps(sql: str) -> str:
 
 def query(name: str, sql: str | None = None):
     def register(build):
-        from talentgrid.plans.fixtures import Inputs
-
         QUERIES[name] = lambda spark, folder: build(Inputs(spark, folder))
         if sql is not None:
             ORACLES[name] = sql
