@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talentgrid.operators.joins import join_per_key
 from talentgrid.schemas import LENGTHS, TABLES
 from talentgrid.settings import JOB_TYPES, UPLOAD_STATUSES
 
@@ -96,11 +97,15 @@ def cascade_delete_uploads(tables: dict[str, DataFrame], doomed: DataFrame) -> d
     blocked = wanted.join(owners, "upload_id", "left_semi")
     gone = wanted.join(owners, "upload_id", "left_anti")
     uploads = tables["cv_upload"].join(gone, F.col("id") == gone["upload_id"], "left_anti")
-    kept = {
-        name: tables[name].join(gone, "upload_id", "left_anti")
-        for name in ("processing_failure", "upload_storage_cleanup")
+    failures = join_per_key(tables["processing_failure"], gone, ["upload_id"], "left_anti", ["id"])
+    cleanup = tables["upload_storage_cleanup"].join(gone, "upload_id", "left_anti")
+    return {
+        **tables,
+        "cv_upload": uploads,
+        "processing_failure": failures,
+        "upload_storage_cleanup": cleanup,
+        "blocked": blocked,
     }
-    return {**tables, **kept, "cv_upload": uploads, "blocked": blocked}
 
 
 def delete_candidates(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:

@@ -13,6 +13,7 @@ from talentgrid.functions.text import basename, clean_message, is_blank
 from talentgrid.operators.archive import zip_verdict
 from talentgrid.operators.candidates import DRAFT, extract_candidates
 from talentgrid.operators.documents import classify_document
+from talentgrid.operators.joins import join_per_key
 from talentgrid.operators.ordered import first_per_key, running
 from talentgrid.session import fixed
 from talentgrid.settings import ArchiveLimits, BatchLimits, ParsingLimits
@@ -45,7 +46,7 @@ def assign_chunks(files: DataFrame, limits: BatchLimits) -> DataFrame:
 
 def resume_from_checkpoint(files: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Files after the index each upload was committed to (upload_id, last_index)."""
-    joined = files.join(checkpoints, "upload_id", "left")
+    joined = join_per_key(files, checkpoints, ["upload_id"], "left", ["file_no"])
     return joined.filter(F.col("file_no") > F.coalesce("last_index", F.lit(0))).drop("last_index")
 
 
@@ -130,7 +131,8 @@ def stop_points(results: DataFrame, limits: BatchLimits) -> DataFrame:
 def skip_limit_gate(results: DataFrame, limits: BatchLimits) -> DataFrame:
     """Add chunk_no, upload_failed and kept (the row's chunk was committed)."""
     chunked = assign_chunks(results, limits)
-    joined = chunked.join(stop_points(results, limits), "upload_id", "left")
+    stops = stop_points(results, limits)
+    joined = join_per_key(chunked, stops, ["upload_id"], "left", ["file_no"])
     failed = F.col("stop_chunk").isNotNull()
     kept = ~failed | (F.col("chunk_no") < F.col("stop_chunk"))
     return joined.withColumn("upload_failed", failed).withColumn("kept", kept).drop("stop_chunk")
@@ -269,7 +271,7 @@ def ingest_uploads(
     verdicts = zip_verdict(uploads, manifest, archive)
     # Written once: the file numbering and the extraction both start from it.
     accepted = fixed(verdicts.filter("accepted").select("upload_id"))
-    wanted = documents.join(accepted, "upload_id", "left_semi")
+    wanted = join_per_key(documents, accepted, ["upload_id"], "left_semi", ["rel_path"])
     flagged = flag_inserts(ingest_results(wanted, parsing, batch), stored)
     candidates = flagged.filter("inserted").select(
         candidate_id(F.col("upload_id"), F.col("source_filename")).alias("id"),

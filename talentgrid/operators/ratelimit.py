@@ -26,6 +26,7 @@ from talentgrid.functions.requests import (
     resolve_policy,
     retry_after_seconds,
 )
+from talentgrid.operators.joins import join_per_key
 from talentgrid.operators.ordered import group_sizes, running
 from talentgrid.settings import DEFAULT_BUCKETS, Bucket
 
@@ -72,8 +73,8 @@ def token_bucket_replay(
     if largest <= native_rows:
         return _replay_native(timed, buckets)
     sizes = timed.groupBy(*_KEY).count().filter(F.col("count") > native_rows).select(*_KEY)
-    cold = timed.join(sizes, _KEY, "left_anti")
-    hot = timed.join(sizes, _KEY, "left_semi")
+    cold = join_per_key(timed, sizes, _KEY, "left_anti", ["request_id"])
+    hot = join_per_key(timed, sizes, _KEY, "left_semi", ["request_id"])
     return _replay_native(cold, buckets).unionByName(_replay_slices(hot, buckets, slice_rows))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from talentgrid.functions.paths import is_cv_name, normalize_path
 from talentgrid.operators.documents import PARSE_FAILED, UNSUPPORTED_MEDIA_TYPE
+from talentgrid.operators.joins import join_per_key
 from talentgrid.schemas import DOCUMENT
 from talentgrid.settings import DOCX_TYPE, PDF_TYPE
 
@@ -94,7 +95,8 @@ def extract_document_text(
 def files_of_manifest(manifest: DataFrame, accepted: DataFrame) -> DataFrame:
     """CV files of accepted archives, with their bytes."""
     files = manifest.filter(~F.col("is_directory") & F.col("content").isNotNull())
-    kept = files.join(accepted.filter("accepted").select("upload_id"), "upload_id", "left_semi")
+    good = accepted.filter("accepted").select("upload_id")
+    kept = join_per_key(files, good, ["upload_id"], "left_semi", ["entry_no"])
     return kept.select("upload_id", normalize_path(F.col("entry_name")).alias("rel_path"), "content")
 
 

@@ -40,6 +40,18 @@ def test_rank_filters_prune_before_the_shuffle(spark, plans):
     assert "WindowGroupLimit" in plan_of(I.stop_points(results, BatchLimits(4, 3)))
 
 
+def test_gate_leaves_the_upload_spread(spark):
+    # With joins as on large tables, the rank filter after the gate still prunes before its shuffle.
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(registry.queries()["insert_new_candidates"](spark, SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    limits = re.findall(r"WindowGroupLimit \[upload_id#\d+, source_filename#\d+\].*, (Partial|Final)", plan)
+    assert sorted(limits) == ["Final", "Partial"]
+
+
 def test_one_shuffle_serves_the_verdict(spark):
     plan = plan_of(registry.queries()["zip_verdict"](spark, SMALL))
     assert len(re.findall(r"Exchange hashpartitioning\(upload_id", plan)) <= 2
