@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import substrings
+from talentgrid.llm import setjoin, substrings
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -22,5 +22,9 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_words").cast("long").alias("n_words"), F.col("_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op7_substring_dedup": op7_substring_dedup}
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.similar_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
+
+
+QUERIES = {"op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup}
 ORACLES: dict[str, str] = {}
