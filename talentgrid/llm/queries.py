@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import setjoin, substrings
+from talentgrid.llm import bpe, setjoin, substrings
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -14,6 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary()
+    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = substrings.remove_repeats(docs, width=50)
@@ -26,5 +38,5 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.similar_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
 
 
-QUERIES = {"op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup}
+QUERIES = {"op5_bpe_round_trip": op5_bpe_round_trip, "op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup}
 ORACLES: dict[str, str] = {}
