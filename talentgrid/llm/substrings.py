@@ -24,12 +24,11 @@ from talentgrid.llm import cells as C
 from talentgrid.llm import words as W
 
 BLOCK_WORDS = 2_000_000
-_REMOVED = "doc_id long, fp long, starts binary"
-_REMOVED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("starts", pa.binary())])
+SPANS = "array<struct<from:int,to:int>>"
 
 
-def removed_windows(docs: DataFrame, width: int = 50) -> DataFrame:
-    """(doc_id, fp, starts): packed starts of the windows to remove; several rows for a document."""
+def removal_spans(docs: DataFrame, width: int = 50) -> DataFrame:
+    """(doc_id, fp, spans): the maximal intervals [from, to) of words to remove, one row for each document that has any."""
     buckets = C.bucket_count(docs.sparkSession)
 
     def block(keys, places, doc_ids, fps) -> pa.RecordBatch:
@@ -81,64 +80,68 @@ def removed_windows(docs: DataFrame, width: int = 50) -> DataFrame:
         owner = doc_ids[doc[order]]
         least = np.minimum.reduceat(owner, np.cumsum(lengths) - lengths)
         order = order[owner > np.repeat(least, lengths)]
-        order = order[np.lexsort((place[order], doc[order]))]
-        starts, lengths = C.runs(doc[order])
-        at = [C.pack(C.small(place[order[i : i + k]])) for i, k in zip(starts.tolist(), lengths.tolist(), strict=True)]
-        who = doc[order[starts]]
-        for i in range(0, len(who), 10_000):
-            mine = who[i : i + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids[mine]), pa.array(fps[mine]), pa.array(at[i : i + 10_000], pa.binary())], schema=_REMOVED_SCHEMA)
+        home = W.mix(fps.view(np.uint64) ^ W.mix(doc_ids.view(np.uint64)))
+        order = order[np.lexsort((doc[order], home[doc[order]]))]
+        rows = []
+        for b, i, j in C.ranges(home[doc[order]], buckets):
+            own, at = np.unique(doc[order[i:j]], return_inverse=True)
+            rows.append((b, C.pack(doc_ids[own], fps[own], C.small(at), C.small(place[order[i:j]]))))
+        if rows:
+            yield C.batch(rows)
+
+    def merged(bucket: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """All removed windows of some documents, as intervals."""
+        parts = [(doc_ids[at], fps[at], place.astype(np.int64)) for doc_ids, fps, at, place in map(C.unpack, packed)]
+        doc_ids, fps, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((place, fps, doc_ids))
+        doc_ids, fps, place = doc_ids[order], fps[order], place[order]
+        other = np.concatenate([[True], (doc_ids[1:] != doc_ids[:-1]) | (fps[1:] != fps[:-1])])
+        begin = other | np.concatenate([[True], np.diff(place) > width])
+        end = np.concatenate([begin[1:], [True]])
+        rows = np.flatnonzero(other[begin])
+        spans = pa.StructArray.from_arrays([pa.array(place[begin].astype(np.int32)), pa.array((place[end] + width).astype(np.int32))], names=["from", "to"])
+        offsets = pa.array(np.append(rows, len(spans)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(doc_ids[other]), pa.array(fps[other]), pa.ListArray.from_arrays(offsets, spans)], names=["doc_id", "fp", "spans"])
 
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("fp"))
-    return C.by_bucket(texts.mapInArrow(hashed, C.CELL), buckets, repeated, _REMOVED)
-
-
-def intervals(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal intervals [from, to) of words that sorted window starts cover."""
-    new = np.concatenate([[True], np.diff(starts) > width])
-    return starts[new], starts[np.concatenate([new[1:], [True]])] + width
+    found = C.by_bucket(texts.mapInArrow(hashed, C.CELL), buckets, repeated, C.CELL)
+    return C.by_bucket(found, buckets, merged, f"doc_id long, fp long, spans {SPANS}")
 
 
 def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """All columns of `docs`, with the kept words in `text`, plus `_words`, `_removed` and `_spans`.
 
     `text` holds the kept words joined by one space where something was removed, else it is unchanged; `_spans`
-    is an array of (from, to) word intervals. Null text stays null.
+    is an array of (from, to) word intervals, null if none. Null text stays null.
     """
-    spare = ["_words", "_removed", "_spans", "_fp", "_id", "_starts"]
+    spare = ["_words", "_removed", "_spans", "_fp", "_id", "_key"]
     clash = [c for c in docs.columns if c.lower() in spare]
     if clash:
         raise ValueError(f"reserved column names: {clash}")
-    found = removed_windows(docs, width).groupBy(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).agg(F.collect_list("starts").alias("_starts"))
-    both = docs.withColumn("_fp", F.xxhash64("text")).join(found.withColumnRenamed("_fp", "_key"), (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_key")), "left").drop("_id", "_fp", "_key")
+    found = removal_spans(docs, width).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_key"), F.col("spans").alias("_spans"))
+    both = docs.withColumn("_fp", F.xxhash64("text")).join(found, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_key")), "left").drop("_id", "_fp", "_key")
     names = docs.columns
     at = next(i for i, c in enumerate(names) if c.lower() == "text")
-    spans = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.slices(batches, names[at]):
-            texts, out = part.column(at), []
-            words = W.split(*W.text_bytes(texts))
-            counts = np.diff(words.bounds)
-            removed, where = np.zeros(len(counts), np.int32), [[] for _ in counts]
-            new = texts
-            starts = part.column(len(names))
-            hit = np.flatnonzero(starts.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            texts, spans = part.column(at), part.column(len(names))
+            counts = np.diff(W.split(*W.text_bytes(texts)).bounds).astype(np.int32)
+            removed, new = np.zeros(len(counts), np.int32), texts
+            hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist()
             if hit:
                 out = texts.to_pylist()
                 for i in hit:
-                    begin, end = intervals(np.unique(np.concatenate([C.unpack(x)[0] for x in starts[i].as_py()])).astype(np.int64), width)
-                    where[i] = [{"from": b, "to": e} for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
                     own, keep, last = out[i].encode().split(), [], 0
-                    for b, e in zip(begin.tolist(), end.tolist(), strict=True):
-                        keep += own[last:b]
-                        last = e
+                    for span in spans[i].as_py():
+                        keep += own[last : span["from"]]
+                        last = span["to"]
                     keep += own[last:]
                     removed[i] = len(own) - len(keep)
                     out[i] = b" ".join(keep).decode()
                 new = pa.array(out, texts.type)
             columns = [new if i == at else part.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts.astype(np.int32)), pa.array(removed), pa.array(where, spans)], names=[*names, "_words", "_removed", "_spans"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), pa.array(removed), spans], names=[*names, "_words", "_removed", "_spans"])
 
-    ddl = docs.select("*", F.lit(0).alias("_words"), F.lit(0).alias("_removed"), F.expr("cast(array() as array<struct<from:int,to:int>>)").alias("_spans")).schema
-    return both.select(*[both[f"`{c}`"] for c in names], "_starts").mapInArrow(cut, ddl)
+    schema = docs.select("*", F.lit(0).alias("_words"), F.lit(0).alias("_removed"), F.lit(None).cast(SPANS).alias("_spans")).schema
+    return both.select(*[both[f"`{c}`"] for c in names], "_spans").mapInArrow(cut, schema)
