@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, setjoin, substrings
+from talentgrid.llm import bpe, setjoin, substrings, tokenfiles
+from talentgrid.llm.staging import new_path
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -20,6 +26,22 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "tokens")
+    width = bpe.encoder(vocabulary()).kind().itemsize
+    end = b"\x01" + bytes(width - 1)
+    encoded = bpe.encode(docs, vocabulary(), packed=True).select("doc_id", F.concat("ids", F.lit(end)).alias("ids"))
+    manifest = tokenfiles.write_tokens(encoded, docs.select("doc_id"), folder, width)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            at, flat = x.column(2).offsets.to_numpy(), x.column(2).values.to_numpy().astype("<u4")
+            crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return tokenfiles.read_tokens(manifest, folder).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -38,5 +60,5 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.similar_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
 
 
-QUERIES = {"op5_bpe_round_trip": op5_bpe_round_trip, "op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup}
+QUERIES = {"op3_token_files": op3_token_files, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup}
 ORACLES: dict[str, str] = {}
