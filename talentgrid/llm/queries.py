@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, setjoin, substrings, tokenfiles
+from talentgrid.llm import bpe, lm, setjoin, substrings, tokenfiles
 from talentgrid.llm.staging import new_path
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -60,5 +60,11 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.similar_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=85)
 
 
-QUERIES = {"op3_token_files": op3_token_files, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup}
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.crc32(F.col("doc_id").cast("string")) % 5
+    scored = lm.scores(table(spark, sf_dir, "documents").select("doc_id", "text"), training=part != 1)
+    return scored.withColumn("held_out", part == 1)
+
+
+QUERIES = {"op9_lm_scores": op9_lm_scores, "op3_token_files": op3_token_files, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup}
 ORACLES: dict[str, str] = {}
