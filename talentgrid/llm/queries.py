@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, lm, setjoin, substrings, tokenfiles
+from talentgrid.llm import bpe, langid, lm, setjoin, substrings, tokenfiles
 from talentgrid.llm.staging import new_path
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -48,6 +48,14 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = F.crc32(F.col("doc_id").cast("string")) % 4
+    langs, products = langid.products(langid.counts(docs.where(part != 2), "lang"))
+    rows = langid.predict(docs.select("doc_id", "text"), langs, products)
+    return rows.select("doc_id", (part == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = substrings.remove_repeats(docs, width=50)
@@ -66,5 +74,5 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", part == 1)
 
 
-QUERIES = {"op9_lm_scores": op9_lm_scores, "op3_token_files": op3_token_files, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup}
+QUERIES = {"op6_language_id": op6_language_id, "op9_lm_scores": op9_lm_scores, "op3_token_files": op3_token_files, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup}
 ORACLES: dict[str, str] = {}
