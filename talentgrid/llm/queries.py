@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, langid, lm, setjoin, substrings, tokenfiles
+from talentgrid.llm import bpe, langid, licenses, lm, setjoin, substrings, tokenfiles
 from talentgrid.llm.staging import new_path
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -42,6 +42,15 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_tokens(manifest, folder).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base, method = F.col("phrases.label"), F.col("templates.label")
+    at = F.col("phrases.at")
+    joined = [F.array_join(F.array_sort(F.array_distinct(x)), ",") for x in (base, F.concat(base, method))]
+    score = F.when(F.size(method) > 0, 1.0).when(F.size(base) > 0, 0.5).otherwise(0.0)
+    return found.select("doc_id", "n_words", F.size("phrases").cast("long").alias("n_base"), F.array_min(at).cast("long").alias("first_word"), F.array_max(at).cast("long").alias("last_word"), joined[0].alias("base_labels"), joined[1].alias("labels"), score.alias("score"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -74,5 +83,5 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", part == 1)
 
 
-QUERIES = {"op6_language_id": op6_language_id, "op9_lm_scores": op9_lm_scores, "op3_token_files": op3_token_files, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup}
+QUERIES = {"op4_license_scan": op4_license_scan, "op6_language_id": op6_language_id, "op9_lm_scores": op9_lm_scores, "op3_token_files": op3_token_files, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup}
 ORACLES: dict[str, str] = {}
