@@ -6,7 +6,9 @@ A text is the set of its word shingles. Texts with equal sets are one class; cla
    the first few shingles of its set, so that two similar classes meet in some index list.
 2. In each list one class leads. Members whose size and position in the list allow it are compared with the
    leader on their whole sets, and what links with it is one component.
-3. Lists that still hold several components are searched for links between them. Entries lie in blocks by
+3. In lists that still hold several components, each member is compared with a few members of other components, as long
+   as that joins components. A large group of near copies thus becomes one component without its pairs.
+4. Lists that still hold several components are searched for all links between them. Entries lie in blocks by
    size and position, and blocks that cannot reach the overlap are skipped. For the others a member's answer
    is first derived from the leader's: with the overlaps of y and z with the leader x known,
    |x∩y| + |x∩z| - |x| <= |y∩z| <= min(|x∩y|, |x∩z|) + min(|y-x|, |z-x|). Only pairs left open are compared.
@@ -40,6 +42,9 @@ BLOCK_SHINGLES = 2_000_000
 ORDERED_SHINGLES = 1 << 18
 FILTER_BITS = 1 << 24
 LIST_BLOCK = 512
+#: Step 3 tries at most so many partners of a set in a round, and goes on for at most so many rounds, while more than
+#: one in JOINING_SHARE of the partners joins. These save work in step 4, which finds whatever is left.
+PARTNERS, TRIES, MERGING_ROUNDS, JOINING_SHARE = 3, 8, 6, 20
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -218,15 +223,14 @@ def _slots(sid: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (W.mix(sid.view(np.uint64) ^ W.mix(first.view(np.uint64))) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """`pairs` (a, b) of class names with `inter`, the overlap of their whole sets.
+def sets_of(docs: DataFrame, classes: DataFrame, sids: DataFrame, size: int) -> DataFrame:
+    """(sid, members): the whole sets of some classes.
 
     The sets are made from the texts anew. A filter of FILTER_BITS over the wanted (class, first document) keeps
     most other sets out of the shuffle; the join keeps out the rest.
     """
     spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = staged(wanted.join(classes, "sid").where("first is not null").select("sid", "first"), "wanted")
+    wanted = staged(sids.distinct().join(classes, "sid").where("first is not null").select("sid", "first"), "wanted")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -246,16 +250,22 @@ def compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -
             keep = np.flatnonzero((told.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1)
             yield pa.RecordBatch.from_arrays([pa.array(first[keep]), pa.array(sids[keep]), pa.array([sets[i].tobytes() for i in keep.tolist()], pa.binary())], names=["first", "sid", "members"])
 
+    sets = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "first long, sid long, members binary")
+    return staged(sets.join(wanted, ["sid", "first"]).select("sid", "members").dropDuplicates(["sid"]), "sets")
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """`pairs` (a, b) of class names with the sizes `na` and `nb` of their sets and their overlap `inter`."""
+
     def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            inter = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(inter, pa.int64())], names=["a", "b", "inter"])
+            both = [(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
+            out = [[len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))] for p, q in both]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), *(pa.array(c) for c in np.array(out, np.int64).reshape(-1, 3).T)], names=["a", "b", "na", "nb", "inter"])
 
-    sets = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "first long, sid long, members binary")
-    sets = staged(sets.join(wanted, ["sid", "first"]).select("sid", "members").dropDuplicates(["sid"]), "sets")
     a = sets.select(F.col("sid").alias("a"), F.col("members").alias("p"))
     b = sets.select(F.col("sid").alias("b"), F.col("members").alias("q"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "p", "q").mapInArrow(overlaps, "a long, b long, inter long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "p", "q").mapInArrow(overlaps, "a long, b long, na long, nb long, inter long")
 
 
 def open_pairs(lists: DataFrame, like: Similarity) -> DataFrame:
@@ -310,12 +320,44 @@ def open_pairs(lists: DataFrame, like: Similarity) -> DataFrame:
         if held:
             yield from work([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    mixed = lists.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k")).where("x <> y and k > 2").select("token")
-    rows = lists.join(mixed, "token").select("token", "sid", "n", "pos", "leader", "leader_n", "root", "inter")
-    found = rows.repartition("token").sortWithinPartitions("token").mapInArrow(search, "a long, b long, sure boolean")
+    found = lists.select(*LIST_ROW).repartition("token").sortWithinPartitions("token").mapInArrow(search, "a long, b long, sure boolean")
     return found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
+LIST_ROW = ["token", "sid", "n", "pos", "leader", "leader_n", "root", "inter"]
+
+
+def some_pairs(lists: DataFrame, like: Similarity, turn: int) -> DataFrame:
+    """At most PARTNERS pairs (a, b) for each class of `lists`, with classes of other components in the same list."""
+
+    def pick(token, sid, n, pos, root) -> pa.RecordBatch:
+        starts, lengths = C.runs(token)
+        begin, size = np.repeat(starts, lengths), np.repeat(lengths, lengths).astype(np.uint64)
+        left, other = n - pos, np.full(len(sid), -1)
+        for k in range(TRIES):
+            at = begin + (W.mix(sid.view(np.uint64) ^ W.mix(token.view(np.uint64) + np.uint64(turn * TRIES + k))) % size).astype(np.int64)
+            fits = (other < 0) & (root != root[at]) & (np.minimum(left, left[at]) >= like.overlap(n, n[at])) & (100 * np.minimum(n, n[at]) >= like.percent * np.maximum(n, n[at]))
+            other[fits] = at[fits]
+        y = np.flatnonzero(other >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(sid[y]), pa.array(sid[other[y]])], names=["a", "b"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for x in batches:
+            columns = [x.column(i).to_numpy() for i in (0, 1, 2, 3, 6)]
+            if held and (sum(len(h[0]) for h in held) >= 1 << 16) and columns[0][0] != last:
+                yield pick(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held = []
+            held.append(columns)
+            last = columns[0][-1]
+        if held:
+            yield pick(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    found = lists.select(*LIST_ROW).repartition("token").sortWithinPartitions("token").mapInArrow(search, "a long, b long").distinct()
+    turns = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(turn)), "b"))
+    return found.withColumn("turn", turns).where(f"turn <= {PARTNERS}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Texts (doc_id, fp, n, sid), and (sid, component_id, least) of the classes whose component has several texts.
 
@@ -323,30 +365,50 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[
     """
     like = Similarity(percent)
     texts, lists = index_lists(docs, size, like)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
-    classes = staged(texts.where("n > 0").groupBy("sid").agg(F.min(order).alias("least"), F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes")
-    sizes = classes.select("sid", "n")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        a, b = (sizes.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
-        return pairs.join(a, "a").join(b, "b").where(f"100 * inter >= {percent} * (na + nb - inter)").select("a", "b")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
+    classes = staged(texts.where("n > 0").groupBy("sid").agg(F.min(first).alias("least"), F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes")
+    linked = f"100 * inter >= {percent} * (na + nb - inter)"
 
     stars = staged(lists.where("near").select(F.col("sid").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
-    known = staged(compared(docs, classes, stars, size), "overlaps")
-    first = staged(links(known), "first")
-    roots = components(first).withColumnRenamed("node", "sid")
-    lists = lists.join(known.select(F.col("a").alias("sid"), F.col("b").alias("leader"), "inter"), ["sid", "leader"], "left")
-    lists = lists.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    lists = lists.withColumn("inter", F.when(F.col("sid") == F.col("leader"), F.col("n")).otherwise(F.col("inter")))
-    rest = staged(open_pairs(lists, like), "open")
-    done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    unsure = staged(rest.where("not sure").select("a", "b").join(done, ["a", "b"], "left_anti"), "unsure")
-    more = rest.where("sure").select("a", "b")
-    if not unsure.isEmpty():
-        more = more.union(links(compared(docs, classes, unsure, size)))
-    more = staged(more, "more")
-    if not more.isEmpty():
-        roots = components(first.union(more)).withColumnRenamed("node", "sid")
+    known = staged(compared(stars, sets_of(docs, classes, stars.select(F.explode(F.array("a", "b")).alias("sid")), size)), "overlaps")
+    roots = components(known.where(linked)).withColumnRenamed("node", "sid")
+
+    several = lists.groupBy("token").agg(F.count("*").alias("k")).where("k > 2").select("token")
+    lists = lists.join(several, "token").join(known.select(F.col("a").alias("sid"), F.col("b").alias("leader"), "inter"), ["sid", "leader"], "left")
+    lists = staged(lists.withColumn("inter", F.when(F.col("sid") == F.col("leader"), F.col("n")).otherwise(F.col("inter"))), "several")
+
+    def mixed(roots: DataFrame) -> DataFrame:
+        """The rows of lists that hold several components, with their roots."""
+        rows = lists.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        tokens = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+        return staged(rows.join(tokens, "token"), "mixed")
+
+    def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+        a, b = (roots.select(F.col("sid").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
+        between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        up = components(between).select(F.col("node").alias("root"), F.col("root").alias("above"))
+        old = roots.join(up, "root", "left").select("sid", F.coalesce("above", "root").alias("root"))
+        new = up.join(roots.select(F.col("sid").alias("root")), "root", "left_anti").select(F.col("root").alias("sid"), F.col("above").alias("root"))
+        return staged(old.unionByName(new), "roots")
+
+    rest = mixed(roots)
+    if not rest.isEmpty():
+        sets = sets_of(docs, classes, rest.select("sid"), size)
+        for turn in range(MERGING_ROUNDS):
+            tried = staged(compared(some_pairs(rest, like, turn), sets), "tried")
+            joined = tried.where(linked).select("a", "b")
+            n, more = tried.agg(F.count("*"), F.count(F.when(F.expr(linked), 1))).first()
+            if more:
+                roots = merged(roots, joined)
+                rest = mixed(roots)
+            if more * JOINING_SHARE <= n:
+                break
+        pairs = staged(open_pairs(rest, like), "open")
+        done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        unsure = pairs.where("not sure").select("a", "b").join(done, ["a", "b"], "left_anti")
+        found = staged(compared(unsure, sets).where(linked).select("a", "b").union(pairs.where("sure").select("a", "b")), "found")
+        if not found.isEmpty():
+            roots = merged(roots, found)
     grouped = staged(classes.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "grouped")
     least = grouped.groupBy("root").agg(F.min("least").alias("least"), F.min("first").alias("component_id"), F.sum("copies").alias("texts"))
     named = grouped.select("sid", "root").join(least.where("texts > 1"), "root")
