@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from talentgrid.llm import cells as C
 from talentgrid.llm import words as W
 
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 JOINED = 1000
 _PLAIN = regex.compile(r"[!-~¡-ÿ]+")
 #: The pre-tokenizer's pattern, as the vocabulary file states it.
@@ -59,7 +59,7 @@ class Encoder:
         """The ids of each word as bytes."""
         texts = [w.decode("utf-8", "replace") for w in words]
         cut = [_PIECES.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        if len(self.known) > 500_000:
+        if len(self.known) > 100_000:
             self.known = {}
         self._learn(list({p for c in cut if c for p in c if p not in self.known}))
         whole = iter(self.library.encode_batch_fast([t for t, c in zip(texts, cut, strict=True) if c is None], add_special_tokens=False))
@@ -92,7 +92,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def encode(docs: DataFrame, path: str, packed: bool = False) -> DataFrame:
     """(doc_id, ids) of every row of `docs` (doc_id, text): array<int>, or packed little-endian bytes of 2 or 4 each."""
-    buckets = C.bucket_count(docs.sparkSession)
+    buckets, kind = C.bucket_count(docs.sparkSession), encoder(path).kind
 
     def block(turn: int, parts: list[tuple]) -> pa.RecordBatch:
         """Part 0 of a block has its texts as word numbers, part k + 1 the distinct words of bucket k."""
@@ -157,8 +157,8 @@ def encode(docs: DataFrame, path: str, packed: bool = False) -> DataFrame:
             new = [w for w in words if w not in table]
             table.update(zip(new, own.words(new), strict=True))
             ids = [table[w] for w in words]
-            sizes = np.array([len(i) for i in ids]) // np.dtype(own.kind).itemsize
-            yield _rows([(home, name, 1, C.pack(rank, C.small(sizes), np.frombuffer(b"".join(ids), own.kind)))])
+            sizes = np.array([len(i) for i in ids]) // np.dtype(kind).itemsize
+            yield _rows([(home, name, 1, C.pack(rank, C.small(sizes), np.frombuffer(b"".join(ids), kind)))])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for x in batches for r in zip(*(c.to_pylist() for c in x.columns), strict=True))
@@ -166,7 +166,6 @@ def encode(docs: DataFrame, path: str, packed: bool = False) -> DataFrame:
             group = list(group)
             number, counts, ids, valid = C.unpack(next(r[3] for r in group if r[2] == 0))
             replies = [C.unpack(r[3]) for r in group if r[2] == 1]
-            kind = encoder(path).kind
             n = int(number.max()) + 1 if len(number) else 0
             if sum(len(r[0]) for r in replies) != n:
                 raise RuntimeError("a block of texts was split in two ways; write the texts to files first")
@@ -204,8 +203,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     Special tokens stay. An id outside of the vocabulary has no piece and is left out.
     """
 
+    told = encoded.sparkSession.sparkContext.broadcast(encoder(path).pieces)
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = encoder(path).pieces
+        table = told.value
         size, decimal = len(table), [str(i) for i in range(len(table))]
         for x in batches:
             texts, numbers = [], []
