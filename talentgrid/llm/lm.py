@@ -19,10 +19,12 @@ Repeated rows are scored each; a row without doc_id is scored, and `training` de
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid.llm import cells as C
@@ -124,8 +126,8 @@ def segment_bits(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
 def counted(texts: DataFrame) -> DataFrame:
     """Corpus counts and unigram sums, by range of hashes, from `texts` (key, text, learn).
 
-    Rows of kind 0 are for `bucket`, a group of documents: keys, sums of log10(c + 0.5) and of tokens with c > 0 over
-    their tokens in one range. A row of kind 1 has the n-grams of range `bucket`: words, and pairs counted twice or more;
+    Rows of kind 0 are for `bucket`, the home of a block of documents: the block's keys, and by range the sums of
+    log10(c + 0.5) and of tokens with c > 0 over each document's tokens in that range. A row of kind 1 has the n-grams of range `bucket`: words, and pairs counted twice or more;
     `words` is the number of its distinct words.
     """
     buckets = C.bucket_count(texts.sparkSession)
@@ -150,13 +152,15 @@ def counted(texts: DataFrame) -> DataFrame:
         pair = pair[start]
         of_word = {b: (i, j) for b, i, j in C.ranges(uni, buckets)}
         of_pair = {b: (i, j) for b, i, j in C.ranges(pair, buckets)}
-        rows = []
-        for b in sorted(of_pair.keys() | of_word.keys()):
-            i, j = of_word.get(b, (0, 0))
-            own, at = np.unique(doc[i:j], return_inverse=True)
+        used = sorted(of_pair.keys() | of_word.keys())
+        learn, told = learn.astype(np.uint8), C.pack(names, learn.astype(np.uint8), np.array([len(used)]))
+        name = xxhash.xxh3_128_digest(told + uni.tobytes() + doc.tobytes())
+        head = name + int(W.mix(np.frombuffer(name, np.uint64))[0] % np.uint64(buckets)).to_bytes(4, "little")
+        rows = [(used[0], b"n" + head + told)]
+        for b in used:
+            (i, j), (p, q) = of_word.get(b, (0, 0)), of_pair.get(b, (0, 0))
             word, length = C.runs(uni[i:j])
-            p, q = of_pair.get(b, (0, 0))
-            rows.append((b, C.pack(C.gaps(uni[i:j][word]), C.small(length), C.small(at), C.small(times[i:j]), names[own], learn[own].astype(np.uint8), C.gaps(pair[p:q]), C.small(often[p:q]))))
+            rows.append((b, b"w" + head + C.pack(C.gaps(uni[i:j][word]), C.small(length), C.small(doc[i:j]), C.small(times[i:j]), learn, C.gaps(pair[p:q]), C.small(often[p:q]))))
         return C.batch(rows)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,27 +182,27 @@ def counted(texts: DataFrame) -> DataFrame:
         return flat[order][start], np.add.reduceat(n[order], start) if len(start) else n
 
     def reduced(bucket: int, cells: list[bytes]) -> Iterator[pa.RecordBatch]:
-        words, learnt, pairs, often = [], [], [], []
+        words, learnt, pairs, often, out, held = [], [], [], [], [], []
         for cell in cells:
-            word, length, at, times, _, learn, pair, n = C.unpack(cell)
+            if cell[:1] == b"n":
+                out.append((0, int.from_bytes(cell[17:21], "little"), cell, 0))
+                continue
+            word, length, doc, times, learn, pair, n = C.unpack(cell[21:])
             owner = np.repeat(np.arange(len(word)), length)
             words.append(C.ungaps(word))
-            learnt.append(np.bincount(owner, times * learn[at], len(word)).astype(np.int64))
+            learnt.append(np.bincount(owner, times * learn[doc], len(word)).astype(np.int64))
             pairs.append(C.ungaps(pair))
             often.append(n)
-        keys, counts = totals(words, learnt)
-        seen, twice = totals(pairs, often)
-        log, sums = np.log10(counts + 0.5), []
-        for cell in cells:
-            word, length, at, times, names, learn, *_ = C.unpack(cell)
+            held.append(cell)
+        keys, counts = totals(words, learnt) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        seen, twice = totals(pairs, often) if pairs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        log = np.log10(counts + 0.5)
+        for cell in held:
+            word, length, doc, times, learn, *_ = C.unpack(cell[21:])
             place = np.repeat(np.searchsorted(keys, C.ungaps(word)), length)
-            total = np.bincount(at, log[place] * times, len(names))
-            known = np.bincount(at, (counts[place] > 0) * times, len(names)).astype(np.int64)
-            sums.append((names, learn, total, known))
-        names, learn, total, known = (np.concatenate(x) for x in zip(*sums, strict=True))
-        home = W.mix(names.view(np.uint64))
-        order = np.argsort(home)
-        out = [(0, b, C.pack(names[o], learn[o], total[o], C.small(known[o])), 0) for b, i, j in C.ranges(home[order], buckets) for o in [order[i:j]]]
+            total = np.bincount(doc, log[place] * times, len(learn))
+            known = np.bincount(doc, (counts[place] > 0) * times, len(learn)).astype(np.int64)
+            out.append((0, int.from_bytes(cell[17:21], "little"), b"s" + cell[1:21] + C.pack(total, C.small(known)), 0))
         some, many = counts > 0, twice > 1
         out.append((1, bucket, C.pack(C.gaps(keys[some]), C.small(counts[some]), C.gaps(seen[many]), C.small(twice[many])), int(some.sum())))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["kind", "bucket", "cell", "words"])
@@ -210,12 +214,18 @@ def summed(cells: DataFrame) -> DataFrame:
     """(key, learn, total, known) of each document, from rows of kind 0."""
 
     def merged(bucket: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
-        names, learn, total, known = (np.concatenate(x) for x in zip(*map(C.unpack, packed), strict=True))
-        order = np.argsort(names)
-        start, _ = C.runs(names[order])
-        total, known = (np.add.reduceat(x[order], start) for x in (total, known.astype(np.int64)))
-        first = order[start]
-        yield pa.RecordBatch.from_arrays([pa.array(names[first]), pa.array(learn[first] > 0), pa.array(total), pa.array(known)], names=["key", "learn", "total", "known"])
+        for _, group in groupby(sorted(packed, key=lambda c: c[1:17]), key=lambda c: c[1:17]):
+            group = list(group)
+            heads = {c for c in group if c[:1] == b"n"}  # equal blocks have equal heads
+            names, learn, parts = C.unpack(next(iter(heads))[21:])
+            copies = sum(c[:1] == b"n" for c in group)
+            sums = [C.unpack(c[21:]) for c in group if c[:1] == b"s"]
+            if len(heads) != 1 or len(sums) != copies * int(parts[0]):
+                raise RuntimeError("a block of texts was split in two ways; write the texts to files first")
+            total = np.sum([s[0] for s in sums], axis=0) / copies
+            known = np.sum([s[1].astype(np.int64) for s in sums], axis=0) // copies
+            for _ in range(copies):
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(learn > 0), pa.array(total), pa.array(known)], names=["key", "learn", "total", "known"])
 
     return C.by_bucket(cells, C.bucket_count(cells.sparkSession), merged, "key long, learn boolean, total double, known long")
 
@@ -280,7 +290,6 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), pa.array(np.diff(bounds)), pa.array(np.add.reduceat(log, bounds[:-1]))], names=["doc_id", "key", "n_tokens", "score"])
 
     scored = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "key").mapInArrow(probabilities, "doc_id long, key long, n_tokens long, score double")
-    rows = F.count("*").over(Window.partitionBy("key"))  # equal rows were summed together
-    both = scored.join(sums.drop("learn"), "key").withColumn("rows", rows)
-    base = F.col("total") / F.col("rows") - F.col("n_tokens") * F.lit(float(np.log10(whole)))
-    return both.select("doc_id", "n_tokens", (F.col("known") / F.col("rows")).cast("long").alias("n_known"), F.lit(int(train_tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    both = scored.join(sums.dropDuplicates(["key"]), "key")  # equal rows have equal sums
+    base = F.col("total") - F.col("n_tokens") * F.lit(float(np.log10(whole)))
+    return both.select("doc_id", "n_tokens", F.col("known").alias("n_known"), F.lit(int(train_tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
