@@ -135,7 +135,7 @@ def write_tokens(encoded: DataFrame, doc_ids: DataFrame, folder: str, width: int
     limits = np.unique(np.array(doc_ids.agg(cuts.alias("x")).first().x or [], np.int64))
 
     def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3, write_checksum=True)
+        press = zstandard.ZstdCompressor(level=1, write_checksum=True)
         for x in batches:
             ids = x.column(0)
             slot = np.where(ids.is_valid().to_numpy(zero_copy_only=False), np.searchsorted(limits, ids.fill_null(0).to_numpy(), "right"), 0)
