@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import ann, bpe, langid, licenses, lm, setjoin, substrings, tokenfiles, urlfilter
+from talentgrid.llm import ann, bpe, decontaminate, langid, licenses, lm, setjoin, substrings, tokenfiles, urlfilter
 from talentgrid.llm.staging import new_path
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return decontaminate.leaks(docs, benchmark).drop("fp")
+
+
 def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0, k=20)
 
@@ -94,5 +99,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
 
 
-QUERIES = {"op2_nearest_vectors": op2_nearest_vectors, "op10_url_filter": op10_url_filter, "op4_license_scan": op4_license_scan, "op6_language_id": op6_language_id, "op9_lm_scores": op9_lm_scores, "op3_token_files": op3_token_files, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup}
+QUERIES = {"op1_benchmark_leaks": op1_benchmark_leaks, "op2_nearest_vectors": op2_nearest_vectors, "op10_url_filter": op10_url_filter, "op4_license_scan": op4_license_scan, "op6_language_id": op6_language_id, "op9_lm_scores": op9_lm_scores, "op3_token_files": op3_token_files, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup}
 ORACLES: dict[str, str] = {}
