@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid.llm import words as W
+from talentgrid.llm.boxes import boxed, unboxed
 from talentgrid.llm.staging import staged
 
 WIDTH, SHORTEST = 8, 5
@@ -174,6 +175,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that hold no benchmark item, all columns unchanged."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_key")).distinct()
-    rows = docs.withColumn("_fp", F.xxhash64("text"))
-    return rows.join(bad, rows["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_key")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("id"), F.col("fp").alias("key")).distinct()
+    rows = boxed(docs).withColumn("fp", F.xxhash64("text"))
+    return unboxed(rows.join(bad, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("key")), "left_anti"), docs.columns)

@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid.llm import words as W
+from talentgrid.llm.boxes import boxed, unboxed
 
 DIMENSIONS = 2048
 SIZE = 3
@@ -132,17 +133,13 @@ def products(counted: DataFrame, size: int = SIZE, dimensions: int = DIMENSIONS)
 
 
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray, size: int = SIZE, dimensions: int = DIMENSIONS) -> DataFrame:
-    """All columns of `docs` with `lang_pred` and `score` (0 to 1)."""
-    clash = [c for c in docs.columns if c.lower() in ("lang_pred", "score")]
-    if clash:
-        raise ValueError(f"reserved column names: {clash}")
-    names = docs.columns
-    at = next(i for i, c in enumerate(names) if c.lower() == "text")
+    """(row, doc_id, text, lang_pred, score) of every row; `row` holds its other columns, score is 0 to 1."""
+    rows = boxed(docs)
     told = docs.sparkSession.sparkContext.broadcast(table)
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in W.slices(batches, names[at]):
-            codes, bounds = grams(*letters(x.column(at)), size)
+        for x in W.slices(batches):
+            codes, bounds = grams(*letters(x.column(2)), size)
             sizes = np.diff(bounds)
             dots = np.zeros((len(sizes), len(langs)))
             full = np.flatnonzero(sizes)
@@ -159,13 +156,16 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, size: int = SI
             score = np.clip(above.max(1) / np.maximum(above.sum(1), 1e-12), 0, 1) if langs else np.zeros(len(sizes))
             known = (sizes > 0) & bool(langs)
             pred = [langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))], names=["row", "doc_id", "text", "lang_pred", "score"])
+
+    schema = rows.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    return rows.mapInArrow(guess, schema)
 
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return docs.mapInArrow(guess, schema)
 
+def identified(docs: DataFrame, lang: str = "lang", least: float = 0.3) -> DataFrame:
+    """The rows of `docs` whose language can be told, all columns unchanged: not `und`, and a score of at least `least`.
 
-def identify(docs: DataFrame, training: Column, lang: str = "lang") -> DataFrame:
-    """`docs` with `lang_pred` and `score`, learnt from the rows where `training` is true and `lang` is known."""
-    langs, table = products(counts(docs.where(training), lang))
-    return predict(docs, langs, table)
+    Learns from all rows whose column `lang` is known.
+    """
+    found = predict(docs, *products(counts(docs, lang)))
+    return unboxed(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs.columns)

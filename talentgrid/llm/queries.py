@@ -75,11 +75,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = substrings.remove_repeats(docs, width=50)
+    kept = substrings.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), width=50)
     words = F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")
-    text = F.when(F.col("_removed") > 0, F.col("text")).otherwise(words)
-    return kept.select("doc_id", F.col("_words").cast("long").alias("n_words"), F.col("_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("kept_sha256"))
+    text = F.when(F.col("removed") > 0, F.col("text")).otherwise(words)
+    return kept.select("doc_id", F.col("words").cast("long").alias("n_words"), F.col("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("kept_sha256"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from talentgrid.llm import cells as C
 from talentgrid.llm import words as W
+from talentgrid.llm.boxes import boxed, unboxed
 from talentgrid.llm.components import components
 from talentgrid.llm.staging import staged
 
@@ -427,9 +428,10 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Empty texts all stay, as they link with nothing. Other columns are kept as they are.
     """
     texts, named = similar_classes(docs, size, percent)
-    verdict = texts.join(named, "sid", "left").select("doc_id", "fp", F.coalesce(~(F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.fp") == F.col("fp"))), F.lit(False)).alias("_gone"), (F.col("n") > 0).alias("_words"))
-    verdict = verdict.groupBy(F.col("doc_id").alias("_id"), F.col("fp").alias("_key")).agg(F.max("_gone").alias("_gone"), F.max("_words").alias("_words"))
-    rows = docs.withColumn("_fp", F.xxhash64("text"))
-    rows = rows.join(verdict, rows["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_key"))).where("not _gone")
-    turn = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_id"))
-    return rows.withColumn("_turn", turn).where("_turn = 1 or not _words").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stays = F.col("least").isNull() | (F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.fp") == F.col("fp")))
+    verdict = texts.join(named, "sid", "left").select("doc_id", "fp", (~stays).alias("_gone"), (F.col("n") > 0).alias("_words"))
+    verdict = verdict.groupBy(F.col("doc_id").alias("id"), F.col("fp").alias("key")).agg(F.max("_gone").alias("gone"), F.max("_words").alias("words"))
+    rows = boxed(docs).withColumn("fp", F.xxhash64("text"))
+    rows = rows.join(verdict, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("key"))).where("not gone")
+    turn = F.row_number().over(Window.partitionBy("id", "key").orderBy("id"))
+    return unboxed(rows.withColumn("turn", turn).where("turn = 1 or not words"), docs.columns)

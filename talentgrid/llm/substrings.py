@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from talentgrid.llm import cells as C
 from talentgrid.llm import words as W
+from talentgrid.llm.boxes import boxed, unboxed
 
 BLOCK_WORDS = 2_000_000
 SPANS = "array<struct<from:int,to:int>>"
@@ -108,24 +109,19 @@ def removal_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     return C.by_bucket(found, buckets, merged, f"doc_id long, fp long, spans {SPANS}")
 
 
-def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
-    """All columns of `docs`, with the kept words in `text`, plus `_words`, `_removed` and `_spans`.
+def cut_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
+    """(row, doc_id, text, words, removed, spans) of every row: its other columns, its text without repeats, and counts.
 
-    `text` holds the kept words joined by one space where something was removed, else it is unchanged; `_spans`
-    is an array of (from, to) word intervals, null if none. Null text stays null.
+    text holds the kept words joined by one space where something was removed, else it is unchanged, null too; spans are the
+    removed intervals (from, to) of words, null if none.
     """
-    spare = ["_words", "_removed", "_spans", "_fp", "_id", "_key"]
-    clash = [c for c in docs.columns if c.lower() in spare]
-    if clash:
-        raise ValueError(f"reserved column names: {clash}")
-    found = removal_spans(docs, width).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_key"), F.col("spans").alias("_spans"))
-    both = docs.withColumn("_fp", F.xxhash64("text")).join(found, (F.col("doc_id") == F.col("_id")) & (F.col("_fp") == F.col("_key")), "left").drop("_id", "_fp", "_key")
-    names = docs.columns
-    at = next(i for i, c in enumerate(names) if c.lower() == "text")
+    found = removal_spans(docs, width).select(F.col("doc_id").alias("id"), F.col("fp").alias("key"), "spans")
+    rows = boxed(docs).withColumn("fp", F.xxhash64("text"))
+    both = rows.join(found, (F.col("doc_id") == F.col("id")) & (F.col("fp") == F.col("key")), "left").select("row", "doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.slices(batches, names[at]):
-            texts, spans = part.column(at), part.column(len(names))
+        for part in W.slices(batches):
+            row, doc_id, texts, spans = part.columns
             counts = np.diff(W.split(*W.text_bytes(texts)).bounds).astype(np.int32)
             removed, new = np.zeros(len(counts), np.int32), texts
             hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist()
@@ -140,8 +136,12 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
                     removed[i] = len(own) - len(keep)
                     out[i] = b" ".join(keep).decode()
                 new = pa.array(out, texts.type)
-            columns = [new if i == at else part.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), pa.array(removed), spans], names=[*names, "_words", "_removed", "_spans"])
+            yield pa.RecordBatch.from_arrays([row, doc_id, new, pa.array(counts), pa.array(removed), spans], names=["row", "doc_id", "text", "words", "removed", "spans"])
+
+    schema = both.select("row", "doc_id", "text", F.lit(0).alias("words"), F.lit(0).alias("removed"), "spans").schema
+    return both.mapInArrow(cut, schema)
 
-    schema = docs.select("*", F.lit(0).alias("_words"), F.lit(0).alias("_removed"), F.lit(None).cast(SPANS).alias("_spans")).schema
-    return both.select(*[both[f"`{c}`"] for c in names], "_spans").mapInArrow(cut, schema)
+
+def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
+    """The columns of `docs` with the kept words in `text`; see cut_repeats."""
+    return unboxed(cut_repeats(docs, width), docs.columns)
