@@ -6,8 +6,8 @@ A text is the set of its word shingles. Texts with equal sets are one class; cla
    the first few shingles of its set, so that two similar classes meet in some index list.
 2. In each list one class leads. Members whose size and position in the list allow it are compared with the
    leader on their whole sets, and what links with it is one component.
-3. In lists that still hold several components, each member is compared with a few members of other components, as long
-   as that joins components. A large group of near copies thus becomes one component without its pairs.
+3. In lists of CROWD or more that still hold several components, each member is compared with a few members of other
+   components, as long as that joins components. A large group of near copies thus becomes one component without its pairs.
 4. Lists that still hold several components are searched for all links between them. Entries lie in blocks by
    size and position, and blocks that cannot reach the overlap are skipped. For the others a member's answer
    is first derived from the leader's: with the overlaps of y and z with the leader x known,
@@ -37,7 +37,7 @@ from talentgrid.llm.boxes import boxed, unboxed
 from talentgrid.llm.components import components
 from talentgrid.llm.staging import staged
 
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_500_000
 #: At most so many frequent shingles are told to the tasks, and so many bits of a filter (2 MB each). Both
 #: only save work: results are the same with any values.
 ORDERED_SHINGLES = 1 << 18
@@ -45,7 +45,7 @@ FILTER_BITS = 1 << 24
 LIST_BLOCK = 512
 #: Step 3 tries at most so many partners of a set in a round, and goes on for at most so many rounds, while more than
 #: one in JOINING_SHARE of the partners joins. These save work in step 4, which finds whatever is left.
-PARTNERS, TRIES, MERGING_ROUNDS, JOINING_SHARE = 3, 8, 6, 20
+CROWD, PARTNERS, TRIES, MERGING_ROUNDS, JOINING_SHARE = 32, 3, 8, 6, 20
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -174,8 +174,8 @@ def index_lists(docs: DataFrame, size: int, like: Similarity) -> tuple[DataFrame
                         late = s[often]
                         s = np.concatenate([s[~often], late[np.lexsort((late, ranks[at[often]]))]])
                 have += len(s)
-                entries.append((s[:p], np.full(p, sid), np.full(p, len(s)), np.arange(p)))
-            if have >= 4 * BLOCK_SHINGLES:
+                entries.append((s[:p].copy(), np.full(p, sid), np.full(p, len(s)), np.arange(p)))
+            if have >= 2 * BLOCK_SHINGLES:
                 yield block()
                 have, seen, rows, entries = 0, set(), [], []
         if rows:
@@ -374,7 +374,7 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[
     known = staged(compared(stars, sets_of(docs, classes, stars.select(F.explode(F.array("a", "b")).alias("sid")), size)), "overlaps")
     roots = components(known.where(linked)).withColumnRenamed("node", "sid")
 
-    several = lists.groupBy("token").agg(F.count("*").alias("k")).where("k > 2").select("token")
+    several = lists.groupBy("token").agg(F.count("*").alias("k")).where("k > 2")
     lists = lists.join(several, "token").join(known.select(F.col("a").alias("sid"), F.col("b").alias("leader"), "inter"), ["sid", "leader"], "left")
     lists = staged(lists.withColumn("inter", F.when(F.col("sid") == F.col("leader"), F.col("n")).otherwise(F.col("inter"))), "several")
 
@@ -393,23 +393,25 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[
         return staged(old.unionByName(new), "roots")
 
     rest = mixed(roots)
-    if not rest.isEmpty():
-        sets = sets_of(docs, classes, rest.select("sid"), size)
+    if not rest.where(f"k >= {CROWD}").isEmpty():
+        sets = sets_of(docs, classes, rest.where(f"k >= {CROWD}").select("sid"), size)
         for turn in range(MERGING_ROUNDS):
-            tried = staged(compared(some_pairs(rest, like, turn), sets), "tried")
-            joined = tried.where(linked).select("a", "b")
+            tried = staged(compared(some_pairs(rest.where(f"k >= {CROWD}"), like, turn), sets), "tried")
             n, more = tried.agg(F.count("*"), F.count(F.when(F.expr(linked), 1))).first()
             if more:
-                roots = merged(roots, joined)
+                roots = merged(roots, tried.where(linked).select("a", "b"))
                 rest = mixed(roots)
             if more * JOINING_SHARE <= n:
                 break
-        pairs = staged(open_pairs(rest, like), "open")
-        done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        unsure = pairs.where("not sure").select("a", "b").join(done, ["a", "b"], "left_anti")
-        found = staged(compared(unsure, sets).where(linked).select("a", "b").union(pairs.where("sure").select("a", "b")), "found")
-        if not found.isEmpty():
-            roots = merged(roots, found)
+    pairs = staged(open_pairs(rest, like), "open")
+    done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    unsure = staged(pairs.where("not sure").select("a", "b").join(done, ["a", "b"], "left_anti"), "unsure")
+    found = pairs.where("sure").select("a", "b")
+    if not unsure.isEmpty():
+        sets = sets_of(docs, classes, unsure.select(F.explode(F.array("a", "b")).alias("sid")), size)
+        found = staged(compared(unsure, sets).where(linked).select("a", "b").union(found), "found")
+    if not found.isEmpty():
+        roots = merged(roots, found)
     grouped = staged(classes.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "grouped")
     least = grouped.groupBy("root").agg(F.min("least").alias("least"), F.min("first").alias("component_id"), F.sum("copies").alias("texts"))
     named = grouped.select("sid", "root").join(least.where("texts > 1"), "root")
