@@ -16,7 +16,7 @@ every worker.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import groupby
 
@@ -92,6 +92,11 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def encode(docs: DataFrame, path: str, packed: bool = False) -> DataFrame:
     """(doc_id, ids) of every row of `docs` (doc_id, text): array<int>, or packed little-endian bytes of 2 or 4 each."""
+    return _joined(docs, path, packed, iter, "doc_id long, ids " + ("binary" if packed else "array<int>"))
+
+
+def _joined(docs: DataFrame, path: str, packed: bool, finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Batches of (doc_id, ids) as `finish` makes them."""
     buckets, kind = C.bucket_count(docs.sparkSession), encoder(path).kind
 
     def block(turn: int, parts: list[tuple]) -> pa.RecordBatch:
@@ -194,33 +199,41 @@ def encode(docs: DataFrame, path: str, packed: bool = False) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = texts.mapInArrow(split, _ROWS).repartitionById(buckets, F.col("bucket")).mapInArrow(coded, _ROWS)
     home = ids.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("block", "part")
-    return home.mapInArrow(joined, "doc_id long, ids " + ("binary" if packed else "array<int>"))
+    return home.mapInArrow(lambda batches: finish(joined(batches)), schema)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], table: list[str]) -> Iterator[pa.RecordBatch]:
+    """Ids joined with the table of pieces: (doc_id, ids, ids_text, text)."""
+    size, decimal = len(table), [str(i) for i in range(len(table))]
+    for x in batches:
+        texts, numbers = [], []
+        at, flat = x.column(1).offsets.to_numpy(), x.column(1).values.to_numpy()
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            own = flat[i:j]
+            if len(own) and (own.max() >= size or own.min() < 0):
+                numbers.append(" ".join(map(str, own.tolist())))
+                own = own[(own >= 0) & (own < size)].tolist()
+            else:
+                own = own.tolist()
+                numbers.append(" ".join([decimal[k] for k in own]))
+            texts.append(" ".join([table[k] for k in own]))
+        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(numbers, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "ids", "ids_text", "text"])
+
+
+DECODED = "doc_id long, ids array<int>, ids_text string, text string"
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """`encoded` (doc_id, ids) with `ids_text`, the ids in decimal, and `text`: pieces of the ids, joined by one space.
 
-    Special tokens stay. An id outside of the vocabulary has no piece and is left out.
+    Special tokens stay. An id outside of the vocabulary has no piece and is left out. Null ids are none.
     """
-
     told = encoded.sparkSession.sparkContext.broadcast(encoder(path).pieces)
+    ids = F.coalesce("ids", F.array().cast("array<int>")).alias("ids")
+    return encoded.select("doc_id", ids).mapInArrow(lambda batches: _pieces(batches, told.value), DECODED)
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = told.value
-        size, decimal = len(table), [str(i) for i in range(len(table))]
-        for x in batches:
-            texts, numbers = [], []
-            at, flat = x.column(1).offsets.to_numpy(), x.column(1).values.to_numpy()
-            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                own = flat[i:j]
-                if len(own) and (own.max() >= size or own.min() < 0):
-                    numbers.append(" ".join(map(str, own.tolist())))
-                    own = own[(own >= 0) & (own < size)].tolist()
-                else:
-                    own = own.tolist()
-                    numbers.append(" ".join([decimal[k] for k in own]))
-                texts.append(" ".join([table[k] for k in own]))
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(numbers, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "ids", "ids_text", "text"])
 
-    ids = F.coalesce("ids", F.array().cast("array<int>")).alias("ids")
-    return encoded.select("doc_id", ids).mapInArrow(pieces, "doc_id long, ids array<int>, ids_text string, text string")
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """decode(encode(docs)) in one pass over the ids."""
+    told = docs.sparkSession.sparkContext.broadcast(encoder(path).pieces)
+    return _joined(docs, path, False, lambda batches: _pieces(batches, told.value), DECODED)

@@ -12,8 +12,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
-_SEGMENT = 1 << 20
+SLICE_BYTES = 1 << 20
+_SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _ROLL = 0xD6E8FEB86659FD93 | 1
 _WORD = (1 << 64) - 1
