@@ -65,16 +65,17 @@ def letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def grams(classes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the n-grams with a letter, gaps squeezed, and where each text's begin."""
     keep = (classes > 0) | np.concatenate([[True], classes[:-1] > 0])
-    keep[bounds[:-1]] = True
+    keep[bounds] = True
     at = np.concatenate([[0], np.cumsum(keep)])
     own, starts = classes[keep].astype(np.int64), at[bounds]
-    n = max(0, len(own) - size + 1)
-    code, some = np.zeros(n, np.int64), np.zeros(n, bool)
+    count = np.maximum(np.diff(starts) + 2 - size, 0)  # a text's letters, its gap before, and the gap after it
+    first = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - starts[:-1], count)
+    code, some = np.zeros(len(first), np.int64), np.zeros(len(first), bool)
     for k in range(size):
-        code = code * CLASSES + own[k : k + n]
-        some |= own[k : k + n] > 0
-    count = np.concatenate([[0], np.cumsum(some)])
-    return code[some], count[np.minimum(starts, n)]
+        code = code * CLASSES + own[first + k]
+        some |= own[first + k] > 0
+    found = np.concatenate([[0], np.cumsum(some)])
+    return code[some], found[np.concatenate([[0], np.cumsum(count)])]
 
 
 def gram_vectors(codes: np.ndarray, size: int, dimensions: int) -> np.ndarray:

@@ -98,4 +98,39 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_benchmark_leaks": op1_benchmark_leaks, "op2_nearest_vectors": op2_nearest_vectors, "op10_url_filter": op10_url_filter, "op4_license_scan": op4_license_scan, "op6_language_id": op6_language_id, "op9_lm_scores": op9_lm_scores, "op3_token_files": op3_token_files, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup}
-ORACLES: dict[str, str] = {}
+#: Queries that SQL can express; the others are held against brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    "op7_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        win AS (
+            SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS k
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50) AS s),
+        first AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN first USING (k) WHERE doc_id > m),
+        g AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed, sha256(array_to_string(
+            list_filter(w, lambda x, i: NOT list_contains(coalesce(ps, []), i)), ' ')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)""",
+    "op8_ngram_jaccard": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0) AS x),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (
+            SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s AS p JOIN s AS q ON p.g = q.g
+            WHERE p.doc_id <> q.doc_id GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM shared JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b
+            WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON l.a = r.b)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS component_id
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id""",
+}
