@@ -45,7 +45,7 @@ FILTER_BITS = 1 << 24
 LIST_BLOCK = 512
 #: Step 3 tries at most so many partners of a set in a round, and goes on for at most so many rounds, while more than
 #: one in JOINING_SHARE of the partners joins. These save work in step 4, which finds whatever is left.
-CROWD, PARTNERS, TRIES, MERGING_ROUNDS, JOINING_SHARE = 32, 3, 8, 6, 20
+CROWD, PARTNERS, TRIES, MERGING_ROUNDS, JOINING_SHARE = 32, 3, 8, 3, 20
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -368,6 +368,7 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[
     texts, lists = index_lists(docs, size, like)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
     classes = staged(texts.where("n > 0").groupBy("sid").agg(F.min(first).alias("least"), F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes")
+    n_classes = classes.count()
     linked = f"100 * inter >= {percent} * (na + nb - inter)"
 
     stars = staged(lists.where("near").select(F.col("sid").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
@@ -377,12 +378,13 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[
     several = lists.groupBy("token").agg(F.count("*").alias("k")).where("k > 2")
     lists = lists.join(several, "token").join(known.select(F.col("a").alias("sid"), F.col("b").alias("leader"), "inter"), ["sid", "leader"], "left")
     lists = staged(lists.withColumn("inter", F.when(F.col("sid") == F.col("leader"), F.col("n")).otherwise(F.col("inter"))), "several")
+    n_rows = lists.count()
 
     def mixed(roots: DataFrame) -> DataFrame:
         """The rows of lists that hold several components, with their roots."""
         rows = lists.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         tokens = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-        return staged(rows.join(tokens, "token"), "mixed")
+        return staged(rows.join(tokens, "token"), "mixed", n_rows)
 
     def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
         a, b = (roots.select(F.col("sid").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
@@ -390,7 +392,7 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[
         up = components(between).select(F.col("node").alias("root"), F.col("root").alias("above"))
         old = roots.join(up, "root", "left").select("sid", F.coalesce("above", "root").alias("root"))
         new = up.join(roots.select(F.col("sid").alias("root")), "root", "left_anti").select(F.col("root").alias("sid"), F.col("above").alias("root"))
-        return staged(old.unionByName(new), "roots")
+        return staged(old.unionByName(new), "roots", n_classes)
 
     rest = mixed(roots)
     if not rest.where(f"k >= {CROWD}").isEmpty():
@@ -412,10 +414,10 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[
         found = staged(compared(unsure, sets).where(linked).select("a", "b").union(found), "found")
     if not found.isEmpty():
         roots = merged(roots, found)
-    grouped = staged(classes.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "grouped")
+    grouped = staged(classes.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "grouped", n_classes)
     least = grouped.groupBy("root").agg(F.min("least").alias("least"), F.min("first").alias("component_id"), F.sum("copies").alias("texts"))
     named = grouped.select("sid", "root").join(least.where("texts > 1"), "root")
-    return texts, staged(named.select("sid", "component_id", "least"), "named")
+    return texts, staged(named.select("sid", "component_id", "least"), "named", n_classes)
 
 
 def similar_texts(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -29,9 +29,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written as Parquet and read again."""
+#: Rows of a narrow table that one task handles well.
+ROWS_A_TASK = 250_000
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """`df`, written as Parquet and read again. Where `df` is narrow and has at most about `rows` rows, no more tasks
+    than they fill make it."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(4, -(-rows // ROWS_A_TASK)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
