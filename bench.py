@@ -19,7 +19,6 @@ HEADLINE = [
     "extract_candidates",
     "search_candidates",
     "export_candidates",
-    "token_bucket_replay",
     "zip_verdict",
     "discover_cv_files",
     "classify_document",
@@ -37,7 +36,7 @@ def main(names: list[str]) -> None:
         f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": cpus,
-            "spark.driver.memory": "16g",
+            "spark.driver.memory": "8g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

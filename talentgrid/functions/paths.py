@@ -48,4 +48,5 @@ def parents(path: Column) -> Column:
 
 
 def is_cv_name(path: Column) -> Column:
-    return F.lower(path).rlike(r"\.(?:pdf|docx)$")
+    low = F.lower(path)
+    return low.endswith(".pdf") | low.endswith(".docx")

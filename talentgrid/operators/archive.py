@@ -1,8 +1,8 @@
 """Validation of archive manifests: one row per entry in, one verdict per archive out.
 
 A manifest has upload_id, entry_no (1, 2, … in archive order), entry_name, is_directory, size_bytes.
-An archive is rejected at the latest by the entry after ``max_entries``, so entries beyond that one
-never change a verdict. ``examined`` drops them in the scan, which bounds every group below.
+Single rules read the whole manifest. Only the verdict drops entries in the scan: an archive is rejected at the
+latest by the entry after ``max_entries``, so entries beyond that one never change it, and its groups are bounded.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from talentgrid.functions.paths import UNSAFE, is_cv_name, normalize_path, parents
 from talentgrid.functions.text import is_blank
+from talentgrid.operators.ordered import running
 from talentgrid.settings import ArchiveLimits
 
 # The messages of a rejected upload.
@@ -54,10 +55,6 @@ def validate_upload_request(uploads: DataFrame) -> DataFrame:
     return uploads.withColumn("error", upload_request_error(F.col("original_filename"), F.col("size_bytes")))
 
 
-def examined(manifest: DataFrame, limits: ArchiveLimits) -> DataFrame:
-    return manifest.filter(F.col("entry_no") <= limits.max_entries + 1)
-
-
 def name_error(name: Column, norm: Column) -> Column:
     return (
         F.when(name.isNull() | is_blank(name), INVALID_NAME)
@@ -116,9 +113,16 @@ def _is_duplicate() -> Column:
     return ~F.col("is_directory") & (earlier < F.col("entry_no"))
 
 
-def zip_duplicate_path(manifest: DataFrame, limits: ArchiveLimits) -> DataFrame:
-    owned = with_path_owners(examined(manifest, limits).repartition("upload_id"))
-    return owned.filter(_is_duplicate()).select("upload_id", "entry_no", "entry_name", "norm_path")
+def zip_duplicate_path(manifest: DataFrame) -> DataFrame:
+    """Files whose path an earlier entry of the archive has, as a file or as a folder."""
+    named = zip_safe_path(manifest).filter(F.col("error").isNull() & (F.col("norm_path") != ""))
+    own = F.when(F.col("is_directory"), F.array("norm_path")).otherwise(F.array().cast("array<string>"))
+    folders = named.select("upload_id", "entry_no", F.explode(F.concat(own, parents(F.col("norm_path")))).alias("path"))
+    files = named.filter(~F.col("is_directory"))
+    claims = folders.unionByName(files.select("upload_id", "entry_no", F.col("norm_path").alias("path")))
+    first = claims.groupBy("upload_id", "path").agg(F.min("entry_no").alias("first_no"))
+    owned = files.join(first.withColumnRenamed("path", "norm_path"), ["upload_id", "norm_path"])
+    return owned.filter("first_no < entry_no").select("upload_id", "entry_no", "entry_name", "norm_path")
 
 
 def zip_single_file_size(manifest: DataFrame, limits: ArchiveLimits) -> DataFrame:
@@ -135,10 +139,10 @@ def with_bytes_before(entries: DataFrame) -> DataFrame:
 
 
 def zip_total_size(manifest: DataFrame, limits: ArchiveLimits) -> DataFrame:
-    counted = with_bytes_before(examined(manifest, limits))
-    total = F.col("bytes_before") + F.col("size_bytes")
-    over = counted.filter(~F.col("is_directory") & (total > limits.max_total_bytes))
-    return over.withColumn("total_bytes", total).drop("bytes_before")
+    """Files at which the bytes of the archive so far exceed the limit."""
+    size = F.when(~F.col("is_directory"), F.col("size_bytes")).otherwise(0)
+    counted = running(manifest, ["upload_id"], ["entry_no"], sums={"total_bytes": size})
+    return counted.filter(~F.col("is_directory") & (F.col("total_bytes") > limits.max_total_bytes))
 
 
 def zip_has_files(archives: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -167,9 +171,9 @@ def entry_error(limits: ArchiveLimits) -> Column:
 def zip_verdict(archives: DataFrame, manifest: DataFrame, limits: ArchiveLimits) -> DataFrame:
     """(upload_id, accepted, reason, file_count, total_bytes) for every archive."""
     # Bounded groups, so the one shuffle on upload_id for the byte window serves everything after it.
-    # An unreadable archive has a row with archive_error and no entry_no, which only marks it corrupt.
+    # An unreadable archive has a row with archive_error and no entry_no, which only says why.
     told = "archive_error" in manifest.columns
-    corrupt = F.col("archive_error").isNotNull() if told else F.lit(False)
+    corrupt = F.col("archive_error") if told else F.lit(None).cast("string")
     wanted = F.col("entry_no").isNull() | (F.col("entry_no") <= limits.max_entries + 1)
     entries = manifest.filter(wanted).select(*ENTRY, corrupt.alias("corrupt"))
     checked = with_path_owners(with_bytes_before(entries)).withColumn("reason", entry_error(limits))
@@ -189,7 +193,7 @@ def zip_verdict(archives: DataFrame, manifest: DataFrame, limits: ArchiveLimits)
     joined = archives.select("upload_id").join(per_archive, "upload_id", "left")
     reason = F.coalesce(
         "reason",
-        F.when(F.col("corrupt"), CORRUPT),
+        "corrupt",
         F.when(F.coalesce("files", F.lit(0)) == 0, NO_FILES),
     )
     judged = joined.withColumn("reason", reason)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from talentgrid.functions.paths import is_cv_name
 from talentgrid.functions.text import basename, clean_message, is_blank
-from talentgrid.operators.archive import zip_verdict
+from talentgrid.operators.archive import validate_upload_request, zip_verdict
 from talentgrid.operators.candidates import DRAFT, extract_candidates
 from talentgrid.operators.documents import classify_document
 from talentgrid.operators.joins import join_per_key
@@ -29,6 +29,11 @@ BLANK_FILENAME = "Candidate sourceFilename must not be blank"
 PRUNED_RANKS = 1000
 
 
+def cv_files(documents: DataFrame) -> DataFrame:
+    """The documents whose names say that they are CVs, for batch and stream alike."""
+    return documents.filter(is_cv_name(F.col("rel_path")))
+
+
 def discover_cv_files(uploads: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """CV files of each upload numbered by path, and the uploads that have none."""
     cvs = listing.filter(F.col("is_regular") & is_cv_name(F.col("rel_path")))
@@ -108,7 +113,9 @@ def insert_new_candidates(drafts: DataFrame, stored: DataFrame) -> DataFrame:
     The drafts are reduced to one row per key before the anti-join, so the join key has no hot value.
     """
     keys = ["upload_id", "source_filename"]
-    fresh = dedupe_drafts(drafts).join(stored.select(*keys).distinct(), keys, "left_anti")
+    uploads = drafts.select("upload_id").distinct()
+    known = stored.select(*keys).join(uploads, "upload_id", "left_semi")
+    fresh = dedupe_drafts(drafts).join(known, keys, "left_anti")
     return fresh.withColumn("id", candidate_id(F.col("upload_id"), F.col("source_filename")))
 
 
@@ -226,17 +233,17 @@ def flag_inserts(results: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def summarize_ingest(uploads: DataFrame, flagged: DataFrame, now: Column) -> DataFrame:
-    """Final row of each upload that has files."""
+    """Final row of each upload (with total_files); one without CV files has failed."""
     failed = F.col("error_code").isNotNull()
     counts = flagged.groupBy("upload_id").agg(
-        F.count(F.lit(1)).cast("int").alias("total_files"),
         F.count_if(F.col("kept") & ~failed).cast("int").alias("processed_files"),
         F.count_if(F.col("kept") & failed).cast("int").alias("failed_files"),
         F.count_if("inserted").cast("int").alias("inserted_files"),
         F.max("upload_failed").alias("job_failed"),
     )
-    rows = uploads.join(counts, "upload_id").withColumns(
-        {"started": F.lit(True), "finished": F.lit(True)}
+    none = {c: F.coalesce(c, F.lit(0)) for c in ("processed_files", "failed_files", "inserted_files")}
+    rows = uploads.join(counts, "upload_id", "left").withColumns(
+        {**none, "started": F.lit(True), "finished": F.lit(True), "job_failed": F.coalesce("job_failed", F.lit(True))}
     )
     return derive_upload_status(rows, now).drop("started", "finished", "job_failed")
 
@@ -249,7 +256,7 @@ def ingest_results(
     Files are numbered on their paths alone. The results (no texts) are written once, as the gate, the
     merge and the counts all read them; otherwise every text would be extracted again for each.
     """
-    cvs = documents.filter(is_cv_name(F.col("rel_path")))
+    cvs = cv_files(documents)
     numbered = running(
         cvs.select("upload_id", "rel_path"), ["upload_id"], ["rel_path"], number="file_no"
     )
@@ -267,11 +274,18 @@ def ingest_uploads(
     parsing: ParsingLimits = ParsingLimits(),
     batch: BatchLimits = BatchLimits(),
 ) -> Ingested:
-    """Accepted archives to candidate rows, failure rows and final upload rows, many at once."""
+    """Accepted archives to candidate rows, failure rows and final upload rows, many at once.
+
+    Where uploads tell size_bytes, the request is checked first and a refused one is not opened.
+    """
+    if "size_bytes" in uploads.columns:
+        uploads = validate_upload_request(uploads).filter("error is null").drop("error")
     verdicts = zip_verdict(uploads, manifest, archive)
-    # Written once: the file numbering and the extraction both start from it.
-    accepted = fixed(verdicts.filter("accepted").select("upload_id"))
-    wanted = join_per_key(documents, accepted, ["upload_id"], "left_semi", ["rel_path"])
+    # Written once: the file numbering, the extraction and the summary all start from it.
+    files = F.col("file_count").cast("int").alias("total_files")
+    accepted = fixed(verdicts.filter("accepted").select("upload_id", files))
+    ids = accepted.select("upload_id")
+    wanted = join_per_key(documents, ids, ["upload_id"], "left_semi", ["rel_path"])
     flagged = flag_inserts(ingest_results(wanted, parsing, batch), stored)
     candidates = flagged.filter("inserted").select(
         candidate_id(F.col("upload_id"), F.col("source_filename")).alias("id"),
@@ -280,4 +294,5 @@ def ingest_uploads(
         now.alias("created_at"),
     )
     failures = build_failures(flagged.filter("kept"), now)
-    return Ingested(candidates, failures, summarize_ingest(uploads, flagged, now))
+    taken = uploads.drop("total_files", "processed_files", "failed_files").join(accepted, "upload_id")
+    return Ingested(candidates, failures, summarize_ingest(taken, flagged, now))

@@ -1,7 +1,8 @@
 """Row numbers and running sums inside groups of any size.
 
 A window sorts each group in one task, so a group that holds a third of the table would not fit.
-``running`` measures the largest group first. Small groups use the plain window. Otherwise the rows
+``running`` measures the largest group first. Small groups use the plain window. Otherwise, and always for a
+table that is one group, the rows
 are range-partitioned into slices by group and order, each slice is numbered on its own, and the
 slices' totals (one small row per group and slice) give every slice its starting values.
 """
@@ -39,10 +40,12 @@ def running(
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     max_group_rows = max_group_rows or MAX_GROUP_ROWS
     largest, total = group_sizes(df, by)
-    if largest <= max_group_rows:
+    if by and largest <= max_group_rows:
         return _local(df, by, order, number, sums)
 
-    slices = max(2 * (total // max_group_rows + 1), 2)
+    # Without groups the whole table is one group, so it is always cut. More slices than tasks gain nothing.
+    most = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = min(max(2 * (total // max_group_rows + 1), 2), max(most, 2))
     sliced = fixed(
         df.repartitionByRange(slices, *[F.col(b) for b in by], *order).withColumn(
             _SLICE, F.spark_partition_id()

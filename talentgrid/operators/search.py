@@ -164,19 +164,14 @@ def total_pages(total: int, size: int) -> int:
 
 
 def hydrate_candidates(
-    ids: DataFrame, candidates: DataFrame, uploads: DataFrame, bridge: DataFrame, one_page: bool = False
+    ids: DataFrame, candidates: DataFrame, uploads: DataFrame, bridge: DataFrame
 ) -> DataFrame:
-    """Full rows for a list of ids: upload by inner join, skills by left join.
-
-    ``one_page`` says that ``ids`` comes from ``page_rows``, whose limit keeps it to MAX_PAGE_SIZE rows;
-    only then is it broadcast. Otherwise Spark chooses the joins by size.
-    """
-    small = F.broadcast if one_page else (lambda df: df)
+    """Full rows for a list of ids: upload by inner join, skills by left join. Spark chooses the joins by size."""
     wanted = ids.select("id").distinct()
-    rows = candidates.drop("skills").join(small(wanted), "id")
+    rows = candidates.drop("skills").join(wanted, "id")
     owners = uploads.select(F.col("id").alias("upload_id"), "original_filename")
-    with_upload = owners.join(small(rows), "upload_id")
-    skills = bridge.join(small(wanted.withColumnRenamed("id", "candidate_id")), "candidate_id")
+    with_upload = owners.join(rows, "upload_id")
+    skills = bridge.join(wanted.withColumnRenamed("id", "candidate_id"), "candidate_id")
     lists = skills.groupBy("candidate_id").agg(F.collect_set("skill").alias("skills"))
     joined = with_upload.join(lists, F.col("id") == F.col("candidate_id"), "left").drop("candidate_id")
     return joined.withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))

@@ -29,7 +29,7 @@ oracle_step(
 )
 oracle_step(
     "safe_entries",
-    "SELECT * FROM named WHERE error IS NULL AND entry_no <= 7",
+    "SELECT * FROM named WHERE error IS NULL",
 )
 oracle_step(
     "folders",
@@ -63,7 +63,7 @@ oracle_step(
     """
     SELECT *, coalesce(sum(CASE WHEN NOT is_directory THEN size_bytes END) OVER (
         PARTITION BY upload_id ORDER BY entry_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-    FROM named WHERE entry_no <= 7""",
+    FROM named""",
 )
 oracle_step(
     "judged_entries",
@@ -160,7 +160,7 @@ def _(t):
     "SELECT upload_id, entry_no, entry_name, norm AS norm_path FROM repeated",
 )
 def _(t):
-    return A.zip_duplicate_path(t["zip_manifest"], LIMITS)
+    return A.zip_duplicate_path(t["zip_manifest"])
 
 
 @query(

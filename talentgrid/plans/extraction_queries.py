@@ -147,13 +147,14 @@ _field(
 @query(
     "map_job_type",
     """
-    SELECT upload_id, rel_path, CASE replace(replace(lower(label), '-', ''), ' ', '') WHEN 'remote' THEN 'REMOTE'
+    SELECT upload_id, rel_path, line, CASE replace(replace(lower(label), '-', ''), ' ', '') WHEN 'remote' THEN 'REMOTE'
         WHEN 'hybrid' THEN 'HYBRID' WHEN 'onsite' THEN 'ONSITE' ELSE 'UNKNOWN' END AS value
-    FROM (SELECT *, string_split(text, chr(10))[4] AS label FROM resume_files) AS l""",
+    FROM (SELECT upload_id, rel_path, cast(unnest(range(len(lines))) AS int) AS line, unnest(lines) AS label
+        FROM (SELECT *, string_split(text, chr(10)) AS lines FROM resume_files) AS s) AS l""",
 )
 def _(t):
-    label = F.get(F.split("text", "\n", -1), F.lit(3))
-    return t["resume_files"].select(*_KEY, X.map_job_type(label).alias("value"))
+    lines = t["resume_files"].select(*_KEY, F.posexplode(F.split("text", "\n", -1)).alias("line", "label"))
+    return lines.select(*_KEY, "line", X.map_job_type(F.col("label")).alias("value"))
 
 
 @query(

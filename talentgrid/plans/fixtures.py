@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from talentgrid.functions.patterns import KNOWN_SKILLS
 from talentgrid.operators.ordered import running
-from talentgrid.session import spread_small_scan
 from talentgrid.settings import DOCX_TYPE, PDF_TYPE
 
 TABLES = (
@@ -147,7 +146,7 @@ SQL = {
                     WHEN 2 THEN 'UNSUPPORTED_MEDIA_TYPE' ELSE 'CANDIDATE_EXTRACTION_FAILED' END AS error_code,
                 'failed: ' || c_name AS error_message,
                 TIMESTAMP '2024-01-01 00:00:00' + cast(floor(c_custkey / 300) as int) * interval '1' minute AS created_at
-            FROM customer WHERE c_acctbal < 1000
+            FROM customer
         ) AS rows""",
     "requests": """
         SELECT event_id AS request_id, ts, CASE WHEN event_type = 'signup' THEN 'POST' ELSE 'GET' END AS method,
@@ -249,7 +248,7 @@ class Inputs:
     def _make(self, name: str) -> DataFrame:
         if name in TABLES:
             table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-            return spread_small_scan(table) if name == "documents" else table
+            return table
         if name == "zip_manifest":
             return self.manifest
         if name == "candidate_skill":

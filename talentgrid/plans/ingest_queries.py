@@ -94,27 +94,6 @@ def _(t):
     return found.unionByName(empty.select("upload_id", "error"), allowMissingColumns=True)
 
 
-@query(
-    "assign_chunks",
-    "SELECT upload_id, rel_path, cast(floor((file_no - 1) / 4) AS bigint) AS chunk_no FROM cv_files",
-)
-def _(t):
-    return I.assign_chunks(_files(t), BATCH).select(*_KEY, "chunk_no")
-
-
-@query(
-    "resume_from_checkpoint",
-    """
-    SELECT f.upload_id, f.rel_path, f.file_no FROM cv_files AS f
-    LEFT JOIN cv_upload AS u ON u.id = f.upload_id AND u.status <> 'UPLOADED'
-    WHERE f.file_no > coalesce(u.processed_files, 0)""",
-)
-def _(t):
-    started = t["cv_upload"].filter("status <> 'UPLOADED'")
-    points = started.select(F.col("id").alias("upload_id"), F.col("processed_files").alias("last_index"))
-    return I.resume_from_checkpoint(_files(t), points).select(*_KEY, "file_no")
-
-
 @query(
     "process_documents",
     """
@@ -402,32 +381,71 @@ def _(t):
 oracle_step(
     "accepted_files",
     r"""
-    SELECT g.upload_id, g.filename, g.file_no, g.kept, g.upload_failed, g.error_code FROM gated AS g
+    SELECT g.* FROM gated AS g
     JOIN verdicts AS v ON v.upload_id = g.upload_id WHERE v.accepted""",
 )
 
 
+def _ingested(t):
+    return I.ingest_uploads(
+        t["uploads"], t["zip_manifest"], t["resume_files"], _stored(t), _now(), LIMITS, PARSING, BATCH
+    )
+
+
+@query(
+    "ingest_candidates",
+    """
+    SELECT sha256(a.upload_id || '/' || a.filename) AS id, a.upload_id, a.filename AS source_filename, a.full_name,
+        a.years AS years_of_experience, a.location AS preferred_location, a.job_type AS preferred_job_type, a.skills
+    FROM (
+        SELECT *, row_number() OVER (PARTITION BY upload_id, filename ORDER BY file_no) AS nth FROM accepted_files
+        WHERE kept AND error_code IS NULL
+    ) AS a LEFT JOIN stored AS s ON s.upload_id = a.upload_id AND s.source_filename = a.filename
+    WHERE a.nth = 1 AND s.source_filename IS NULL""",
+)
+def _(t):
+    return _ingested(t).candidates.select(
+        "id",
+        "upload_id",
+        "source_filename",
+        "full_name",
+        "years_of_experience",
+        "preferred_location",
+        "preferred_job_type",
+        F.array_join("skills", "|").alias("skills"),
+    )
+
+
+@query(
+    "ingest_failures",
+    """
+    SELECT sha256(upload_id || '/' || rel_path) AS id, upload_id, filename, error_code, error_message,
+        TIMESTAMP '2024-02-01 00:00:00' AS created_at
+    FROM accepted_files WHERE kept AND error_code IS NOT NULL""",
+)
+def _(t):
+    return _ingested(t).failures
+
+
 @query(
     "ingest_uploads",
     """
-    SELECT a.upload_id, cast(count(*) AS int) AS total_files,
+    SELECT v.upload_id, cast(any_value(v.file_count) AS int) AS total_files,
         cast(count(*) FILTER (WHERE a.kept AND a.error_code IS NULL) AS int) AS processed_files,
         cast(count(*) FILTER (WHERE a.kept AND a.error_code IS NOT NULL) AS int) AS failed_files,
         cast(count(*) FILTER (WHERE a.kept AND a.error_code IS NULL AND s.source_filename IS NULL
             AND a.nth = 1) AS int) AS inserted_files,
-        CASE WHEN bool_or(a.upload_failed) THEN 'FAILED'
+        CASE WHEN count(a.upload_id) = 0 OR bool_or(a.upload_failed) THEN 'FAILED'
             WHEN count(*) FILTER (WHERE a.kept AND a.error_code IS NOT NULL) = 0 THEN 'COMPLETED'
             ELSE 'COMPLETED_WITH_ERRORS' END AS status
-    FROM (
+    FROM verdicts AS v LEFT JOIN (
         SELECT *, row_number() OVER (PARTITION BY upload_id, filename, kept AND error_code IS NULL
             ORDER BY file_no) AS nth FROM accepted_files
-    ) AS a LEFT JOIN stored AS s ON s.upload_id = a.upload_id AND s.source_filename = a.filename
-    GROUP BY a.upload_id""",
+    ) AS a ON a.upload_id = v.upload_id
+    LEFT JOIN stored AS s ON s.upload_id = a.upload_id AND s.source_filename = a.filename
+    WHERE v.accepted GROUP BY v.upload_id""",
 )
 def _(t):
-    done = I.ingest_uploads(
-        t["uploads"], t["zip_manifest"], t["resume_files"], _stored(t), _now(), LIMITS, PARSING, BATCH
-    )
-    return done.uploads.select(
+    return _ingested(t).uploads.select(
         "upload_id", "total_files", "processed_files", "failed_files", "inserted_files", "status"
     )

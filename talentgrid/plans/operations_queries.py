@@ -92,21 +92,6 @@ def _replayed(t):
     return L.token_bucket_replay(L.eligible_requests(t["requests"]), BUCKETS)
 
 
-@query("token_bucket_replay", "SELECT * FROM decisions")
-def _(t):
-    return _replayed(t).drop("ts")
-
-
-@query(
-    "retry_after",
-    """
-    SELECT request_id, greatest(1, cast(ceil(wait_micros / 1000000) AS bigint)) AS retry_after
-    FROM decisions WHERE NOT allowed""",
-)
-def _(t):
-    return L.with_retry_after(_replayed(t)).filter("NOT allowed").select("request_id", "retry_after")
-
-
 oracle_step(
     "down_requests",
     """
@@ -115,29 +100,6 @@ oracle_step(
 )
 
 
-@query(
-    "backend_unavailable_policy",
-    """
-    SELECT request_id, false AS allowed, false AS backend_available, 0 AS remaining FROM down_requests""",
-)
-def _(t):
-    down = L.backend_unavailable(L.eligible_requests(t["requests"]), t["outages"], fail_open=False)
-    return down.select("request_id", "allowed", "backend_available", "remaining")
-
-
-@query(
-    "rate_limit_outcome",
-    """
-    SELECT request_id, NULL AS status, NULL AS remaining, NULL AS retry_after FROM requests
-        WHERE request_id NOT IN (SELECT request_id FROM eligible)
-    UNION ALL SELECT request_id, 503, NULL, NULL FROM down_requests
-    UNION ALL SELECT request_id, CASE WHEN NOT allowed THEN 429 END, remaining, CASE WHEN NOT allowed
-        THEN greatest(1, cast(ceil(wait_micros / 1000000) AS bigint)) END FROM up_decisions""",
-)
-def _(t):
-    return L.rate_limit_outcome(t["requests"], t["outages"], BUCKETS)
-
-
 oracle_step(
     "up_requests",
     """

@@ -237,17 +237,6 @@ def _(t):
     return X.csv_rows(_exported(t))
 
 
-@query(
-    "csv_header",
-    """
-    SELECT '"candidateId","uploadId","fullName","yearsOfExperience","preferredLocation",'
-        || '"preferredJobType","skills","sourceFilename"' AS line
-    FROM (SELECT count(*) FROM candidate) AS c""",
-)
-def _(t):
-    return X.csv_header(t["candidate"])
-
-
 @query(
     "write_candidates_csv",
     f"""

@@ -1,73 +1,15 @@
-"""Queries that open archives and document files packed from the supplied documents."""
+"""Queries over document files packed from the supplied documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from talentgrid.operators.archive import zip_verdict
 from talentgrid.plans.catalog import query
-from talentgrid.plans.packed import packed_archives, packed_files
-from talentgrid.settings import DOCX_TYPE, PDF_TYPE, ArchiveLimits
-from talentgrid.sources.archives import expand_archives
-from talentgrid.sources.documents import DECODERS, detect_media_type, extract_document_text
+from talentgrid.plans.packed import packed_files
+from talentgrid.settings import DOCX_TYPE, PDF_TYPE
+from talentgrid.sources.documents import detect_media_type
 
-LIMITS = ArchiveLimits(max_entries=12, max_total_bytes=30_000, max_single_bytes=9_000)
 _DOC = "'d' || cast(doc_id AS varchar)"
 
 
-def _marked_text(content: bytes) -> str:
-    return content.removeprefix(b"%PDF-1.4\n").decode()
-
-
-@query(
-    "archive_manifest",
-    f"""
-    SELECT {_DOC} AS upload_id, 1 AS entry_no, lang || '/' AS entry_name, true AS is_directory, 0 AS size_bytes
-    FROM documents
-    UNION ALL SELECT {_DOC}, 2, lang || '/all.pdf', false, strlen(text) FROM documents
-    UNION ALL SELECT upload_id, cast(i + 2 AS int), lang || '/p' || cast(i - 1 AS varchar) || '.docx', false, strlen(p[i])
-    FROM (
-        SELECT *, unnest(range(1, len(p) + 1)) AS i FROM (
-            SELECT {_DOC} AS upload_id, lang, string_split(text, chr(10)) AS p FROM documents) AS d
-    ) AS e""",
-)
-def _(t):
-    manifest = expand_archives(packed_archives(t["documents"]))
-    return manifest.select("upload_id", "entry_no", "entry_name", "is_directory", "size_bytes")
-
-
-@query(
-    "archive_verdict",
-    f"""
-    SELECT upload_id, reason FROM (
-        SELECT upload_id, CASE
-            WHEN bytes > 9000 THEN 'A CV exceeds the maximum allowed size'
-            WHEN len(list_filter(range(1, least(len(p), 10) + 1), lambda i: bytes + list_sum(list_transform(
-                p[1:i], lambda x: strlen(x))) > 30000)) > 0 THEN 'ZIP expands beyond the maximum allowed size'
-            WHEN len(p) > 10 THEN 'ZIP contains too many entries' END AS reason
-        FROM (SELECT {_DOC} AS upload_id, strlen(text) AS bytes, string_split(text, chr(10)) AS p
-            FROM documents) AS d
-    ) AS v""",
-)
-def _(t):
-    archives = packed_archives(t["documents"])
-    names = t["documents"].select(F.concat(F.lit("d"), "doc_id").alias("upload_id"))
-    return zip_verdict(names, expand_archives(archives, LIMITS), LIMITS).select("upload_id", "reason")
-
-
-@query(
-    "zip_corrupt",
-    f"""
-    SELECT {_DOC} AS upload_id, lang <> 'es' AS accepted,
-        CASE lang WHEN 'es' THEN 'Uploaded file is not a valid ZIP archive' END AS reason
-    FROM documents""",
-)
-def _(t):
-    names = t["documents"].select(F.concat(F.lit("d"), "doc_id").alias("upload_id"))
-    manifest = expand_archives(packed_archives(t["documents"], torn="es"))
-    return zip_verdict(names, manifest, ArchiveLimits()).select("upload_id", "accepted", "reason")
-
-
 @query(
     "detect_media_type",
     f"""
@@ -79,14 +21,3 @@ def _(t):
     return detect_media_type(packed_files(t["documents"])).select("upload_id", "media_type")
 
 
-@query(
-    "extract_document_text",
-    f"""
-    SELECT {_DOC} AS upload_id, CASE WHEN lang <> 'es' THEN text END AS text,
-        CASE WHEN lang = 'es' THEN 'UNSUPPORTED_MEDIA_TYPE' END AS error_code
-    FROM documents""",
-)
-def _(t):
-    decoders = {**DECODERS, PDF_TYPE: _marked_text}
-    texts = extract_document_text(packed_files(t["documents"]), decoders)
-    return texts.select("upload_id", "text", "error_code")

@@ -1,12 +1,18 @@
-"""Session defaults and the shared checkpoint folder."""
+"""Session defaults and the shared staging folder."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: list[str] = []
+
+
 def build_session(app: str = "talentgrid", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -22,31 +28,21 @@ def build_session(app: str = "talentgrid", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; fall back to a temp folder in local mode only."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="talentgrid-checkpoint-")
-    context.setCheckpointDir(folder)
+def staging_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; in local mode only, a temp folder that goes with the process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="talentgrid-staging-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
 
 
 def fixed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder, so later stages all see the same rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def spread_small_scan(df: DataFrame, task_bytes: int = 2 << 20, split_bytes: int = 128 << 20) -> DataFrame:
-    """Give CPU-bound work on a small scan all cores, though its few row groups would use one or two.
-
-    Only a scan too small to fill the cores by itself is moved; a large one is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    tasks = min(cores, size // task_bytes)
-    return df.repartition(tasks) if tasks > 1 and size < cores * split_bytes else df
+    """Write ``df`` as Parquet to the staging folder, so later stages all see the same rows and read columns of them."""
+    path = f"{staging_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.operators.archive import CORRUPT
+from talentgrid.operators.archive import CANNOT_EXTRACT, CORRUPT
 from talentgrid.schemas import MANIFEST
 from talentgrid.settings import ArchiveLimits
 
 BATCH_BYTES = 32 << 20
 BATCH_ROWS = 1000
+_HEADERS = (b"PK\x03\x04", b"PK\x05\x06")
+_END, _END_REACH = b"PK\x05\x06", (1 << 16) + 22
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -24,9 +26,11 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def _entries(upload_id: str, blob: bytes, limits: ArchiveLimits) -> Iterator[tuple]:
-    """Entries in archive order. Reading stops where the archive is rejected anyway, so an archive
-    that unpacks to far more than its limits is never unpacked whole."""
-    number = total = 0
+    """Entries in archive order. Bytes are read only up to where the archive is rejected anyway, so an archive
+    that unpacks to far more than its limits is never unpacked whole. Bytes without a ZIP header hold no entry."""
+    number, total, full = 0, 0, False
+    if not blob.startswith(_HEADERS):
+        return
     try:
         with zipfile.ZipFile(io.BytesIO(blob)) as archive:
             for info in sorted(archive.infolist(), key=lambda i: i.header_offset):
@@ -34,9 +38,9 @@ def _entries(upload_id: str, blob: bytes, limits: ArchiveLimits) -> Iterator[tup
                 name = info.orig_filename
                 if name.endswith("/"):
                     yield upload_id, number, name, True, 0, None, None
-                elif number > limits.max_entries:
+                elif full or number > limits.max_entries:
+                    # Rejected already; the listing goes on with names and declared sizes.
                     yield upload_id, number, name, False, info.file_size, None, None
-                    return
                 else:
                     room = max(0, limits.max_total_bytes - total)
                     most = min(limits.max_single_bytes, room)
@@ -45,12 +49,17 @@ def _entries(upload_id: str, blob: bytes, limits: ArchiveLimits) -> Iterator[tup
                     if len(data) > most:
                         size = max(info.file_size, len(data))
                         yield upload_id, number, name, False, size, None, None
-                        return
+                        full = True
+                        continue
                     total += len(data)
                     yield upload_id, number, name, False, len(data), data, None
-    except (zipfile.BadZipFile, EOFError, ValueError, NotImplementedError, RuntimeError, OSError):
-        yield upload_id, None, None, None, None, None, CORRUPT
-    except zipfile.zlib.error:
+    except EOFError:
+        yield upload_id, None, None, None, None, None, CANNOT_EXTRACT
+    except zipfile.BadZipFile:
+        # Without its end record the archive was cut; with it, an entry is broken.
+        cut = _END not in blob[-_END_REACH:]
+        yield upload_id, None, None, None, None, None, CANNOT_EXTRACT if cut else CORRUPT
+    except (ValueError, NotImplementedError, RuntimeError, OSError, zipfile.zlib.error):
         yield upload_id, None, None, None, None, None, CORRUPT
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentgrid.functions.paths import is_cv_name, normalize_path
-from talentgrid.operators.documents import PARSE_FAILED, UNSUPPORTED_MEDIA_TYPE
+from talentgrid.operators.documents import PARSE_FAILED, TEXT_LIMIT_EXCEEDED, UNSUPPORTED_MEDIA_TYPE
 from talentgrid.operators.joins import join_per_key
 from talentgrid.schemas import DOCUMENT
 from talentgrid.settings import DOCX_TYPE, PDF_TYPE
@@ -40,10 +40,21 @@ def detect_media_type(files: DataFrame) -> DataFrame:
     return files.withColumn("media_type", media_type(F.col("content")))
 
 
+class TextTooLong(ValueError):
+    """A document's text is far beyond any text limit, so it is not read whole."""
+
+
+#: Bytes of a document's body that are read at most; mark-up takes several bytes for each character of text.
+MAX_BODY_BYTES = 64 << 20
+
+
 def decode_docx(content: bytes) -> str:
     """Paragraphs of the document body, one per line; table cells end with a tab."""
-    with zipfile.ZipFile(io.BytesIO(content)) as package:
-        root = ElementTree.fromstring(package.read("word/document.xml"))
+    with zipfile.ZipFile(io.BytesIO(content)) as package, package.open("word/document.xml") as part:
+        body = part.read(MAX_BODY_BYTES + 1)
+    if len(body) > MAX_BODY_BYTES:
+        raise TextTooLong
+    root = ElementTree.fromstring(body)
     lines = []
     for paragraph in root.iter(_WORD + "p"):
         parts = (
@@ -63,16 +74,18 @@ def extract_document_text(
 ) -> DataFrame:
     """(upload_id, rel_path, content) to (upload_id, rel_path, media_type, text, error_code).
 
-    A decoder's exception becomes that row's error_code, so one bad file fails nothing else. The bytes
-    do not leave this step.
+    A decoder's exception becomes that row's error_code, so one bad file fails nothing else. A type without a decoder
+    is told by name: its rows are UNSUPPORTED_MEDIA_TYPE, not broken files. The bytes do not leave this step.
     """
     typed = detect_media_type(files) if detect else files
 
     def decode(kind: str, content: bytes) -> tuple[str | None, str | None]:
-        if kind not in (PDF_TYPE, DOCX_TYPE):
+        if kind not in decoders:
             return None, UNSUPPORTED_MEDIA_TYPE
         try:
             return decoders[kind](bytes(content)), None
+        except TextTooLong:
+            return None, TEXT_LIMIT_EXCEEDED
         except Exception:
             return None, PARSE_FAILED
 

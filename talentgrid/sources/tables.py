@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from talentgrid.functions.csvcells import BYTE_ORDER_MARK
 from talentgrid.operators.export import csv_header, csv_rows, typed_rows
+from talentgrid.operators.ordered import first_per_key
 from talentgrid.operators.retention import new_cleanup_records
-from talentgrid.schemas import TABLES
+from talentgrid.schemas import CANDIDATE, PROCESSING_FAILURE, TABLES
 
 
 def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -56,17 +59,39 @@ def write_candidates_typed(exported: DataFrame, folder: str) -> None:
 
 def new_failures(stored: DataFrame, failures: DataFrame) -> DataFrame:
     """Failures to append: each id once, and only those not stored yet."""
-    return failures.dropDuplicates(["id"]).join(stored.select("id"), "id", "left_anti")
+    order = ["created_at", "filename", "error_code", "error_message"]
+    once = first_per_key(failures, ["id"], [c for c in order if c in failures.columns])
+    return once.join(stored.select("id"), "id", "left_anti")
+
+
+def stored_table(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The table so far; a table nobody wrote yet is empty."""
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def of_uploads(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """Stored rows of the uploads of `rows`; files are sorted by upload, so a pruned join skips row groups."""
+    return stored.join(rows.select("upload_id").distinct(), "upload_id", "left_semi")
 
 
 def append_failures(failures: DataFrame, folder: str) -> None:
-    """Append failure rows, sorted by upload inside each file so that lookups skip row groups."""
-    ordered = failures.sortWithinPartitions("upload_id", "filename")
+    """Append failure rows not stored yet, sorted by upload inside each file so that lookups skip row groups."""
+    stored = of_uploads(stored_table(failures.sparkSession, folder, PROCESSING_FAILURE), failures)
+    ordered = new_failures(stored, failures).select(*failures.columns).sortWithinPartitions("upload_id", "filename")
     ordered.write.mode("append").parquet(folder)
 
 
 def append_candidates(candidates: DataFrame, folder: str) -> None:
-    candidates.sortWithinPartitions("upload_id", "source_filename").write.mode("append").parquet(folder)
+    """Append candidates whose upload and file are not stored yet, the first of each by id."""
+    keys = ["upload_id", "source_filename"]
+    stored = of_uploads(stored_table(candidates.sparkSession, folder, CANDIDATE), candidates).select(*keys)
+    fresh = first_per_key(candidates, keys, ["id"]).join(stored, keys, "left_anti").select(*candidates.columns)
+    fresh.sortWithinPartitions(*keys).write.mode("append").parquet(folder)
 
 
 def append_cleanup_records(records: DataFrame, additions: DataFrame, folder: str) -> None:

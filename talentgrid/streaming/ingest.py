@@ -2,47 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from talentgrid.operators.ingest import (
     build_failures,
+    cv_files,
     insert_new_candidates,
     process_documents,
 )
 from talentgrid.schemas import CANDIDATE, PROCESSING_FAILURE
 from talentgrid.settings import ParsingLimits
-from talentgrid.sources.tables import append_candidates, append_failures, new_failures
+from talentgrid.sources.tables import append_candidates, append_failures, of_uploads, stored_table
 
 _CANDIDATE_COLUMNS = CANDIDATE.names
 _FAILURE_COLUMNS = PROCESSING_FAILURE.names
 
 
-MAX_LISTED_UPLOADS = 1000
-
-
-def _stored(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """The table so far; a table nobody wrote yet is empty."""
-    try:
-        return spark.read.schema(schema).parquet(folder)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def _of_uploads(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Stored rows of the batch's uploads. A batch usually has few of them; their ids then become a
-    scan filter, and as every file is sorted by upload most row groups are skipped."""
-    ids = batch.select("upload_id").distinct().limit(MAX_LISTED_UPLOADS + 1).collect()
-    if len(ids) > MAX_LISTED_UPLOADS:
-        return stored
-    return stored.filter(F.col("upload_id").isin([r.upload_id for r in ids]))
-
-
 def merge_batch(
     documents: DataFrame,
     candidate_folder: str,
@@ -54,16 +31,15 @@ def merge_batch(
     is delivered or run again changes nothing."""
     spark = documents.sparkSession
     now = F.current_timestamp() if now is None else now
-    results = process_documents(documents, parsing).persist()
+    results = process_documents(cv_files(documents), parsing).persist()
     try:
         drafts = results.filter(F.col("error_code").isNull())
         drafts = drafts.withColumn("file_no", F.col("rel_path"))
-        stored = _of_uploads(_stored(spark, candidate_folder, CANDIDATE), results)
+        stored = of_uploads(stored_table(spark, candidate_folder, CANDIDATE), results)
         fresh = insert_new_candidates(drafts, stored).withColumn("created_at", now)
         append_candidates(fresh.select(*_CANDIDATE_COLUMNS), candidate_folder)
 
-        known = _of_uploads(_stored(spark, failure_folder, PROCESSING_FAILURE), results)
-        lost = new_failures(known, build_failures(results, now))
+        lost = build_failures(results, now)
         append_failures(lost.select(*_FAILURE_COLUMNS), failure_folder)
     finally:
         results.unpersist()
@@ -91,7 +67,7 @@ def stream_ingest(
 def stream_progress(documents: DataFrame, parsing: ParsingLimits = ParsingLimits()) -> DataFrame:
     """Processed and failed files per upload so far; write it in update mode."""
     failed = F.col("error_code").isNotNull()
-    return process_documents(documents, parsing).groupBy("upload_id").agg(
+    return process_documents(cv_files(documents), parsing).groupBy("upload_id").agg(
         F.count_if(~failed).alias("processed_files"), F.count_if(failed).alias("failed_files")
     )
 

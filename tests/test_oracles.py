@@ -6,11 +6,12 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from talentgrid.plans import registry
 from talentgrid.plans.fixtures import TABLES
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = registry.queries()
+ORACLES = registry.oracles()
 duckdb = pytest.importorskip("duckdb")
 
 
@@ -35,6 +36,7 @@ def table(columns, rows):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES) and len(QUERIES) > 90
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

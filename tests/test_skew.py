@@ -20,13 +20,10 @@ NAMES = [
     "zip_total_size",
     "zip_verdict",
     "discover_cv_files",
-    "assign_chunks",
     "skip_limit_gate",
     "insert_new_candidates",
     "ingest_uploads",
     "sort_candidates",
-    "token_bucket_replay",
-    "rate_limit_outcome",
     "cleanup_metrics",
 ]
 
