@@ -10,11 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentgrid.llm.staging import staged
+from talentgrid.llm.staging import staged, temporary
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of `links` (a, b): root is one node of its component, the same for all."""
+    with temporary(links.sparkSession):
+        labels = _components(links)
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0) if labels is None else staged(labels, "roots", up=1)
+
+
+def _components(links: DataFrame) -> DataFrame | None:
     open_ = staged(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     labels, rows = None, open_.count()
     while left := open_.count():
@@ -36,6 +42,4 @@ def components(links: DataFrame) -> DataFrame:
         else:
             up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
             labels = staged(labels.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "labels", 2 * rows)
-    if labels is None:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     return labels

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from talentgrid.llm import cells as C
 from talentgrid.llm import words as W
-from talentgrid.llm.staging import staged
+from talentgrid.llm.staging import staged, temporary
 
 BLOCK_TOKENS = 2_000_000
 FILTER_BYTES = 32 << 20
@@ -267,13 +267,14 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", F.coalesce(training, F.lit(False)).alias("learn"))
-    parts = staged(counted(texts.select("key", "text", "learn")), "counts")
-    ngrams = parts.where("kind = 1").select("bucket", "cell", "words")
-    sums = staged(summed(parts.where("kind = 0").select("bucket", "cell")), "sums")
-    distinct = ngrams.agg(F.sum("words").alias("v")).first().v or 0
+    with temporary(spark):
+        parts = staged(counted(texts.select("key", "text", "learn")), "counts")
+        ngrams = parts.where("kind = 1").select("bucket", "cell", "words")
+        sums = staged(summed(parts.where("kind = 0").select("bucket", "cell")), "sums", up=1)
+        distinct = ngrams.agg(F.sum("words").alias("v")).first().v or 0
+        told = spark.sparkContext.broadcast(filter_of(ngrams)[0])
     train_tokens = sums.where("learn").agg(F.sum("known").alias("n")).first().n or 0
     whole = train_tokens + 0.5 * (distinct + 1)
-    told = spark.sparkContext.broadcast(filter_of(ngrams)[0])
 
     def probabilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = told.value

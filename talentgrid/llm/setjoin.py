@@ -35,7 +35,7 @@ from talentgrid.llm import cells as C
 from talentgrid.llm import words as W
 from talentgrid.llm.boxes import boxed, unboxed
 from talentgrid.llm.components import components
-from talentgrid.llm.staging import staged
+from talentgrid.llm.staging import staged, temporary
 
 BLOCK_SHINGLES = 1_500_000
 #: At most so many frequent shingles are told to the tasks, and so many bits of a filter (2 MB each). Both
@@ -45,7 +45,7 @@ FILTER_BITS = 1 << 24
 LIST_BLOCK = 512
 #: Step 3 tries at most so many partners of a set in a round, and goes on for at most so many rounds, while more than
 #: one in JOINING_SHARE of the partners joins. These save work in step 4, which finds whatever is left.
-CROWD, PARTNERS, TRIES, MERGING_ROUNDS, JOINING_SHARE = 32, 3, 8, 3, 20
+CROWD, PARTNERS, TRIES, MERGING_ROUNDS, JOINING_SHARE = 32, 3, 8, 5, 20
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -217,7 +217,7 @@ def index_lists(docs: DataFrame, size: int, like: Similarity) -> tuple[DataFrame
                 yield batch(token=token[m].view(np.int64), sid=sid[m], n=n[m], pos=pos[m], leader=sid[lead][m], leader_n=n[lead][m], near=near[m])
 
     both = staged(C.by_bucket(_texts(docs).mapInArrow(indexed, C.CELL), buckets, lists, "doc_id long, fp long, token long, sid long, n long, pos long, leader long, leader_n long, near boolean"), "lists")
-    return both.where("token is null").select("doc_id", "fp", "n", "sid"), both.where("token is not null").drop("doc_id", "fp")
+    return staged(both.where("token is null").select("doc_id", "fp", "n", "sid"), "texts", up=1), both.where("token is not null").drop("doc_id", "fp")
 
 
 def _slots(sid: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -359,12 +359,21 @@ def some_pairs(lists: DataFrame, like: Similarity, turn: int) -> DataFrame:
     return found.withColumn("turn", turns).where(f"turn <= {PARTNERS}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid")))
+
+
 def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Texts (doc_id, fp, n, sid), and (sid, component_id, least) of the classes whose component has several texts.
 
     component_id is the smallest doc_id of the component, and least the (doc_id, fp) of the text that stands for it.
     """
-    like = Similarity(percent)
+    with temporary(docs.sparkSession):
+        return _similar_classes(docs, size, percent)
+
+
+def _similar_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    spark, like = docs.sparkSession, Similarity(percent)
     texts, lists = index_lists(docs, size, like)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")
     classes = staged(texts.where("n > 0").groupBy("sid").agg(F.min(first).alias("least"), F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n")), "classes")
@@ -372,7 +381,8 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[
     linked = f"100 * inter >= {percent} * (na + nb - inter)"
 
     stars = staged(lists.where("near").select(F.col("sid").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
-    known = staged(compared(stars, sets_of(docs, classes, stars.select(F.explode(F.array("a", "b")).alias("sid")), size)), "overlaps")
+    with temporary(spark):
+        known = staged(compared(stars, sets_of(docs, classes, _ends(stars), size)), "overlaps", up=1)
     roots = components(known.where(linked)).withColumnRenamed("node", "sid")
 
     several = lists.groupBy("token").agg(F.count("*").alias("k")).where("k > 2")
@@ -380,44 +390,47 @@ def similar_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[
     lists = staged(lists.withColumn("inter", F.when(F.col("sid") == F.col("leader"), F.col("n")).otherwise(F.col("inter"))), "several")
     n_rows = lists.count()
 
-    def mixed(roots: DataFrame) -> DataFrame:
+    def mixed(roots: DataFrame, up: int = 0) -> DataFrame:
         """The rows of lists that hold several components, with their roots."""
         rows = lists.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         tokens = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-        return staged(rows.join(tokens, "token"), "mixed", n_rows)
+        return staged(rows.join(tokens, "token"), "mixed", n_rows, up=up)
 
-    def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    def merged(roots: DataFrame, links: DataFrame, out: int = 0) -> DataFrame:
         a, b = (roots.select(F.col("sid").alias(k), F.col("root").alias(f"r{k}")) for k in "ab")
         between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
         up = components(between).select(F.col("node").alias("root"), F.col("root").alias("above"))
         old = roots.join(up, "root", "left").select("sid", F.coalesce("above", "root").alias("root"))
         new = up.join(roots.select(F.col("sid").alias("root")), "root", "left_anti").select(F.col("root").alias("sid"), F.col("above").alias("root"))
-        return staged(old.unionByName(new), "roots", n_classes)
+        return staged(old.unionByName(new), "roots", n_classes, up=out)
 
     rest = mixed(roots)
-    if not rest.where(f"k >= {CROWD}").isEmpty():
-        sets = sets_of(docs, classes, rest.where(f"k >= {CROWD}").select("sid"), size)
-        for turn in range(MERGING_ROUNDS):
-            tried = staged(compared(some_pairs(rest.where(f"k >= {CROWD}"), like, turn), sets), "tried")
-            n, more = tried.agg(F.count("*"), F.count(F.when(F.expr(linked), 1))).first()
-            if more:
-                roots = merged(roots, tried.where(linked).select("a", "b"))
-                rest = mixed(roots)
-            if more * JOINING_SHARE <= n:
-                break
+    crowded = f"k >= {CROWD}"
+    if not rest.where(crowded).isEmpty():
+        with temporary(spark):
+            sets = sets_of(docs, classes, rest.where(crowded).select("sid"), size)
+            for turn in range(MERGING_ROUNDS):
+                tried = staged(compared(some_pairs(rest.where(crowded), like, turn), sets), "tried")
+                n, more = tried.agg(F.count("*"), F.count(F.when(F.expr(linked), 1))).first()
+                if more:
+                    roots = merged(roots, tried.where(linked).select("a", "b"), out=1)
+                    rest = mixed(roots, up=1)
+                if more * JOINING_SHARE <= n:
+                    break
     pairs = staged(open_pairs(rest, like), "open")
     done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     unsure = staged(pairs.where("not sure").select("a", "b").join(done, ["a", "b"], "left_anti"), "unsure")
     found = pairs.where("sure").select("a", "b")
     if not unsure.isEmpty():
-        sets = sets_of(docs, classes, unsure.select(F.explode(F.array("a", "b")).alias("sid")), size)
-        found = staged(compared(unsure, sets).where(linked).select("a", "b").union(found), "found")
+        with temporary(spark):
+            sets = sets_of(docs, classes, _ends(unsure), size)
+            found = staged(compared(unsure, sets).where(linked).select("a", "b").union(found), "found", up=1)
     if not found.isEmpty():
         roots = merged(roots, found)
     grouped = staged(classes.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "grouped", n_classes)
     least = grouped.groupBy("root").agg(F.min("least").alias("least"), F.min("first").alias("component_id"), F.sum("copies").alias("texts"))
     named = grouped.select("sid", "root").join(least.where("texts > 1"), "root")
-    return texts, staged(named.select("sid", "component_id", "least"), "named", n_classes)
+    return texts, staged(named.select("sid", "component_id", "least"), "named", n_classes, up=1)
 
 
 def similar_texts(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,12 +35,29 @@ def new_path(spark: SparkSession, name: str) -> str:
 ROWS_A_TASK = 250_000
 
 
-def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end, but for those that go `up`; nothing that lives longer may read them."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None, up: int = 0) -> DataFrame:
     """`df`, written as Parquet and read again. Where `df` is narrow and has at most about `rows` rows, no more tasks
-    than they fill make it."""
+    than they fill make it. It goes with the block of `temporary` that is `up` blocks further out, or stays."""
     spark = df.sparkSession
     path = new_path(spark, name)
     if rows is not None:
         df = df.coalesce(max(4, -(-rows // ROWS_A_TASK)))
     df.write.parquet(path)
+    if len(_scopes) > up:
+        _scopes[-1 - up].append(path)
     return spark.read.schema(df.schema).parquet(path)
