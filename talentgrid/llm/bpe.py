@@ -1,8 +1,8 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are split at ASCII white space, which no token spans. A map task numbers the distinct words of a block of
-texts and ships each word once, by ranges of word hashes, with the texts as sequences of word numbers beside
-them. One task per range encodes every distinct word of the corpus once with the tokenizers library; the ids go
+texts and ships each word once, by ranges of word hashes. The texts are read a second time and cross as sequences of
+word numbers, so `docs` must give the same rows in the same order again, as files do; otherwise the job fails. One task per range encodes every distinct word of the corpus once with the tokenizers library; the ids go
 back to their blocks and are joined to the sequences by word number. Decoding joins ids with the table of
 pieces, whose size is that of the vocabulary.
 
@@ -25,7 +25,6 @@ import pyarrow as pa
 import regex
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,8 +98,8 @@ def _joined(docs: DataFrame, path: str, packed: bool, finish: Callable[[Iterator
     """Batches of (doc_id, ids) as `finish` makes them."""
     buckets, kind = C.bucket_count(docs.sparkSession), encoder(path).kind
 
-    def block(turn: int, parts: list[tuple]) -> pa.RecordBatch:
-        """Part 0 of a block has its texts as word numbers, part k + 1 the distinct words of bucket k."""
+    def block(parts: list[tuple], words_only: bool) -> pa.RecordBatch:
+        """The distinct words of a block for their buckets, or the texts as word numbers for the block's home."""
         keys, data, starts, ends, counts, ids, valid = [], [], [], [], [], [], []
         size = 0
         for doc_ids, words in parts:
@@ -122,8 +121,10 @@ def _joined(docs: DataFrame, path: str, packed: bool, finish: Callable[[Iterator
         number[order] = np.repeat(rank, times)
         texts = C.pack(number, C.small(np.concatenate(counts)), np.concatenate(ids), np.concatenate(valid))
         name = xxhash.xxh3_128_digest(texts + keys.tobytes())
-        home = turn % buckets
-        rows = [(home, name, 0, texts)]
+        home = int.from_bytes(name[:8], "little") % buckets
+        if not words_only:
+            return _rows([(home, name, 0, texts)])
+        rows = []
         sample, raw = order[first], data.tobytes()
         for b, i, j in C.ranges(keys[sample], buckets):
             own = [raw[a:z] for a, z in zip(starts[sample[i:j]].tolist(), ends[sample[i:j]].tolist(), strict=True)]
@@ -131,28 +132,21 @@ def _joined(docs: DataFrame, path: str, packed: bool, finish: Callable[[Iterator
             rows.append((b, name, home + 1, len(cell).to_bytes(8, "little") + cell + zstandard.compress(b"\n".join(own), 1)))
         return _rows(rows)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        turn, have, parts = context.partitionId() if context else 0, 0, []
+    def split(batches: Iterator[pa.RecordBatch], words_only: bool) -> Iterator[pa.RecordBatch]:
+        have, parts = 0, []
         for part in W.slices(batches):
             words = W.split(*W.text_bytes(part.column(1)))
             parts.append((part.column(0), words))
             have += len(words.starts)
             if have >= BLOCK_WORDS:
-                yield block(turn, parts)
-                turn, have, parts = turn + 7919, 0, []
+                yield block(parts, words_only)
+                have, parts = 0, []
         if parts:
-            yield block(turn, parts)
+            yield block(parts, words_only)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts pass; the words of a bucket become ids, each distinct word once."""
-        cells = []
-        for x in batches:
-            for b, name, part, cell in zip(*(c.to_pylist() for c in x.columns), strict=True):
-                if part:
-                    cells.append((name, part - 1, cell))
-                else:
-                    yield _rows([(b, name, 0, cell)])
+        """The words of a bucket become ids, each distinct word once."""
+        cells = [(name, part - 1, cell) for x in batches for _, name, part, cell in zip(*(c.to_pylist() for c in x.columns), strict=True)]
         table: dict[bytes, bytes] = {}
         own = encoder(path)
         for name, home, cell in cells:
@@ -169,10 +163,13 @@ def _joined(docs: DataFrame, path: str, packed: bool, finish: Callable[[Iterator
         rows = (r for x in batches for r in zip(*(c.to_pylist() for c in x.columns), strict=True))
         for _, group in groupby(rows, key=lambda r: r[1]):
             group = list(group)
-            number, counts, ids, valid = C.unpack(next(r[3] for r in group if r[2] == 0))
+            texts = [r[3] for r in group if r[2] == 0]
+            if not texts:
+                raise RuntimeError("a block of texts was split in two ways; write the texts to files first")
+            number, counts, ids, valid = C.unpack(texts[0])
             replies = [C.unpack(r[3]) for r in group if r[2] == 1]
             n = int(number.max()) + 1 if len(number) else 0
-            if sum(len(r[0]) for r in replies) != n:
+            if sum(len(r[0]) for r in replies) != n * len(texts):  # equal blocks share a name
                 raise RuntimeError("a block of texts was split in two ways; write the texts to files first")
             size, at, total = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
             for rank, sizes, flat in replies:
@@ -180,25 +177,27 @@ def _joined(docs: DataFrame, path: str, packed: bool, finish: Callable[[Iterator
                 at[rank] = total + np.cumsum(sizes.astype(np.int64)) - sizes
                 total += len(flat)
             flat = np.concatenate([r[2] for r in replies]) if replies else np.zeros(0, kind)
-            edges, i = np.concatenate([[0], np.cumsum(counts.astype(np.int64))]), 0
-            while i < len(counts):
-                j = max(i + 1, int(np.searchsorted(edges, edges[i] + (1 << 18), "right")) - 1)
-                own = number[edges[i] : edges[j]]
-                sizes = size[own]
-                ends = np.cumsum(sizes)
-                out = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at[own] - (ends - sizes), sizes)]
-                bounds = np.concatenate([[0], ends])[edges[i : j + 1] - edges[i]]
-                who = pa.array(ids[i:j], pa.int64(), mask=valid[i:j] == 0)
-                if packed:
-                    values = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((bounds * out.dtype.itemsize).astype(np.int32)), pa.py_buffer(out.tobytes())])
-                else:
-                    values = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(out.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([who, values], names=["doc_id", "ids"])
-                i = j
+            for _ in texts:
+                edges, i = np.concatenate([[0], np.cumsum(counts.astype(np.int64))]), 0
+                while i < len(counts):
+                    j = max(i + 1, int(np.searchsorted(edges, edges[i] + (1 << 18), "right")) - 1)
+                    own = number[edges[i] : edges[j]]
+                    sizes = size[own]
+                    ends = np.cumsum(sizes)
+                    out = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at[own] - (ends - sizes), sizes)]
+                    bounds = np.concatenate([[0], ends])[edges[i : j + 1] - edges[i]]
+                    who = pa.array(ids[i:j], pa.int64(), mask=valid[i:j] == 0)
+                    if packed:
+                        values = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((bounds * out.dtype.itemsize).astype(np.int32)), pa.py_buffer(out.tobytes())])
+                    else:
+                        values = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(out.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([who, values], names=["doc_id", "ids"])
+                    i = j
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = texts.mapInArrow(split, _ROWS).repartitionById(buckets, F.col("bucket")).mapInArrow(coded, _ROWS)
-    home = ids.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("block", "part")
+    words = texts.mapInArrow(lambda batches: split(batches, True), _ROWS).repartitionById(buckets, F.col("bucket"))
+    numbers = texts.mapInArrow(lambda batches: split(batches, False), _ROWS)
+    home = words.mapInArrow(coded, _ROWS).union(numbers).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("block", "part")
     return home.mapInArrow(lambda batches: finish(joined(batches)), schema)
 
 
