@@ -167,7 +167,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", v
         return q[order], v[order], score[order]
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size, known, least = 0, np.zeros(0, np.int64), np.zeros(0)  # queries with k + 1 candidates, and their last score
         rows = (r for x in batches for r in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(3).to_pylist(), strict=True))
         for _, group in groupby(rows, key=lambda r: r[0]):
             asked: list[tuple[np.ndarray, np.ndarray]] = []
@@ -179,16 +180,24 @@ def nearest(rows: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", v
                     continue
                 for qids, vectors in asked:
                     score = vectors @ matrix.T
+                    floor = np.full(len(qids), -np.inf)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, qids), len(known) - 1)
+                        floor[known[at] == qids] = least[at][known[at] == qids]
                     if score.shape[1] > k + 1:
-                        least = np.partition(score, -(k + 1), axis=1)[:, -(k + 1)]
-                        q, v = np.nonzero(score >= least[:, None])
-                    else:
-                        q, v = (x.reshape(-1) for x in np.indices(score.shape))
-                    more = (qids[q], ids[v], score[q, v])
-                    have = tuple(np.concatenate(p) for p in zip(have, more, strict=True))
-                    if len(have[0]) > 500_000:
-                        have = best(*have)
-        q, v, score = best(*have)
+                        new = np.isneginf(floor)
+                        floor[new] = np.partition(score[new], -(k + 1), axis=1)[:, -(k + 1)]
+                    q, v = np.nonzero(score >= floor[:, None])
+                    held.append((qids[q], ids[v], score[q, v]))
+                    size += len(q)
+                    if size > 200_000:
+                        held = [best(*(np.concatenate(p) for p in zip(*held, strict=True)))]
+                        start, length = C.runs(held[0][0])
+                        full = start[length == k + 1]
+                        size, known, least = len(held[0][0]), held[0][0][full], held[0][2][full + k] - 1e-9
+        if not held:
+            return
+        q, v, score = best(*(np.concatenate(p) for p in zip(*held, strict=True)))
         home = W.mix(q.view(np.uint64))
         order = np.argsort(home)
         rows = [(b, C.pack(q[o], v[o], score[o])) for b, i, j in C.ranges(home[order], buckets) for o in [order[i:j]]]
