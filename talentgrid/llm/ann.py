@@ -168,7 +168,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", v
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size, known, least = 0, np.zeros(0, np.int64), np.zeros(0)  # queries with k + 1 candidates, and their last score
+        size, limit, known, least = 0, 200_000, np.zeros(0, np.int64), np.zeros(0)  # queries with k + 1 candidates, and their last score
         rows = (r for x in batches for r in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(3).to_pylist(), strict=True))
         for _, group in groupby(rows, key=lambda r: r[0]):
             asked: list[tuple[np.ndarray, np.ndarray]] = []
@@ -190,11 +190,12 @@ def nearest(rows: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", v
                     q, v = np.nonzero(score >= floor[:, None])
                     held.append((qids[q], ids[v], score[q, v]))
                     size += len(q)
-                    if size > 200_000:
+                    if size > limit:
                         held = [best(*(np.concatenate(p) for p in zip(*held, strict=True)))]
                         start, length = C.runs(held[0][0])
                         full = start[length == k + 1]
                         size, known, least = len(held[0][0]), held[0][0][full], held[0][2][full + k] - 1e-9
+                        limit = 2 * size + 200_000
         if not held:
             return
         q, v, score = best(*(np.concatenate(p) for p in zip(*held, strict=True)))
