@@ -2,15 +2,14 @@
 
 Training counts every word and every word pair of the training texts. A count c is stored as the level
 1 + floor(log2 c): the filter holds (n-gram, 1) to (n-gram, level), so a level is read by probing 1, 2, ... until a
-probe fails; a chance hit at most adds a level. The filter is made in segments, one per range of n-gram hashes, by
-the tasks that count, and is broadcast; its size is bounded by FILTER_BYTES. Where the corpus has more n-grams
-than fit at BITS_PER_ENTRY, pairs below a count are left out, the least count that fits being found from the
-exact counts of counts over the whole corpus.
+probe fails; a chance hit at most adds a level. The filter is made in segments, one per range of n-gram hashes, each
+sized by its entries, BITS_PER_ENTRY for each. It holds every counted n-gram, those seen once too, and is nowhere
+gathered as a whole: a block of documents sends its distinct n-grams to the tasks of their ranges, which count, make
+the segment, probe it and return levels to the block, where the documents are scored.
 
 p(w | v) = (1 - PAIR) p(w) + PAIR c(v, w) / c(v) with p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), counts read from the
 filter (a level stands for the middle of its range), N and V exact. A text starts after a start mark and ends with an
-end mark, which is a token. The unigram base score uses exact counts instead: word counts by document travel in
-packed cells to the task of their range, which knows the corpus count, and return as sums per document.
+end mark, which is a token. The unigram base score uses exact counts instead, which return with the levels.
 
 Words are taken by 64-bit hash of their bytes, A-Z lower-cased. Null text counts as empty: one token, the end.
 Repeated rows are scored each; a row without doc_id is scored, and `training` decides whether it is learnt from.
@@ -29,10 +28,9 @@ from pyspark.sql import functions as F
 
 from talentgrid.llm import cells as C
 from talentgrid.llm import words as W
-from talentgrid.llm.staging import staged, temporary
+from talentgrid.llm.staging import staged
 
 BLOCK_TOKENS = 2_000_000
-FILTER_BYTES = 32 << 20
 BITS_PER_ENTRY = 12
 PROBES = 4
 PAIR = 0.1
@@ -97,8 +95,8 @@ class Filter:
             yes[own] = (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return yes
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of n-grams, by probing level after level."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels of n-grams, by probing one after the other; 0 for those not held."""
         segment = C.bucket_of(keys, len(self.sizes))
         out, open_ = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for k in range(1, LEVELS + 1):
@@ -106,7 +104,10 @@ class Filter:
                 break
             open_ = open_[self.has(keys[open_], np.full(len(open_), k), segment[open_])]
             out[open_] = k
-        return MEANING[out]
+        return out
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return MEANING[self.levels(keys)]
 
 
 def segment_bits(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -124,43 +125,39 @@ def segment_bits(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def counted(texts: DataFrame) -> DataFrame:
-    """Corpus counts and unigram sums, by range of hashes, from `texts` (key, text, learn).
+    """Levels and counts of each block's n-grams, by range of hashes, from `texts` (doc_id, text, learn).
 
-    Rows of kind 0 are for `bucket`, the home of a block of documents: the block's keys, and by range the sums of
-    log10(c + 0.5) and of tokens with c > 0 over each document's tokens in that range. A row of kind 1 has the n-grams of range `bucket`: words, and pairs counted twice or more;
-    `words` is the number of its distinct words.
+    Rows of kind 0 are for `bucket`, the home of a block of documents: the block's words in their order, and by range
+    the exact counts of its distinct words and the levels of its distinct words and pairs, by hash. A row of kind 1
+    tells of a range the number of its distinct `words`, and of the `tokens` learnt from.
     """
     buckets = C.bucket_count(texts.sparkSession)
 
+    def distinct(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, each key's place among them, and how many of each are learnt from."""
+        keys, at = np.unique(keys, return_inverse=True)
+        return keys, at, np.bincount(at, learn, len(keys)).astype(np.int64)
+
     def block(parts: list[tuple]) -> pa.RecordBatch:
-        uni, pair, doc, learn, names, n = [], [], [], [], [], 0
-        for x, flat, bounds in parts:
-            own, teach = W.owners(bounds), x.column(2).to_numpy(zero_copy_only=False)
-            uni.append(unigrams(flat))
-            doc.append(own + n)
-            pair.append(bigrams(before(flat, bounds), flat)[teach[own]])
-            learn.append(teach)
-            names.append(x.column(0).to_numpy())
-            n += x.num_rows
-        uni, pair, doc, learn, names = (np.concatenate(x) for x in (uni, pair, doc, learn, names))
-        order = np.argsort(uni, kind="stable")  # texts stay in order within a word
-        uni, doc = uni[order], doc[order]
-        first = np.flatnonzero(np.concatenate([[True], (uni[1:] != uni[:-1]) | (doc[1:] != doc[:-1])]))
-        times, uni, doc = np.diff(first, append=len(uni)), uni[first], doc[first]
-        pair.sort()
-        start, often = C.runs(pair)
-        pair = pair[start]
-        of_word = {b: (i, j) for b, i, j in C.ranges(uni, buckets)}
-        of_pair = {b: (i, j) for b, i, j in C.ranges(pair, buckets)}
-        used = sorted(of_pair.keys() | of_word.keys())
-        learn, told = learn.astype(np.uint8), C.pack(names, learn.astype(np.uint8), np.array([len(used)]))
-        name = xxhash.xxh3_128_digest(told + uni.tobytes() + doc.tobytes())
-        head = name + int(W.mix(np.frombuffer(name, np.uint64))[0] % np.uint64(buckets)).to_bytes(4, "little")
-        rows = [(used[0], b"n" + head + told)]
+        ids = pa.chunked_array([x.column(0) for x, _, _ in parts])
+        learn = np.concatenate([x.column(2).to_numpy(zero_copy_only=False) for x, _, _ in parts])
+        flat = unigrams(np.concatenate([flat for _, flat, _ in parts]))
+        size = np.concatenate([np.diff(bounds) for _, _, bounds in parts])
+        taught, bounds = np.repeat(learn, size), np.concatenate([[0], np.cumsum(size)])
+        word, at, of_words = distinct(flat, taught)
+        pair, _, of_pairs = distinct(bigrams(before(flat, bounds), flat), taught)
+        word_at = {b: (i, j) for b, i, j in C.ranges(word, buckets)}
+        pair_at = {b: (i, j) for b, i, j in C.ranges(pair, buckets)}
+        used = sorted(word_at.keys() | pair_at.keys())
+        null = ids.is_null().to_numpy().astype(np.uint8)
+        told = C.pack(ids.fill_null(0).to_numpy(), null, learn.astype(np.uint8), C.small(size), C.gaps(word), C.small(at), np.array([len(used)]))
+        name = xxhash.xxh3_128_digest(told)
+        home = int(W.mix(np.frombuffer(name, np.uint64))[0] % np.uint64(buckets))
+        head = name + home.to_bytes(4, "little")
+        rows = [(home, b"n" + head + told)]
         for b in used:
-            (i, j), (p, q) = of_word.get(b, (0, 0)), of_pair.get(b, (0, 0))
-            word, length = C.runs(uni[i:j])
-            rows.append((b, b"w" + head + C.pack(C.gaps(uni[i:j][word]), C.small(length), C.small(doc[i:j]), C.small(times[i:j]), learn, C.gaps(pair[p:q]), C.small(often[p:q]))))
+            (i, j), (p, q) = word_at.get(b, (0, 0)), pair_at.get(b, (0, 0))
+            rows.append((b, b"w" + head + C.pack(C.gaps(word[i:j]), C.small(of_words[i:j]), C.gaps(pair[p:q]), C.small(of_pairs[p:q]))))
         return C.batch(rows)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,88 +173,67 @@ def counted(texts: DataFrame) -> DataFrame:
             yield block(parts)
 
     def totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        if not keys:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         flat, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
         order = np.argsort(flat)
         start, _ = C.runs(flat[order])
         return flat[order][start], np.add.reduceat(n[order], start) if len(start) else n
 
     def reduced(bucket: int, cells: list[bytes]) -> Iterator[pa.RecordBatch]:
-        words, learnt, pairs, often, out, held = [], [], [], [], [], []
+        held = [(cell[1:21], *C.unpack(cell[21:])) for cell in cells if cell[:1] == b"w"]
+        words, counts = totals([C.ungaps(x[1]) for x in held], [x[2] for x in held])
+        pairs, often = totals([C.ungaps(x[3]) for x in held], [x[4] for x in held])
+        taught, seen = counts > 0, often > 0
+        own = Filter([segment_bits(np.concatenate([words[taught], pairs[seen]]), level(np.concatenate([counts[taught], often[seen]])))])
+        of_words, of_pairs = (own.levels(keys).astype(np.uint8) for keys in (words, pairs))
+
+        def answer(head: bytes, word: np.ndarray, pair: np.ndarray) -> bytes:
+            at = np.searchsorted(words, C.ungaps(word))
+            return b"s" + head + bucket.to_bytes(4, "big") + C.pack(C.small(counts[at]), of_words[at], of_pairs[np.searchsorted(pairs, C.ungaps(pair))])
+
         for cell in cells:
             if cell[:1] == b"n":
-                out.append((0, int.from_bytes(cell[17:21], "little"), cell, 0))
-                continue
-            word, length, doc, times, learn, pair, n = C.unpack(cell[21:])
-            owner = np.repeat(np.arange(len(word)), length)
-            words.append(C.ungaps(word))
-            learnt.append(np.bincount(owner, times * learn[doc], len(word)).astype(np.int64))
-            pairs.append(C.ungaps(pair))
-            often.append(n)
-            held.append(cell)
-        keys, counts = totals(words, learnt) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        seen, twice = totals(pairs, often) if pairs else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        log = np.log10(counts + 0.5)
-        for cell in held:
-            word, length, doc, times, learn, *_ = C.unpack(cell[21:])
-            place = np.repeat(np.searchsorted(keys, C.ungaps(word)), length)
-            total = np.bincount(doc, log[place] * times, len(learn))
-            known = np.bincount(doc, (counts[place] > 0) * times, len(learn)).astype(np.int64)
-            out.append((0, int.from_bytes(cell[17:21], "little"), b"s" + cell[1:21] + C.pack(total, C.small(known)), 0))
-        some, many = counts > 0, twice > 1
-        out.append((1, bucket, C.pack(C.gaps(keys[some]), C.small(counts[some]), C.gaps(seen[many]), C.small(twice[many])), int(some.sum())))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["kind", "bucket", "cell", "words"])
-
-    return C.by_bucket(texts.mapInArrow(packed, C.CELL), buckets, reduced, "kind int, bucket int, cell binary, words long")
-
-
-def summed(cells: DataFrame) -> DataFrame:
-    """(key, learn, total, known) of each document, from rows of kind 0."""
+                yield made(0, int.from_bytes(cell[17:21], "little"), cell)
+        for head, word, _, pair, _ in held:
+            yield made(0, int.from_bytes(head[16:], "little"), answer(head, word, pair))
+        yield made(1, bucket, b"", int(taught.sum()), int(counts.sum()))
+
+    def made(kind: int, bucket: int, cell: bytes, words: int = 0, learnt: int = 0) -> pa.RecordBatch:
+        columns = zip((kind, bucket, cell, words, learnt), (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in columns], names=["kind", "bucket", "cell", "words", "tokens"])
+
+    return C.by_bucket(texts.mapInArrow(packed, C.CELL), buckets, reduced, "kind int, bucket int, cell binary, words long, tokens long")
+
+
+def scored(cells: DataFrame, whole: float) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of each document, from rows of kind 0 (bucket, cell)."""
 
     def merged(bucket: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
         for _, group in groupby(sorted(packed, key=lambda c: c[1:17]), key=lambda c: c[1:17]):
             group = list(group)
             heads = {c for c in group if c[:1] == b"n"}  # equal blocks have equal heads
-            names, learn, parts = C.unpack(next(iter(heads))[21:])
             copies = sum(c[:1] == b"n" for c in group)
-            sums = [C.unpack(c[21:]) for c in group if c[:1] == b"s"]
-            if len(heads) != 1 or len(sums) != copies * int(parts[0]):
+            answers = {c[21:25]: c for c in group if c[:1] == b"s"}
+            if len(heads) != 1:
                 raise RuntimeError("a block of texts was split in two ways; write the texts to files first")
-            total = np.sum([s[0] for s in sums], axis=0) / copies
-            known = np.sum([s[1].astype(np.int64) for s in sums], axis=0) // copies
+            ids, null, _, size, word, at, parts = C.unpack(next(iter(heads))[21:])
+            if len(answers) != int(parts[0]) or len(group) != copies * (1 + len(answers)):
+                raise RuntimeError("a block of texts was split in two ways; write the texts to files first")
+            count, of_words, of_pairs = (np.concatenate(x) for x in zip(*(C.unpack(answers[b][25:]) for b in sorted(answers)), strict=True))
+            word, bounds = C.ungaps(word), np.concatenate([[0], np.cumsum(size.astype(np.int64))])
+            _, pair = np.unique(bigrams(before(word[at], bounds), word[at]), return_inverse=True)
+            exact = count.astype(np.float64)[at]
+            held, both = MEANING[of_words][at], MEANING[of_pairs][pair]
+            context = np.concatenate([[0], held[:-1]])
+            context[bounds[:-1]] = held[bounds[1:] - 1]  # as many texts start as end
+            log = np.log10((1 - PAIR) * (held + 0.5) / whole + PAIR * both / np.maximum(np.maximum(context, both), 1))
+            sums = [np.add.reduceat(x, bounds[:-1]) for x in ((exact > 0).astype(np.int64), np.log10((exact + 0.5) / whole), log)]
+            columns = [pa.array(ids, mask=null > 0), pa.array(np.diff(bounds)), *(pa.array(x) for x in sums)]
             for _ in range(copies):
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(learn > 0), pa.array(total), pa.array(known)], names=["key", "learn", "total", "known"])
-
-    return C.by_bucket(cells, C.bucket_count(cells.sparkSession), merged, "key long, learn boolean, total double, known long")
-
-
-def filter_of(ngrams: DataFrame) -> tuple[Filter, int]:
-    """The filter over counted ranges (bucket, cell), and the least pair count that it holds."""
-    buckets = C.bucket_count(ngrams.sparkSession)
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            for cell in x.column(1).to_pylist():
-                _, c, _, d = (a.astype(np.int64) for a in C.unpack(cell))
-                by = np.bincount(level(d), level(d), LEVELS + 1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS + 1)), pa.array(np.concatenate([[int(level(c).sum()) if len(c) else 0], by[1:]]))], names=["level", "entries"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    by_level = np.zeros(LEVELS + 1, np.int64)
-    for r in ngrams.select("bucket", "cell").mapInArrow(entries, "level long, entries long").groupBy("level").agg(F.sum("entries").alias("n")).toArrow().to_pylist():
-        by_level[r["level"]] = r["n"]
-    least, room = 2, FILTER_BYTES * 8 // BITS_PER_ENTRY - by_level[0]
-    while least < LEVELS and by_level[least:].sum() > room:
-        least += 1
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            for bucket, cell in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-                word, c, pair, d = C.unpack(cell)
-                d = level(d.astype(np.int64))
-                keys, levels = np.concatenate([C.ungaps(word), C.ungaps(pair)[d >= least]]), np.concatenate([level(c.astype(np.int64)), d[d >= least]])
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([segment_bits(keys, levels).tobytes()], pa.binary())], names=["bucket", "bits"])
-
-    made = {r["bucket"]: np.frombuffer(r["bits"], np.uint64) for r in ngrams.select("bucket", "cell").mapInArrow(segments, "bucket int, bits binary").toArrow().to_pylist()}
-    return Filter([made.get(b, np.zeros(0, np.uint64)) for b in range(buckets)]), 2 ** (least - 1)
+    return C.by_bucket(cells, C.bucket_count(cells.sparkSession), merged, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def scores(docs: DataFrame, training: Column) -> DataFrame:
@@ -265,32 +241,9 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
 
     training: a condition on the columns of `docs`; the model learns from the rows where it is true.
     """
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text", F.coalesce(training, F.lit(False)).alias("learn"))
-    with temporary(spark):
-        parts = staged(counted(texts.select("key", "text", "learn")), "counts")
-        ngrams = parts.where("kind = 1").select("bucket", "cell", "words")
-        sums = staged(summed(parts.where("kind = 0").select("bucket", "cell")), "sums", up=1)
-        distinct = ngrams.agg(F.sum("words").alias("v")).first().v or 0
-        told = spark.sparkContext.broadcast(filter_of(ngrams)[0])
-    train_tokens = sums.where("learn").agg(F.sum("known").alias("n")).first().n or 0
-    whole = train_tokens + 0.5 * (distinct + 1)
-
-    def probabilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = told.value
-        for x in W.slices(batches):
-            flat, bounds = tokens(x.column(1))
-            left = before(flat, bounds)
-            word, at = np.unique(np.concatenate([flat, np.where(left == START, END, left)]), return_inverse=True)
-            count = own.counts(unigrams(word))
-            p = (count[at[: len(flat)]] + 0.5) / whole
-            context = count[at[len(flat) :]]  # as many texts start as end
-            pair, at = np.unique(bigrams(left, flat), return_inverse=True)
-            both = own.counts(pair)[at]
-            log = np.log10((1 - PAIR) * p + PAIR * both / np.maximum(np.maximum(context, both), 1))
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), pa.array(np.diff(bounds)), pa.array(np.add.reduceat(log, bounds[:-1]))], names=["doc_id", "key", "n_tokens", "score"])
-
-    scored = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "key").mapInArrow(probabilities, "doc_id long, key long, n_tokens long, score double")
-    both = scored.join(sums.dropDuplicates(["key"]), "key")  # equal rows have equal sums
-    base = F.col("total") - F.col("n_tokens") * F.lit(float(np.log10(whole)))
-    return both.select("doc_id", "n_tokens", F.col("known").alias("n_known"), F.lit(int(train_tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("learn"))
+    parts = staged(counted(texts), "counts")
+    sums = parts.where("kind = 1").agg(F.sum("words").alias("v"), F.sum("tokens").alias("n")).first()
+    whole = (sums.n or 0) + 0.5 * ((sums.v or 0) + 1)
+    rows = scored(parts.where("kind = 0").select("bucket", "cell"), whole)
+    return rows.select("doc_id", "n_tokens", "n_known", F.lit(int(sums.n or 0)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -54,6 +54,26 @@ def test_scores(corpus):
         assert got[i].score < 0
 
 
+def test_scores_keep_every_pair(corpus, monkeypatch):
+    monkeypatch.setattr(lm, "FILTER_BYTES", 64, raising=False)  # a size cap must leave nothing out
+    rows, docs = corpus
+    got = {r.doc_id: r.score for r in lm.scores(docs, F.col("doc_id") % 5 != 1).collect()}
+    tokens = {i: [w.lower() for w in t.encode().split()] + [None] for i, t in rows}
+    words = Counter(w for i, own in tokens.items() if i % 5 != 1 for w in own)
+    pairs = Counter(p for i, own in tokens.items() if i % 5 != 1 for p in zip([0, *own[:-1]], own, strict=True))
+    whole = sum(words.values()) + 0.5 * (len(words) + 1)
+    held = lambda c: float(lm.MEANING[lm.level(np.array([c]))[0]]) if c else 0.0
+    assert sum(n == 1 for n in pairs.values()) > 1000
+    off = n = 0
+    for i, own in tokens.items():
+        want = 0.0
+        for v, w in zip([0, *own[:-1]], own, strict=True):
+            context, both = held(words[v or None]), held(pairs[v, w])
+            want += math.log10(0.9 * (held(words[w]) + 0.5) / whole + 0.1 * both / max(context, both, 1))
+        off, n = off + abs(got[i] - want), n + len(own)
+    assert off / n < 0.02  # chance hits of the filter
+
+
 def test_filter_holds_levels():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 4000).astype(np.uint64)
     counts = np.arange(1, 4001)
