@@ -1,17 +1,20 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become slots where a re-parameterised question would differ: a number (any word with a digit, also with units
-attached), a unit, or a name (capitalised and not the first word of a sentence). Everything else is literal: its letters and
-digits, lower-cased (A-Z and Latin letters with accents). As capitals also mark shouted text or a heading, windows with names are taken in two forms, names
-as slots and names as literal words. A template window is a run of `width` canonical words; an item shorter than that is one
-window as a whole. A window needs at least half literal words; an item of fewer than SHORTEST words, or with no such window,
-cannot be told from chance and matches nothing. Documents' windows are hash-joined with the items': a filter of FILTER_BITS over the items' windows,
-which all tasks hold, passes on few others, and the join in Spark is exact.
-
-A match is what a document and an item share at one alignment. It counts if its windows cover SHARE of the item's words,
-LITERALS of them literal (or all, in a shorter item), and if its slots are consistent: equal slot values of the item stand
-for equal values in the document, and the other way round. So verbatim copies are
-found, and copies with other numbers, names and units, but not a text that merely fills the same form at odds with itself.
+Words become slots where a re-parameterised question would differ: a number (any word with a digit), a unit, or a name
+(capitalised and not the first word of a sentence). Everything else is literal: its letters and digits, lower-cased (A-Z and Latin letters with accents).
+As capitals also mark shouted text or a heading, texts are taken in three forms: all words as they are; numbers and units
+as slots; also names.
+
+A template window is a run of `width` canonical words; an item shorter than that is one window as a whole. A window with slots
+needs at least half literal words, and an item of SHORTEST words. Windows of words as they are need neither: a verbatim copy
+is found whatever its words, and an item of any length if whole. Documents' windows are hash-joined with the items': a
+filter of FILTER_BITS over the items' windows, which all tasks hold, passes on few others, and the join in Spark is exact.
+
+Windows that a document and an item share at one alignment of one form belong together. Their slots must be consistent: equal
+slot values of the item stand for equal values in the document, and the other way round. Such groups add up over all forms
+and over alignments at most `width` words apart, if their slots stay consistent and their words in order. A match
+counts if it covers SHARE of the item's words, LITERALS of them literal or in windows of words as they are (or half, in a shorter item). So verbatim
+copies are found, and copies with other numbers, names and units, but not a text that merely fills the same form at odds with itself.
 
 Null or empty texts match nothing. Benchmark items with equal text are each reported. Rows that repeat a doc_id are reported
 under it; a row without doc_id is checked, and reported without.
@@ -19,7 +22,9 @@ under it; a row without doc_id is checked, and reported without.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +49,7 @@ UNITS = (
     "usd eur gbp dollar dollars cent cents euro euros pence"
 ).split()
 
+_APART = np.uint64(0x9E3779B97F4A7C15)
 _NUMBER, _NAME, _UNIT = np.uint64(0x6E756D6265720001), np.uint64(0x6E616D6500000002), np.uint64(0x756E697400000003)
 _CORE = np.zeros(256, bool)
 _CORE[48:58] = _CORE[65:91] = _CORE[97:123] = _CORE[128:] = True
@@ -63,13 +69,26 @@ def _hash_of(words: list[str]) -> np.ndarray:
 _UNIT_HASHES = np.sort(_hash_of(UNITS))
 
 
-def canonical(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all texts with numbers and units as placeholders, the hashes of their own values, which are names, and
-    where texts start."""
+class Canon(NamedTuple):
+    value: np.ndarray  # hash of each word itself
+    number: np.ndarray
+    unit: np.ndarray
+    capital: np.ndarray  # neither number nor unit
+    fresh: np.ndarray  # the first word of a sentence
+    of_slot: np.ndarray  # hash of each word as a slot's part
+    bounds: np.ndarray  # first word of each text, and the number of words
+
+
+def _part(value: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return W.mix(value + place.astype(np.uint64) * _APART)
+
+
+def canonical(column: pa.Array) -> Canon:
+    """Words of all texts, and what they are."""
     data, at = W.text_bytes(column)
     if not len(data):
-        none = np.zeros(0, np.uint64)
-        return none, none, np.zeros(0, bool), np.zeros(len(at), np.int64)
+        none, no = np.zeros(0, np.uint64), np.zeros(0, bool)
+        return Canon(none, no, no, no, no, none, np.zeros(len(at), np.int64))
     accented = np.zeros(len(data), bool)  # second bytes of Latin capitals with accents
     accented[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
     data = np.where(accented, data | 0x20, data)
@@ -89,48 +108,152 @@ def canonical(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     number = digits[ends] > digits[starts]
     unit = np.isin(value, _UNIT_HASHES)
     stops = np.concatenate([[0], np.cumsum(_STOP[data])])
-    after_stop = np.ones(len(starts), bool)
+    fresh = np.ones(len(starts), bool)
     if len(starts) > 1:
-        after_stop[1:] = stops[starts[1:]] > stops[last[:-1]]
-    after_stop[bounds[:-1][np.diff(bounds) > 0]] = True
-    name = _UPPER[data[first]] & ~after_stop & ~number & ~unit
-    return np.where(number, _NUMBER, np.where(unit, _UNIT, value)), value, name, bounds
+        fresh[1:] = stops[starts[1:]] > stops[last[:-1]]
+    fresh[bounds[:-1][np.diff(bounds) > 0]] = True
+    of_slot = _part(value, np.zeros(len(value)))
+    return Canon(value, number, unit, _UPPER[data[first]] & ~number & ~unit, fresh, of_slot, bounds)
+
 
+class Form(NamedTuple):
+    symbol: np.ndarray  # of each canonical word: its hash, or its kind if a slot
+    slot: np.ndarray
+    value: np.ndarray  # of the slot
+    starts: np.ndarray  # first word
+    ends: np.ndarray  # word after the last
+    bounds: np.ndarray  # first canonical word of each text, and their number
+    wanted: np.ndarray  # the slots that a window needs one of; none for form 0
 
-_SLOTS = pa.list_(pa.struct([("at", pa.int32()), ("v", pa.int64())]))
-_WINDOWS = "id long, fp long, win long, pos int, width int, words int, slots array<struct<at:int,v:long>>"
 
+FORMS = 3
+_SALT = np.arange(FORMS, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
 
-def _windows(batches: Iterator[pa.RecordBatch], widths: list[int] | None, width: int, allowed=None) -> Iterator[pa.RecordBatch]:
-    """Windows of texts (id, fp, text): those of the given widths, or, for items, of each text's own width."""
+
+def form_of(c: Canon, form: int) -> Form:
+    n = len(c.value)
+    if form == 0:
+        at, no = np.arange(n), np.zeros(n, bool)
+        return Form(c.value, no, c.value, at, at + 1, c.bounds, no)
+    name = c.capital & (~c.fresh if form == 2 else True) if form > 1 else np.zeros(n, bool)
+    joins = np.zeros(n, bool)
+    starts = np.flatnonzero(~joins)
+    ends = np.append(starts[1:], n) if n else starts
+    symbol = np.where(c.number, _NUMBER, np.where(c.unit, _UNIT, np.where(name, _NAME, c.value)))[starts]
+    place = np.arange(n) - np.repeat(starts, ends - starts)
+    parts = np.where(place > 0, _part(c.value, place), c.of_slot)
+    value = np.add.reduceat(parts, starts) if n else parts
+    slot = (c.number | c.unit | name)[starts]
+    return Form(symbol, slot, value, starts, ends, np.searchsorted(starts, c.bounds), name[starts] if form > 1 else slot)
+
+
+_SLOTS = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("v", pa.int64())]))
+_WINDOWS = "id long, fp long, win long, form int, width int, tok int, first int, last int, words int, slots array<struct<at:int,n:int,v:long>>"
+
+
+def _windows(batches: Iterator[pa.RecordBatch], widths: list[tuple[int, int]] | None, width: int, allowed=None) -> Iterator[pa.RecordBatch]:
+    """Windows of texts (id, fp, text): those of the given forms and widths, or, for items, of each text's own width."""
     for x in W.slices(batches):
-        plain, value, name, bounds = canonical(x.column(2))
-        named = np.where(name, _NAME, plain)
-        size, names = np.diff(bounds), np.concatenate([[0], np.cumsum(name)])
-        wanted = widths if widths is not None else np.unique(np.minimum(size[size >= SHORTEST], width)).tolist()
-        for words, w in ((words, w) for words in (plain, named) for w in wanted):
-            slot = words != value
-            literal = np.concatenate([[0], np.cumsum(~slot)])
-            start = W.whole(bounds, w)
-            hashed = W.rolling(words, w)[start] + np.uint64(w)
-            keep = 2 * (literal[start + w] - literal[start]) >= w
-            if words is named:
-                keep &= names[start + w] > names[start]
-            text = W.owners(bounds)[start]
-            if widths is None:
-                keep &= np.minimum(size, width)[text] == w
-            if allowed is not None:
-                keep &= allowed(hashed)
-            keep = np.flatnonzero(keep)
-            start, hashed, text = start[keep], hashed[keep], text[keep]
-            inner = start[:, None] + np.arange(w)
-            here = slot[inner] if len(inner) else np.zeros((0, w), bool)
-            which, at = np.nonzero(here)
-            held = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(value[inner[which, at]].view(np.int64))], fields=list(_SLOTS.value_type))
-            slots = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(here.sum(1))]).astype(np.int32)), held)
-            n = len(keep)
-            ids, fps = (x.column(i).take(pa.array(text)) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([ids, fps, pa.array(hashed.view(np.int64)), pa.array((start - bounds[text]).astype(np.int32)), pa.array(np.full(n, w, np.int32)), pa.array(size[text].astype(np.int32)), slots], names=["id", "fp", "win", "pos", "width", "words", "slots"])
+        c = canonical(x.column(2))
+        words = np.diff(c.bounds)
+        for form in range(FORMS):
+            f = form_of(c, form)
+            size = np.minimum(np.diff(f.bounds), width)
+            fit = size > 0 if form == 0 else words >= SHORTEST
+            literal = np.concatenate([[0], np.cumsum(~f.slot)])
+            wanted = np.concatenate([[0], np.cumsum(f.wanted)])
+            for w in np.unique(size[fit]).tolist() if widths is None else [w for k, w in widths if k == form]:
+                start = W.whole(f.bounds, w)
+                hashed = W.rolling(f.symbol, w)[start] + (np.uint64(w) ^ _SALT[form])
+                text = W.owners(f.bounds)[start]
+                keep = np.ones(len(start), bool)
+                if form:
+                    keep &= (2 * (literal[start + w] - literal[start]) >= w) & (wanted[start + w] > wanted[start])
+                if widths is None:
+                    keep &= fit[text] & (size[text] == w)
+                if allowed is not None:
+                    keep &= allowed(hashed)
+                keep = np.flatnonzero(keep)
+                start, hashed, text = start[keep], hashed[keep], text[keep]
+                inner = start[:, None] + np.arange(w)
+                here = f.slot[inner] if len(inner) else np.zeros((0, w), bool)
+                which, at = np.nonzero(here)
+                at = inner[which, at]
+                first, last = f.starts[start], f.ends[start + w - 1]
+                own = [(f.starts[at] - first[which]).astype(np.int32), (f.ends[at] - f.starts[at]).astype(np.int32), f.value[at].view(np.int64)]
+                held = pa.StructArray.from_arrays([pa.array(a) for a in own], fields=list(_SLOTS.value_type))
+                slots = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(here.sum(1))]).astype(np.int32)), held)
+                ids, fps = (x.column(i).take(pa.array(text)) for i in (0, 1))
+                numbers = (np.full(len(keep), form), np.full(len(keep), w), start - f.bounds[text], first - c.bounds[text], last - c.bounds[text], words[text])
+                yield pa.RecordBatch.from_arrays(
+                    [ids, fps, pa.array(hashed.view(np.int64)), *(pa.array(a.astype(np.int32)) for a in numbers), slots],
+                    names=["id", "fp", "win", "form", "width", "tok", "first", "last", "words", "slots"],
+                )
+
+
+class Group:
+    """Windows at one alignment, or several together: item words covered and literal, as bits, slots, and places."""
+
+    def __init__(self):
+        self.covered = self.literal = 0
+        self.slots: set[tuple[int, int]] = set()
+        self.places: set[tuple[int, int]] = set()  # first words of windows: the item's, the document's
+
+    def consistent(self) -> bool:
+        return len({o for o, _ in self.slots}) == len({d for _, d in self.slots}) == len(self.slots)
+
+    def with_(self, other: Group) -> Group:
+        out = Group()
+        out.covered, out.literal = self.covered | other.covered, self.literal | other.literal
+        out.slots, out.places = self.slots | other.slots, self.places | other.places
+        return out
+
+    def in_order(self) -> bool:
+        far = -1
+        for _, d in sorted(self.places):
+            if d < far:
+                return False
+            far = d
+        return True
+
+    def verdict(self) -> tuple[int, bool, int]:
+        return self.covered.bit_count(), all(o == d for o, d in self.slots), -min(d for _, d in self.places)
+
+
+def best_match(hits: list[dict], words: int, width: int, share: float) -> tuple[int, bool, int] | None:
+    """(covered, verbatim, -at) of the best match among an item's windows that a document has, if one counts."""
+    groups: dict[tuple[int, int], Group] = {}
+    for h in hits:
+        g = groups.setdefault((h["form"], h["tok"] - h["i"]), Group())
+        mask = ((1 << (h["till"] - h["since"])) - 1) << h["since"]
+        g.covered |= mask
+        for s in h["own"]:
+            mask &= ~(((1 << s["n"]) - 1) << (h["since"] + s["at"]))
+        g.literal |= mask
+        g.slots |= {(o["v"], d["v"]) for o, d in zip(h["own"], h["slots"], strict=True)}
+        g.places.add((h["since"], h["first"]))
+    sound = [g for g in groups.values() if g.consistent()]
+    shift = {id(g): min(d - i for i, d in g.places) for g in sound}
+    sound.sort(key=lambda g: shift[id(g)])
+    shifts, best = [shift[id(g)] for g in sound], None
+
+    def judged(g: Group) -> bool:
+        nonlocal best
+        if g.covered.bit_count() >= share * words and g.literal.bit_count() >= min(LITERALS, -(-words // 2)):
+            best = max(best, g.verdict()) if best else g.verdict()
+        return bool(best) and best[0] == words and best[1]
+
+    if any([judged(g) for g in sound]):
+        return best
+    for k, seed in enumerate(sound):
+        near = [g for g in sound[bisect_left(shifts, shifts[k] - width) : bisect_right(shifts, shifts[k] + width)] if g is not seed]
+        for g in sorted(near, key=lambda g: (abs(shift[id(g)] - shifts[k]), -g.covered.bit_count())):
+            if g.covered & ~seed.covered or g.literal & ~seed.literal:
+                both = seed.with_(g)
+                if both.consistent() and both.in_order():
+                    seed = both
+        judged(seed)
+    return best
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
@@ -142,7 +265,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
     spark = docs.sparkSession
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("id"), F.lit(0).cast("long").alias("fp"), "text")
     items = staged(items.mapInArrow(lambda batches: _windows(batches, None, width), _WINDOWS), "items")
-    widths = sorted(r.width for r in items.select("width").distinct().collect())  # at most `width` of them
+    widths = sorted((r.form, r.width) for r in items.select("form", "width").distinct().collect())  # at most `width` of each form
     place = F.pmod("win", F.lit(FILTER_BITS))
     bits = items.select(place.alias("p")).selectExpr("p div 32 as at", "shiftleft(1L, cast(p % 32 as int)) as bit").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(FILTER_BITS >> 5, np.uint32)
@@ -155,22 +278,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: floa
 
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("fp"), "text")
     found = texts.mapInArrow(lambda batches: _windows(batches, widths, width, allowed), _WINDOWS)
-    mine = items.select("win", F.col("id").alias("item_id"), F.col("pos").alias("i"), "words", F.col("slots").alias("own"))
-    both = found.select("id", "fp", "win", "pos", "width", "slots").join(mine, "win")
-    pairs = F.zip_with("slots", "own", lambda d, o: F.struct((F.col("i") + d["at"]).alias("k"), d["v"].alias("d"), o["v"].alias("o")))
-    lined = both.groupBy("id", "fp", "item_id", (F.col("pos") - F.col("i")).alias("shift")).agg(
-        F.first("words").alias("words"), F.first("width").alias("width"), F.collect_set("i").alias("starts"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")
-    )  # both sets are bounded by the item's length
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + F.col("width") - 1))))
-    values = [F.size(F.array_distinct(F.transform("slots", f))) for f in (lambda s: s["d"], lambda s: s["o"], lambda s: F.struct(s["d"], s["o"]))]
-    lined = lined.select("id", "fp", "item_id", "shift", "words", "slots", F.array_min("starts").alias("first"), F.size(covered).alias("covered"), *(v.alias(n) for v, n in zip(values, "dop", strict=True)))
-    literal = F.col("covered") - F.size("slots")
-    held = lined.where((F.col("d") == F.col("p")) & (F.col("o") == F.col("p"))).where(F.col("covered") >= share * F.col("words"))
-    held = held.where(literal >= F.least(F.lit(LITERALS), F.ceil(F.col("words") / 2)))
-    verbatim = ~F.exists("slots", lambda s: s["d"] != s["o"])
-    best = F.max(F.struct("covered", verbatim.alias("verbatim"), (-F.col("first") - F.col("shift")).alias("at")))
-    rows = held.groupBy(F.col("id").alias("doc_id"), "fp", "item_id").agg(best.alias("best"), F.first("words").alias("words"))
-    return rows.select("doc_id", "fp", "item_id", "best.covered", "words", "best.verbatim", (-F.col("best.at")).alias("at"))
+    mine = items.select("win", F.col("id").alias("item_id"), F.col("tok").alias("i"), F.col("first").alias("since"), F.col("last").alias("till"), "words", F.col("slots").alias("own"))
+    both = found.select("id", "fp", "win", "form", "tok", "first", "slots").join(mine, "win")
+    hit = F.struct("form", "tok", "first", "slots", "i", "since", "till", "own")
+    hits = both.groupBy("id", "fp", "item_id", "words").agg(F.collect_set(hit).alias("hits"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            match = [best_match(x.column(4)[k].as_py(), x.column(3)[k].as_py(), width, share) for k in range(x.num_rows)]
+            kept = [k for k, m in enumerate(match) if m]
+            doc, fp, item, words = (x.column(c).take(pa.array(kept, pa.int64())) for c in range(4))
+            covered, verbatim, at = ([match[k][c] for k in kept] for c in range(3))
+            columns = [doc, fp, item, pa.array(covered, pa.int32()), words, pa.array(verbatim, pa.bool_()), pa.array([-a for a in at], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "item_id", "covered", "words", "verbatim", "at"])
+
+    return hits.mapInArrow(judge, "doc_id long, fp long, item_id long, covered int, words int, verbatim boolean, at int")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -139,3 +139,16 @@ def test_leaks(spark, odd, nothing):
     assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, items).collect()) == [3, 5, 6, 7]
     assert decontaminate.without_leaks(odd, items).columns == odd.columns and decontaminate.without_leaks(odd, items).count() == len(ODD)
     assert decontaminate.leaks(nothing, items).count() == 0 and decontaminate.leaks(docs, items.limit(0)).count() == 0
+
+
+def _leaks(spark, items, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    return {(r.doc_id, r.item_id): r.verbatim for r in found.collect()}
+
+
+def test_verbatim_leaks_of_numbers_and_short_items(spark):
+    items = ["Find the median of 3 5 7 9 11 13", "Compute 12 + 34 - 5 * 6", "Name the capital", "1 2 3 4 5 6 7 8 9 10 11 12"]
+    texts = [f"Some words first. {t} And some words after it." for t in items]
+    texts += ["Find the median of 4 6 8 10 12 14", "Compute 13 + 35 - 6 * 7", "Name the large capital", "9 8 7 6 5 4 3 2 1 2 3 4 5 6"]
+    assert _leaks(spark, items, texts) == {(i, i): True for i in range(4)}
