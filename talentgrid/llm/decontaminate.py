@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become slots where a re-parameterised question would differ: a number (any word with a digit), a unit, or a name
-(capitalised and not the first word of a sentence). Everything else is literal: its letters and digits, lower-cased (A-Z and Latin letters with accents).
-As capitals also mark shouted text or a heading, texts are taken in three forms: all words as they are; numbers and units
-as slots; also names.
+(capitalised). Everything else is literal: its letters and digits, lower-cased (A-Z and Latin letters with accents).
+A number with its unit, attached or apart, is one slot, and so is a run of names within a sentence. As capitals also
+mark shouted text, a heading or the first word of a sentence, texts are taken in four forms: all words as they are;
+numbers and units as slots; also names, but not the first words of sentences; also those.
 
 A template window is a run of `width` canonical words; an item shorter than that is one window as a whole. A window with slots
 needs at least half literal words, and an item of SHORTEST words. Windows of words as they are need neither: a verbatim copy
@@ -75,7 +76,7 @@ class Canon(NamedTuple):
     unit: np.ndarray
     capital: np.ndarray  # neither number nor unit
     fresh: np.ndarray  # the first word of a sentence
-    of_slot: np.ndarray  # hash of each word as a slot's part
+    of_slot: np.ndarray  # hash of each word as a slot's part; 5km as that of 5 and km together
     bounds: np.ndarray  # first word of each text, and the number of words
 
 
@@ -113,6 +114,14 @@ def canonical(column: pa.Array) -> Canon:
         fresh[1:] = stops[starts[1:]] > stops[last[:-1]]
     fresh[bounds[:-1][np.diff(bounds) > 0]] = True
     of_slot = _part(value, np.zeros(len(value)))
+    own = np.flatnonzero(number & ~_DIGIT[data[last]])
+    if len(own):  # a unit after the last digit
+        cut = np.flatnonzero(_DIGIT[data])[digits[ends[own]] - 1] + 1
+        none = np.zeros(0, np.int64)
+        tail = W.hashes(W.Words(data, cut, last[own] + 1, none), lower=True)
+        head = W.hashes(W.Words(data, first[own], cut, none), lower=True)
+        known = np.isin(tail, _UNIT_HASHES)
+        of_slot[own[known]] = (_part(head, np.zeros(len(own))) + _part(tail, np.ones(len(own))))[known]
     return Canon(value, number, unit, _UPPER[data[first]] & ~number & ~unit, fresh, of_slot, bounds)
 
 
@@ -126,7 +135,7 @@ class Form(NamedTuple):
     wanted: np.ndarray  # the slots that a window needs one of; none for form 0
 
 
-FORMS = 3
+FORMS = 4
 _SALT = np.arange(FORMS, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
 
 
@@ -137,6 +146,7 @@ def form_of(c: Canon, form: int) -> Form:
         return Form(c.value, no, c.value, at, at + 1, c.bounds, no)
     name = c.capital & (~c.fresh if form == 2 else True) if form > 1 else np.zeros(n, bool)
     joins = np.zeros(n, bool)
+    joins[1:] = ~c.fresh[1:] & ((c.unit[1:] & c.number[:-1]) | (name[1:] & name[:-1]))
     starts = np.flatnonzero(~joins)
     ends = np.append(starts[1:], n) if n else starts
     symbol = np.where(c.number, _NUMBER, np.where(c.unit, _UNIT, np.where(name, _NAME, c.value)))[starts]

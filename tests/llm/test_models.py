@@ -152,3 +152,20 @@ def test_verbatim_leaks_of_numbers_and_short_items(spark):
     texts = [f"Some words first. {t} And some words after it." for t in items]
     texts += ["Find the median of 4 6 8 10 12 14", "Compute 13 + 35 - 6 * 7", "Name the large capital", "9 8 7 6 5 4 3 2 1 2 3 4 5 6"]
     assert _leaks(spark, items, texts) == {(i, i): True for i in range(4)}
+
+
+def test_leaks_with_other_names_and_units(spark):
+    items = [
+        "Tom has 3 apples. Tom buys 5 more. Tom gives 2 to Ann. How many are left?",
+        "If Tom has 12 apples and gives Mary 5 apples, how many apples does Tom have left after 12 days?",
+        "After a run of 5 km the old dog of Tom slept and then ran 7 km to the house of Ann again.",
+    ]
+    texts = [
+        "Mary has 4 apples. Mary buys 6 more. Mary gives 3 to Bob. How many are left?",
+        "If Anna Lee has 30 apples and gives Bob 7 apples, how many apples does Anna Lee have left after 30 days?",
+        "After a run of 8km the old dog of Anna Lee slept and then ran 9 miles to the house of Jo Ann Fox again.",
+        "Mary has 4 apples. Bob buys 6 more. Mary gives 3 to Mary. How many are left?",  # at odds with itself
+        "If Tom has 12 red apples and gives Mary 5 apples, how many green and ripe apples does Tom have left after 12 days?",
+    ]
+    got = _leaks(spark, items, texts)
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (4, 1)} and not any(got[i, i] for i in range(3))
