@@ -1,7 +1,7 @@
 """From raw documents to token ids, stage by stage.
 
 Every stage works on all rows that the one before kept. Null and empty texts go in the first stage, as they have no
-language; an empty table passes through. Columns other than doc_id and text are carried along unchanged, whatever their names.
+language, unless no row at all tells its `lang`; an empty table passes through. Columns other than doc_id and text are carried along unchanged, whatever their names.
 """
 
 from __future__ import annotations

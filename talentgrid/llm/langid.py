@@ -13,7 +13,11 @@ vector, which is the same for all languages, takes n-gram vectors as orthogonal.
 Letters are lower-cased; those of a-z stand for themselves, other letters fall into 37 classes by code point, and
 anything else is a gap. Null text, or text without a letter, is `und` with score 0, as is any text if nothing can be
 learnt. Ties go to the language that sorts first. The score is the share of the best language among positive cosines
-(above the mean of all languages, where two or more compete).
+(above the mean of all languages, where two or more compete). As it depends on the number of languages, it cannot tell
+text from junk. The fit can: what a text's n-grams give on average towards its language's prototype, as a share of what
+those of the language's own texts give. Where unrelated n-grams reach the cosine by chance, the fit is the cosine itself, as
+a share of that of as many distinct n-grams, so that a repeated n-gram proves nothing.
+Very few letters can pass either way: they are too few to judge.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ SIZE = 3
 CLASSES = 64
 UNKNOWN = "und"
 SEED = 17
+#: The dot product of unrelated unit vectors, times the root of DIMENSIONS, is normal: it passes this by chance once in 30,000.
+CHANCE = 4.0
 
 
 def _classes() -> np.ndarray:
@@ -112,10 +118,15 @@ def counts(docs: DataFrame, lang: str, size: int = SIZE) -> DataFrame:
 
 def products(counted: DataFrame, size: int = SIZE, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """Languages, and the product of every n-gram's vector with each language's prototype of unit length."""
+    return learnt(counted, size, dimensions)[:2]
+
+
+def learnt(counted: DataFrame, size: int = SIZE, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """As `products`, and the average product of the n-grams of each language's own texts."""
     found = counted.toArrow()
     langs = sorted(set(found.column("lang").to_pylist()))
     if not langs:
-        return [], np.zeros((CLASSES**size, 0), np.float32)
+        return [], np.zeros((CLASSES**size, 0), np.float32), np.zeros(0)
     row = np.searchsorted(np.array(langs), np.array(found.column("lang").to_pylist()))
     code, n = found.column("code").to_numpy(), found.column("n").to_numpy()
     size_of = np.bincount(row, n, len(langs))
@@ -130,11 +141,14 @@ def products(counted: DataFrame, size: int = SIZE, dimensions: int = DIMENSIONS)
     out = np.zeros((CLASSES**size, len(langs)), np.float32)
     for i in range(0, len(out), 4096):
         out[i : i + 4096] = gram_vectors(np.arange(i, min(i + 4096, len(out))), size, dimensions).astype(np.float32) @ proto.T
-    return langs, out
+    return langs, out, np.bincount(row, weight * out[code, row], len(langs))
+
 
+def predict(docs: DataFrame, langs: list[str], table: np.ndarray, size: int = SIZE, dimensions: int = DIMENSIONS, typical: np.ndarray | None = None) -> DataFrame:
+    """(row, doc_id, text, lang_pred, score) of every row; `row` holds its other columns, score is 0 to 1.
 
-def predict(docs: DataFrame, langs: list[str], table: np.ndarray, size: int = SIZE, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(row, doc_id, text, lang_pred, score) of every row; `row` holds its other columns, score is 0 to 1."""
+    With `typical`, the average products of the languages' own texts, also `fit`.
+    """
     rows = boxed(docs)
     told = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -157,16 +171,27 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, size: int = SI
             score = np.clip(above.max(1) / np.maximum(above.sum(1), 1e-12), 0, 1) if langs else np.zeros(len(sizes))
             known = (sizes > 0) & bool(langs)
             pred = [langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))], names=["row", "doc_id", "text", "lang_pred", "score"])
-
-    schema = rows.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+            columns, names = [*x.columns, pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))], ["row", "doc_id", "text", "lang_pred", "score"]
+            if typical is not None:
+                mean = dots.max(1) / np.maximum(sizes, 1) if langs else np.zeros(len(sizes))
+                beyond = cosine.max(1) * np.sqrt(dimensions) if langs else mean
+                mean = np.where(beyond >= CHANCE, mean, np.minimum(beyond / np.sqrt(np.maximum(sizes, 1)), mean))
+                columns.append(pa.array(np.where(known, mean / np.maximum(typical[best], 1e-9) if langs else 0.0, 0.0)))
+                names.append("fit")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    told_of = [F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("fit")]
+    schema = rows.select("*", *told_of[: 2 if typical is None else 3]).schema
     return rows.mapInArrow(guess, schema)
 
 
 def identified(docs: DataFrame, lang: str = "lang", least: float = 0.3) -> DataFrame:
-    """The rows of `docs` whose language can be told, all columns unchanged: not `und`, and a score of at least `least`.
+    """The rows of `docs` whose language can be told, all columns unchanged: not `und`, and a fit of at least `least`.
 
-    Learns from all rows whose column `lang` is known.
+    Learns from all rows whose column `lang` is known. Where there is none, nothing can be judged and all rows stay.
     """
-    found = predict(docs, *products(counts(docs, lang)))
-    return unboxed(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs.columns)
+    langs, table, typical = learnt(counts(docs, lang))
+    if not langs:
+        return docs
+    found = predict(docs, langs, table, typical=typical)
+    return unboxed(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("fit") >= least)), docs.columns)

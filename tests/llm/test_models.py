@@ -25,6 +25,23 @@ def test_language_of_held_out_texts(spark):
     assert all(got[i].lang_pred == g and 0 <= got[i].score <= 1 for i, _, g in rows if i % 4 == 2)
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 20])
+def test_junk_has_no_language_however_many_there_are(spark, n):
+    import random
+    import string
+
+    r = random.Random(n)
+    rows = []
+    for g in range(n):
+        parts = ["".join(r.choices(string.ascii_lowercase, k=r.choice([2, 3]))) for _ in range(25)]
+        rows += [(100 * g + i, " ".join("".join(r.choices(parts, k=2)) for _ in range(r.choice([8, 30, 200]))), f"l{g:02}") for i in range(30)]
+    junk = ["".join(r.choices(string.ascii_lowercase, k=400)), " ".join("".join(r.choices(string.ascii_letters + string.digits, k=40)) for _ in range(40)), "%% 12 ## " + "z" * 300]
+    docs = spark.createDataFrame(rows + [(10_000 + i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string").repartition(3)
+    assert sorted(x.doc_id for x in langid.identified(docs).collect()) == [i for i, _, _ in rows]
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.identified(unlabelled).count() == docs.count()
+
+
 def test_gram_vectors_give_the_cosine():
     codes = np.array([5 * 4096 + 3 * 64 + 1, 7])
     table = langid.gram_vectors(codes, 3, 256)
