@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import ann, bpe, decontaminate, langid, licenses, lm, setjoin, substrings, tokenfiles, urlfilter
+from talentgrid.llm import ann, bpe, decontaminate, langid, licenses, lm, pieces, setjoin, substrings, tokenfiles, urlfilter
 from talentgrid.llm.staging import new_path
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return decontaminate.leaks(docs, benchmark).drop("fp")
@@ -97,7 +103,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
 
 
-QUERIES = {"op1_benchmark_leaks": op1_benchmark_leaks, "op2_nearest_vectors": op2_nearest_vectors, "op10_url_filter": op10_url_filter, "op4_license_scan": op4_license_scan, "op6_language_id": op6_language_id, "op9_lm_scores": op9_lm_scores, "op3_token_files": op3_token_files, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup}
+def op12_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`covered` is the number of bytes of the text that the pieces span."""
+    decoded = pieces.round_trip(table(spark, sf_dir, "documents"), piece_model())
+    covered = F.aggregate(F.zip_with("begins", "ends", lambda a, b: b - a), F.lit(0), lambda s, x: s + x).cast("long")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"), covered.alias("covered"))
+
+
+QUERIES = {"op1_benchmark_leaks": op1_benchmark_leaks, "op2_nearest_vectors": op2_nearest_vectors, "op10_url_filter": op10_url_filter, "op4_license_scan": op4_license_scan, "op6_language_id": op6_language_id, "op9_lm_scores": op9_lm_scores, "op3_token_files": op3_token_files, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup, "op12_piece_round_trip": op12_piece_round_trip}
 #: Queries that SQL can express; the others are held against brute force in tests/llm.
 ORACLES: dict[str, str] = {
     "op7_substring_dedup": r"""
