@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import ann, bpe, decontaminate, langid, licenses, lm, pieces, setjoin, spellings, substrings, tokenfiles, urlfilter
+from talentgrid.llm import ann, bpe, decontaminate, langid, licenses, lm, pieces, setjoin, spellings, substrings, tokenfiles, turns, urlfilter
 from talentgrid.llm.staging import new_path
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -103,6 +103,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.audits(turns.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op12_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`covered` is the number of bytes of the text that the pieces span."""
     decoded = pieces.round_trip(table(spark, sf_dir, "documents"), piece_model())
@@ -115,7 +119,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spellings.variants(counted.where((F.char_length("word") >= 5) & (F.col("n") >= 3)))
 
 
-QUERIES = {"op1_benchmark_leaks": op1_benchmark_leaks, "op2_nearest_vectors": op2_nearest_vectors, "op10_url_filter": op10_url_filter, "op4_license_scan": op4_license_scan, "op6_language_id": op6_language_id, "op9_lm_scores": op9_lm_scores, "op3_token_files": op3_token_files, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup, "op12_piece_round_trip": op12_piece_round_trip, "op13_spelling_variants": op13_spelling_variants}
+QUERIES = {"op1_benchmark_leaks": op1_benchmark_leaks, "op2_nearest_vectors": op2_nearest_vectors, "op10_url_filter": op10_url_filter, "op4_license_scan": op4_license_scan, "op6_language_id": op6_language_id, "op9_lm_scores": op9_lm_scores, "op3_token_files": op3_token_files, "op5_bpe_round_trip": op5_bpe_round_trip, "op8_ngram_jaccard": op8_ngram_jaccard, "op7_substring_dedup": op7_substring_dedup, "op11_conversation_repair": op11_conversation_repair, "op12_piece_round_trip": op12_piece_round_trip, "op13_spelling_variants": op13_spelling_variants}
 #: Queries that SQL can express; the others are held against brute force in tests/llm.
 ORACLES: dict[str, str] = {
     "op7_substring_dedup": r"""
