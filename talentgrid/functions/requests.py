@@ -41,10 +41,6 @@ def is_known_principal(principal: Column) -> Column:
     return principal.isNotNull() & ~is_blank(principal) & (principal != "anonymousUser")
 
 
-def retry_after_seconds(wait_micros: Column) -> Column:
-    return F.greatest(F.lit(1).cast("long"), F.ceil(wait_micros / F.lit(1_000_000)).cast("long"))
-
-
 def is_health_path(path: Column) -> Column:
     return path.isin(*HEALTH_PATHS) | path.startswith(HEALTH_PREFIX)
 

@@ -25,8 +25,11 @@ MESSAGES = {
 }
 
 
+ALLOWED_TYPES = (PDF_TYPE, DOCX_TYPE)
+
+
 def is_allowed_type(media_type: Column) -> Column:
-    return F.coalesce(media_type.isin(PDF_TYPE, DOCX_TYPE), F.lit(False))
+    return F.coalesce(media_type.isin(*ALLOWED_TYPES), F.lit(False))
 
 
 def filter_media_type(documents: DataFrame) -> DataFrame:

@@ -1,38 +1,14 @@
-"""Admission analysis: replay token buckets over a table of requests.
+"""Which requests a rate limit applies to, and the key they would be counted under.
 
-Requests have request_id, ts, method, path and principal. A bucket belongs to a (policy, principal)
-pair, starts full, refills greedily and loses one token per admitted request. Whether a request is
-admitted depends on all earlier ones of its bucket, so the replay is a fold in time order:
-
-* buckets with few requests fold in one native expression per bucket;
-* a bucket with many requests is cut into slices. Each slice is reduced to the function from the
-  bucket's state before it to the state after it, a short list of pieces; composing those per bucket
-  gives every slice its true start, and all slices then replay side by side.
+Requests have request_id, ts, method, path and principal. Admission itself is the limiter's work and not rebuilt.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import reduce
-from itertools import groupby
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentgrid.functions.requests import (
-    bucket_key,
-    is_known_principal,
-    resolve_policy,
-    retry_after_seconds,
-)
-from talentgrid.operators.joins import join_per_key
-from talentgrid.operators.ordered import group_sizes, running
-from talentgrid.settings import DEFAULT_BUCKETS, Bucket
-
-NATIVE_ROWS = 1_000
-SLICE_ROWS = 100_000
-_KEY = ["policy", "principal"]
+from talentgrid.functions.requests import bucket_key, is_known_principal, resolve_policy
 
 
 def with_policy(requests: DataFrame) -> DataFrame:
@@ -47,295 +23,3 @@ def eligible_requests(requests: DataFrame) -> DataFrame:
 
 def with_bucket_key(requests: DataFrame, prefix: str = "rate-limit") -> DataFrame:
     return requests.withColumn("bucket_key", bucket_key(F.col("policy"), F.col("principal"), prefix))
-
-
-def _per_policy(buckets: Mapping[str, Bucket], value) -> Column:
-    cases = [F.when(F.col("policy") == p, F.lit(value(b)).cast("long")) for p, b in buckets.items()]
-    return F.coalesce(*cases)
-
-
-def _with_micros(requests: DataFrame) -> DataFrame:
-    epoch = F.unix_micros(F.col("ts").cast("timestamp"))
-    return requests.select("request_id", *_KEY, "ts", epoch.alias("micros"))
-
-
-def token_bucket_replay(
-    requests: DataFrame,
-    buckets: Mapping[str, Bucket] = DEFAULT_BUCKETS,
-    native_rows: int | None = None,
-    slice_rows: int | None = None,
-) -> DataFrame:
-    """Add allowed, remaining (whole tokens) and wait_micros (0 when allowed) to eligible requests."""
-    native_rows = NATIVE_ROWS if native_rows is None else native_rows
-    slice_rows = SLICE_ROWS if slice_rows is None else slice_rows
-    timed = _with_micros(requests)
-    largest, _ = group_sizes(timed, _KEY)
-    if largest <= native_rows:
-        return _replay_native(timed, buckets)
-    sizes = timed.groupBy(*_KEY).count().filter(F.col("count") > native_rows).select(*_KEY)
-    cold = join_per_key(timed, sizes, _KEY, "left_anti", ["request_id"])
-    hot = join_per_key(timed, sizes, _KEY, "left_semi", ["request_id"])
-    return _replay_native(cold, buckets).unionByName(_replay_slices(hot, buckets, slice_rows))
-
-
-def _decide(state: Column, token: Column) -> tuple[Column, Column]:
-    allowed = state >= token
-    return allowed, F.when(allowed, state - token).otherwise(state)
-
-
-def _replay_native(timed: DataFrame, buckets: Mapping[str, Bucket]) -> DataFrame:
-    """Fold each bucket's requests, at most ``native_rows`` of them, with ``aggregate``."""
-    event = F.struct("micros", "request_id", "ts")
-    grouped = timed.groupBy(*_KEY).agg(F.array_sort(F.collect_list(event)).alias("events"))
-    grouped = grouped.withColumns(
-        {
-            "token": _per_policy(buckets, lambda b: b.token),
-            "full": _per_policy(buckets, lambda b: b.full),
-            "rate": _per_policy(buckets, lambda b: b.refill_tokens),
-        }
-    )
-    token, full, rate = F.col("token"), F.col("full"), F.col("rate")
-    nothing = F.array().cast("array<struct<allowed:boolean,state:bigint>>")
-    start = F.struct(
-        full.alias("state"), F.get("events", F.lit(0))["micros"].alias("last"), nothing.alias("out")
-    )
-
-    def step(acc: Column, event: Column) -> Column:
-        # A gap long enough to fill the bucket is cut first, so the product cannot overflow.
-        gap = F.least(event["micros"] - acc["last"], F.ceil(full / rate).cast("long"))
-        refilled = F.least(full, acc["state"] + gap * rate)
-        allowed, left = _decide(refilled, token)
-        result = F.struct(allowed.alias("allowed"), left.alias("state"))
-        return F.struct(
-            left.alias("state"), event["micros"].alias("last"), F.array_append(acc["out"], result).alias("out")
-        )
-
-    folded = grouped.withColumn("out", F.aggregate("events", start, step, lambda acc: acc["out"]))
-    rows = folded.select(*_KEY, "token", "rate", F.explode(F.arrays_zip("events", "out")).alias("x"))
-    return _finish(
-        rows.select(
-            "x.events.request_id",
-            *_KEY,
-            "x.events.ts",
-            "x.out.allowed",
-            "x.out.state",
-            "token",
-            "rate",
-        )
-    )
-
-
-def _finish(rows: DataFrame) -> DataFrame:
-    state, token = F.col("state"), F.col("token")
-    wait = F.ceil((token - state) / F.col("rate")).cast("long")
-    return rows.select(
-        "request_id",
-        *_KEY,
-        "ts",
-        "allowed",
-        F.floor(state / token).cast("long").alias("remaining"),
-        F.when(F.col("allowed"), F.lit(0).cast("long")).otherwise(wait).alias("wait_micros"),
-    )
-
-
-# A state function is a list of pieces (low, high, slope, shift): a bucket that holds low <= s <= high
-# before holds slope * s + shift after, with slope 0 or 1. One more token at the start admits at most
-# one more request, so once equal neighbours are joined the list stays at a few pieces per token of
-# capacity, however many requests a slice has.
-
-
-def _cut(piece: tuple, at: int, below: tuple, above: tuple) -> list:
-    """Split a rising piece where its value reaches ``at``; below and above are (slope, shift)."""
-    low, high, _, shift = piece
-    point = at - shift
-    if point <= low:
-        return [(low, high, *above)]
-    if point > high:
-        return [(low, high, *below)]
-    return [(low, point - 1, *below), (point, high, *above)]
-
-
-def _joined(pieces: list) -> list:
-    out = pieces[:1]
-    for piece in pieces[1:]:
-        if out[-1][2:] == piece[2:]:
-            out[-1] = (out[-1][0], *piece[1:])
-        else:
-            out.append(piece)
-    return out
-
-
-def after_wait(pieces: list, amount: int, full: int) -> list:
-    """Refill by ``amount``, capped at ``full``."""
-    out = []
-    for low, high, slope, shift in pieces:
-        shift += amount
-        if slope:
-            out += _cut((low, high, 1, shift), full, (1, shift), (0, full))
-        else:
-            out.append((low, high, 0, min(full, shift)))
-    return _joined(out)
-
-
-def after_request(pieces: list, token: int) -> list:
-    """Take a token where there is one."""
-    out = []
-    for low, high, slope, shift in pieces:
-        if slope:
-            out += _cut((low, high, 1, shift), token, (1, shift), (1, shift - token))
-        else:
-            out.append((low, high, 0, shift - token if shift >= token else shift))
-    return _joined(out)
-
-
-def slice_function(times: list, low: int, high: int, bucket: Bucket) -> list:
-    """What a run of requests does to a bucket that holds between ``low`` and ``high`` before it.
-
-    The result is a list of stages, each a list of pieces, to be applied in order. A busy bucket soon
-    reaches a narrow range of states from any start; a new stage then begins on that range alone, so
-    that the many pieces of the first requests are not carried along.
-    """
-    stages, pieces, last = [], [(low, high, 1, 0)], times[0]
-    for n, now in enumerate(times, 1):
-        waited = after_wait(pieces, (now - last) * bucket.refill_tokens, bucket.full)
-        pieces, last = after_request(waited, bucket.token), now
-        if n % 64 == 0 and len(pieces) > 1:
-            lowest = min(slope * lo + shift for lo, _, slope, shift in pieces)
-            highest = max(slope * hi + shift for _, hi, slope, shift in pieces)
-            if 2 * (highest - lowest) < pieces[-1][1] - pieces[0][0]:
-                stages.append(pieces)
-                pieces = [(lowest, highest, 1, 0)]
-    return [*stages, pieces]
-
-
-def evaluate(stages: list, state: int) -> int:
-    for pieces in stages:
-        low, high, slope, shift = next(p for p in pieces if p[0] <= state <= p[1])
-        state = slope * state + shift
-    return state
-
-
-def _replay_slices(timed: DataFrame, buckets: Mapping[str, Bucket], slice_rows: int) -> DataFrame:
-    numbered = running(timed, _KEY, ["micros", "request_id"], number="n")
-    sliced = numbered.withColumn("slice", F.floor((F.col("n") - 1) / slice_rows).cast("long")).drop("n")
-    keys = [*_KEY, "slice"]
-
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = sorted(pdf["micros"].tolist())
-        bucket = buckets[pdf["policy"].iat[0]]
-        # A bucket starts full, so its first slice has one possible start.
-        low = bucket.full if pdf["slice"].iat[0] == 0 else 0
-        stages = slice_function(times, low, bucket.full, bucket)
-        flat = [[stage, *piece] for stage, pieces in enumerate(stages) for piece in pieces]
-        return pdf[keys].iloc[:1].assign(first=times[0], last=times[-1], pieces=[flat])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("slice")
-        bucket = buckets[pdf["policy"].iat[0]]
-        state, last, starts = bucket.full, None, []
-        for row in pdf.itertuples():
-            if last is not None:
-                state = min(bucket.full, state + (row.first - last) * bucket.refill_tokens)
-            starts.append(state)
-            pieces = [tuple(map(int, piece)) for piece in row.pieces]
-            stages = [[p[1:] for p in group] for _, group in groupby(pieces, key=lambda p: p[0])]
-            state, last = evaluate(stages, state), row.last
-        return pdf[keys].assign(start=starts)
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["micros", "request_id"])
-        bucket = buckets[pdf["policy"].iat[0]]
-        token, full, rate = bucket.token, bucket.full, bucket.refill_tokens
-        state, last = int(pdf["start"].iat[0]), int(pdf["micros"].iat[0])
-        allowed, states = [], []
-        for now in pdf["micros"].tolist():
-            state = min(full, state + (now - last) * rate)
-            last = now
-            allowed.append(state >= token)
-            state -= token if state >= token else 0
-            states.append(state)
-        return pdf.drop(columns=["start", "micros", "slice"]).assign(
-            allowed=allowed, state=states, token=token, rate=rate
-        )
-
-    key_types = "policy string, principal string, slice long"
-    summaries = sliced.select(*keys, "micros").groupBy(*keys).applyInPandas(
-        summarize, f"{key_types}, first long, last long, pieces array<array<long>>"
-    )
-    starts = summaries.groupBy(*_KEY).applyInPandas(chain, f"{key_types}, start long")
-    id_type = timed.schema["request_id"].dataType.simpleString()
-    ts_type = timed.schema["ts"].dataType.simpleString()
-    replayed = sliced.join(starts, keys).groupBy(*keys).applyInPandas(
-        replay,
-        f"request_id {id_type}, policy string, principal string, ts {ts_type},"
-        " allowed boolean, state long, token long, rate long",
-    )
-    return _finish(replayed)
-
-
-def with_retry_after(replayed: DataFrame) -> DataFrame:
-    """Seconds a rejected caller is told to wait."""
-    wait = F.when(~F.col("allowed"), retry_after_seconds(F.col("wait_micros")))
-    return replayed.withColumn("retry_after", wait)
-
-
-def with_outage(requests: DataFrame, outages: DataFrame) -> DataFrame:
-    """Add ``down``: the request falls in an outage [start_ts, end_ts).
-
-    Outage starts and ends join the requests as rows worth +1 and -1; in time order their running sum
-    tells how many outages are open. So no request is paired with any outage, however many overlap.
-    """
-    edges = F.explode(
-        F.array(
-            F.struct(F.col("start_ts").alias("ts"), F.lit(1).alias("step")),
-            F.struct(F.col("end_ts").alias("ts"), F.lit(-1).alias("step")),
-        )
-    )
-    steps = outages.filter("start_ts < end_ts").select(edges.alias("e")).groupBy("e.ts")
-    steps = steps.agg(F.sum("e.step").alias("_step")).withColumn("_kind", F.lit(0))
-    rows = requests.withColumns({"_kind": F.lit(1), "_step": F.lit(0).cast("long")})
-    timeline = rows.unionByName(steps, allowMissingColumns=True)
-    order = ["ts", "_kind", "request_id"]
-    opened = running(timeline, [], order, sums={"_open": F.col("_step")})
-    marked = opened.filter("_kind = 1").withColumn("down", F.col("_open") > 0)
-    return marked.drop("_kind", "_step", "_open")
-
-
-def backend_unavailable(requests: DataFrame, outages: DataFrame, fail_open: bool = False) -> DataFrame:
-    """Requests inside an outage: allowed only when failing open, with no tokens remaining."""
-    down = with_outage(requests, outages).filter("down").drop("down")
-    return down.withColumns(
-        {
-            "allowed": F.lit(fail_open),
-            "backend_available": F.lit(False),
-            "remaining": F.lit(0).cast("long"),
-            "wait_micros": F.lit(0).cast("long"),
-        }
-    )
-
-
-def rate_limit_outcome(
-    requests: DataFrame,
-    outages: DataFrame,
-    buckets: Mapping[str, Bucket] = DEFAULT_BUCKETS,
-    fail_open: bool = False,
-) -> DataFrame:
-    """(request_id, status, remaining, retry_after) of every request.
-
-    status is 429 or 503 when the request is refused and null when it passes. Requests that meet an
-    unavailable backend take no token.
-    """
-    policed = with_policy(requests)
-    counts = F.col("policy").isNotNull() & F.coalesce(is_known_principal(F.col("principal")), F.lit(False))
-    marked = with_outage(policed.filter(counts).select("request_id", "ts", *_KEY), outages)
-    replayed = with_retry_after(token_bucket_replay(marked.filter("NOT down"), buckets))
-
-    def rows(df: DataFrame, status: Column, *columns: Column) -> DataFrame:
-        return df.select("request_id", status.cast("int").alias("status"), *columns)
-
-    parts = [
-        rows(policed.filter(~counts), F.lit(None)),
-        rows(marked.filter("down"), F.lit(None if fail_open else 503)),
-        rows(replayed, F.when(~F.col("allowed"), 429), F.col("remaining"), F.col("retry_after")),
-    ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -44,8 +44,7 @@ def with_steps(sql: str) -> str:
     if not order:
         return sql
     steps = ",\n".join(f"{n} AS ({_definition(n).strip()})" for n in order)
-    recursive = "RECURSIVE " if any(n.endswith("replay_step") for n in order) else ""
-    return f"WITH {recursive}{steps}\n{sql.strip()}"
+    return f"WITH {steps}\n{sql.strip()}"
 
 
 def query(name: str, sql: str | None = None):

@@ -161,9 +161,6 @@ SQL = {
             CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'bad id!'
                 ELSE 'req-' || cast(event_id as string) END AS correlation_id, value
         FROM events""",
-    "outages": """
-        SELECT ts AS start_ts, ts + interval '45' minute AS end_ts
-        FROM events WHERE event_type = 'error' AND value > 60""",
     "access_log": """
         SELECT request_id, CASE WHEN request_id % 101 = 0 THEN 'HTTP_ACCESS method=' || method || ' path='
             ELSE 'HTTP_ACCESS method=' || method || ' path=' || path || ' status='

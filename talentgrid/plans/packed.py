@@ -1,68 +1,18 @@
-"""Files and archives packed from the supplied documents, to unpack again: one file per document."""
+"""Files made of the supplied documents: the first bytes of their type, then the text."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-from xml.sax.saxutils import escape
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-
-
-def _zip(entries: list[tuple[str, bytes]]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
-        for name, data in entries:
-            package.writestr(name, data)
-    return out.getvalue()
-
-
-def _docx(text: str) -> bytes:
-    body = "".join(f"<w:p><w:r><w:t>{escape(line)}</w:t></w:r></w:p>" for line in text.split("\n"))
-    xml = f'<w:document xmlns:w="{_WORD}"><w:body>{body}</w:body></w:document>'
-    return _zip([("word/document.xml", xml.encode())])
-
-
-def packed_files(documents: DataFrame) -> DataFrame:
-    """(upload_id, rel_path, content): French as DOCX, Spanish as plain text, others marked as PDF."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        makers = {"fr": _docx, "es": str.encode}
-        for batch in batches:
-            content = [
-                makers.get(lang, lambda t: b"%PDF-1.4\n" + t.encode())(text)
-                for lang, text in zip(batch["lang"], batch["text"])
-            ]
-            yield batch[["upload_id", "rel_path"]].assign(content=content)
-
-    named = documents.select(
+def headed_files(documents: DataFrame) -> DataFrame:
+    """(upload_id, rel_path, content): French as a ZIP with a Word part, Spanish as plain text, others as PDF."""
+    text = F.encode("text", "UTF-8")
+    word = F.concat(F.lit(bytearray(b"PK\x03\x04" + bytes(26) + b"word/document.xml")), text)
+    pdf = F.concat(F.lit(bytearray(b"%PDF-1.4\n")), text)
+    return documents.select(
         F.concat(F.lit("d"), "doc_id").alias("upload_id"),
         F.concat("lang", F.lit("/doc"), "doc_id", F.lit(".pdf")).alias("rel_path"),
-        "lang",
-        "text",
+        F.when(F.col("lang") == "fr", word).when(F.col("lang") == "es", text).otherwise(pdf).alias("content"),
     )
-    return named.mapInPandas(pack, "upload_id string, rel_path string, content binary")
-
-
-def packed_archives(documents: DataFrame, torn: str | None = None) -> DataFrame:
-    """(upload_id, content): one archive per document with a folder, its text and its lines.
-
-    Archives of documents in language ``torn`` lose their second half.
-    """
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            content = []
-            for lang, text in zip(batch["lang"], batch["text"]):
-                parts = [(f"{lang}/p{i}.docx", p.encode()) for i, p in enumerate(text.split("\n"))]
-                whole = _zip([(lang + "/", b""), (f"{lang}/all.pdf", text.encode()), *parts])
-                content.append(whole[: len(whole) // 2] if lang == torn else whole)
-            yield batch[["upload_id"]].assign(content=content)
-
-    named = documents.select(F.concat(F.lit("d"), "doc_id").alias("upload_id"), "lang", "text")
-    return named.mapInPandas(pack, "upload_id string, content binary")

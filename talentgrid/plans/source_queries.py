@@ -1,9 +1,9 @@
-"""Queries over document files packed from the supplied documents."""
+"""Queries over document files made of the supplied documents."""
 
 from __future__ import annotations
 
 from talentgrid.plans.catalog import query
-from talentgrid.plans.packed import packed_files
+from talentgrid.plans.packed import headed_files
 from talentgrid.settings import DOCX_TYPE, PDF_TYPE
 from talentgrid.sources.documents import detect_media_type
 
@@ -18,6 +18,6 @@ _DOC = "'d' || cast(doc_id AS varchar)"
     FROM documents""",
 )
 def _(t):
-    return detect_media_type(packed_files(t["documents"])).select("upload_id", "media_type")
+    return detect_media_type(headed_files(t["documents"])).select("upload_id", "media_type")
 
 

@@ -56,31 +56,3 @@ class Retention:
             raise ValueError("retention must be positive")
         if not 1 <= self.batch_size <= 1000:
             raise ValueError("batch size must be between 1 and 1000")
-
-
-@dataclass(frozen=True)
-class Bucket:
-    """A token bucket. State is kept in 1/period_us of a token, so refill is exact integer work."""
-
-    capacity: int
-    refill_tokens: int
-    period_seconds: int
-
-    def __post_init__(self):
-        if min(self.capacity, self.refill_tokens, self.period_seconds) <= 0:
-            raise ValueError("bucket values must be positive")
-
-    @property
-    def token(self) -> int:
-        return self.period_seconds * 1_000_000
-
-    @property
-    def full(self) -> int:
-        return self.capacity * self.token
-
-
-DEFAULT_BUCKETS = {
-    "UPLOAD": Bucket(5, 5, 600),
-    "READ": Bucket(60, 60, 60),
-    "EXPORT": Bucket(10, 10, 60),
-}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentgrid.functions.paths import is_cv_name, normalize_path
-from talentgrid.operators.documents import PARSE_FAILED, TEXT_LIMIT_EXCEEDED, UNSUPPORTED_MEDIA_TYPE
+from talentgrid.operators.documents import ALLOWED_TYPES, PARSE_FAILED, TEXT_LIMIT_EXCEEDED, UNSUPPORTED_MEDIA_TYPE
 from talentgrid.operators.joins import join_per_key
 from talentgrid.schemas import DOCUMENT
 from talentgrid.settings import DOCX_TYPE, PDF_TYPE
@@ -66,21 +66,24 @@ def decode_docx(content: bytes) -> str:
     return "\n".join(lines)
 
 
+#: Decoders at hand; a PDF decoder is the caller's.
 DECODERS: Mapping[str, Decoder] = {DOCX_TYPE: decode_docx}
 
 
-def extract_document_text(
-    files: DataFrame, decoders: Mapping[str, Decoder] = DECODERS, detect: bool = True
-) -> DataFrame:
+def extract_document_text(files: DataFrame, decoders: Mapping[str, Decoder], detect: bool = True) -> DataFrame:
     """(upload_id, rel_path, content) to (upload_id, rel_path, media_type, text, error_code).
 
-    A decoder's exception becomes that row's error_code, so one bad file fails nothing else. A type without a decoder
-    is told by name: its rows are UNSUPPORTED_MEDIA_TYPE, not broken files. The bytes do not leave this step.
+    ``decoders`` has one for each allowed type, as DECODERS with one for PDF; without it the plan is refused. A
+    decoder's exception becomes that row's error_code, so one bad file fails nothing else; a type that is not
+    allowed is UNSUPPORTED_MEDIA_TYPE. The bytes do not leave this step.
     """
+    missing = sorted(set(ALLOWED_TYPES) - set(decoders))
+    if missing:
+        raise ValueError(f"no decoder for allowed types: {', '.join(missing)}")
     typed = detect_media_type(files) if detect else files
 
     def decode(kind: str, content: bytes) -> tuple[str | None, str | None]:
-        if kind not in decoders:
+        if kind not in ALLOWED_TYPES:
             return None, UNSUPPORTED_MEDIA_TYPE
         try:
             return decoders[kind](bytes(content)), None
@@ -113,9 +116,7 @@ def files_of_manifest(manifest: DataFrame, accepted: DataFrame) -> DataFrame:
     return kept.select("upload_id", normalize_path(F.col("entry_name")).alias("rel_path"), "content")
 
 
-def documents_of_archives(
-    manifest: DataFrame, verdicts: DataFrame, decoders: Mapping[str, Decoder] = DECODERS
-) -> DataFrame:
+def documents_of_archives(manifest: DataFrame, verdicts: DataFrame, decoders: Mapping[str, Decoder]) -> DataFrame:
     """Documents of accepted archives, as the ingest operators take them.
 
     The verdict and this both read the manifest with its bytes; write it to a table first, so that the

@@ -1,4 +1,4 @@
-"""Streams: documents to candidates, live progress, token buckets with shared state."""
+"""Streams: documents to candidates, and live progress."""
 
 from __future__ import annotations
 

@@ -4,6 +4,7 @@ import io
 import os
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from talentgrid.operators import archive as A
@@ -30,6 +31,13 @@ def docx(lines) -> bytes:
     return packed([("[Content_Types].xml", "<Types/>"), ("word/document.xml", xml)])
 
 
+def broken_pdf(content: bytes) -> str:
+    raise ValueError("not a readable PDF")
+
+
+DECODERS = {**documents.DECODERS, PDF_TYPE: broken_pdf}
+
+
 def store(folder, files):
     for name, data in files.items():
         path = os.path.join(folder, name)
@@ -66,12 +74,12 @@ def test_archives_to_verdicts_and_texts(spark, folder):
         "good": None,
         "sub/slip": A.UNSAFE_PATH,
         "none": A.NO_FILES,
-        "torn": A.CORRUPT,
-        "text": A.CORRUPT,
+        "torn": A.CANNOT_EXTRACT,
+        "text": A.NO_FILES,
         "bomb": A.TOO_LARGE_FILE,
     }
     files = documents.files_of_manifest(manifest, verdicts)
-    texts = {r.rel_path: r for r in documents.extract_document_text(files).collect()}
+    texts = {r.rel_path: r for r in documents.extract_document_text(files, DECODERS).collect()}
     assert texts["team/ann.docx"].text == "Ann Lee\nJava" and texts["team/ann.docx"].error_code is None
     assert texts["b.pdf"].error_code == "PARSE_FAILED"
     pdf = documents.extract_document_text(files, {**documents.DECODERS, PDF_TYPE: lambda b: "pdf text"})
@@ -92,7 +100,7 @@ def test_archives_to_candidates(spark, folder):
     manifest = spark.read.parquet(folder + "/manifest")
     now = F.lit(dt.datetime(2024, 1, 1))
     uploads = spark.createDataFrame([(u, u + ".zip") for u in ("u1", "u2", "u3")], "upload_id string, original_filename string")
-    docs = documents.documents_of_archives(manifest, A.zip_verdict(uploads, manifest, ArchiveLimits()))
+    docs = documents.documents_of_archives(manifest, A.zip_verdict(uploads, manifest, ArchiveLimits()), DECODERS)
     stored = spark.createDataFrame([], CANDIDATE)
     done = ingest_uploads(uploads, manifest, docs, stored, now)
     (ann,) = done.candidates.collect()
@@ -121,7 +129,7 @@ def test_types_come_from_content(spark, folder):
     files = documents.list_cv_files(spark, folder + "/cvs")
     got = {
         (r.upload_id, r.rel_path): (r.media_type, r.error_code)
-        for r in documents.extract_document_text(files).collect()
+        for r in documents.extract_document_text(files, DECODERS).collect()
     }
     assert got == {
         ("u1", "a.pdf"): (PDF_TYPE, "PARSE_FAILED"),
@@ -130,6 +138,8 @@ def test_types_come_from_content(spark, folder):
         ("u2", "d.docx"): ("application/zip", "UNSUPPORTED_MEDIA_TYPE"),
         ("u2", "e.docx"): (DOCX_TYPE, "PARSE_FAILED"),
     }
+    with pytest.raises(ValueError, match="application/pdf"):
+        documents.extract_document_text(files, documents.DECODERS)
 
 
 def candidates(spark, n):

@@ -1,7 +1,7 @@
 import datetime as dt
 
-from talentgrid.settings import PDF_TYPE, Bucket
-from talentgrid.streaming import ingest, ratelimit
+from talentgrid.settings import PDF_TYPE
+from talentgrid.streaming import ingest
 
 DOC = "upload_id string, rel_path string, media_type string, file_exists boolean, text string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -69,43 +69,3 @@ def test_progress_grows(spark, folder):
     for r in rows:
         latest[r.upload_id] = max(latest.get(r.upload_id, (0, 0)), (r.processed_files, r.failed_files))
     assert latest == {"u1": (2, 1), "u2": (1, 0)} and len(rows) >= 3
-
-
-def test_buckets_keep_state_over_batches_and_restart(spark, folder):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    schema = "request_id string, ts timestamp, method string, path string, principal string"
-    buckets = {"READ": Bucket(2, 1, 10), "EXPORT": Bucket(1, 1, 10), "UPLOAD": Bucket(1, 1, 10)}
-
-    def put(name, rows):
-        at = [(i, START + dt.timedelta(seconds=s), "GET", p, who) for i, s, p, who in rows]
-        spark.createDataFrame(at, schema).coalesce(1).write.parquet(f"{folder}/in/{name}")
-
-    def go():
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder + "/in/*")
-        out = ratelimit.stream_rate_limit(stream, buckets, "1 hour")
-        query = (
-            out.writeStream.format("parquet")
-            .option("path", folder + "/out")
-            .option("checkpointLocation", folder + "/cp")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination(180)
-        assert query.exception() is None
-        return {r.request_id: (r.allowed, r.remaining, r.retry_after) for r in spark.read.parquet(folder + "/out").collect()}
-
-    read_path, export = "/api/v1/candidates", "/api/v1/candidates/export.csv"
-    put("a", [("1", 0, read_path, "ann"), ("2", 1, read_path, "ann"), ("3", 2, read_path, "ann"), ("4", 2, export, "ann")])
-    put("b", [("5", 11, read_path, "ann"), ("6", 2, read_path, "bob"), ("7", 3, "/readyz", "bob")])
-    first = go()
-    assert first == {
-        "1": (True, 1, None),
-        "2": (True, 0, None),
-        "3": (False, 0, 8),
-        "4": (True, 0, None),
-        "5": (True, 0, None),
-        "6": (True, 1, None),
-    }
-    put("c", [("8", 12, read_path, "ann"), ("9", 21, read_path, "ann")])
-    again = go()
-    assert again["8"] == (False, 0, 8) and again["9"] == (True, 0, None) and len(again) == 8
