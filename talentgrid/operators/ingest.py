@@ -145,7 +145,7 @@ def skip_limit_gate(results: DataFrame, limits: BatchLimits) -> DataFrame:
     return joined.withColumn("upload_failed", failed).withColumn("kept", kept).drop("stop_chunk")
 
 
-def build_failures(results: DataFrame, now: dt.datetime | Column) -> DataFrame:
+def build_failures(results: DataFrame, now: dt.datetime | Column, *keep: str) -> DataFrame:
     created = now if isinstance(now, Column) else F.lit(now)
     name = F.coalesce(basename(F.col("rel_path")), F.lit("unknown"))
     key = F.concat(F.col("upload_id"), F.lit("/"), F.coalesce("rel_path", F.lit("unknown")))
@@ -156,6 +156,7 @@ def build_failures(results: DataFrame, now: dt.datetime | Column) -> DataFrame:
         "error_code",
         clean_message(F.col("error_message")).alias("error_message"),
         created.alias("created_at"),
+        *keep,
     )
 
 

@@ -14,6 +14,7 @@ from talentgrid.plans import (  # noqa: F401
     operations_queries,
     search_queries,
     source_queries,
+    stream_queries,
 )
 from talentgrid.plans.catalog import QUERIES, oracles
 from talentgrid.plans.fixtures import Inputs

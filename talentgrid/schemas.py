@@ -44,6 +44,12 @@ PROCESSING_FAILURE = _table(
 )
 UPLOAD_STORAGE_CLEANUP = _table(("upload_id", _TEXT, False), ("cleaned_at", _TIME, False))
 
+
+def with_day(table: T.StructType) -> T.StructType:
+    """A table that is stored by the day its rows arrived."""
+    return T.StructType([*table.fields, T.StructField("arrived_day", T.DateType(), True)])
+
+
 TABLES = {
     "cv_upload": CV_UPLOAD,
     "candidate": CANDIDATE,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,10 @@ from talentgrid.operators.retention import new_cleanup_records
 from talentgrid.schemas import CANDIDATE, PROCESSING_FAILURE, TABLES
 
 
+#: Partition column of tables that streams write.
+DAY = "arrived_day"
+
+
 def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The five tables as Parquet folders, with their declared schemas."""
     return {n: spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in TABLES.items()}
@@ -59,7 +65,7 @@ def write_candidates_typed(exported: DataFrame, folder: str) -> None:
 
 def new_failures(stored: DataFrame, failures: DataFrame) -> DataFrame:
     """Failures to append: each id once, and only those not stored yet."""
-    order = ["created_at", "filename", "error_code", "error_message"]
+    order = ["created_at", "filename", "error_code", "error_message", DAY]
     once = first_per_key(failures, ["id"], [c for c in order if c in failures.columns])
     return once.join(stored.select("id"), "id", "left_anti")
 
@@ -74,6 +80,16 @@ def stored_table(spark: SparkSession, folder: str, schema: StructType) -> DataFr
         return spark.createDataFrame([], schema)
 
 
+def stored_days(spark: SparkSession, folder: str, schema: StructType, first: dt.date, last: dt.date) -> DataFrame:
+    """Rows of the table so far that arrived from `first` to `last`; files of other days are not listed or read."""
+    return stored_table(spark, folder, schema).filter(F.col(DAY).between(F.lit(first), F.lit(last)))
+
+
+def append_days(rows: DataFrame, folder: str, order: list[str]) -> None:
+    """Append rows under the day they arrived, sorted inside each file."""
+    rows.sortWithinPartitions(DAY, *order).write.mode("append").partitionBy(DAY).parquet(folder)
+
+
 def of_uploads(stored: DataFrame, rows: DataFrame) -> DataFrame:
     """Stored rows of the uploads of `rows`; files are sorted by upload, so a pruned join skips row groups."""
     return stored.join(rows.select("upload_id").distinct(), "upload_id", "left_semi")
