@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from talentgrid.functions.text import clean_message
@@ -12,7 +14,9 @@ from talentgrid.operators.documents import classify_document
 from talentgrid.plans.archive_queries import LIMITS
 from talentgrid.plans.catalog import oracle_step, query
 from talentgrid.plans.extraction_queries import PARSING
+from talentgrid.session import staging_folder
 from talentgrid.settings import BatchLimits
+from talentgrid.sources.buckets import CANDIDATES, FAILURES, Layout, bucketed
 from talentgrid.sources.tables import new_failures
 
 BATCH = BatchLimits(chunk_size=4, skip_limit=3)
@@ -230,6 +234,46 @@ def _(t):
     return new_failures(stored, delivered_twice).select("id", "error_code")
 
 
+def _bucketed(t, layout: Layout, stored, rows):
+    """A new bucketed table with the stored rows, to which the others are appended twice."""
+    name = f"stored_{uuid.uuid4().hex}"
+    table = bucketed(t.spark, name, f"{staging_folder(t.spark)}/{name}", layout, buckets=16)
+    for part in (stored, rows, rows):
+        table.append(part)
+    return table.rows()
+
+
+@query(
+    "append_candidates",
+    """
+    SELECT upload_id, source_filename, id, full_name FROM candidate WHERE segment = 'BUILDING'
+    UNION ALL SELECT d.upload_id, d.filename, sha256(d.upload_id || '/' || d.rel_path), d.full_name
+    FROM (SELECT *, row_number() OVER (PARTITION BY upload_id, filename
+            ORDER BY sha256(upload_id || '/' || rel_path)) AS nth FROM results WHERE error_code IS NULL) AS d
+    WHERE d.nth = 1 AND NOT EXISTS (
+        SELECT 1 FROM stored AS s WHERE s.upload_id = d.upload_id AND s.source_filename = d.filename)""",
+)
+def _(t):
+    drafts = _results(t).filter("error_code IS NULL").withColumns(
+        {"id": F.sha2(F.concat_ws("/", *_KEY), 256), "created_at": _now().cast("timestamp")}
+    )
+    stored = _stored(t).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    rows = _bucketed(t, CANDIDATES, stored, drafts)
+    return rows.select("upload_id", "source_filename", "id", "full_name")
+
+
+@query(
+    "append_failures_by_bucket",
+    """
+    SELECT sha256(upload_id || '/' || rel_path) AS id, upload_id, filename, error_code FROM results
+    WHERE error_code IS NOT NULL""",
+)
+def _(t):
+    failures = I.build_failures(_results(t), _now().cast("timestamp"))
+    rows = _bucketed(t, FAILURES, failures.filter("error_code = 'PARSE_FAILED'"), failures.unionAll(failures))
+    return rows.select("id", "upload_id", "filename", "error_code")
+
+
 @query(
     "upload_progress",
     """
