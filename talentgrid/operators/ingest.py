@@ -25,6 +25,8 @@ NO_CV_FILES = "No CV files found for upload: "
 NULL_DRAFT = "CandidateDraft must not be null"
 BLANK_FILENAME = "Candidate sourceFilename must not be blank"
 
+# So many upload ids at most (some 10 MB) are sent to every task.
+TOLD_UPLOADS = 200_000
 # Default of spark.sql.optimizer.windowGroupLimitThreshold.
 PRUNED_RANKS = 1000
 
@@ -250,19 +252,25 @@ def summarize_ingest(uploads: DataFrame, flagged: DataFrame, now: Column) -> Dat
 
 
 def ingest_results(
-    documents: DataFrame, parsing: ParsingLimits = ParsingLimits(), batch: BatchLimits = BatchLimits()
+    documents: DataFrame,
+    parsing: ParsingLimits = ParsingLimits(),
+    batch: BatchLimits = BatchLimits(),
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
-    """Numbered CV files with their draft or failure, gated by the skip limit.
+    """Numbered CV files with their draft or failure, gated by the skip limit; of the `wanted` uploads (upload_id).
 
-    Files are numbered on their paths alone. The results (no texts) are written once, as the gate, the
-    merge and the counts all read them; otherwise every text would be extracted again for each.
+    Texts end where they are read: what is joined, numbered and gated are results without texts. They are written
+    once, as all of these read them; otherwise every text would be extracted again for each.
     """
     cvs = cv_files(documents)
-    numbered = running(
-        cvs.select("upload_id", "rel_path"), ["upload_id"], ["rel_path"], number="file_no"
-    )
-    results = process_documents(cvs, parsing).join(numbered, ["upload_id", "rel_path"])
-    return skip_limit_gate(fixed(results), batch)
+    few = wanted is not None and wanted.count() <= TOLD_UPLOADS
+    if few:  # told to every task, so that texts of other uploads are not even read for fields
+        cvs = cvs.join(F.broadcast(wanted), "upload_id", "left_semi")
+    results = process_documents(cvs, parsing)
+    if wanted is not None and not few:
+        results = join_per_key(results, wanted, ["upload_id"], "left_semi", ["rel_path"])
+    numbered = running(fixed(results), ["upload_id"], ["rel_path"], number="file_no")
+    return skip_limit_gate(fixed(numbered), batch)
 
 
 def ingest_uploads(
@@ -285,9 +293,7 @@ def ingest_uploads(
     # Written once: the file numbering, the extraction and the summary all start from it.
     files = F.col("file_count").cast("int").alias("total_files")
     accepted = fixed(verdicts.filter("accepted").select("upload_id", files))
-    ids = accepted.select("upload_id")
-    wanted = join_per_key(documents, ids, ["upload_id"], "left_semi", ["rel_path"])
-    flagged = flag_inserts(ingest_results(wanted, parsing, batch), stored)
+    flagged = flag_inserts(ingest_results(documents, parsing, batch, accepted.select("upload_id")), stored)
     candidates = flagged.filter("inserted").select(
         candidate_id(F.col("upload_id"), F.col("source_filename")).alias("id"),
         "upload_id",

@@ -51,6 +51,27 @@ def test_gate_leaves_the_upload_spread(spark):
     assert sorted(limits) == ["Final", "Partial"]
 
 
+@pytest.mark.parametrize("told", [I.TOLD_UPLOADS, 0])
+def test_texts_end_at_the_scan(spark, monkeypatch, told):
+    """Nothing that is shuffled on the ingest path carries a document's text."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    seen = []
+    monkeypatch.setattr(I, "TOLD_UPLOADS", told)
+    monkeypatch.setattr(I, "fixed", lambda df: seen.append(plan_of(df)) or df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        registry.queries()["ingest_uploads"](spark, SMALL)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    shuffled = [re.findall(r"(?:Exchange|ShuffleExchange).*", p) for p in seen]
+    assert any(shuffled)
+    for plan in seen:
+        for exchange in re.finditer(r"( *)[:+| -]*Exchange (?:hash|range)partitioning.*\n(.*)", plan):
+            below = exchange.group(2)
+            if "Project [" in below:
+                assert not re.search(r"[\[ ]text#\d+[,\]]", below)
+
+
 def test_one_shuffle_serves_the_verdict(spark):
     plan = plan_of(registry.queries()["zip_verdict"](spark, SMALL))
     assert len(re.findall(r"Exchange hashpartitioning\(upload_id", plan)) <= 2

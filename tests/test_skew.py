@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from talentgrid.operators import ordered
+from talentgrid.operators import ingest, ordered
 from talentgrid.plans.fixtures import TABLES
 from tests.test_oracles import FOLDER, table
 
@@ -43,6 +43,7 @@ def hot(tmp_path_factory):
 @pytest.mark.parametrize("name", NAMES)
 def test_hot_keys(spark, hot, name, monkeypatch):
     monkeypatch.setattr(ordered, "MAX_GROUP_ROWS", 60)
+    monkeypatch.setattr(ingest, "TOLD_UPLOADS", 0)
     folder, database = hot
     df = contract.queries()[name](spark, folder)
     answer = database.execute(contract.oracle_sql()[name])
