@@ -78,6 +78,18 @@ def _local(df, by, order, number, sums) -> DataFrame:
     return df.withColumns(columns) if columns else df
 
 
+def numbered(ordered: DataFrame, number: str) -> DataFrame:
+    """Add the place (1, 2, …) of each row of a sorted DataFrame: its part's rows before it, and those of earlier parts."""
+    placed = fixed(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = placed.withColumn("_part", part)
+    # one small row for each part
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return rows.join(starts, "_part").withColumn(number, F.col("_before") + inside + 1).drop("_at", "_part", "_before")
+
+
 def first_per_key(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row of each group. The rank filter prunes every map task to one row per key."""
     window = Window.partitionBy(*by).orderBy(*order)

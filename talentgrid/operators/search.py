@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentgrid.functions.text import CONTROL_AND_SPACE, trim_argument
 from talentgrid.operators.ordered import running
-from talentgrid.settings import JOB_TYPES, MAX_PAGE_SIZE, SORT_FIELDS, InvalidQuery, UploadNotFound
+from talentgrid.settings import JOB_TYPES, MAX_PAGE_SIZE, SORT_FIELDS, CandidateLost, InvalidQuery, UploadNotFound
 
 TOP_ROWS = 100_000
 RESPONSE = (
@@ -194,9 +195,9 @@ def sort_ignoring_case(skills: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["s"])
 
 
-def project_candidate(candidates: DataFrame) -> DataFrame:
+def project_candidate(candidates: DataFrame, *keep: str) -> DataFrame:
     skills = distinct_ignoring_case(F.col("skills")).alias("skills")
-    return candidates.select(*[skills if c == "skills" else F.col(c) for c in RESPONSE])
+    return candidates.select(*keep, *[skills if c == "skills" else F.col(c) for c in RESPONSE])
 
 
 def search_candidates(
@@ -212,6 +213,122 @@ def search_candidates(
     return project_candidate(page_candidates(found, page, size, sort_by, direction))
 
 
+#: Where the reader of a file source can tell a row's file.
+_FILE = "_metadata.file_path"
+
+
+def search_hydrated(
+    tables: Mapping[str, DataFrame],
+    criteria: Criteria = Criteria(),
+    page: int = 0,
+    size: int = 20,
+    sort_by: str | None = None,
+    direction: str | None = None,
+) -> DataFrame:
+    """A page in two steps over the stored tables: its ids from narrow columns, then the full rows of those ids alone.
+
+    The first step reads the columns that filter and sort, and its at most MAX_PAGE_SIZE ids come to the driver. The
+    second reads the files that hold them, where upload and id are pushed into the scan, with the upload by inner and the
+    skills by left join. A row that is gone by then fails the query by its id (CandidateLost's message). `position`
+    is the place in the page.
+    """
+    candidates = tables["candidate"]
+    order = sort_order(sort_by, direction)
+    keys = dict.fromkeys(["id", "upload_id", SORT_FIELDS[trim_argument(sort_by) or "fullName"]])
+    narrow = filter_criteria(candidates, criteria)
+    filed = _tells_files(candidates)
+    told = narrow.select(*keys, *([F.col(_FILE).alias("_file")] if filed else []))
+    found = page_rows(told, order, page, size).collect()
+    spark = candidates.sparkSession
+    placed = spark.createDataFrame([(i, r.id) for i, r in enumerate(found, 1)], "position int, page_id string")
+
+    ids, owners = [r.id for r in found], sorted({r.upload_id for r in found})
+    rows = candidates.drop("skills").filter(F.col("upload_id").isin(owners) & F.col("id").isin(ids))
+    if filed:
+        rows = rows.filter(F.col(_FILE).isin(sorted({r._file for r in found})))
+    uploads = tables["cv_upload"].filter(F.col("id").isin(owners)).select(F.col("id").alias("upload_id"), "original_filename")
+    skills = tables["candidate_skill"].filter(F.col("candidate_id").isin(ids))
+    lists = skills.groupBy("candidate_id").agg(F.collect_set("skill").alias("skills"))
+    full = uploads.join(rows, "upload_id").join(lists, F.col("id") == F.col("candidate_id"), "left")
+    met = placed.join(full, F.col("page_id") == F.col("id"), "left").withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
+    lost = F.raise_error(F.concat(F.lit(CandidateLost.__name__ + ": "), F.col("page_id"))).cast("string")
+    sure = met.withColumn("id", F.when(F.col("id").isNull(), lost).otherwise(F.col("id")))
+    out = project_candidate(sure.select("position", "original_filename", *RESPONSE), "position", "original_filename")
+    return out.orderBy("position")
+
+
+def _tells_files(df: DataFrame) -> bool:
+    try:
+        return df.select(_FILE).columns != []
+    except AnalysisException:
+        return False
+
+
+#: Years in one bin of the range join; the last bin is open.
+BIN_YEARS, LAST_BIN = 5, 20
+_CRITERIA = ("skill", "location", "job_type", "min_experience", "max_experience")
+
+
+def normalize_criteria(criteria: DataFrame) -> DataFrame:
+    """Rows of criteria trimmed, blank text absent, with `error` as `Criteria` would raise it."""
+    trimmed = criteria.withColumns({c: _trimmed(F.col(c)) for c in ("skill", "location")})
+    low, high = F.col("min_experience"), F.col("max_experience")
+    error = (
+        F.when(~F.col("job_type").isin(*JOB_TYPES), F.concat(F.lit("unknown job type: "), "job_type"))
+        .when(low < 0, "minExperience must not be negative")
+        .when(high < 0, "maxExperience must not be negative")
+        .when(low > high, "minExperience must be less than or equal to maxExperience")
+    )
+    return trimmed.withColumn("error", error)
+
+
+def _trimmed(text: Column) -> Column:
+    return F.nullif(F.btrim(text, F.lit(CONTROL_AND_SPACE)), F.lit(""))
+
+
+def _bin(years: Column) -> Column:
+    return F.least(F.floor(years / BIN_YEARS), F.lit(LAST_BIN)).cast("int")
+
+
+def count_matches(candidates: DataFrame, criteria: DataFrame) -> DataFrame:
+    """(criteria_id, error, matches) for a table of criteria, searched at once.
+
+    Candidates of one profile (years, job type, location, skills) and criteria that ask for the same are counted once.
+    They meet in bins of years: a range of years is in each bin that it touches, and criteria without bounds are in a bin
+    of their own, which every profile has too. No pair of rows without a common bin is looked at.
+    """
+    checked = normalize_criteria(criteria)
+    lower = {c: F.lower(c) for c in ("skill", "location")}
+    asked = checked.filter("error is null").withColumns(lower).groupBy(*_CRITERIA).agg(F.count(F.lit(1)).alias("_asked"))
+    bounded = F.col("min_experience").isNotNull() | F.col("max_experience").isNotNull()
+    first = _bin(F.coalesce("min_experience", F.lit(0)))
+    last = F.coalesce(_bin(F.col("max_experience")), F.lit(LAST_BIN))
+    bins = F.when(bounded, F.sequence(first, last)).otherwise(F.array(F.lit(-1)))
+    wanted = asked.drop("_asked").withColumn("_bin", F.explode(bins))
+
+    profile = {
+        "_years": F.col("years_of_experience"),
+        "_job": F.col("preferred_job_type"),
+        "_place": F.lower("preferred_location"),
+        "_skills": F.array_sort(F.array_distinct(F.transform(F.coalesce("skills", F.array().cast("array<string>")), lambda s: F.lower(s)))),
+    }
+    profiles = candidates.select(*[v.alias(k) for k, v in profile.items()]).groupBy(*profile).agg(F.count(F.lit(1)).alias("_n"))
+    own = F.array_compact(F.array(F.lit(-1), _bin(F.col("_years"))))
+    met = profiles.withColumn("_bin", F.explode(own)).join(wanted, "_bin").filter(
+        (F.col("skill").isNull() | F.array_contains("_skills", F.col("skill")))
+        & (F.col("location").isNull() | (F.col("location") == F.col("_place")))
+        & (F.col("job_type").isNull() | (F.col("job_type") == F.col("_job")))
+        & (F.col("min_experience").isNull() | (F.col("_years") >= F.col("min_experience")))
+        & (F.col("max_experience").isNull() | (F.col("_years") <= F.col("max_experience")))
+    )
+    counts = met.groupBy(*_CRITERIA).agg(F.sum("_n").alias("_matches"))
+    renamed = counts.select(*[F.col(c).alias(f"_{c}") for c in _CRITERIA], "_matches")
+    same = reduce(lambda a, b: a & b, [(lower.get(c, F.col(c))).eqNullSafe(F.col(f"_{c}")) for c in _CRITERIA])
+    told = checked.join(renamed, same, "left")
+    matches = F.when(F.col("error").isNull(), F.coalesce("_matches", F.lit(0)))
+    return told.select("criteria_id", "error", matches.cast("long").alias("matches"))
+
+
 def search_response(
     candidates: DataFrame,
     criteria: Criteria = Criteria(),

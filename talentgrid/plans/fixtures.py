@@ -8,6 +8,7 @@ names differ between the two.
 from __future__ import annotations
 
 import re
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 
 from talentgrid.functions.patterns import KNOWN_SKILLS
 from talentgrid.operators.ordered import running
+from talentgrid.schemas import TABLES as STORED
+from talentgrid.session import staging_folder
 from talentgrid.settings import DOCX_TYPE, PDF_TYPE
+from talentgrid.sources.tables import load_tables, store_tables
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages"
@@ -186,6 +190,14 @@ SQL = {
             WHEN 8 THEN 'already_absent' WHEN 9 THEN CASE priority WHEN '1-URGENT' THEN 'failed' ELSE 'deleted' END
             ELSE 'deleted' END AS outcome, created_at, total_files
         FROM cv_upload""",
+    "criteria": """
+        SELECT event_id AS criteria_id,
+            CASE event_type WHEN 'view' THEN ' java ' WHEN 'click' THEN 'SPRING BOOT' WHEN 'signup' THEN '  ' END AS skill,
+            CASE user_id % 5 WHEN 0 THEN ' France' WHEN 1 THEN 'germany  ' WHEN 2 THEN '' END AS location,
+            CASE user_id % 7 WHEN 0 THEN 'REMOTE' WHEN 1 THEN 'HYBRID' WHEN 2 THEN 'OFFICE' END AS job_type,
+            CASE event_id % 4 WHEN 0 THEN cast(event_id % 23 as int) - 1 WHEN 1 THEN cast(event_id % 11 as int) END AS min_experience,
+            CASE event_id % 3 WHEN 0 THEN cast(event_id % 29 as int) - 1 WHEN 1 THEN 12 END AS max_experience
+        FROM events""",
     "cleanup_runs": """
         SELECT run_id, min(created_at) AS started_at, sum(total_files) AS duration_ms,
             run_id % 7 = 0 AS run_failed, count(*) AS selected,
@@ -266,3 +278,10 @@ class Inputs:
         return numbered.select(
             "upload_id", F.col("entry_no").cast("int").alias("entry_no"), "entry_name", "is_directory", "size_bytes"
         )
+
+
+def stored_tables(t: Inputs) -> dict[str, DataFrame]:
+    """The five tables, written to a folder and loaded from it."""
+    folder = f"{staging_folder(t.spark)}/tables-{uuid.uuid4().hex}"
+    store_tables({name: t[name] for name in STORED}, folder)
+    return load_tables(t.spark, folder)

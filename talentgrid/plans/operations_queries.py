@@ -9,6 +9,7 @@ from talentgrid.operators import logs as G
 from talentgrid.operators import ratelimit as L
 from talentgrid.operators import retention as C
 from talentgrid.plans.catalog import oracle_step, query
+from talentgrid.plans.fixtures import stored_tables
 from talentgrid.schemas import TABLES
 from talentgrid.settings import Retention
 
@@ -235,7 +236,8 @@ def _(t):
     " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in TABLES),
 )
 def _(t):
-    parts = [t[n].groupBy(F.lit(n).alias("table_name")).agg(F.count(F.lit(1)).alias("n")) for n in TABLES]
+    tables = stored_tables(t)
+    parts = [tables[n].groupBy(F.lit(n).alias("table_name")).agg(F.count(F.lit(1)).alias("n")) for n in TABLES]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from talentgrid.functions.csvcells import csv_quote, join_skills, protect_formula
 from talentgrid.operators import export as X
 from talentgrid.operators import search as S
-from talentgrid.operators.ordered import running
+from talentgrid.operators.ordered import numbered
 from talentgrid.plans.catalog import oracle_step, query
+from talentgrid.plans.fixtures import stored_tables
 from talentgrid.sources.tables import csv_document
 
 _ID = "SELECT id FROM candidate WHERE "
@@ -50,8 +51,7 @@ def _(t):
 )
 def _(t):
     rows = t["candidate"].select("id", "years_of_experience")
-    order = S.sort_order("yearsOfExperience", "desc")
-    return running(rows, [], order, number="position").select("id", "position")
+    return numbered(S.sort_candidates(rows, "yearsOfExperience", "desc"), "position").select("id", "position")
 
 
 _PAGE = """
@@ -128,6 +128,59 @@ def _(t):
     return _flat(found)
 
 
+@query(
+    "search_hydrated",
+    f"""
+    SELECT cast(row_number() OVER (ORDER BY p.years_of_experience DESC NULLS FIRST, p.id) AS int) AS position, u.original_filename,
+        r.* EXCLUDE (original_filename)
+    FROM (SELECT {_CELLS}, 1 AS original_filename FROM response) AS r
+    JOIN (SELECT id, upload_id, years_of_experience FROM candidate
+        WHERE preferred_job_type = 'REMOTE' AND years_of_experience >= 3
+        ORDER BY years_of_experience DESC NULLS FIRST, id LIMIT 50 OFFSET 50) AS p ON p.id = r.id
+    JOIN cv_upload AS u ON u.id = p.upload_id""",
+)
+def _(t):
+    criteria = S.Criteria(job_type="REMOTE", min_experience=3)
+    return _flat(S.search_hydrated(stored_tables(t), criteria, 1, 50, "yearsOfExperience", "DESC"))
+
+
+oracle_step(
+    "criteria_read",
+    """
+    SELECT criteria_id, lower(nullif(trim(skill), '')) AS skill, lower(nullif(trim(location), '')) AS location, job_type,
+        min_experience AS low, max_experience AS high,
+        CASE WHEN job_type = 'OFFICE' THEN 'unknown job type: OFFICE'
+            WHEN min_experience < 0 THEN 'minExperience must not be negative'
+            WHEN max_experience < 0 THEN 'maxExperience must not be negative'
+            WHEN min_experience > max_experience
+                THEN 'minExperience must be less than or equal to maxExperience' END AS error
+    FROM criteria""",
+)
+oracle_step(
+    "criteria_found",
+    """
+    SELECT a.*, (SELECT count(*) FROM candidate AS c
+        WHERE (a.skill IS NULL OR list_contains(list_transform(c.skills, lambda s: lower(s)), a.skill))
+            AND (a.location IS NULL OR lower(c.preferred_location) = a.location)
+            AND (a.job_type IS NULL OR c.preferred_job_type = a.job_type)
+            AND (a.low IS NULL OR c.years_of_experience >= a.low)
+            AND (a.high IS NULL OR c.years_of_experience <= a.high)) AS matches
+    FROM (SELECT DISTINCT skill, location, job_type, low, high FROM criteria_read WHERE error IS NULL) AS a""",
+)
+
+
+@query(
+    "normalize_criteria",
+    """
+    SELECT n.criteria_id, n.error, f.matches FROM criteria_read AS n LEFT JOIN criteria_found AS f ON n.error IS NULL
+        AND f.skill IS NOT DISTINCT FROM n.skill AND f.location IS NOT DISTINCT FROM n.location
+        AND f.job_type IS NOT DISTINCT FROM n.job_type AND f.low IS NOT DISTINCT FROM n.low
+        AND f.high IS NOT DISTINCT FROM n.high""",
+)
+def _(t):
+    return S.count_matches(t["candidate"], t["criteria"])
+
+
 @query("candidates_of_upload", _ID + "upload_id = 'u00000042'")
 def _(t):
     return S.candidates_of_upload(t["candidate"], "u00000042").select("id")

@@ -23,6 +23,10 @@ class InvalidQuery(ValueError):
     """A search, paging or sort argument that is not allowed."""
 
 
+class CandidateLost(LookupError):
+    """A candidate of a page was gone when its row was fetched."""
+
+
 class UploadNotFound(LookupError):
     """The upload asked for is not in the upload table."""
 

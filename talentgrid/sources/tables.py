@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,17 @@ def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {n: spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in TABLES.items()}
 
 
+def store_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
+    """Write tables as `load_tables` reads them, with their declared columns; candidates in order of their uploads, so
+    that a search by upload skips row groups."""
+    order = {"candidate": ["upload_id", "source_filename"], "candidate_skill": ["candidate_id"], "cv_upload": ["id"]}
+    for name, df in tables.items():
+        typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]])
+        if name in order:
+            typed = typed.repartitionByRange(*order[name]).sortWithinPartitions(*order[name])
+        typed.write.parquet(f"{folder}/{name}")
+
+
 def load_tables_jdbc(
     spark: SparkSession,
     url: str,
