@@ -133,7 +133,10 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def index_lists(docs: DataFrame, size: int, like: Similarity) -> tuple[DataFrame, DataFrame]:
-    """Texts (doc_id, fp, n, sid), and the lists of two or more classes (token, sid, n, pos, leader, leader_n, near)."""
+    """Texts (doc_id, fp, n, sid), and the lists of two or more classes (token, sid, n, pos, leader, leader_n, near, k).
+
+    k is the number of classes in the list.
+    """
     spark = docs.sparkSession
     buckets = C.bucket_count(spark)
     hot = frequent_shingles(docs, size)
@@ -184,7 +187,7 @@ def index_lists(docs: DataFrame, size: int, like: Similarity) -> tuple[DataFrame
     def lists(bucket: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
         def batch(**columns) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
-            kinds = {"doc_id": pa.int64(), "fp": pa.int64(), "token": pa.int64(), "sid": pa.int64(), "n": pa.int64(), "pos": pa.int64(), "leader": pa.int64(), "leader_n": pa.int64(), "near": pa.bool_()}
+            kinds = {"doc_id": pa.int64(), "fp": pa.int64(), "token": pa.int64(), "sid": pa.int64(), "n": pa.int64(), "pos": pa.int64(), "leader": pa.int64(), "leader_n": pa.int64(), "near": pa.bool_(), "k": pa.int64()}
             return pa.RecordBatch.from_arrays([columns[k] if isinstance(columns.get(k), pa.Array) else pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
 
         parts = []
@@ -208,15 +211,16 @@ def index_lists(docs: DataFrame, size: int, like: Similarity) -> tuple[DataFrame
         once = np.concatenate([[True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])])
         token, sid, n, pos = token[once], sid[once], n[once], pos[once]
         starts, lengths = C.runs(token)
-        several = np.repeat(lengths > 1, lengths)
+        crowd = np.repeat(lengths, lengths)
+        several = crowd > 1
         lead = np.repeat(starts, lengths)
         near = (100 * np.minimum(n, n[lead]) >= like.percent * np.maximum(n, n[lead])) & (np.minimum(n - pos, (n - pos)[lead]) >= like.overlap(n, n[lead])) & (sid != sid[lead])
         for i in range(0, len(token), 50_000):
             m = np.flatnonzero(several[i : i + 50_000]) + i
             if len(m):
-                yield batch(token=token[m].view(np.int64), sid=sid[m], n=n[m], pos=pos[m], leader=sid[lead][m], leader_n=n[lead][m], near=near[m])
+                yield batch(token=token[m].view(np.int64), sid=sid[m], n=n[m], pos=pos[m], leader=sid[lead][m], leader_n=n[lead][m], near=near[m], k=crowd[m])
 
-    both = staged(C.by_bucket(_texts(docs).mapInArrow(indexed, C.CELL), buckets, lists, "doc_id long, fp long, token long, sid long, n long, pos long, leader long, leader_n long, near boolean"), "lists")
+    both = staged(C.by_bucket(_texts(docs).mapInArrow(indexed, C.CELL), buckets, lists, "doc_id long, fp long, token long, sid long, n long, pos long, leader long, leader_n long, near boolean, k long"), "lists")
     return staged(both.where("token is null").select("doc_id", "fp", "n", "sid"), "texts", up=1), both.where("token is not null").drop("doc_id", "fp")
 
 
@@ -252,7 +256,10 @@ def sets_of(docs: DataFrame, classes: DataFrame, sids: DataFrame, size: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(first[keep]), pa.array(sids[keep]), pa.array([sets[i].tobytes() for i in keep.tolist()], pa.binary())], names=["first", "sid", "members"])
 
     sets = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "first long, sid long, members binary")
-    return staged(sets.join(wanted, ["sid", "first"]).select("sid", "members").dropDuplicates(["sid"]), "sets")
+    # The join's key is the class alone, so that its shuffle serves the repeated rows too and sets cross once.
+    asked = wanted.select(F.col("sid").alias("class"), F.col("first").alias("document"))
+    met = sets.join(asked, (F.col("sid") == F.col("class")) & (F.col("first") - F.col("document") == 0))
+    return staged(met.select("sid", "members").dropDuplicates(["sid"]), "sets")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -385,8 +392,7 @@ def _similar_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFram
         known = staged(compared(stars, sets_of(docs, classes, _ends(stars), size)), "overlaps", up=1)
     roots = components(known.where(linked)).withColumnRenamed("node", "sid")
 
-    several = lists.groupBy("token").agg(F.count("*").alias("k")).where("k > 2")
-    lists = lists.join(several, "token").join(known.select(F.col("a").alias("sid"), F.col("b").alias("leader"), "inter"), ["sid", "leader"], "left")
+    lists = lists.where("k > 2").join(known.select(F.col("a").alias("sid"), F.col("b").alias("leader"), "inter"), ["sid", "leader"], "left")
     lists = staged(lists.withColumn("inter", F.when(F.col("sid") == F.col("leader"), F.col("n")).otherwise(F.col("inter"))), "several")
     n_rows = lists.count()
 
