@@ -76,11 +76,14 @@ class Forest:
         """Signed distances of vectors to the cut of each node of each tree."""
         return np.einsum("qd,tnd->qtn", x, self.direction, optimize=True) - self.cut
 
-    def search(self, margins: np.ndarray, sizes: np.ndarray, enough: float) -> list[int]:
-        """Leaves (tree * leaves + leaf) of one query, nearest first, until they hold enough vectors."""
+    def search(self, margins: np.ndarray, sizes: np.ndarray, enough: float, least: int) -> list[int]:
+        """Leaves (tree * leaves + leaf) of one query, nearest first, until they hold enough vectors.
+
+        Leaves of one tree have no vector in common, so that one tree with `least` vectors tells as many different ones.
+        """
         inner, held, out, queue = (1 << self.depth) - 1, 0, [], [(0.0, t, 0) for t in range(self.trees)]
-        rows = margins.tolist()
-        while queue and held < enough:
+        rows, different = margins.tolist(), [0] * self.trees
+        while queue and (held < enough or max(different) < least):
             margin, t, n = heapq.heappop(queue)
             row = rows[t]
             while n < inner:
@@ -90,6 +93,7 @@ class Forest:
             slot = t * (inner + 1) + n - inner
             out.append(slot)
             held += int(sizes[slot])
+            different[t] += int(sizes[slot])
         return out
 
 
@@ -149,7 +153,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", v
                 part = x.slice(i, 512)
                 vectors, ids = _matrix(part.column(1), width), part.column(0).to_numpy()
                 margins = told.value.margins(vectors.astype(np.float64))
-                found = [told.value.search(m, sizes, SEARCH * total) for m in margins]
+                found = [told.value.search(m, sizes, SEARCH * total, min(total, k + 1)) for m in margins]
                 slot = np.array([s for f in found for s in f], np.int64)
                 own = np.repeat(np.arange(len(ids)), [len(f) for f in found])
                 order = np.argsort(slot, kind="stable")

@@ -120,6 +120,16 @@ def test_nearest_vectors(spark):
     assert sorted(r.vec_id for r in few) == [1, 2] and ann.nearest(table.limit(0), F.lit(True), 3).count() == 0
 
 
+def test_few_vectors_are_all_found(spark):
+    rng = np.random.default_rng(7)
+    for n in (2, 6, 15, 21, 25, 40):
+        rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((n, 8)))]
+        rows += [(100 + i, rows[i % n][1]) for i in range(n // 3)]  # some vectors twice
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        found = ann.nearest(table, F.lit(True), 20).groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("d")).collect()
+        assert {(r.n, r.d) for r in found} == {(min(20, len(rows) - 1),) * 2} and len(found) == len(rows)
+
+
 RULES = [urlfilter.Rule.parse(*r) for r in (("allow", "org/"), ("block", "bad.org/es/"), ("block", "com/de/"))]
 
 
