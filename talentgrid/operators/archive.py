@@ -77,42 +77,6 @@ def zip_allowed_extension(manifest: DataFrame) -> DataFrame:
     return files.filter(~is_cv_name(F.col("norm_path"))).drop("error")
 
 
-def with_path_owners(manifest: DataFrame) -> DataFrame:
-    """Add ``first_file_no`` and ``first_folder_no``: where the entry's path was first claimed.
-
-    A file claims its own path and every folder above it; a folder entry claims all of them as
-    folders. ``blocked_no`` is the first file that stands where the entry needs a folder.
-    """
-    named = zip_safe_path(manifest)
-    entry = [F.col(c) for c in named.columns if c != "content"]
-    own = F.struct(F.col("norm_path").alias("path"), F.col("is_directory").alias("folder"))
-    above = F.transform(
-        parents(F.col("norm_path")), lambda p: F.struct(p.alias("path"), F.lit(True).alias("folder"))
-    )
-    claimed = F.when(F.col("error").isNull() & (F.col("norm_path") != ""), F.concat(F.array(own), above))
-    claims = named.select(*entry, F.explode_outer(claimed).alias("claim"))
-    same = Window.partitionBy("upload_id", "claim.path")
-    folder = F.col("claim.folder")
-    owned = claims.select(
-        *entry,
-        (F.col("claim.path") == F.col("norm_path")).alias("_own"),
-        folder.alias("_folder"),
-        F.min(F.when(~folder, F.col("entry_no"))).over(same).alias("_file_no"),
-        F.min(F.when(folder, F.col("entry_no"))).over(same).alias("_folder_no"),
-    )
-    # The entry's columns are grouping keys, so nothing has to be joined back.
-    return owned.groupBy(*entry).agg(
-        F.min(F.when(F.col("_own"), F.col("_file_no"))).alias("first_file_no"),
-        F.min(F.when(F.col("_own"), F.col("_folder_no"))).alias("first_folder_no"),
-        F.min(F.when(F.col("_folder"), F.col("_file_no"))).alias("blocked_no"),
-    )
-
-
-def _is_duplicate() -> Column:
-    earlier = F.least("first_file_no", "first_folder_no")
-    return ~F.col("is_directory") & (earlier < F.col("entry_no"))
-
-
 def zip_duplicate_path(manifest: DataFrame) -> DataFrame:
     """Files whose path an earlier entry of the archive has, as a file or as a folder."""
     named = zip_safe_path(manifest).filter(F.col("error").isNull() & (F.col("norm_path") != ""))
@@ -152,7 +116,7 @@ def zip_has_files(archives: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def entry_error(limits: ArchiveLimits) -> Column:
-    """First rule an entry breaks, in the order the rules apply."""
+    """First rule an entry breaks by itself or by the bytes before it, in the order the rules apply."""
     room = F.lit(limits.max_total_bytes) - F.col("bytes_before")
     too_large = F.col("size_bytes") > limits.max_single_bytes
     over_total = F.col("size_bytes") > room
@@ -161,33 +125,76 @@ def entry_error(limits: ArchiveLimits) -> Column:
         F.when(F.col("entry_no") > limits.max_entries, TOO_MANY)
         .when(F.col("error").isNotNull(), F.col("error"))
         .when(is_file & ~is_cv_name(F.col("norm_path")), BAD_EXTENSION)
-        .when(_is_duplicate(), DUPLICATE)
-        .when(F.col("blocked_no") < F.col("entry_no"), CANNOT_EXTRACT)
         .when(is_file & too_large & (~over_total | (room >= limits.max_single_bytes)), TOO_LARGE_FILE)
         .when(is_file & over_total, TOO_LARGE_TOTAL)
     )
 
 
+def _place(reason: Column) -> Column:
+    """Entry and reason in one number: the least one of an archive tells its first broken rule."""
+    return F.col("entry_no").cast("long") * 16 + F.array_position(F.array(*[F.lit(r) for r in ENTRY_REASONS]), reason)
+
+
+def path_claims(entries: DataFrame, limits: ArchiveLimits) -> DataFrame:
+    """The paths that each entry claims: (upload_id, entry_no, claim, place, corrupt, files, bytes).
+
+    A file claims its own path and every folder above it; a folder entry claims all of them as folders. The first
+    claim of an entry, or its only row where it has none, also carries what the verdict needs of the entry.
+    """
+    checked = zip_safe_path(entries).withColumn("_place", _place(entry_error(limits)))
+    own = F.struct(F.col("norm_path").alias("path"), F.col("is_directory").alias("folder"))
+    above = F.transform(
+        parents(F.col("norm_path")), lambda p: F.struct(p.alias("path"), F.lit(True).alias("folder"))
+    )
+    claimed = F.when(F.col("error").isNull() & (F.col("norm_path") != ""), F.concat(F.array(own), above))
+    size = F.when(~F.col("is_directory"), F.col("size_bytes"))
+    rows = checked.select(
+        "upload_id", "entry_no", "corrupt", "_place", (~F.col("is_directory")).alias("_file"), size.alias("_size"),
+        F.posexplode_outer(claimed).alias("_pos", "claim"),
+    )
+    first = F.coalesce("_pos", F.lit(0)) == 0
+    return rows.select(
+        "upload_id", "entry_no", "claim",
+        F.when(first, F.col("_place")).alias("place"),
+        F.when(first, F.col("corrupt")).alias("corrupt"),
+        F.when(first & F.col("_file"), 1).alias("files"),
+        F.when(first, F.col("_size")).alias("bytes"),
+    )
+
+
 def zip_verdict(archives: DataFrame, manifest: DataFrame, limits: ArchiveLimits) -> DataFrame:
-    """(upload_id, accepted, reason, file_count, total_bytes) for every archive."""
-    # Bounded groups, so the one shuffle on upload_id for the byte window serves everything after it.
+    """(upload_id, accepted, reason, file_count, total_bytes) for every archive.
+
+    One shuffle on upload_id brings an archive's examined entries together: their bytes are summed in archive order,
+    claims of one path are read in that order, and the least place of a broken rule is the archive's.
+    """
     # An unreadable archive has a row with archive_error and no entry_no, which only says why.
     told = "archive_error" in manifest.columns
     corrupt = F.col("archive_error") if told else F.lit(None).cast("string")
     wanted = F.col("entry_no").isNull() | (F.col("entry_no") <= limits.max_entries + 1)
     entries = manifest.filter(wanted).select(*ENTRY, corrupt.alias("corrupt"))
-    checked = with_path_owners(with_bytes_before(entries)).withColumn("reason", entry_error(limits))
-    is_file = ~F.col("is_directory")
-    # Entry and reason in one number, so that the minimum is a plain hash aggregate.
-    reasons = F.array(*[F.lit(r) for r in ENTRY_REASONS])
-    place = F.col("entry_no").cast("long") * 16 + F.array_position(reasons, F.col("reason"))
-    per_archive = checked.groupBy("upload_id").agg(
-        F.min(place).alias("place"),
+    claims = path_claims(with_bytes_before(entries), limits)
+    # The groups lie within an archive, so neither this window nor the grouping moves rows again.
+    earlier = Window.partitionBy("upload_id", "claim.path").orderBy("entry_no")
+    before = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    folder = F.col("claim.folder")
+    met = claims.select(
+        "*",
+        F.min("entry_no").over(before).alias("_first"),
+        F.min(F.when(~folder, F.col("entry_no"))).over(before).alias("_first_file"),
+    )
+    number = F.col("entry_no")
+    clash = F.when(~folder & (F.col("_first") < number), _place(F.lit(DUPLICATE))).when(
+        folder & (F.col("_first_file") < number), _place(F.lit(CANNOT_EXTRACT))
+    )
+    per_archive = met.groupBy("upload_id").agg(
+        F.least(F.min("place"), F.min(clash)).alias("place"),
         F.max("corrupt").alias("corrupt"),
-        F.count_if(is_file).alias("files"),
-        F.sum(F.when(is_file, F.col("size_bytes"))).alias("bytes"),
+        F.count("files").alias("files"),
+        F.sum("bytes").alias("bytes"),
     )
     # element_at over literals does not give null for a null index, hence the test.
+    reasons = F.array(*[F.lit(r) for r in ENTRY_REASONS])
     first = F.when(F.col("place").isNotNull(), F.element_at(reasons, (F.col("place") % 16).cast("int")))
     per_archive = per_archive.withColumn("reason", first)
     joined = archives.select("upload_id").join(per_archive, "upload_id", "left")

@@ -24,10 +24,7 @@ _FOREIGN = (
     ("processing_failure", "upload_id", "cv_upload"),
     ("upload_storage_cleanup", "upload_id", "cv_upload"),
 )
-
-
-def _key(columns: list[str]) -> Column:
-    return F.concat_ws("/", *[F.col(c).cast("string") for c in columns])
+_UNIQUE = (("candidate", "candidate unique (upload_id, source_filename)", ["upload_id", "source_filename"]),)
 
 
 def _row_rules(table: str) -> dict[str, Column]:
@@ -48,43 +45,51 @@ def _row_rules(table: str) -> dict[str, Column]:
     return rules
 
 
-def _broken_rows(table: str, df: DataFrame) -> DataFrame:
-    """All row rules in one scan: an array of the rules a row breaks, exploded."""
-    broken = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in _row_rules(table).items()]))
-    named = df.select(F.explode(broken).alias("rule"), _key(_PRIMARY[table]).alias("key"))
-    return named.groupBy("rule", "key").agg(F.count(F.lit(1)).alias("violations"))
-
-
-def _repeated(rule: str, df: DataFrame, columns: list[str]) -> DataFrame:
-    counts = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("violations"))
-    return counts.filter("violations > 1").select(
-        F.lit(rule).alias("rule"), _key(columns).alias("key"), "violations"
-    )
+def _check(space: str, keys: list[str], reference: int = 0) -> Column:
+    """A key that a row holds (reference 0), or that it refers to by foreign rule number `reference`."""
+    first, second = (*[F.col(c).cast("string") for c in keys], F.lit(None).cast("string"))[:2]
+    return F.struct(F.lit(space).alias("space"), first.alias("k1"), second.alias("k2"), F.lit(reference).alias("reference"))
 
 
-def _orphans(rule: str, df: DataFrame, column: str, owners: DataFrame, owner_key: str) -> DataFrame:
-    # Counted per value before the join, so a hot value reaches it as one row.
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column)
-    counts = counts.agg(F.count(F.lit(1)).alias("violations"))
-    lost = counts.join(owners.select(F.col(owner_key).alias(column)), column, "left_anti")
-    return lost.select(F.lit(rule).alias("rule"), F.col(column).alias("key"), "violations")
+def _checks(table: str, df: DataFrame) -> DataFrame:
+    """Everything to be counted about a table, from one scan: its keys, its references, and the rules a row breaks."""
+    primary = _PRIMARY[table]
+    checks = [_check(table, primary)]
+    checks += [_check(rule, columns) for owner, rule, columns in _UNIQUE if owner == table]
+    for number, (child, column, owner) in enumerate(_FOREIGN, 1):
+        if child == table:
+            checks.append(F.when(F.col(column).isNotNull(), _check(owner, [column], number)))
+    checks += [F.when(broken, _check(rule, primary)) for rule, broken in _row_rules(table).items()]
+    return df.select(F.explode(F.array_compact(F.array(*checks))).alias("check")).select("check.*")
 
 
 def audit_constraints(tables: dict[str, DataFrame]) -> DataFrame:
-    """(rule, key, violations) for every broken rule of the five tables."""
-    parts = [_broken_rows(name, df) for name, df in tables.items()]
-    parts += [_repeated(f"{n} primary key", df, _PRIMARY[n]) for n, df in tables.items()]
-    parts.append(
-        _repeated(
-            "candidate unique (upload_id, source_filename)",
-            tables["candidate"],
-            ["upload_id", "source_filename"],
-        )
+    """(rule, key, violations) for every broken rule of the five tables.
+
+    Each table is scanned once. Keys and references to them are counted together in one grouping, with partial counts
+    in the scanning tasks, so a hot value crosses as a row a task and no join is needed.
+    """
+    rows = reduce(DataFrame.unionByName, [_checks(name, df) for name, df in tables.items()])
+    numbers = range(len(_FOREIGN) + 1)
+    counts = rows.groupBy("space", "k1", "k2").agg(
+        *[F.count_if(F.col("reference") == i).alias(f"n{i}") for i in numbers]
+    )
+    space, held = F.col("space"), F.col("n0")
+    primary = F.concat(space, F.lit(" primary key"))
+    rules = [
+        F.when(space.isin(*_PRIMARY) & (held > 1), F.struct(primary.alias("rule"), held.alias("violations"))),
+        F.when(space.isin(*[u[1] for u in _UNIQUE]) & (held > 1), F.struct(space.alias("rule"), held.alias("violations"))),
+    ]
+    single = [rule for table in tables for rule in _row_rules(table)]
+    rules.append(F.when(space.isin(*single), F.struct(space.alias("rule"), held.alias("violations"))))
+    for number, (child, column, owner) in enumerate(_FOREIGN, 1):
+        lost = (held == 0) & (F.col(f"n{number}") > 0)
+        rule = F.lit(f"{child}.{column} references {owner}")
+        rules.append(F.when(lost, F.struct(rule.alias("rule"), F.col(f"n{number}").alias("violations"))))
+    broken = counts.select(
+        F.explode(F.array_compact(F.array(*rules))).alias("broken"), F.concat_ws("/", "k1", "k2").alias("key")
     )
-    for child, column, owner in _FOREIGN:
-        rule = f"{child}.{column} references {owner}"
-        parts.append(_orphans(rule, tables[child], column, tables[owner], "id"))
-    return reduce(DataFrame.unionByName, parts)
+    return broken.select("broken.rule", "key", "broken.violations")
 
 
 def cascade_delete_uploads(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:

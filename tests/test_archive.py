@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,45 @@ def test_upload_requests(spark):
         None,
         A.EMPTY_UPLOAD,
     ]
+
+
+def sequential_verdict(entries):
+    """First broken rule of an archive, read entry by entry as an unpacker would."""
+    files, folders, total = set(), set(), 0
+    for number, (name, size) in enumerate(entries, 1):
+        if number > LIMITS.max_entries:
+            return A.TOO_MANY
+        folder = name.endswith("/")
+        path = name.rstrip("/").split("/")
+        above = {"/".join(path[:i]) for i in range(1, len(path))}
+        own = "/".join(path)
+        if not folder and not own.endswith((".pdf", ".docx")):
+            return A.BAD_EXTENSION
+        if not folder and own in files | folders:
+            return A.DUPLICATE
+        if (above | ({own} if folder else set())) & files:
+            return A.CANNOT_EXTRACT
+        if not folder:
+            room = LIMITS.max_total_bytes - total
+            if size > LIMITS.max_single_bytes and (size <= room or room >= LIMITS.max_single_bytes):
+                return A.TOO_LARGE_FILE
+            if size > room:
+                return A.TOO_LARGE_TOTAL
+            files.add(own)
+            total += size
+        folders |= above | ({own} if folder else set())
+    return None if files else A.NO_FILES
+
+
+def test_verdicts_follow_an_entry_by_entry_reading(spark):
+    draw = random.Random(5)
+    names = ["a.pdf", "a.pdf/", "a.pdf/b.pdf", "x/", "x/a.pdf", "x/a.pdf/c/d.pdf", "x/y/", "x/y/z.docx", "b.pdf", "t.txt"]
+    archives = {
+        f"u{i}": [(draw.choice(names), draw.choice([0, 1, 5, 9, 10, 11])) for _ in range(draw.randint(1, 6))]
+        for i in range(400)
+    }
+    uploads = spark.createDataFrame([(k,) for k in archives], "upload_id string")
+    out = A.zip_verdict(uploads, manifest(spark, archives), LIMITS).collect()
+    expected = {k: sequential_verdict(entries) for k, entries in archives.items()}
+    assert {r.upload_id: r.reason for r in out} == expected
+    assert len(set(expected.values())) >= 7

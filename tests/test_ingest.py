@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from talentgrid.operators import audit
 from talentgrid.operators import ingest as I
+from talentgrid.schemas import TABLES
 from talentgrid.settings import PDF_TYPE, ArchiveLimits, BatchLimits, ParsingLimits
 
 NOW = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -204,3 +205,36 @@ def test_audit_of_clean_tables(spark):
     assert emptied["candidate_skill"].count() == 0
     gone = audit.cascade_delete_uploads(emptied, doomed)
     assert [gone[n].count() for n in ("cv_upload", "processing_failure", "upload_storage_cleanup")] == [0, 0, 0]
+
+
+def test_audit_counts_keys_and_references_together(spark):
+    rows = {
+        "cv_upload": [("u1",), ("u1",), ("u2",), (None,)],
+        "candidate": [("c1", "u1", "a"), ("c1", "u9", "a"), ("c2", "u9", "a"), ("c3", None, "b"), ("c4", None, "b")],
+        "candidate_skill": [("c1", "x"), ("c1", "x"), ("c7", "y")],
+        "processing_failure": [("f1", "u9")],
+        "upload_storage_cleanup": [("u1",)],
+    }
+    named = {
+        "cv_upload": ["id"],
+        "candidate": ["id", "upload_id", "source_filename"],
+        "candidate_skill": ["candidate_id", "skill"],
+        "processing_failure": ["id", "upload_id"],
+        "upload_storage_cleanup": ["upload_id"],
+    }
+    tables = {}
+    for name, held in rows.items():
+        df = spark.createDataFrame(held, ", ".join(f"{c} string" for c in named[name]))
+        absent = [f for f in TABLES[name].fields if f.name not in named[name]]
+        tables[name] = df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in absent])
+    found = audit.audit_constraints(tables).filter("rule not like '%not null'")
+    assert sorted((r.rule, r.key, r.violations) for r in found.collect()) == [
+        ("candidate primary key", "c1", 2),
+        ("candidate unique (upload_id, source_filename)", "b", 2),
+        ("candidate unique (upload_id, source_filename)", "u9/a", 2),
+        ("candidate.upload_id references cv_upload", "u9", 2),
+        ("candidate_skill primary key", "c1/x", 2),
+        ("candidate_skill.candidate_id references candidate", "c7", 1),
+        ("cv_upload primary key", "u1", 2),
+        ("processing_failure.upload_id references cv_upload", "u9", 1),
+    ]

@@ -4,9 +4,12 @@ import re
 
 import pytest
 
+from talentgrid.operators import audit
 from talentgrid.operators import ingest as I
+from talentgrid.operators.audit import audit_constraints
 from talentgrid.operators.search import Criteria, search_candidates
 from talentgrid.plans import registry
+from talentgrid.schemas import TABLES
 from talentgrid.settings import BatchLimits
 from tests.conftest import plan_of
 
@@ -75,6 +78,18 @@ def test_texts_end_at_the_scan(spark, monkeypatch, told):
 def test_one_shuffle_serves_the_verdict(spark):
     plan = plan_of(registry.queries()["zip_verdict"](spark, SMALL))
     assert len(re.findall(r"Exchange hashpartitioning\(upload_id", plan)) <= 2
+    grouped = re.findall(r"Aggregate\(keys?=\[([^\]]*)", plan)
+    assert grouped and not any("entry_name" in keys or "path" in keys for keys in grouped)
+
+
+def test_audit_reads_each_table_once(spark, folder):
+    tables = {}
+    for name, schema in TABLES.items():
+        spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}")
+        tables[name] = spark.read.parquet(f"{folder}/{name}")
+    plan = plan_of(audit_constraints({n: tables[n] for n in audit._PRIMARY}))
+    assert len(re.findall(r"FileScan parquet", plan)) == len(audit._PRIMARY)
+    assert "Join" not in plan and len(re.findall(r"Exchange hashpartitioning", plan)) == 1
 
 
 def test_search_filters_and_columns_reach_the_scan(spark, folder):
