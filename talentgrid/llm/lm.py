@@ -3,9 +3,11 @@
 Training counts every word and every word pair of the training texts. A count c is stored as the level
 1 + floor(log2 c): the filter holds (n-gram, 1) to (n-gram, level), so a level is read by probing 1, 2, ... until a
 probe fails; a chance hit at most adds a level. The filter is made in segments, one per range of n-gram hashes, each
-sized by its entries, BITS_PER_ENTRY for each. It holds every counted n-gram, those seen once too, and is nowhere
-gathered as a whole: a block of documents sends its distinct n-grams to the tasks of their ranges, which count, make
-the segment, probe it and return levels to the block, where the documents are scored.
+sized by its entries, BITS_PER_ENTRY for each, and written to the shared folder. It holds every counted n-gram, those
+seen once too, so it grows with the training texts. While all segments together have at most BROADCAST_BYTES, counted
+before they are read, they are broadcast, and the tasks that score a block of documents probe the filter they hold. A
+larger filter is never gathered: a block of documents sends its distinct n-grams to the tasks of their ranges, which
+probe their segment and return levels to the block. Both ways probe the same bits, so scores are equal.
 
 p(w | v) = (1 - PAIR) p(w) + PAIR c(v, w) / c(v) with p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), counts read from the
 filter (a level stands for the middle of its range), N and V exact. A text starts after a start mark and ends with an
@@ -23,6 +25,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ from talentgrid.llm.staging import staged
 
 BLOCK_TOKENS = 2_000_000
 BITS_PER_ENTRY = 12
+#: Bits of all segments together up to which a worker holds the filter; results do not depend on it.
+BROADCAST_BYTES = 32 << 20
 PROBES = 4
 PAIR = 0.1
 END, START = np.uint64(0x60BEE2BEE120FC15), np.uint64(0xA3B195354A39B70D)
@@ -129,7 +134,7 @@ def counted(texts: DataFrame) -> DataFrame:
 
     Rows of kind 0 are for `bucket`, the home of a block of documents: the block's words in their order, and by range
     the exact counts of its distinct words and the levels of its distinct words and pairs, by hash. A row of kind 1
-    tells of a range the number of its distinct `words`, and of the `tokens` learnt from.
+    holds the filter's segment of a range, the number of its distinct `words`, and of the `tokens` learnt from.
     """
     buckets = C.bucket_count(texts.sparkSession)
 
@@ -151,7 +156,8 @@ def counted(texts: DataFrame) -> DataFrame:
         used = sorted(word_at.keys() | pair_at.keys())
         null = ids.is_null().to_numpy().astype(np.uint8)
         told = C.pack(ids.fill_null(0).to_numpy(), null, learn.astype(np.uint8), C.small(size), C.gaps(word), C.small(at), np.array([len(used)]))
-        name = xxhash.xxh3_128_digest(told)
+        # with the task in the name, blocks of equal content have homes of their own
+        name = xxhash.xxh3_128_digest(told + TaskContext.get().partitionId().to_bytes(4, "little"))
         home = int(W.mix(np.frombuffer(name, np.uint64))[0] % np.uint64(buckets))
         head = name + home.to_bytes(4, "little")
         rows = [(home, b"n" + head + told)]
@@ -197,7 +203,7 @@ def counted(texts: DataFrame) -> DataFrame:
                 yield made(0, int.from_bytes(cell[17:21], "little"), cell)
         for head, word, _, pair, _ in held:
             yield made(0, int.from_bytes(head[16:], "little"), answer(head, word, pair))
-        yield made(1, bucket, b"", int(taught.sum()), int(counts.sum()))
+        yield made(1, bucket, own.bits.tobytes(), int(taught.sum()), int(counts.sum()))
 
     def made(kind: int, bucket: int, cell: bytes, words: int = 0, learnt: int = 0) -> pa.RecordBatch:
         columns = zip((kind, bucket, cell, words, learnt), (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)
@@ -206,8 +212,17 @@ def counted(texts: DataFrame) -> DataFrame:
     return C.by_bucket(texts.mapInArrow(packed, C.CELL), buckets, reduced, "kind int, bucket int, cell binary, words long, tokens long")
 
 
-def scored(cells: DataFrame, whole: float) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of each document, from rows of kind 0 (bucket, cell)."""
+def held_filter(segments: DataFrame, buckets: int) -> Filter:
+    """The filter of `segments` (bucket, cell), whose size the caller has checked."""
+    bits = {r.bucket: np.frombuffer(r.cell, np.uint64) for r in segments.collect()}
+    return Filter([bits.get(b, np.zeros(0, np.uint64)) for b in range(buckets)])
+
+
+def scored(cells: DataFrame, whole: float, held: Broadcast | None = None) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of each document, from rows of kind 0 (bucket, cell).
+
+    `held` is the filter to probe; without it, the levels that the segments' tasks returned are taken.
+    """
 
     def merged(bucket: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
         for _, group in groupby(sorted(packed, key=lambda c: c[1:17]), key=lambda c: c[1:17]):
@@ -222,12 +237,14 @@ def scored(cells: DataFrame, whole: float) -> DataFrame:
                 raise RuntimeError("a block of texts was split in two ways; write the texts to files first")
             count, of_words, of_pairs = (np.concatenate(x) for x in zip(*(C.unpack(answers[b][25:]) for b in sorted(answers)), strict=True))
             word, bounds = C.ungaps(word), np.concatenate([[0], np.cumsum(size.astype(np.int64))])
-            _, pair = np.unique(bigrams(before(word[at], bounds), word[at]), return_inverse=True)
+            pairs, pair = np.unique(bigrams(before(word[at], bounds), word[at]), return_inverse=True)
+            if held is not None:
+                of_words, of_pairs = held.value.levels(word), held.value.levels(pairs)
             exact = count.astype(np.float64)[at]
-            held, both = MEANING[of_words][at], MEANING[of_pairs][pair]
-            context = np.concatenate([[0], held[:-1]])
-            context[bounds[:-1]] = held[bounds[1:] - 1]  # as many texts start as end
-            log = np.log10((1 - PAIR) * (held + 0.5) / whole + PAIR * both / np.maximum(np.maximum(context, both), 1))
+            own, both = MEANING[of_words][at], MEANING[of_pairs][pair]
+            context = np.concatenate([[0], own[:-1]])
+            context[bounds[:-1]] = own[bounds[1:] - 1]  # as many texts start as end
+            log = np.log10((1 - PAIR) * (own + 0.5) / whole + PAIR * both / np.maximum(np.maximum(context, both), 1))
             sums = [np.add.reduceat(x, bounds[:-1]) for x in ((exact > 0).astype(np.int64), np.log10((exact + 0.5) / whole), log)]
             columns = [pa.array(ids, mask=null > 0), pa.array(np.diff(bounds)), *(pa.array(x) for x in sums)]
             for _ in range(copies):
@@ -243,7 +260,13 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("learn"))
     parts = staged(counted(texts), "counts")
-    sums = parts.where("kind = 1").agg(F.sum("words").alias("v"), F.sum("tokens").alias("n")).first()
+    model = parts.where("kind = 1")
+    size = F.sum(F.octet_length("cell")).alias("size")
+    sums = model.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n"), size).first()
     whole = (sums.n or 0) + 0.5 * ((sums.v or 0) + 1)
-    rows = scored(parts.where("kind = 0").select("bucket", "cell"), whole)
+    held = None
+    if (sums["size"] or 0) <= BROADCAST_BYTES:
+        buckets = C.bucket_count(docs.sparkSession)
+        held = docs.sparkSession.sparkContext.broadcast(held_filter(model.select("bucket", "cell"), buckets))
+    rows = scored(parts.where("kind = 0").select("bucket", "cell"), whole, held)
     return rows.select("doc_id", "n_tokens", "n_known", F.lit(int(sums.n or 0)).cast("long").alias("train_tokens"), "base_score", "score")

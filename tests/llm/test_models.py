@@ -91,6 +91,25 @@ def test_scores_keep_every_pair(corpus, monkeypatch):
     assert off / n < 0.02  # chance hits of the filter
 
 
+def test_scores_are_equal_however_the_filter_is_reached(corpus, monkeypatch):
+    docs = corpus[1].unionByName(corpus[1])  # blocks of equal content
+    held = sorted(lm.scores(docs, F.col("doc_id") % 5 != 1).collect())
+    monkeypatch.setattr(lm, "BROADCAST_BYTES", -1)
+    assert sorted(lm.scores(docs, F.col("doc_id") % 5 != 1).collect()) == held
+
+
+def test_scores_come_from_the_filter_that_tasks_hold(spark, corpus):
+    texts = corpus[1].select("doc_id", "text", F.lit(True).alias("learn"))
+    parts = lm.staged(lm.counted(texts), "counts")
+    buckets = lm.C.bucket_count(spark)
+    cells, model = parts.where("kind = 0").select("bucket", "cell"), parts.where("kind = 1")
+    full = spark.sparkContext.broadcast(lm.held_filter(model, buckets))
+    empty = spark.sparkContext.broadcast(lm.held_filter(model.limit(0), buckets))
+    known = {r.doc_id: r for r in lm.scored(cells, 1e5, full).collect()}
+    unknown = {r.doc_id: r for r in lm.scored(cells, 1e5, empty).collect()}
+    assert all(unknown[i].score < known[i].score and unknown[i].base_score == known[i].base_score for i in known)
+
+
 def test_filter_holds_levels():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 4000).astype(np.uint64)
     counts = np.arange(1, 4001)
