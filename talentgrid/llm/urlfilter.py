@@ -11,6 +11,7 @@ both have pages, also link with each other, as they are run by the same people;
 join and one aggregation a round, and written out every few rounds. Only DataFrame functions are used.
 
 A null url, or one without "://", has an empty host and path, fits no rule, takes part in no link and is allowed.
+In the graph a host goes without user, port and closing dot, in urls as in links; the column host keeps them.
 Null html has no links. Repeated rows count again as seeds and links, and are judged each.
 """
 
@@ -69,6 +70,11 @@ def _first_fit(rules: list[Rule], value) -> Column:
     return out
 
 
+def node_of(host: Column) -> Column:
+    """The host in the link graph: without user, port and closing dots."""
+    return F.regexp_replace(host, r"^.*@|(?::\d*|\.)+$", "")
+
+
 def judged_by_rules(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """(page_id, host, path, rule, action) of every page; rule and action are null where no rule fits."""
     at = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -78,8 +84,8 @@ def judged_by_rules(pages: DataFrame, rules: list[Rule]) -> DataFrame:
 def host_links(pages: DataFrame) -> DataFrame:
     """(src, dst, n): how many pages of host src name host dst."""
     named = F.array_union(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)), F.regexp_extract_all("html", F.lit(_BARE), F.lit(1)))
-    port = F.regexp_replace(_lower(F.col("to")), r"^[^@]*@|:\d*$|\.$", "")
-    links = pages.where("html is not null").select(host_of(F.col("url")).alias("src"), F.explode(named).alias("to")).select("src", port.alias("dst"))
+    links = pages.where("html is not null").select(node_of(host_of(F.col("url"))).alias("src"), F.explode(named).alias("to"))
+    links = links.select("src", node_of(_lower(F.col("to"))).alias("dst"))
     return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
@@ -116,11 +122,11 @@ def ranks(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
 
 def judge(pages: DataFrame, rules: list[Rule], limit: float = 1.0) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every page."""
-    at = judged_by_rules(pages, rules)
+    at = judged_by_rules(pages, rules).withColumn("node", node_of(F.col("host")))
     count = [F.count(F.when(F.col("action") == a, 1)).alias(c) for a, c in (("allow", "allowed"), ("block", "blocked"))]
-    seeds = staged(at.where("host <> ''").groupBy("host").agg(*count), "hosts")
+    seeds = staged(at.where("node <> ''").groupBy(F.col("node").alias("host")).agg(*count), "hosts")
     links = host_links(pages.select("url", "html")).unionByName(family_links(seeds.select("host")))
     known = ranks(links.groupBy("src", "dst").agg(F.sum("n").alias("n")), seeds)
-    both = at.join(known, "host", "left")
+    both = at.join(known.withColumnRenamed("host", "node"), "node", "left")
     own = F.when(F.col("distrust") > limit * F.col("trust"), "block").otherwise("allow")
     return both.select("page_id", "host", "path", "rule", F.coalesce("action", own).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

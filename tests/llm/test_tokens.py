@@ -187,3 +187,17 @@ def test_pipeline(spark, folder, odd):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_hosts_with_ports_are_in_the_graph(spark):
+    link = '<a href="http://{}/p">x</a>'.format
+    rows = [
+        (1, "http://x.net/", link("bad.org:8080")),
+        (2, "http://user@y.net:81/", link("bad.org")),
+        (3, "http://bad.org:8080/es/1", None),
+        (4, "http://z.net./", link("fine.net")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in urlfilter.judge(pages, [urlfilter.Rule("block", "", "/es/")]).collect()}
+    assert [got[i].verdict for i in (1, 2, 3, 4)] == ["block", "block", "block", "allow"]
+    assert got[1].distrust == pytest.approx(got[2].distrust) and got[2].host == "user@y.net:81" and got[4].host == "z.net."
