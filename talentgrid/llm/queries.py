@@ -76,7 +76,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.crc32(F.col("doc_id").cast("string")) % 4
     langs, products = langid.products(langid.counts(docs.where(part != 2), "lang"))
     rows = langid.predict(docs.select("doc_id", "text"), langs, products)
-    return rows.select("doc_id", (part == 2).alias("held_out"), "lang_pred", "score")
+    return rows.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.crc32(F.col("doc_id").cast("string")) % 5
     scored = lm.scores(table(spark, sf_dir, "documents").select("doc_id", "text"), training=part != 1)
-    return scored.withColumn("held_out", part == 1)
+    return scored.withColumn("held_out", F.coalesce(part == 1, F.lit(False)))
 
 
 RULES = [urlfilter.Rule.parse(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
