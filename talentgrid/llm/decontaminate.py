@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become slots where a re-parameterised question would differ: a number (any word with a digit), a unit, or a name
-(capitalised). Everything else is literal: its letters and digits, lower-cased (A-Z and Latin letters with accents).
-A number with its unit, attached or apart, is one slot, and so is a run of names within a sentence. As capitals also
+Words become slots where a re-parameterised question would differ: a number (any word with a digit, or a number word), a
+unit, or a name (capitalised). Everything else is literal: its letters and digits, lower-cased. Capitals are those of code
+points below U+0800: Latin with accents, Greek, Cyrillic and Armenian ones too. A number with its unit, attached or apart,
+is one slot, and so is a run of number words or of names within a sentence. As capitals also
 mark shouted text, a heading or the first word of a sentence, texts are taken in four forms: all words as they are;
 numbers and units as slots; also names, but not the first words of sentences; also those.
 
@@ -50,6 +51,12 @@ UNITS = (
     "usd eur gbp dollar dollars cent cents euro euros pence"
 ).split()
 
+#: Number words.
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
+).split()
+
 _APART = np.uint64(0x9E3779B97F4A7C15)
 _NUMBER, _NAME, _UNIT = np.uint64(0x6E756D6265720001), np.uint64(0x6E616D6500000002), np.uint64(0x756E697400000003)
 _CORE = np.zeros(256, bool)
@@ -58,6 +65,9 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
+#: Of each code point below U+0800: whether it is a capital, and its small letter where that also takes two bytes.
+_CAPITAL = np.array([chr(i).isupper() for i in range(0x800)])
+_SMALL = np.array([ord(low) if len(low := chr(i).lower()) == 1 and 0x80 <= ord(low) < 0x800 else i for i in range(0x800)])
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 58, 63]] = True  # line end ! . : ?
 
@@ -68,11 +78,13 @@ def _hash_of(words: list[str]) -> np.ndarray:
 
 
 _UNIT_HASHES = np.sort(_hash_of(UNITS))
+_NUMBER_HASHES = np.sort(_hash_of(NUMBERS))
 
 
 class Canon(NamedTuple):
     value: np.ndarray  # hash of each word itself
     number: np.ndarray
+    spelled: np.ndarray  # a number in words; joined ones (twenty-five) too
     unit: np.ndarray
     capital: np.ndarray  # neither number nor unit
     fresh: np.ndarray  # the first word of a sentence
@@ -84,15 +96,33 @@ def _part(value: np.ndarray, place: np.ndarray) -> np.ndarray:
     return W.mix(value + place.astype(np.uint64) * _APART)
 
 
+def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Whether each word is a number word, or two joined by a hyphen."""
+    out = np.isin(value, _NUMBER_HASHES)
+    hyphens = np.concatenate([[0], np.cumsum(data == 45)])
+    joined = np.flatnonzero(hyphens[ends] - hyphens[starts] == 1)
+    if len(joined):
+        cut = np.flatnonzero(data == 45)[hyphens[starts[joined]]]
+        none = np.zeros(0, np.int64)
+        parts = (W.hashes(W.Words(data, a, b, none), lower=True) for a, b in ((starts[joined], cut), (cut + 1, ends[joined])))
+        left, right = (np.isin(x, _NUMBER_HASHES) for x in parts)
+        out[joined] |= left & right
+    return out
+
+
 def canonical(column: pa.Array) -> Canon:
     """Words of all texts, and what they are."""
     data, at = W.text_bytes(column)
     if not len(data):
         none, no = np.zeros(0, np.uint64), np.zeros(0, bool)
-        return Canon(none, no, no, no, no, none, np.zeros(len(at), np.int64))
-    accented = np.zeros(len(data), bool)  # second bytes of Latin capitals with accents
-    accented[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-    data = np.where(accented, data | 0x20, data)
+        return Canon(none, no, no, no, no, no, none, np.zeros(len(at), np.int64))
+    upper = _UPPER[data]
+    lead = np.flatnonzero((data >= 0xC2) & (data <= 0xDF))  # of letters that take two bytes
+    if len(lead):
+        point = (data[lead].astype(np.int64) & 0x1F) << 6 | (data[lead + 1] & 0x3F)
+        upper[lead] = _CAPITAL[point]
+        data, small = data.copy(), _SMALL[point]
+        data[lead], data[lead + 1] = 0xC0 | small >> 6, 0x80 | small & 0x3F
     core = _CORE[data]
     white = W.SPACE[data]
     # punctuation inside a word joins its parts (3.5, it's); at its ends it is dropped, and lone marks are no words
@@ -106,7 +136,8 @@ def canonical(column: pa.Array) -> Canon:
     last = place[inner[ends] - 1]
     value = W.hashes(W.Words(data, first, last + 1, bounds), lower=True)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    number = digits[ends] > digits[starts]
+    spelled = _spelled(data, first, last + 1, value)
+    number = (digits[ends] > digits[starts]) | spelled
     unit = np.isin(value, _UNIT_HASHES)
     stops = np.concatenate([[0], np.cumsum(_STOP[data])])
     fresh = np.ones(len(starts), bool)
@@ -114,7 +145,7 @@ def canonical(column: pa.Array) -> Canon:
         fresh[1:] = stops[starts[1:]] > stops[last[:-1]]
     fresh[bounds[:-1][np.diff(bounds) > 0]] = True
     of_slot = _part(value, np.zeros(len(value)))
-    own = np.flatnonzero(number & ~_DIGIT[data[last]])
+    own = np.flatnonzero(number & ~spelled & ~_DIGIT[data[last]])
     if len(own):  # a unit after the last digit
         cut = np.flatnonzero(_DIGIT[data])[digits[ends[own]] - 1] + 1
         none = np.zeros(0, np.int64)
@@ -122,7 +153,7 @@ def canonical(column: pa.Array) -> Canon:
         head = W.hashes(W.Words(data, first[own], cut, none), lower=True)
         known = np.isin(tail, _UNIT_HASHES)
         of_slot[own[known]] = (_part(head, np.zeros(len(own))) + _part(tail, np.ones(len(own))))[known]
-    return Canon(value, number, unit, _UPPER[data[first]] & ~number & ~unit, fresh, of_slot, bounds)
+    return Canon(value, number, spelled, unit, upper[first] & ~number & ~unit, fresh, of_slot, bounds)
 
 
 class Form(NamedTuple):
@@ -146,7 +177,7 @@ def form_of(c: Canon, form: int) -> Form:
         return Form(c.value, no, c.value, at, at + 1, c.bounds, no)
     name = c.capital & (~c.fresh if form == 2 else True) if form > 1 else np.zeros(n, bool)
     joins = np.zeros(n, bool)
-    joins[1:] = ~c.fresh[1:] & ((c.unit[1:] & c.number[:-1]) | (name[1:] & name[:-1]))
+    joins[1:] = ~c.fresh[1:] & ((c.unit[1:] & c.number[:-1]) | (c.spelled[1:] & c.spelled[:-1]) | (name[1:] & name[:-1]))
     starts = np.flatnonzero(~joins)
     ends = np.append(starts[1:], n) if n else starts
     symbol = np.where(c.number, _NUMBER, np.where(c.unit, _UNIT, np.where(name, _NAME, c.value)))[starts]

@@ -205,3 +205,50 @@ def test_leaks_with_other_names_and_units(spark):
     ]
     got = _leaks(spark, items, texts)
     assert set(got) == {(0, 0), (1, 1), (2, 2), (4, 1)} and not any(got[i, i] for i in range(3))
+
+
+def test_leaks_with_other_capitals_and_number_words(spark):
+    items = [
+        "After lunch the friends Étienne and Émile share nine apples, and then Émile gives Étienne three hundred more of the same kind.",
+        "В лесу живут Анна и Борис и они нашли 12 грибов а потом Анна отдала 5 грибов своему другу.",
+        "The shop of Tom sold twenty-five pears on the first day and forty pears on the next day of that week.",
+    ]
+    texts = [
+        "After lunch the friends Óscar and Élise share 8 apples, and then Élise gives Óscar twenty more of the same kind.",
+        "В лесу живут Ольга и Денис и они нашли 30 грибов а потом Ольга отдала 7 грибов своему другу.",
+        "The shop of Ann sold ninety two pears on the first day and 11 pears on the next day of that week.",
+        "After lunch the friends Óscar and Élise share 8 apples, and then Paul gives Marc twenty more of the same kind.",
+    ]
+    got = _leaks(spark, items, texts)
+    assert {(0, 0), (1, 1), (2, 2)} <= set(got) and not any(got[i, i] for i in range(3))
+    assert items[0].upper() != items[0] and _leaks(spark, items[:1], [items[0].upper()])[0, 0]
+
+
+def test_leaks_against_brute_force(spark):
+    """Whole items and halves of them, as they are, with other numbers, and at odds, against a plain search for the planted."""
+    import random
+
+    r = random.Random(11)
+    words = ["".join(r.choices("bcdfglmnprst", k=5)) for _ in range(400)]
+
+    def filled(form, values):
+        return " ".join(str(values[w]) if isinstance(w, int) else w for w in form)
+
+    forms = [[r.choice(words) for _ in range(r.randint(14, 30))] for _ in range(30)]
+    for form in forms:
+        for at in r.sample(range(len(form)), 3):
+            form[at] = r.randrange(2)  # a slot
+    items = [filled(form, (7, 40 + i)) for i, form in enumerate(forms)]
+    texts, want = [], set()
+    for d in range(120):
+        i, kind = r.randrange(len(forms)), d % 4
+        slots = {w for w in forms[i] if isinstance(w, int)}
+        inner = {0: items[i], 1: filled(forms[i], (900 + d, 13)), 2: filled(forms[i], (5, 5)), 3: " ".join(items[i].split()[:4])}[kind]
+        if kind < 2 or kind == 2 and len(slots) == 1:
+            want.add((d, i))
+        texts.append(" ".join(r.choices(words, k=40)) + " " + inner + " " + " ".join(r.choices(words, k=40)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    whole = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if f" {item} " in f" {t} "}
+    assert {k for k, x in got.items() if x.verbatim and x.covered == x.words} == whole
+    assert want <= set(got) and {k for k in got if k[0] % 4 == 3} == set()
