@@ -33,7 +33,7 @@ from talentgrid.llm import cells as C
 from talentgrid.llm import words as W
 from talentgrid.llm.staging import staged
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_400_000
 BITS_PER_ENTRY = 12
 #: Bits of all segments together up to which a worker holds the filter; results do not depend on it.
 BROADCAST_BYTES = 32 << 20
@@ -134,7 +134,7 @@ def counted(texts: DataFrame) -> DataFrame:
 
     Rows of kind 0 are for `bucket`, the home of a block of documents: the block's words in their order, and by range
     the exact counts of its distinct words and the levels of its distinct words and pairs, by hash. A row of kind 1
-    holds the filter's segment of a range, the number of its distinct `words`, and of the `tokens` learnt from.
+    holds the filter's segment of a range, its `size` in bytes, the number of its distinct `words`, and of the `tokens` learnt from.
     """
     buckets = C.bucket_count(texts.sparkSession)
 
@@ -203,13 +203,14 @@ def counted(texts: DataFrame) -> DataFrame:
                 yield made(0, int.from_bytes(cell[17:21], "little"), cell)
         for head, word, _, pair, _ in held:
             yield made(0, int.from_bytes(head[16:], "little"), answer(head, word, pair))
-        yield made(1, bucket, own.bits.tobytes(), int(taught.sum()), int(counts.sum()))
+        bits = own.bits.tobytes()
+        yield made(1, bucket, bits, int(taught.sum()), int(counts.sum()), len(bits))
 
-    def made(kind: int, bucket: int, cell: bytes, words: int = 0, learnt: int = 0) -> pa.RecordBatch:
-        columns = zip((kind, bucket, cell, words, learnt), (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in columns], names=["kind", "bucket", "cell", "words", "tokens"])
+    def made(kind: int, bucket: int, cell: bytes, words: int = 0, learnt: int = 0, size: int = 0) -> pa.RecordBatch:
+        columns = zip((kind, bucket, cell, words, learnt, size), (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in columns], names=["kind", "bucket", "cell", "words", "tokens", "size"])
 
-    return C.by_bucket(texts.mapInArrow(packed, C.CELL), buckets, reduced, "kind int, bucket int, cell binary, words long, tokens long")
+    return C.by_bucket(texts.mapInArrow(packed, C.CELL), buckets, reduced, "kind int, bucket int, cell binary, words long, tokens long, size long")
 
 
 def held_filter(segments: DataFrame, buckets: int) -> Filter:
@@ -261,8 +262,7 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("learn"))
     parts = staged(counted(texts), "counts")
     model = parts.where("kind = 1")
-    size = F.sum(F.octet_length("cell")).alias("size")
-    sums = model.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n"), size).first()
+    sums = model.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n"), F.sum("size").alias("size")).first()
     whole = (sums.n or 0) + 0.5 * ((sums.v or 0) + 1)
     held = None
     if (sums["size"] or 0) <= BROADCAST_BYTES:
