@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from talentgrid.llm import cells as C
 from talentgrid.llm import words as W
-from talentgrid.llm.staging import staged
+from talentgrid.llm.staging import release, staged
 
 BLOCK_TOKENS = 1_400_000
 BITS_PER_ENTRY = 12
@@ -261,6 +261,7 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("learn"))
     parts = staged(counted(texts), "counts")
+    release(docs.sparkSession)
     model = parts.where("kind = 1")
     sums = model.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n"), F.sum("size").alias("size")).first()
     whole = (sums.n or 0) + 0.5 * ((sums.v or 0) + 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -61,3 +62,12 @@ def staged(df: DataFrame, name: str, rows: int | None = None, up: int = 0) -> Da
     if len(_scopes) > up:
         _scopes[-1 - up].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, as after a table was staged.
+
+    Its cleaner acts when the driver's JVM collects garbage, which on an idle driver can be long after the job.
+    """
+    gc.collect()  # Python's references to those plans first
+    spark._jvm.System.gc()
