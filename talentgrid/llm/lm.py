@@ -261,9 +261,9 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(training, F.lit(False)).alias("learn"))
     parts = staged(counted(texts), "counts")
-    release(docs.sparkSession)
     model = parts.where("kind = 1")
     sums = model.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n"), F.sum("size").alias("size")).first()
+    release(docs.sparkSession)  # by now the write's plan has left the driver's event queue
     whole = (sums.n or 0) + 0.5 * ((sums.v or 0) + 1)
     held = None
     if (sums["size"] or 0) <= BROADCAST_BYTES:
