@@ -4,7 +4,9 @@ A window of `width` consecutive words is removed from a document if the same wor
 with a smaller doc_id; overlapping windows merge into maximal intervals. Every window of every text takes
 part: a map task hashes a block of texts, cuts (hash, document, position) into cells by ranges of hashes,
 and each range is one task that finds the windows of two or more documents. Only removed positions come
-back. A passage that a third of the documents hold is spread over as many ranges as it has windows.
+back. Of a window that several documents of a block hold, only the places in the least of them go to the range; in
+the others it is removed whatever other blocks hold. A notice that a third of all documents hold thus reaches its
+range as one document a block, and a longer passage is spread over as many ranges as it has windows.
 
 Null or empty text, or fewer words than `width`: nothing removed. A row without doc_id is kept whole and is no
 source. Rows that repeat a doc_id are one document to each other, so none removes from the other; rows are told
@@ -32,12 +34,26 @@ def removal_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     """(doc_id, fp, spans): the maximal intervals [from, to) of words to remove, one row for each document that has any."""
     buckets = C.bucket_count(docs.sparkSession)
 
+    def removed(doc, place, doc_ids, fps) -> list[tuple[int, bytes]]:
+        """Cells of removed windows, by a hash of their document."""
+        home = W.mix(fps.view(np.uint64) ^ W.mix(doc_ids.view(np.uint64)))[doc]
+        order = np.lexsort((doc, home))
+        doc, place, rows = doc[order], place[order], []
+        for b, i, j in C.ranges(home[order], buckets):
+            own, at = np.unique(doc[i:j], return_inverse=True)
+            rows.append((b, C.pack(doc_ids[own], fps[own], C.small(at), C.small(place[i:j]))))
+        return rows
+
     def block(keys, places, doc_ids, fps) -> pa.RecordBatch:
         keys, places = np.concatenate(keys), np.concatenate(places)
         order = np.argsort(keys)
         keys, places = keys[order], places[order]
         doc_ids, fps = np.concatenate(doc_ids), np.concatenate(fps)
-        rows = []
+        starts, lengths = C.runs(keys)
+        owner = doc_ids[places["doc"]]
+        later = owner > np.repeat(np.minimum.reduceat(owner, starts), lengths)
+        rows = removed(places["doc"][later], places["at"][later], doc_ids, fps)
+        keys, places = keys[~later], places[~later]
         for b, i, j in C.ranges(keys, buckets):
             doc, place = places["doc"][i:j], places["at"][i:j]
             own, doc = np.unique(doc, return_inverse=True)
@@ -66,10 +82,17 @@ def removal_spans(docs: DataFrame, width: int = 50) -> DataFrame:
 
     def repeated(bucket: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts, rows, n = [], [], 0
-        for keys, doc, place, doc_ids, fps in map(C.unpack, packed):
+        for cell in packed:
+            arrays = C.unpack(cell)
+            if len(arrays) == 4:  # windows removed in their own block; this bucket is their document's
+                yield C.batch([(bucket, cell)])
+                continue
+            keys, doc, place, doc_ids, fps = arrays
             parts.append((C.ungaps(keys), doc.astype(np.int64) + n, place.astype(np.int64)))
             rows.append((doc_ids, fps))
             n += len(doc_ids)
+        if not parts:
+            return
         keys, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         doc_ids, fps = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.argsort(keys)
@@ -81,12 +104,7 @@ def removal_spans(docs: DataFrame, width: int = 50) -> DataFrame:
         owner = doc_ids[doc[order]]
         least = np.minimum.reduceat(owner, np.cumsum(lengths) - lengths)
         order = order[owner > np.repeat(least, lengths)]
-        home = W.mix(fps.view(np.uint64) ^ W.mix(doc_ids.view(np.uint64)))
-        order = order[np.lexsort((doc[order], home[doc[order]]))]
-        rows = []
-        for b, i, j in C.ranges(home[doc[order]], buckets):
-            own, at = np.unique(doc[order[i:j]], return_inverse=True)
-            rows.append((b, C.pack(doc_ids[own], fps[own], C.small(at), C.small(place[order[i:j]]))))
+        rows = removed(doc[order], place[order], doc_ids, fps)
         if rows:
             yield C.batch(rows)
 

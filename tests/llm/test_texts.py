@@ -59,6 +59,25 @@ def test_repeats_are_removed(corpus):
         assert sum(s["to"] - s["from"] for s in got[i].spans or []) == got[i].removed
 
 
+@pytest.mark.parametrize("block", [60, 2_000_000])
+def test_notice_in_most_documents(spark, monkeypatch, block):
+    monkeypatch.setattr(substrings, "BLOCK_WORDS", block)
+    notice = " ".join(f"n{i}" for i in range(25))
+    rows = [(i, f"w{i} {notice} x{i}" if i % 3 else f"{notice} y{i} {notice}") for i in range(0, 200, 2)]
+    rows += [(51, "z " * 70), (9, "z " * 90), (9, f"{notice} again"), (10, notice), (301, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = defaultdict(list)
+    for r in substrings.cut_repeats(docs, 20).collect():
+        got[r.doc_id].append((r.words - r.removed, r.spans))
+    once = [(i, t) for i, t in rows if i not in (9, 10)]
+    first = kept_words(once, 20)[0]
+    assert first.split().count(b"n0") == 2 and got[0] == [(51, None)]  # a document keeps its own repeats
+    assert sorted(n for n, _ in got[9]) == [1, 90] and sorted(n for n, _ in got[10]) == [0, 2]
+    assert got[51] == [(0, [(0, 70)])] and got[301] == [(0, None)]
+    for i in range(12, 200, 2):
+        assert got[i] == [(2, [(1, 26)])] if i % 3 else got[i] == [(1, [(0, 25), (26, 51)])]
+
+
 def test_repeats_of_odd_rows(odd, nothing):
     rows = substrings.cut_repeats(odd, 50).collect()
     assert len(rows) == len(ODD)
