@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -14,7 +15,7 @@ from talentgrid.functions.csvcells import BYTE_ORDER_MARK
 from talentgrid.operators.export import csv_header, csv_rows, typed_rows
 from talentgrid.operators.ordered import first_per_key
 from talentgrid.operators.retention import new_cleanup_records
-from talentgrid.schemas import CANDIDATE, PROCESSING_FAILURE, TABLES
+from talentgrid.schemas import CANDIDATE, PROCESSING_FAILURE, TABLES, with_day
 
 
 #: Partition column of tables that streams write.
@@ -61,14 +62,20 @@ def csv_document(exported: DataFrame) -> DataFrame:
     return head.union(csv_rows(exported))
 
 
-def write_candidates_csv(exported: DataFrame, folder: str, single_file: bool = False) -> None:
-    """Write the CSV lines as text.
+def write_candidates_csv(exported: DataFrame, folder: str) -> None:
+    """Write the CSV lines as text, whole or not at all.
 
-    ``exported`` is sorted, so the part files in name order are the export in order; the header is the
-    first part. ``single_file`` puts all rows through one task; ask for it only for small exports.
+    ``exported`` is sorted, so the part files in name order are the export in order; the header is the first part. All
+    parts are written beside ``folder`` and take its place by a rename once the job is done: until then the former
+    document stands, and a failed export leaves it as it was.
     """
-    lines = csv_document(exported)
-    (lines.coalesce(1) if single_file else lines).write.mode("overwrite").text(folder)
+    spark = exported.sparkSession
+    beside = f"{folder.rstrip('/')}.writing-{uuid.uuid4().hex}"
+    try:
+        csv_document(exported).write.text(beside)
+        _replace(spark, beside, folder)
+    finally:
+        _delete(spark, beside)
 
 
 def write_candidates_typed(exported: DataFrame, folder: str) -> None:
@@ -122,6 +129,57 @@ def append_candidates(candidates: DataFrame, folder: str) -> None:
     fresh.sortWithinPartitions(*keys).write.mode("append").parquet(folder)
 
 
+def delete_days(spark: SparkSession, folder: str, schema: StructType, doomed: DataFrame) -> int:
+    """Delete the rows of the uploads in ``doomed`` (upload_id) from a table stored by day; how many days were touched.
+
+    Only days that hold such a row are written again, and a day that holds nothing else goes; files of other days stay
+    as they are. A day is replaced when its rows are written, so a run that broke off can run again.
+    """
+    gone = doomed.select("upload_id").distinct()
+    stored = stored_table(spark, folder, schema)
+    marked = stored.select(DAY, "upload_id").join(gone.withColumn("_gone", F.lit(True)), "upload_id", "left")
+    days = marked.groupBy(DAY).agg(F.count("_gone").alias("lost"), F.count(F.lit(1)).alias("held"))
+    touched = days.filter("lost > 0").select(DAY, (F.col("lost") == F.col("held")).alias("empty")).collect()
+    partly = [row[DAY] for row in touched if not row["empty"]]
+    if partly:
+        kept = stored.filter(_on(partly)).join(gone, "upload_id", "left_anti")
+        rows = kept.select(*schema.names).hint("rebalance", DAY).sortWithinPartitions(DAY, "upload_id")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(folder)
+    for row in touched:
+        if row["empty"]:
+            day = "__HIVE_DEFAULT_PARTITION__" if row[DAY] is None else row[DAY].isoformat()
+            _delete(spark, f"{folder}/{DAY}={day}")
+    return len(touched)
+
+
+def cascade_delete_days(spark: SparkSession, candidate_folder: str, failure_folder: str, doomed: DataFrame) -> DataFrame:
+    """Delete the stored failures of uploads; those that still have stored candidates are refused and returned."""
+    owners = stored_table(spark, candidate_folder, with_day(CANDIDATE)).select("upload_id").distinct()
+    wanted = doomed.select("upload_id").distinct()
+    gone = wanted.join(owners, "upload_id", "left_anti")
+    delete_days(spark, failure_folder, with_day(PROCESSING_FAILURE), gone)
+    return wanted.join(owners, "upload_id", "left_semi")
+
+
+def _on(days: list[dt.date | None]) -> Column:
+    """Rows of these days, as a filter of partitions."""
+    given = F.col(DAY).isin([day for day in days if day is not None])
+    return given | F.col(DAY).isNull() if None in days else given
+
+
+def _replace(spark: SparkSession, written: str, folder: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(place, True)
+    if not system.rename(spark._jvm.org.apache.hadoop.fs.Path(written), place):
+        raise OSError(f"cannot move {written} to {folder}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def append_cleanup_records(records: DataFrame, additions: DataFrame, folder: str) -> None:
     new_cleanup_records(records, additions).write.mode("append").parquet(folder)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from talentgrid.operators import archive as A
 from talentgrid.operators import export as X
 from talentgrid.operators.ingest import ingest_uploads
-from talentgrid.schemas import CANDIDATE, TABLES
+from talentgrid.schemas import CANDIDATE, PROCESSING_FAILURE, TABLES, with_day
 from talentgrid.settings import DOCX_TYPE, PDF_TYPE, ArchiveLimits
 from talentgrid.sources import archives, documents, logs, tables
 
@@ -158,12 +158,65 @@ def test_csv_sink_keeps_order_over_parts(spark, folder):
     assert len(lines) == 261
     keys = [(line.split(",")[2], line.split(",")[0]) for line in lines[1:]]
     assert keys == sorted(keys) and lines[1].split(",")[6] == '"a | B"'
-    tables.write_candidates_csv(exported, folder + "/one", single_file=True)
-    assert len(glob.glob(folder + "/one/part-*")) == 1
     tables.write_candidates_csv(exported.filter("false"), folder + "/none")
     assert len("".join(open(p).read() for p in glob.glob(folder + "/none/part-*")).splitlines()) == 1
 
 
+def test_failed_export_leaves_the_former_document(spark, folder):
+    exported = X.export_candidates(candidates(spark, 30))
+    tables.write_candidates_csv(exported, folder + "/csv")
+    before = {p: open(p, encoding="utf-8").read() for p in glob.glob(folder + "/csv/part-*")}
+    broken = exported.withColumn("full_name", F.when(F.col("id") == "id017", F.raise_error("lost")).otherwise("x"))
+    for target in ("/csv", "/new"):
+        with pytest.raises(Exception, match="lost"):
+            tables.write_candidates_csv(broken, folder + target)
+    assert {p: open(p, encoding="utf-8").read() for p in glob.glob(folder + "/csv/part-*")} == before
+    assert os.listdir(folder) == ["csv"]
+    tables.write_candidates_csv(exported.filter("id = 'id003'"), folder + "/csv")
+    assert len("".join(open(p, encoding="utf-8").read() for p in glob.glob(folder + "/csv/part-*")).splitlines()) == 2
+
+
+def stored_failures(spark, folder, days):
+    when = dt.datetime(2024, 1, 1)
+    rows = [(f"{d}/{u}/{i}", u, f"{i}.pdf", "X", None, when, d) for d, uploads in days.items() for u in uploads for i in range(3)]
+    tables.append_days(spark.createDataFrame(rows, with_day(PROCESSING_FAILURE)), folder, ["upload_id"])
+
+
+def files_by_day(folder):
+    return {d.rsplit("=")[1]: sorted(os.path.basename(p) for p in glob.glob(d + "/*.parquet")) for d in glob.glob(folder + "/arrived_day=*")}
+
+
+def test_delete_rewrites_touched_days_alone(spark, folder):
+    days = [dt.date(2024, 1, i) for i in range(1, 5)]
+    held = {days[0]: ["u1", "u2"], days[1]: ["u3"], days[2]: ["u2"], days[3]: ["u1", "u3"], None: ["u2", "u4"]}
+    stored_failures(spark, folder + "/failure", held)
+    schema = with_day(PROCESSING_FAILURE)
+    before = files_by_day(folder + "/failure")
+    doomed = spark.createDataFrame([("u2",), ("u2",), ("u9",), (None,)], "upload_id string")
+    assert tables.delete_days(spark, folder + "/failure", schema, doomed) == 3
+    after = files_by_day(folder + "/failure")
+    assert all(after[str(d)] == before[str(d)] for d in (days[1], days[3])) and str(days[2]) not in after
+    assert not set(after[str(days[0])]) & set(before[str(days[0])])
+    left = tables.stored_table(spark, folder + "/failure", schema)
+    got = sorted((str(r.arrived_day), r.upload_id, r.id) for r in left.collect())
+    assert got == sorted((str(d), u, f"{d}/{u}/{i}") for d, us in held.items() for u in us if u != "u2" for i in range(3))
+    assert tables.delete_days(spark, folder + "/failure", schema, doomed) == 0 and files_by_day(folder + "/failure") == after
+
+
+def test_stored_cascade_spares_uploads_with_candidates(spark, folder):
+    day = dt.date(2024, 1, 1)
+    stored_failures(spark, folder + "/failure", {day: ["u1", "u2"]})
+    doomed = spark.createDataFrame([("u1",), ("u2",)], "upload_id string")
+    people = candidates(spark, 2).withColumn("arrived_day", F.lit(day))
+    tables.append_days(people, folder + "/candidate", ["upload_id"])
+    blocked = tables.cascade_delete_days(spark, folder + "/candidate", folder + "/failure", doomed)
+    assert [r.upload_id for r in blocked.collect()] == ["u1"]
+    left = tables.stored_table(spark, folder + "/failure", with_day(PROCESSING_FAILURE))
+    assert {r.upload_id for r in left.collect()} == {"u1"}
+    none = tables.cascade_delete_days(spark, folder + "/nobody", folder + "/none", doomed)
+    assert none.count() == 0
+
+
 def test_typed_sink_and_tables(spark, folder):
     people = candidates(spark, 5)
     tables.write_candidates_typed(X.export_candidates(people), folder + "/typed")
