@@ -2,12 +2,14 @@
 
 Every letter has a random vector of DIMENSIONS signs. A letter n-gram binds its letters' vectors, each turned by its
 place in the n-gram; a text or a language bundles (adds) its n-grams, and a text gets the language whose
-prototype has the largest cosine with it. Training counts letter n-grams by language in Spark; the prototypes are
-sums of n-gram vectors weighted by the counts, each n-gram's weight being divided over the languages' sizes.
+prototype has the largest cosine with it. Training counts letter n-grams by language in Spark and bundles each language
+in a task of its own; the prototypes are sums of n-gram vectors weighted by the counts, each n-gram's weight being
+divided over the languages' sizes.
 
 The dot product of a text with a prototype is the sum, over the text's n-grams, of n-gram vector times prototype.
 Those products are tabled once (n-grams times languages) and broadcast; the table's size depends on the number of
-letters and languages alone. So whole texts are compared in one pass at any number of dimensions. The norm of a text's
+letters and languages alone, 1 MB a language. A column with more than LANGUAGES different values is an error, as it names
+no languages; what reaches the driver until that is known is bounded too. So whole texts are compared in one pass at any number of dimensions. The norm of a text's
 vector, which is the same for all languages, takes n-gram vectors as orthogonal.
 
 Letters are lower-cased; those of a-z stand for themselves, other letters fall into 37 classes by code point, and
@@ -39,6 +41,10 @@ UNKNOWN = "und"
 SEED = 17
 #: The dot product of unrelated unit vectors, times the root of DIMENSIONS, is normal: it passes this by chance once in 30,000.
 CHANCE = 4.0
+#: Most languages that a model holds.
+LANGUAGES = 256
+#: Languages whose counts a training task holds before it hands them on.
+HELD = 64
 
 
 def _classes() -> np.ndarray:
@@ -99,18 +105,25 @@ def counts(docs: DataFrame, lang: str, size: int = SIZE) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for name, n in total.items():
+                own = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own), pa.array(n[own])], names=["lang", "code", "n"])
+            total.clear()
+
         for x in W.slices(batches):
             codes, bounds = grams(*letters(x.column(1)), size)
             names, which = np.unique(np.array(x.column(0).to_pylist(), object).astype(str), return_inverse=True)
             owner = np.repeat(which, np.diff(bounds))
             for i, name in enumerate(names.tolist()):
+                if name not in total and len(total) >= HELD:
+                    yield from told()
                 own, n = np.unique(codes[owner == i], return_counts=True)
                 if name not in total:
                     total[name] = np.zeros(CLASSES**size, np.int64)
                 total[name][own] += n
-        for name, n in total.items():
-            own = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own), pa.array(n[own])], names=["lang", "code", "n"])
+        yield from told()
 
     rows = docs.where(f"{lang} is not null and text is not null").select(F.col(lang).alias("lang"), "text")
     return rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -123,25 +136,35 @@ def products(counted: DataFrame, size: int = SIZE, dimensions: int = DIMENSIONS)
 
 def learnt(counted: DataFrame, size: int = SIZE, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """As `products`, and the average product of the n-grams of each language's own texts."""
-    found = counted.toArrow()
-    langs = sorted(set(found.column("lang").to_pylist()))
+    found = prototypes(counted, size, dimensions).limit(LANGUAGES + 1).toArrow().sort_by("lang")
+    langs = found.column("lang").to_pylist()
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: the column that tells them holds something else")
     if not langs:
         return [], np.zeros((CLASSES**size, 0), np.float32), np.zeros(0)
-    row = np.searchsorted(np.array(langs), np.array(found.column("lang").to_pylist()))
-    code, n = found.column("code").to_numpy(), found.column("n").to_numpy()
-    size_of = np.bincount(row, n, len(langs))
-    weight = n / size_of[row]
-    used, at = np.unique(code, return_inverse=True)
-    share = np.zeros((len(langs), len(used)), np.float32)
-    share[row, at] = np.sqrt(weight)
-    proto = np.zeros((len(langs), dimensions), np.float32)
-    for i in range(0, len(used), 4096):
-        proto += share[:, i : i + 4096] @ gram_vectors(used[i : i + 4096], size, dimensions).astype(np.float32)
-    proto /= np.maximum(np.linalg.norm(proto, axis=1, keepdims=True), 1e-9)
+    proto = np.array(found.column("proto").to_pylist(), np.float32)
     out = np.zeros((CLASSES**size, len(langs)), np.float32)
     for i in range(0, len(out), 4096):
         out[i : i + 4096] = gram_vectors(np.arange(i, min(i + 4096, len(out))), size, dimensions).astype(np.float32) @ proto.T
-    return langs, out, np.bincount(row, weight * out[code, row], len(langs))
+    return langs, out, found.column("typical").to_numpy()
+
+
+def prototypes(counted: DataFrame, size: int = SIZE, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(lang, proto, typical): each language's prototype of unit length, and the average product of its own n-grams with it."""
+
+    def bundle(own: pa.Table) -> pa.Table:
+        own = own.sort_by("code")  # at most CLASSES ** size rows
+        code, n = own.column("code").to_numpy(), own.column("n").to_numpy()
+        weight = n / n.sum()
+        proto, mean = np.zeros(dimensions, np.float32), 0.0
+        for i in range(0, len(code), 4096):
+            proto += np.sqrt(weight[i : i + 4096]).astype(np.float32) @ gram_vectors(code[i : i + 4096], size, dimensions).astype(np.float32)
+        proto /= max(float(np.linalg.norm(proto)), 1e-9)
+        for i in range(0, len(code), 4096):
+            mean += float(weight[i : i + 4096] @ (gram_vectors(code[i : i + 4096], size, dimensions).astype(np.float32) @ proto))
+        return pa.table({"lang": own.column("lang").slice(0, 1), "proto": pa.array([proto], pa.list_(pa.float32())), "typical": pa.array([mean])})
+
+    return counted.groupBy("lang").applyInArrow(bundle, "lang string, proto array<float>, typical double")
 
 
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray, size: int = SIZE, dimensions: int = DIMENSIONS, typical: np.ndarray | None = None) -> DataFrame:

@@ -49,6 +49,45 @@ def test_gram_vectors_give_the_cosine():
     assert (np.abs(table) == 1).all() and abs(int(table[0].astype(int) @ table[1])) < 100 and len(letter) == 256
 
 
+def plain_grams(text):
+    kinds = [0] + [langid._classes()[ord(c)] if ord(c) < 65536 else (27 + ord(c) % 37 if c.isalpha() else 0) for c in text] + [0]
+    last = len(kinds) - 1  # the gaps before and after a text always count
+    kinds = [int(k) for i, k in enumerate(kinds) if k or i in (0, last) or kinds[i - 1]]
+    return [tuple(kinds[i : i + 3]) for i in range(len(kinds) - 2) if any(kinds[i : i + 3])]
+
+
+def test_languages_by_plain_vectors(spark):
+    rows = [(i, t, g) for i, (t, g) in enumerate([("The cat sat, on the mat!", "en"), ("a dog and the log", "en"), ("le chat  est là", "fr"), ("où est le chien", "fr"), ("das ist ein hund", "de")])]
+    asked = [(10, "the hund est"), (11, "chat chat chat"), (12, "ein"), (13, "q"), (14, "Das Là 𝒳 the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.products(langid.counts(docs, "lang"))
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(asked, "doc_id long, text string"), *model).collect()}
+
+    letter = np.random.Generator(np.random.PCG64(langid.SEED)).integers(0, 2, (64, 2048)) * 2 - 1
+    vector = lambda gram: np.prod([np.roll(letter[c], 2 - k) for k, c in enumerate(gram)], axis=0)
+    proto = {}
+    for lang in ("de", "en", "fr"):
+        seen = Counter(g for _, t, own in rows if own == lang for g in plain_grams(t))
+        whole = sum(np.sqrt(n / seen.total()) * vector(g) for g, n in seen.items())
+        proto[lang] = whole / np.linalg.norm(whole)
+    for i, text in asked:
+        seen = Counter(plain_grams(text))
+        cosine = {k: sum(n * vector(g) @ p for g, n in seen.items()) / np.sqrt(2048 * sum(n * n for n in seen.values())) for k, p in proto.items()}
+        above = {k: max(c - np.mean(list(cosine.values())), 0) for k, c in cosine.items()}
+        assert got[i].lang_pred == max(sorted(cosine), key=cosine.get)
+        assert abs(got[i].score - max(above.values()) / sum(above.values())) < 1e-4
+
+
+def test_a_column_of_other_values_names_no_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 20)
+    monkeypatch.setattr(langid, "HELD", 3)
+    rows = [(i, f"text of {chr(97 + i % 20)}", f"l{i % 20:02d}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    assert langid.products(langid.counts(docs, "lang"))[0] == [f"l{i:02d}" for i in range(20)]
+    with pytest.raises(ValueError, match="more than 20"):
+        langid.products(langid.counts(docs.withColumn("lang", docs.doc_id.cast("string")), "lang"))
+
+
 def test_language_of_odd_rows(odd, nothing):
     got = {r.doc_id: r for r in langid.predict(odd, *langid.products(langid.counts(odd, "lang"))).collect()}
     assert got[3].lang_pred == got[4].lang_pred == got[5].lang_pred == "und" and got[3].score == 0
