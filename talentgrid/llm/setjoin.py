@@ -11,7 +11,9 @@ A text is the set of its word shingles. Texts with equal sets are one class; cla
 4. Lists that still hold several components are searched for all links between them. Entries lie in blocks by
    size and position, and blocks that cannot reach the overlap are skipped. For the others a member's answer
    is first derived from the leader's: with the overlaps of y and z with the leader x known,
-   |x∩y| + |x∩z| - |x| <= |y∩z| <= min(|x∩y|, |x∩z|) + min(|y-x|, |z-x|). Only pairs left open are compared.
+   |x∩y| + |x∩z| - |x| <= |y∩z| <= min(|x∩y|, |x∩z|) + min(|y-x|, |z-x|). Of the pairs left open, those go whose
+   signatures (the parity of a set's hashes in each of SIGNATURE_BITS places) differ in more places than linked sets can
+   differ in members. Only the others are compared.
 
 Every pair of linked classes is thus found, or already joined by links found before, so components are
 exact. Sets are compared by 64-bit hashes of their shingles. No list of pairs within a component is made.
@@ -43,6 +45,7 @@ BLOCK_SHINGLES = 1_500_000
 ORDERED_SHINGLES = 1 << 18
 FILTER_BITS = 1 << 24
 LIST_BLOCK = 512
+SIGNATURE_BITS = 512
 #: Step 3 tries at most so many partners of a set in a round, and goes on for at most so many rounds, while more than
 #: one in JOINING_SHARE of the partners joins. These save work in step 4, which finds whatever is left.
 CROWD, PARTNERS, TRIES, MERGING_ROUNDS, JOINING_SHARE = 32, 3, 8, 5, 20
@@ -276,16 +279,28 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "p", "q").mapInArrow(overlaps, "a long, b long, na long, nb long, inter long")
 
 
+def signatures(sets: DataFrame) -> DataFrame:
+    """(sid, sig): sets that differ in d members have signatures that differ in at most d bits."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            slots = [W.mix(np.frombuffer(m, np.uint64)) % np.uint64(SIGNATURE_BITS) for m in x.column(1).to_pylist()]
+            odd = [np.bincount(s.astype(np.int64), minlength=SIGNATURE_BITS).astype(np.uint8) & 1 for s in slots]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([np.packbits(o).tobytes() for o in odd], pa.binary())], names=["sid", "sig"])
+
+    return sets.select("sid", "members").mapInArrow(sign, "sid long, sig binary")
+
+
 def open_pairs(lists: DataFrame, like: Similarity) -> DataFrame:
     """Pairs of classes of different components that may link: (a, b, sure); sure pairs need no comparison.
 
-    lists: (token, sid, n, pos, leader, leader_n, root, inter), inter being the overlap with the leader or null.
+    lists: (token, sid, n, pos, leader, leader_n, root, inter, sig), inter being the overlap with the leader or null.
     """
     kept = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
 
-    def pairs_of(sid, n, pos, root, inter, leader, leader_n) -> Iterator[tuple]:
+    def pairs_of(sid, n, pos, root, inter, sig, leader, leader_n) -> Iterator[tuple]:
         order = np.lexsort((pos, n))
-        sid, n, pos, root, inter = (x[order] for x in (sid, n, pos, root, inter))
+        sid, n, pos, root, inter, sig = (x[order] for x in (sid, n, pos, root, inter, sig))
         left = n - pos
         for i in range(0, len(sid), LIST_BLOCK):
             own = slice(i, i + LIST_BLOCK)
@@ -305,19 +320,23 @@ def open_pairs(lists: DataFrame, like: Similarity) -> DataFrame:
                 known = (inter[y] >= 0) & (inter[z] >= 0)
                 ok &= ~((sid[y] == leader) & (inter[z] >= 0)) & ~((sid[z] == leader) & (inter[y] >= 0))
                 ok &= ~known | (np.minimum(inter[y], inter[z]) + np.minimum(n[y] - inter[y], n[z] - inter[z]) >= least)
+                at = np.flatnonzero(ok)
+                y, z, least, known = y[at], z[at], least[at], known[at]
+                ok = np.bitwise_count(sig[y] ^ sig[z]).sum(1, dtype=np.int64) <= n[y] + n[z] - 2 * least
                 sure = known & (inter[y] + inter[z] - leader_n >= least)
                 if ok.any():
                     yield np.minimum(sid[y[ok]], sid[z[ok]]), np.maximum(sid[y[ok]], sid[z[ok]]), sure[ok]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(columns) -> Iterator[pa.RecordBatch]:
-            _, sid, n, pos, leader, leader_n, root, inter = columns
-            for a, b, sure in pairs_of(sid, n, pos, root, inter, leader[0], leader_n[0]):
+            _, sid, n, pos, leader, leader_n, root, inter, sig = columns
+            for a, b, sure in pairs_of(sid, n, pos, root, inter, sig, leader[0], leader_n[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], schema=kept)
 
         held: list[list[np.ndarray]] = []
         for x in batches:
-            columns = [c.fill_null(-1).to_numpy() for c in x.columns]
+            signed = np.frombuffer(b"".join(x.column(8).to_pylist()), np.uint64).reshape(-1, SIGNATURE_BITS // 64)
+            columns = [*(c.fill_null(-1).to_numpy() for c in x.columns[:8]), signed]
             starts, lengths = C.runs(columns[0])
             for i, k in zip(starts.tolist(), lengths.tolist(), strict=True):
                 piece = [c[i : i + k] for c in columns]
@@ -328,7 +347,7 @@ def open_pairs(lists: DataFrame, like: Similarity) -> DataFrame:
         if held:
             yield from work([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    found = lists.select(*LIST_ROW).repartition("token").sortWithinPartitions("token").mapInArrow(search, "a long, b long, sure boolean")
+    found = lists.select(*LIST_ROW, "sig").repartition("token").sortWithinPartitions("token").mapInArrow(search, "a long, b long, sure boolean")
     return found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
@@ -423,14 +442,13 @@ def _similar_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFram
                     rest = mixed(roots, up=1)
                 if more * JOINING_SHARE <= n:
                     break
-    pairs = staged(open_pairs(rest, like), "open")
     done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    unsure = staged(pairs.where("not sure").select("a", "b").join(done, ["a", "b"], "left_anti"), "unsure")
-    found = pairs.where("sure").select("a", "b")
-    if not unsure.isEmpty():
-        with temporary(spark):
-            sets = sets_of(docs, classes, _ends(unsure), size)
-            found = staged(compared(unsure, sets).where(linked).select("a", "b").union(found), "found", up=1)
+    with temporary(spark):
+        sets = sets_of(docs, classes, rest.select("sid"), size)
+        pairs = staged(open_pairs(rest.join(signatures(sets), "sid"), like), "open")
+        unsure = pairs.where("not sure").select("a", "b").join(done, ["a", "b"], "left_anti")
+        found = pairs.where("sure").select("a", "b")
+        found = staged(compared(unsure, sets).where(linked).select("a", "b").union(found), "found", up=1)
     if not found.isEmpty():
         roots = merged(roots, found)
     grouped = staged(classes.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "grouped", n_classes)
