@@ -227,12 +227,18 @@ def index_lists(docs: DataFrame, size: int, like: Similarity) -> tuple[DataFrame
     return staged(both.where("token is null").select("doc_id", "fp", "n", "sid"), "texts", up=1), both.where("token is not null").drop("doc_id", "fp")
 
 
+def signature(members: np.ndarray) -> bytes:
+    """Sets that differ in d members have signatures that differ in at most d bits."""
+    slot = (W.mix(members) % np.uint64(SIGNATURE_BITS)).astype(np.int64)
+    return np.packbits(np.bincount(slot, minlength=SIGNATURE_BITS).astype(np.uint8) & 1).tobytes()
+
+
 def _slots(sid: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (W.mix(sid.view(np.uint64) ^ W.mix(first.view(np.uint64))) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, sids: DataFrame, size: int) -> DataFrame:
-    """(sid, members): the whole sets of some classes.
+def sets_of(docs: DataFrame, classes: DataFrame, sids: DataFrame, size: int, signed: bool = False) -> DataFrame:
+    """(sid, members): the whole sets of some classes; with `signed`, their signatures instead.
 
     The sets are made from the texts anew. A filter of FILTER_BITS over the wanted (class, first document) keeps
     most other sets out of the shuffle; the join keeps out the rest.
@@ -256,7 +262,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, sids: DataFrame, size: int) ->
             sids, first = set_ids(sets), part.column(0).to_numpy()
             slot = _slots(sids, first)
             keep = np.flatnonzero((told.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1)
-            yield pa.RecordBatch.from_arrays([pa.array(first[keep]), pa.array(sids[keep]), pa.array([sets[i].tobytes() for i in keep.tolist()], pa.binary())], names=["first", "sid", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(first[keep]), pa.array(sids[keep]), pa.array([signature(sets[i]) if signed else sets[i].tobytes() for i in keep.tolist()], pa.binary())], names=["first", "sid", "members"])
 
     sets = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(made, "first long, sid long, members binary")
     # The join's key is the class alone, so that its shuffle serves the repeated rows too and sets cross once.
@@ -279,18 +285,6 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "p", "q").mapInArrow(overlaps, "a long, b long, na long, nb long, inter long")
 
 
-def signatures(sets: DataFrame) -> DataFrame:
-    """(sid, sig): sets that differ in d members have signatures that differ in at most d bits."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            slots = [W.mix(np.frombuffer(m, np.uint64)) % np.uint64(SIGNATURE_BITS) for m in x.column(1).to_pylist()]
-            odd = [np.bincount(s.astype(np.int64), minlength=SIGNATURE_BITS).astype(np.uint8) & 1 for s in slots]
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([np.packbits(o).tobytes() for o in odd], pa.binary())], names=["sid", "sig"])
-
-    return sets.select("sid", "members").mapInArrow(sign, "sid long, sig binary")
-
-
 def open_pairs(lists: DataFrame, like: Similarity) -> DataFrame:
     """Pairs of classes of different components that may link: (a, b, sure); sure pairs need no comparison.
 
@@ -444,11 +438,14 @@ def _similar_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFram
                     break
     done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     with temporary(spark):
-        sets = sets_of(docs, classes, rest.select("sid"), size)
-        pairs = staged(open_pairs(rest.join(signatures(sets), "sid"), like), "open")
-        unsure = pairs.where("not sure").select("a", "b").join(done, ["a", "b"], "left_anti")
-        found = pairs.where("sure").select("a", "b")
-        found = staged(compared(unsure, sets).where(linked).select("a", "b").union(found), "found", up=1)
+        signs = sets_of(docs, classes, rest.select("sid"), size, signed=True).withColumnRenamed("members", "sig")
+        pairs = staged(open_pairs(rest.join(signs, "sid"), like), "open", up=1)
+    unsure = staged(pairs.where("not sure").select("a", "b").join(done, ["a", "b"], "left_anti"), "unsure")
+    found = pairs.where("sure").select("a", "b")
+    if not unsure.isEmpty():
+        with temporary(spark):
+            sets = sets_of(docs, classes, _ends(unsure), size)
+            found = staged(compared(unsure, sets).where(linked).select("a", "b").union(found), "found", up=1)
     if not found.isEmpty():
         roots = merged(roots, found)
     grouped = staged(classes.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "grouped", n_classes)

@@ -134,6 +134,14 @@ def test_similar_odd_rows(odd, nothing):
     assert setjoin.one_of_each(nothing, 5, 80).columns == odd.columns and setjoin.similar_texts(nothing).count() == 0
 
 
+def test_signatures_differ_no_more_than_sets():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        a, b = (rng.choice(400, rng.integers(0, 300), replace=False).astype(np.uint64) for _ in "ab")
+        x, y = (np.frombuffer(setjoin.signature(s), np.uint64) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b)) and len(x) == setjoin.SIGNATURE_BITS // 64
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
