@@ -3,12 +3,13 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from talentgrid.operators import audit
 from talentgrid.operators import ingest as I
 from talentgrid.operators.audit import audit_constraints
 from talentgrid.operators.search import Criteria, search_candidates
-from talentgrid.plans import registry
+from talentgrid.plans import fixtures, registry
 from talentgrid.schemas import TABLES
 from talentgrid.settings import BatchLimits
 from tests.conftest import plan_of
@@ -104,3 +105,17 @@ def test_search_filters_and_columns_reach_the_scan(spark, folder):
         assert pushed in plan
     scan = re.search(r"ReadSchema: struct<(.*)", plan).group(1)
     assert "notes" not in scan and "created_at" not in scan
+
+
+def test_customers_of_one_row_group_are_read_by_many_tasks(spark, folder, monkeypatch):
+    monkeypatch.setattr(fixtures, "ROWS_A_TASK", 50)
+    people = "id % 300 AS c_custkey, 'c' AS c_name, 0 AS c_nationkey, 1.0D AS c_acctbal, 'BUILDING' AS c_mktsegment"
+    spark.range(400).selectExpr(*people.split(", ")).coalesce(1).write.parquet(f"{folder}/customer.parquet")
+    spark.sql("SELECT 0 AS n_nationkey, 'FRANCE' AS n_name").write.parquet(f"{folder}/nation.parquet")
+    spark.sql("SELECT 1L AS doc_id, 'x' AS text, 'en' AS lang").write.parquet(f"{folder}/documents.parquet")
+    tables = fixtures.Inputs(spark, folder)
+    for name, rows in (("resume_files", 401), ("candidate", 400), ("processing_failure", 400)):
+        made = tables[name].groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in made) == rows and max(r["count"] for r in made) <= 100, name
+    monkeypatch.setattr(fixtures, "ROWS_A_TASK", 500)  # few rows stay where they are
+    assert "Exchange" not in plan_of(fixtures.Inputs(spark, folder)["processing_failure"])
