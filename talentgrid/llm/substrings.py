@@ -44,14 +44,21 @@ def removal_spans(docs: DataFrame, width: int = 50) -> DataFrame:
             rows.append((b, C.pack(doc_ids[own], fps[own], C.small(at), C.small(place[i:j]))))
         return rows
 
+    def taken(parts: list[np.ndarray]) -> np.ndarray:
+        """The parts as one array; the caller's list is emptied, as a block's arrays are large."""
+        out = np.concatenate(parts)
+        parts.clear()
+        return out
+
     def block(keys, places, doc_ids, fps) -> pa.RecordBatch:
-        keys, places = np.concatenate(keys), np.concatenate(places)
+        keys, places, doc_ids, fps = map(taken, (keys, places, doc_ids, fps))
         order = np.argsort(keys)
         keys, places = keys[order], places[order]
-        doc_ids, fps = np.concatenate(doc_ids), np.concatenate(fps)
+        del order
         starts, lengths = C.runs(keys)
         owner = doc_ids[places["doc"]]
         later = owner > np.repeat(np.minimum.reduceat(owner, starts), lengths)
+        del owner, starts, lengths
         rows = removed(places["doc"][later], places["at"][later], doc_ids, fps)
         keys, places = keys[~later], places[~later]
         for b, i, j in C.ranges(keys, buckets):

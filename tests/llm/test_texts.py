@@ -1,11 +1,13 @@
 """Substring dedup and the n-gram join against brute force, and their odd cases."""
 
 import hashlib
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from talentgrid.llm import components, setjoin, substrings
 from talentgrid.llm import words as W
@@ -157,3 +159,29 @@ def test_query_digest(spark, folder):
     kept = kept_words(rows, 50)
     assert {i: r.kept_sha256 for i, r in got.items()} == {i: hashlib.sha256(k).hexdigest() for i, k in kept.items()}
     assert got[4].n_removed == 55 and got[3].n_removed == 0
+
+
+def test_blocks_of_windows_are_held_once(spark, monkeypatch):
+    """A block of windows, 16 bytes each, is sorted in less than 64 bytes for each window."""
+    ran, n = [], 400_000
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, work, *_: ran.append(work) or self.select(F.lit(0).alias("bucket"), F.lit(b"").alias("cell")))
+    substrings.removal_spans(docs, 5)
+    text = " ".join(map(str, range(n)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1], pa.int64()), "text": [text], "fp": pa.array([7], pa.int64())})
+    monkeypatch.setattr(substrings.W, "rolling", lambda values, width: values[: len(values) - width + 1])
+    made = list(ran[0](iter([batch])))
+    taken, most = substrings.np.concatenate, []
+
+    def traced(*a, **b):  # from where the parts of a block are put together
+        if not most:
+            tracemalloc.start()
+            most.append(0)
+        return taken(*a, **b)
+
+    monkeypatch.setattr(substrings.np, "concatenate", traced)
+    try:
+        assert list(ran[0](iter([batch])))[0].equals(made[0])
+        assert tracemalloc.get_traced_memory()[1] < 64 * n
+    finally:
+        tracemalloc.stop()
