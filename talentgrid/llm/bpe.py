@@ -112,18 +112,18 @@ def _joined(docs: DataFrame, path: str, packed: bool, finish: Callable[[Iterator
             valid.append(doc_ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8))
             size += len(words.data)
         keys, starts, ends, data = (np.concatenate(x) for x in (keys, starts, ends, data))
-        order = np.argsort(keys, kind="stable")
+        counts, ids, valid = C.small(np.concatenate(counts)), np.concatenate(ids), np.concatenate(valid)
+        order = np.argsort(keys)  # whichever of equal words comes first
         first, times = C.runs(keys[order])
-        number = np.empty(len(keys), np.uint32)
-        often = np.argsort(-times, kind="stable")  # frequent words get small numbers
+        often = np.argsort(-times, kind="stable")  # frequent words get small numbers, the same in both passes
         rank = np.empty(len(often), np.uint32)
         rank[often] = np.arange(len(often), dtype=np.uint32)
-        number[order] = np.repeat(rank, times)
-        texts = C.pack(number, C.small(np.concatenate(counts)), np.concatenate(ids), np.concatenate(valid))
-        name = xxhash.xxh3_128_digest(texts + keys.tobytes())
+        name = xxhash.xxh3_128_digest(b"".join([keys, counts, ids, valid]))
         home = int.from_bytes(name[:8], "little") % buckets
         if not words_only:
-            return _rows([(home, name, 0, texts)])
+            number = np.empty(len(keys), np.uint32)
+            number[order] = np.repeat(rank, times)
+            return _rows([(home, name, 0, C.pack(number, counts, ids, valid))])
         rows = []
         sample, raw = order[first], data.tobytes()
         for b, i, j in C.ranges(keys[sample], buckets):

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ INDEX_MAGIC, TABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 READ_BYTES = 4 << 20
 MANIFEST = "part int, file string, documents long, ids long"
+READ = "doc_id long, start long, ids array<int>"
+Finish = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def frames(raw: bytes, width: int, press: zstandard.ZstdCompressor) -> bytes:
@@ -162,10 +164,11 @@ def write_tokens(encoded: DataFrame, doc_ids: DataFrame, folder: str, width: int
     return spark.read.schema(MANIFEST).parquet(path)
 
 
-def read_tokens(manifest: DataFrame, folder: str, wanted: list[int] | None = None) -> DataFrame:
+def read_tokens(manifest: DataFrame, folder: str, wanted: list[int] | None = None, finish: Finish = iter, schema: str = READ) -> DataFrame:
     """(doc_id, start, ids): every document in order of doc_id, or those of `wanted` ids.
 
     start is the number of ids in all documents before. Of a file only the frames of wanted documents are read.
+    `finish` makes other batches (of `schema`) of these where they are read, so that the ids themselves go no further.
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("before", F.coalesce(F.sum("ids").over(before), F.lit(0)))  # a row for each file
@@ -198,4 +201,4 @@ def read_tokens(manifest: DataFrame, folder: str, wanted: list[int] | None = Non
                     if rows:
                         yield batch(rows)
 
-    return spread.mapInArrow(read, "doc_id long, start long, ids array<int>")
+    return spread.mapInArrow(lambda batches: finish(read(batches)), schema)
