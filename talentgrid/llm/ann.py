@@ -209,7 +209,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", v
         if rows:
             yield C.batch(rows)
 
-    def merged(bucket: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def merged(bucket: int, packed: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         q, v, _ = best(*(np.concatenate(x) for x in zip(*map(C.unpack, packed), strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v)], names=["qid", "vid"])
 

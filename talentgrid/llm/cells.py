@@ -69,6 +69,13 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(edges(buckets), keys, "right")
 
 
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts as one array; the caller's list is emptied, as a block's arrays are large."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal keys."""
     if not len(sorted_keys):
@@ -88,12 +95,13 @@ def batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=CELL_SCHEMA)
 
 
-def by_bucket(cells: DataFrame, buckets: int, work: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Bring each bucket's cells together in a task of its own and run `work(bucket, cells)` there."""
+def by_bucket(cells: DataFrame, buckets: int, work: Callable[[int, Iterator[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Bring each bucket's cells together in a task of its own and run `work(bucket, cells)` there, which reads them once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((b, c) for x in batches for b, c in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True))
+        rows = ((b, c) for x in batches for b, c in zip(x.column(0).to_pylist(), x.column(1), strict=True))
         for b, group in groupby(rows, key=lambda r: r[0]):
-            yield from work(b, [c for _, c in group])
+            yield from work(b, (c.as_py() for _, c in group))
+        pa.default_memory_pool().release_unused()  # see words.slices
 
     return cells.repartitionById(buckets, F.col("bucket")).mapInArrow(run, schema)

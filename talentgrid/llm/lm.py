@@ -225,7 +225,7 @@ def scored(cells: DataFrame, whole: float, held: Broadcast | None = None) -> Dat
     `held` is the filter to probe; without it, the levels that the segments' tasks returned are taken.
     """
 
-    def merged(bucket: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def merged(bucket: int, packed: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         for _, group in groupby(sorted(packed, key=lambda c: c[1:17]), key=lambda c: c[1:17]):
             group = list(group)
             heads = {c for c in group if c[:1] == b"n"}  # equal blocks have equal heads

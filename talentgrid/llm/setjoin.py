@@ -45,6 +45,8 @@ BLOCK_SHINGLES = 1_500_000
 ORDERED_SHINGLES = 1 << 18
 FILTER_BITS = 1 << 24
 LIST_BLOCK = 512
+#: Sets of a batch that are compared at a time.
+COMPARED_BYTES = 1 << 22
 SIGNATURE_BITS = 512
 #: Step 3 tries at most so many partners of a set in a round, and goes on for at most so many rounds, while more than
 #: one in JOINING_SHARE of the partners joins. These save work in step 4, which finds whatever is left.
@@ -118,15 +120,19 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
         if have:
             yield block()
 
-    def frequent(bucket: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
-        parts = [C.unpack(x) for x in packed]
-        keys = np.concatenate([C.ungaps(p[0]) for p in parts])
-        counts = np.concatenate([p[1].astype(np.int64) for p in parts])
-        order = np.argsort(keys)
-        starts, _ = C.runs(keys[order])
-        total = np.add.reduceat(counts[order], starts)
-        keys, often = keys[order][starts], total >= 16
-        keys, total = keys[often], total[often]
+    def frequent(bucket: int, packed: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        low = np.uint64((1 << 32) - 1)
+        # a shingle and its count in one number each; a block counts far below 2**32 texts
+        both = C.joined([C.ungaps(keys) << np.uint64(32) | counts for keys, counts in map(C.unpack, packed)])
+        both.sort()
+        keys = (both >> np.uint64(32)).astype(np.uint32)
+        equal = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
+        both = both[equal[1:] | equal[:-1] | (both & low >= 16)]
+        del keys, equal
+        starts, _ = C.runs(both >> np.uint64(32))
+        total = np.add.reduceat((both & low).astype(np.int64), starts) if len(both) else np.zeros(0, np.int64)
+        often = total >= 16
+        keys, total = both[starts[often]] >> np.uint64(32), total[often]
         top = np.argsort(total, kind="stable")[-most:]
         yield pa.RecordBatch.from_arrays([pa.array(keys[top].astype(np.int64)), pa.array(total[top])], names=["key", "n"])
 
@@ -187,7 +193,7 @@ def index_lists(docs: DataFrame, size: int, like: Similarity) -> tuple[DataFrame
         if rows:
             yield block()
 
-    def lists(bucket: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def lists(bucket: int, packed: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         def batch(**columns) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
             kinds = {"doc_id": pa.int64(), "fp": pa.int64(), "token": pa.int64(), "sid": pa.int64(), "n": pa.int64(), "pos": pa.int64(), "leader": pa.int64(), "leader_n": pa.int64(), "near": pa.bool_(), "k": pa.int64()}
@@ -275,7 +281,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """`pairs` (a, b) of class names with the sizes `na` and `nb` of their sets and their overlap `inter`."""
 
     def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in W.slices(batches, "p", COMPARED_BYTES):
             both = [(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
             out = [[len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))] for p, q in both]
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), *(pa.array(c) for c in np.array(out, np.int64).reshape(-1, 3).T)], names=["a", "b", "na", "nb", "inter"])

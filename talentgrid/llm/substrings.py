@@ -44,23 +44,25 @@ def removal_spans(docs: DataFrame, width: int = 50) -> DataFrame:
             rows.append((b, C.pack(doc_ids[own], fps[own], C.small(at), C.small(place[i:j]))))
         return rows
 
-    def taken(parts: list[np.ndarray]) -> np.ndarray:
-        """The parts as one array; the caller's list is emptied, as a block's arrays are large."""
-        out = np.concatenate(parts)
-        parts.clear()
-        return out
-
     def block(keys, places, doc_ids, fps) -> pa.RecordBatch:
-        keys, places, doc_ids, fps = map(taken, (keys, places, doc_ids, fps))
+        keys, places, doc_ids, fps = map(C.joined, (keys, places, doc_ids, fps))
         order = np.argsort(keys)
-        keys, places = keys[order], places[order]
+        keys = keys[order]
+        places = places[order]
         del order
-        starts, lengths = C.runs(keys)
-        owner = doc_ids[places["doc"]]
-        later = owner > np.repeat(np.minimum.reduceat(owner, starts), lengths)
-        del owner, starts, lengths
-        rows = removed(places["doc"][later], places["at"][later], doc_ids, fps)
-        keys, places = keys[~later], places[~later]
+        rows, equal = [], np.concatenate([[False], keys[1:] == keys[:-1], [False]])
+        again = np.flatnonzero(equal[1:] | equal[:-1])  # windows that the block holds several times
+        if len(again):
+            starts, lengths = C.runs(keys[again])
+            owner = doc_ids[places["doc"][again]]
+            again = again[owner > np.repeat(np.minimum.reduceat(owner, starts), lengths)]
+            del owner, starts, lengths
+            rows = removed(places["doc"][again], places["at"][again], doc_ids, fps)
+            stays = np.ones(len(keys), bool)
+            stays[again] = False
+            del again
+            keys = keys[stays]
+            places = places[stays]
         for b, i, j in C.ranges(keys, buckets):
             doc, place = places["doc"][i:j], places["at"][i:j]
             own, doc = np.unique(doc, return_inverse=True)
@@ -87,27 +89,34 @@ def removal_spans(docs: DataFrame, width: int = 50) -> DataFrame:
         if have:
             yield block(keys, places, doc_ids, fps)
 
-    def repeated(bucket: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def repeated(bucket: int, packed: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         parts, rows, n = [], [], 0
-        for cell in packed:
+        for cell in packed:  # their narrow arrays stay as they are; only windows of several cells are joined
             arrays = C.unpack(cell)
             if len(arrays) == 4:  # windows removed in their own block; this bucket is their document's
                 yield C.batch([(bucket, cell)])
                 continue
             keys, doc, place, doc_ids, fps = arrays
-            parts.append((C.ungaps(keys), doc.astype(np.int64) + n, place.astype(np.int64)))
+            parts.append((C.ungaps(keys), doc, place, n))
             rows.append((doc_ids, fps))
             n += len(doc_ids)
         if not parts:
             return
-        keys, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        both = np.concatenate([p[0] for p in parts])
+        both.sort()
+        both = both[1:][both[1:] == both[:-1]]
+        if not len(both):
+            return
+        met = []
+        while parts:
+            keys, doc, place, first = parts.pop()
+            own = np.flatnonzero(both[np.minimum(np.searchsorted(both, keys), len(both) - 1)] == keys)
+            met.append((keys[own], doc[own].astype(np.int64) + first, place[own].astype(np.int64)))
+        del both
+        keys, doc, place = (np.concatenate(x) for x in zip(*met, strict=True))
         doc_ids, fps = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.argsort(keys)
-        starts, lengths = C.runs(keys[order])
-        order = order[np.repeat(lengths > 1, lengths)]
-        if not len(order):
-            return
-        lengths = lengths[lengths > 1]
+        _, lengths = C.runs(keys[order])
         owner = doc_ids[doc[order]]
         least = np.minimum.reduceat(owner, np.cumsum(lengths) - lengths)
         order = order[owner > np.repeat(least, lengths)]
@@ -115,7 +124,7 @@ def removal_spans(docs: DataFrame, width: int = 50) -> DataFrame:
         if rows:
             yield C.batch(rows)
 
-    def merged(bucket: int, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def merged(bucket: int, packed: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         """All removed windows of some documents, as intervals."""
         parts = [(doc_ids[at], fps[at], place.astype(np.int64)) for doc_ids, fps, at, place in map(C.unpack, packed)]
         doc_ids, fps, place = (np.concatenate(x) for x in zip(*parts, strict=True))

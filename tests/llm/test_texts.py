@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from talentgrid.llm import cells as C
 from talentgrid.llm import components, setjoin, substrings
 from talentgrid.llm import words as W
 from talentgrid.llm.cells import pack, small, unpack
@@ -185,3 +186,36 @@ def test_blocks_of_windows_are_held_once(spark, monkeypatch):
         assert tracemalloc.get_traced_memory()[1] < 64 * n
     finally:
         tracemalloc.stop()
+
+
+def most_bytes(work, bucket, cells) -> int:
+    tracemalloc.start()
+    try:
+        list(work(bucket, iter(cells)))
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_ranges_of_windows_and_shingles_are_held_in_narrow_arrays(spark, monkeypatch):
+    """A range's task takes less than 48 bytes for each window or shingle of its cells."""
+    ran, n = {}, 400_000
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(C, "by_bucket", lambda cells, buckets, work, schema: ran.setdefault(work.__name__, work) and spark.createDataFrame([], schema))
+    substrings.removal_spans(docs, 5)
+    setjoin.frequent_shingles(docs, 5)
+    rng = np.random.default_rng(3)
+    cells, grams = [], []
+    for k in range(4):
+        keys = np.sort(rng.integers(0, 1 << 60, n // 4, np.uint64)) | np.uint64(1)
+        keys[-1] = (1 << 60) + 2  # one window and one shingle are in every cell
+        doc, place = np.arange(n // 4) // 1000, np.arange(n // 4) % 1000
+        ids = np.arange(100) + 100 * k
+        cells.append(C.pack(C.gaps(keys), C.small(doc), C.small(place), ids, ids))
+        grams.append(C.pack(C.small(C.gaps(keys >> np.uint64(32))), C.small(np.where(np.arange(n // 4) == n // 4 - 1, 5, 1))))
+    (removed,) = ran["repeated"](0, iter(cells))
+    assert sorted(d for c in removed.column(1).to_pylist() for d in C.unpack(c)[0].tolist()) == [199, 299, 399]
+    (often,) = ran["frequent"](0, iter(grams))
+    assert often.to_pylist() == [{"key": ((1 << 60) + 2) >> 32, "n": 20}]
+    assert most_bytes(ran["repeated"], 0, cells) < 48 * n
+    assert most_bytes(ran["frequent"], 0, grams) < 48 * n
