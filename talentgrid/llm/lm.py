@@ -186,8 +186,13 @@ def counted(texts: DataFrame) -> DataFrame:
         start, _ = C.runs(flat[order])
         return flat[order][start], np.add.reduceat(n[order], start) if len(start) else n
 
-    def reduced(bucket: int, cells: list[bytes]) -> Iterator[pa.RecordBatch]:
-        held = [(cell[1:21], *C.unpack(cell[21:])) for cell in cells if cell[:1] == b"w"]
+    def reduced(bucket: int, cells: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for cell in cells:  # read once; the words of blocks at home here go on as they come
+            if cell[:1] == b"n":
+                yield made(0, int.from_bytes(cell[17:21], "little"), cell)
+            else:
+                held.append((cell[1:21], *C.unpack(cell[21:])))
         words, counts = totals([C.ungaps(x[1]) for x in held], [x[2] for x in held])
         pairs, often = totals([C.ungaps(x[3]) for x in held], [x[4] for x in held])
         taught, seen = counts > 0, often > 0
@@ -198,9 +203,6 @@ def counted(texts: DataFrame) -> DataFrame:
             at = np.searchsorted(words, C.ungaps(word))
             return b"s" + head + bucket.to_bytes(4, "big") + C.pack(C.small(counts[at]), of_words[at], of_pairs[np.searchsorted(pairs, C.ungaps(pair))])
 
-        for cell in cells:
-            if cell[:1] == b"n":
-                yield made(0, int.from_bytes(cell[17:21], "little"), cell)
         for head, word, _, pair, _ in held:
             yield made(0, int.from_bytes(head[16:], "little"), answer(head, word, pair))
         bits = own.bits.tobytes()

@@ -137,6 +137,15 @@ def test_scores_are_equal_however_the_filter_is_reached(corpus, monkeypatch):
     assert sorted(lm.scores(docs, F.col("doc_id") % 5 != 1).collect()) == held
 
 
+def test_every_block_of_texts_comes_home(corpus, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 1)
+    rows, docs = corpus
+    cells = [r.cell for r in lm.counted(docs.withColumn("learn", F.lit(True))).where("kind = 0").collect()]
+    heads = [c for c in cells if c[:1] == b"n"]
+    assert sorted(i for c in heads for i in lm.C.unpack(c[21:])[0].tolist()) == [i for i, _ in rows]
+    assert {c[1:21] for c in heads} == {c[1:21] for c in cells if c[:1] == b"s"}
+
+
 def test_scores_come_from_the_filter_that_tasks_hold(spark, corpus):
     texts = corpus[1].select("doc_id", "text", F.lit(True).alias("learn"))
     parts = lm.staged(lm.counted(texts), "counts")
